@@ -6,22 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolake.llm.common import table
+from annolake.llm.common import id_bucket, table
 from annolake.llm.exact_dedup import exact_dedup
+from annolake.llm.language_id import identify_language
+from annolake.llm.quality import quality
 from annolake.llm.sharding import balanced_shards
+from annolake.llm.toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_bucket("doc_id", 5) != 0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"), id_bucket("doc_id", 3) != 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {
