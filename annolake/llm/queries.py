@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from annolake.llm.common import id_bucket, table
 from annolake.llm.exact_dedup import exact_dedup
 from annolake.llm.language_id import identify_language
+from annolake.llm.lm_scoring import lm_scores
 from annolake.llm.quality import quality
 from annolake.llm.sharding import balanced_shards
 from annolake.llm.toxicity import toxicity
@@ -22,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), id_bucket("doc_id", 7) != 2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_bucket("doc_id", 5) != 0)
 
@@ -37,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_lm_scoring": op4_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
