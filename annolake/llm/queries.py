@@ -10,6 +10,7 @@ from annolake.llm.common import id_bucket, table
 from annolake.llm.exact_dedup import exact_dedup
 from annolake.llm.language_id import identify_language
 from annolake.llm.lm_scoring import lm_scores
+from annolake.llm.ngram_join import jaccard_components
 from annolake.llm.quality import quality
 from annolake.llm.sharding import balanced_shards
 from annolake.llm.toxicity import toxicity
@@ -27,6 +28,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), id_bucket("doc_id", 7) != 2)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_bucket("doc_id", 5) != 0)
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_lm_scoring": op4_lm_scoring,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
@@ -55,4 +61,17 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)
     """,
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                     ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS s FROM w),
+        t AS (SELECT doc_id, unnest(s) AS token FROM g),
+        n AS (SELECT doc_id, len(s) AS n_shingles FROM g),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared_n FROM t x JOIN t y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared_n >= 80 * (p.n_shingles + q.n_shingles - shared_n)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.v WHERE r.c < e.b)
+        SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id FROM n JOIN (SELECT v AS doc_id, min(c) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+    """,
 }
