@@ -148,8 +148,11 @@ def train_language_models(df: DataFrame, learn: Column, text_col: str = "text",
     spark = df.sparkSession
     small_batches(spark)
     base = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    # Ranked within slices of a language first, so that no task ranks all rows of a frequent one.
+    slices = Window.partitionBy("lang", F.pmod("h", F.lit(256))).orderBy("h", "id")
     first = Window.partitionBy("lang").orderBy("h", "id")
     sample = base.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(7), F.col(id_col)).alias("h"))
+    sample = sample.withColumn("r", F.row_number().over(slices)).where(F.col("r") <= rows_per_lang)
     sample = sample.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_per_lang).select("id").distinct()
     docs = settled(base.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"), "language-sample")
     counted = settled(docs.select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, k long").groupBy("lang", "gram").agg(F.sum("k").alias("k")), "language-grams")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from annolake.llm.common import id_bucket, table
+from annolake.llm.embedding_dedup import near_duplicate_vectors
 from annolake.llm.exact_dedup import exact_dedup
 from annolake.llm.language_id import identify_language
 from annolake.llm.lm_scoring import lm_scores
+from annolake.llm.mixing import mix_to_targets, quality_domains
 from annolake.llm.ngram_join import jaccard_components
 from annolake.llm.quality import quality
+from annolake.llm.sentencepiece import encode_pieces
 from annolake.llm.sharding import balanced_shards
 from annolake.llm.toxicity import toxicity
 
 
+#: Model file of the public tokenizer that the encoding query uses.
+PIECE_MODEL = os.environ.get("ANNOLAKE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -24,14 +32,27 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), id_bucket("doc_id", 7) != 2)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mix_to_targets(docs, quality_domains(labels, docs), {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.05})
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_bucket("doc_id", 5) != 0)
 
@@ -47,8 +68,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_mixing": op5_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
