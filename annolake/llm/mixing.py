@@ -25,14 +25,18 @@ from annolake.llm.common import settled, text_or_empty
 
 #: Marks whose rates (per thousand bytes) describe a text.
 MARKS = ("é", "è", "ç", "ñ", "ó", "í", "ä", "ü", "ß", " the ", " of ", " de ", " la ", " der ", " und ", "!", "%", "$", "|", "*", "&", ".", ",")
+#: Bytes added to a text's size in its rates, and bytes at which its evidence counts for half.
+SMOOTHED, HALF_EVIDENCE = 100, 300
+#: How far a domain's variances are drawn to those within all domains.
+POOLED = 0.8
 #: Rates that the projected gradient may change before they are written out, its most steps, and the relative residual at which it ends.
 UNROLLED, STEPS, CLOSE = 8, 64, 1e-4
 
 
 def _features(text: Column) -> Column:
     size = F.octet_length(text)
-    rates = [F.log1p((size - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / F.lit(float(len(m.encode()))) * 1000.0 / F.greatest(size, F.lit(1))) for m in MARKS]
-    upper = F.log1p(F.regexp_count(text, F.lit("[A-Z]")) * 1000.0 / F.greatest(size, F.lit(1)))
+    rates = [F.log1p((size - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / F.lit(float(len(m.encode()))) * 1000.0 / (size + SMOOTHED)) for m in MARKS]
+    upper = F.log1p(F.regexp_count(text, F.lit("[A-Z]")) * 1000.0 / (size + SMOOTHED))
     return F.array(*rates, upper)
 
 
@@ -42,16 +46,19 @@ def fit_domains(df: DataFrame, labelled: DataFrame, text_col: str, id_col: str,
     seen = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").select("domain", _features(F.col("text")).alias("x"))
     n = len(MARKS) + 1
     stats = seen.groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(n)), *(F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(n))).orderBy("domain").collect()
-    return [(r.domain, r.n, [r[f"m{i}"] for i in range(n)], [max(r[f"v{i}"], 0.02) for i in range(n)]) for r in stats]
+    total = sum(r.n for r in stats)
+    pooled = [sum(r.n * r[f"v{i}"] for r in stats) / total for i in range(n)] if stats else []
+    return [(r.domain, r.n, [r[f"m{i}"] for i in range(n)], [max((1 - POOLED) * r[f"v{i}"] + POOLED * pooled[i], 0.02) for i in range(n)]) for r in stats]
 
 
-def posteriors(x: Column, model: list) -> list[Column]:
-    """Posterior columns, one for each domain of the model."""
+def log_posteriors(x: Column, size: Column, model: list) -> list[Column]:
+    """Unscaled log-posteriors, one for each domain of the model. A short text's evidence counts for less."""
     total = sum(n for _, n, _, _ in model)
     logs = []
     for _, n, means, variances in model:
-        const = math.log(n / total) - 0.5 * sum(math.log(2 * math.pi * v) for v in variances)
-        logs.append(sum(((F.get(x, i) - m) * (F.get(x, i) - m) * (-0.5 / v) for i, (m, v) in enumerate(zip(means, variances, strict=True))), F.lit(const)))
+        const = -0.5 * sum(math.log(2 * math.pi * v) for v in variances)
+        evidence = sum(((F.get(x, i) - m) * (F.get(x, i) - m) * (-0.5 / v) for i, (m, v) in enumerate(zip(means, variances, strict=True))), F.lit(const))
+        logs.append(F.lit(math.log(n / total)) + evidence * size / (size + HALF_EVIDENCE))
     return logs
 
 
@@ -67,10 +74,10 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     names = [d for d, *_ in model]
     k = range(len(names))
     hashed = F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 53)) / float(1 << 53)
-    rows = df.select(F.col(id_col).alias("id"), hashed.alias("u"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n"), _features(text).alias("x"))
+    rows = df.select(F.col(id_col).alias("id"), hashed.alias("u"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n"), _features(text).alias("x"), F.octet_length(text).alias("size"))
     if not names:
         return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    logs = rows.select("id", "u", "n", *(c.alias(f"l{i}") for i, c in zip(k, posteriors(F.col("x"), model), strict=True)))
+    logs = rows.select("id", "u", "n", *(c.alias(f"l{i}") for i, c in zip(k, log_posteriors(F.col("x"), F.col("size"), model), strict=True)))
     top = F.greatest(*(F.col(f"l{i}") for i in k)) if len(names) > 1 else F.col("l0")
     logs = logs.withColumn("top", top)
     scale = sum((F.exp(F.col(f"l{i}") - F.col("top")) for i in k), F.lit(0.0))
