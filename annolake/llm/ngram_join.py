@@ -4,11 +4,12 @@ A document's set holds the hashes of its distinct word n-grams; documents of one
 are one set. Similar sets are first partitioned into groups: sets that share a smallest hash meet in
 bounded blocks, where those that reach the threshold with a block's leader join its group. The matrix then
 has a row for each token and an entry for each group with that token among its members' first tokens (in
-an order by frequency, rarest first, of which a set needs only as many as it may miss). An entry stores the
-group's slack, the least that any member has already lost before this token. Two groups are opened only if
-their slacks in some row still leave room for the threshold, and then only members whose own slacks and
-sizes do; those pairs are compared in full. Groups only save work: every pair of sets in different groups
-that may reach the threshold is opened, so no link between components is lost.
+an order by frequency, rarest first, of which a set needs only as many as it may miss). An entry stores its
+group's members' slack, what each has already lost before this token. A row that one group fills stays closed. From
+the rows that groups share follows a bound of two members' overlap: their slacks in one row must leave room
+for the threshold, and they must share as many first tokens as sets that reach it share at least. Only pairs
+within these bounds are opened and compared in full. Groups only save work: every pair of sets in different
+groups that may reach the threshold is opened, so no link between components is lost.
 
 Frequencies come from a sketch of fixed size; they decide the order and nothing else.
 
@@ -33,7 +34,9 @@ from annolake.llm.graph import connected_components
 #: Sets compared with leaders in one block; bounds a task's group whatever a hash is shared by.
 BLOCK = 64
 #: Counters of the frequency sketch and bits of an id filter, as powers of two; pieces in which they travel.
-SKETCH_BITS, FILTER_BITS, PIECE = 18, 24, 1 << 13
+SKETCH_BITS, FILTER_BITS, PIECE = 20, 24, 1 << 13
+#: Matrix rows of up to so many entries are handled all at once.
+SHORT_ROW = 48
 _B = 0x5851F42D4C957F2D
 _U = np.uint64
 
@@ -221,54 +224,69 @@ def _first_tokens(n: int, percent: int, shared):
     return first_tokens
 
 
+def least_common(n_a: str, n_b: str, percent: int) -> str:
+    """SQL for the first tokens that two sets of these sizes share at least if they reach the threshold.
+
+    They have at least o = percent * (n_a + n_b) / (100 + percent) tokens in common, so a has at most n_a - o others. Its
+    first tokens are as many as it may miss and one; the k-th common token comes after at most k - 1 common and n_a - o
+    other ones, in b likewise, so the first common ones lie among the first tokens of both.
+    """
+    common = f"ceil({percent} * ({n_a} + {n_b}) / {100 + percent}.0 - 1e-9)"
+    first = [f"({n} - ceil({percent} * {n} / 100.0 - 1e-9) + 1)" for n in (n_a, n_b)]
+    return f"greatest(1, least({first[0]} - ({n_a} - {common}), {first[1]} - ({n_b} - {common})))"
+
+
 def _open_groups(percent: int):
     def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token. Of each matrix row, the pairs of members of different groups whose slacks and sizes leave room."""
-        rest: pa.Table | None = None
+        """Rows come sorted by token. Of each matrix row, the pairs of members of different groups whose sizes leave room,
+        and whether their slacks in this row do. Rows in which only one group has an entry stay closed."""
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             token, grp, ids = t.column("token").to_numpy(), t.column("grp").to_numpy(), t.column("id").to_numpy()
             slack, size = t.column("slack").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            wide = np.flatnonzero(np.diff(cuts) > 1)
-            a_out, b_out = [], []
-            for k in wide:
-                lo, hi = cuts[k], cuts[k + 1]
-                g, s, z, d = grp[lo:hi], slack[lo:hi], size[lo:hi], ids[lo:hi]
-                if (g == g[0]).all():
-                    continue
-                groups, of = np.unique(g, return_inverse=True)
-                least = np.full(len(groups), np.inf)
-                np.minimum.at(least, of, s)
-                by_slack = np.sort(least)
-                # A group that has no room with the best other group stays closed.
-                other = np.where(least == by_slack[0], by_slack[1], by_slack[0])
-                inside = np.flatnonzero((s + other[of]) <= 1e-3)
-                for i in inside:
-                    room = (of[inside] > of[i]) & (s[i] + s[inside] <= 1e-3) & (100 * np.minimum(z[i], z[inside]) >= percent * np.maximum(z[i], z[inside]))
-                    hit = inside[room]
-                    a_out.append(np.full(len(hit), d[i]))
-                    b_out.append(d[hit])
-            if a_out:
-                a, b = np.concatenate(a_out), np.concatenate(b_out)
-                if len(a):
-                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+            width = np.diff(cuts)
+            wide = np.repeat(width > SHORT_ROW, width)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def keep(i: np.ndarray, j: np.ndarray) -> None:
+                small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                fit = (grp[i] != grp[j]) & (100 * small >= percent * large)
+                if fit.any():
+                    found.append((i[fit], j[fit]))
+
+            for step in range(1, int(min(width.max(initial=1), SHORT_ROW))):
+                i = np.flatnonzero((token[:-step] == token[step:]) & ~wide[:-step])
+                if not len(i):
+                    break
+                keep(i, i + step)
+            for k in np.flatnonzero(width > SHORT_ROW):
+                row = np.arange(cuts[k], cuts[k + 1])
+                if (grp[row] != grp[row[0]]).any():
+                    for at in range(len(row) - 1):
+                        keep(np.full(len(row) - at - 1, row[at]), row[at + 1 :])
+            if found:
+                i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                swap = ids[i] > ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                room = slack[i] + slack[j] <= 1e-3
+                for at in range(0, len(i), 200_000):
+                    p, q = i[at : at + 200_000], j[at : at + 200_000]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "na": pa.array(size[p].astype(np.int32)), "nb": pa.array(size[q].astype(np.int32)), "room": pa.array(room[at : at + 200_000])})
 
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < 60_000:
+            if rows < 100_000:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             token = t.column("token").to_numpy()
             cut = int(np.searchsorted(token, token[-1]))  # the last row may go on
             if cut:
-                yield from pairs(t.slice(0, cut))
-            rest = t.slice(cut)
-            held, rows = rest.to_batches(), rest.num_rows
+                yield from pairs(t.slice(0, cut).combine_chunks())
+            held, rows = t.slice(cut).to_batches(), len(token) - cut
         if held and rows:
             yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
@@ -306,7 +324,8 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, text_col: s
     other = through_filter(docs.where("id IS NOT NULL"), special).join(special, "id", "left").where("copy IS NULL OR NOT copy").select("id", F.coalesce("grp", "id").alias("grp"), "text")
     matrix = plain.unionByName(other).mapInArrow(_first_tokens(n, percent, spark.sparkContext.broadcast(level)), "token long, grp long, id long, slack float, n int")
     matrix = matrix.repartition(partitions(spark), "token").sortWithinPartitions("token")
-    pairs = settled(matrix.mapInArrow(_open_groups(percent), "a long, b long").distinct(), "join-pairs")
+    met = matrix.mapInArrow(_open_groups(percent), "a long, b long, na int, nb int, room boolean").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("room").alias("room"))
+    pairs = settled(met.where(f"room AND common >= {least_common('na', 'nb', percent)}").select("a", "b"), "join-pairs")
     texts = through_filter(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = texts.join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
