@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from annolake.plans import annotation, evaluation, spatial
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+for _module in (evaluation, annotation, spatial):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
