@@ -5,6 +5,7 @@ Camera frame: x right, y down, z forward. Dimensions are [w, h, l], lying along
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -17,6 +18,16 @@ CORNER_SIGNS = ((-1, -1, -1), (1, -1, -1), (1, 1, -1), (-1, 1, -1), (-1, -1, 1),
 FACES = ((0, 1, 2, 3), (3, 2, 6, 7), (0, 1, 5, 4), (0, 3, 7, 4), (1, 2, 6, 5), (4, 5, 6, 7))
 
 
+def bound(f):
+    """f with its arguments computed once each, however often it uses them; without this, chains of f would grow exponentially."""
+    @functools.wraps(f)
+    def once(*args):
+        named = F.struct(*((a if isinstance(a, Column) else F.lit(a)).alias(f"_{i}") for i, a in enumerate(args)))
+        return F.get(F.transform(F.array(named), lambda s: f(*(s[f"_{i}"] for i in range(len(args))))), 0)
+
+    return once
+
+
 def vec(*x) -> Column:
     return F.array(*((v if isinstance(v, Column) else F.lit(float(v))).cast("double") for v in x))
 
@@ -33,32 +44,39 @@ def dot(a: Column, b: Column) -> Column:
     return sum((F.get(a, i) * F.get(b, i) for i in range(1, 3)), F.get(a, 0) * F.get(b, 0))
 
 
+@bound
 def cross(a: Column, b: Column) -> Column:
     a, b = [F.get(a, i) for i in range(3)], [F.get(b, i) for i in range(3)]
     return vec(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 
 
+@bound
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+@bound
 def plus(a: Column, b: Column) -> Column:
     return vec(*(F.get(a, i) + F.get(b, i) for i in range(3)))
 
 
+@bound
 def minus(a: Column, b: Column) -> Column:
     return vec(*(F.get(a, i) - F.get(b, i) for i in range(3)))
 
 
+@bound
 def times(m: Column, v: Column) -> Column:
     """Matrix times vector."""
     return vec(*(at(m, i, 0) * F.get(v, 0) + at(m, i, 1) * F.get(v, 1) + at(m, i, 2) * F.get(v, 2) for i in range(3)))
 
 
+@bound
 def matmul(a: Column, b: Column) -> Column:
     return mat([[at(a, i, 0) * at(b, 0, j) + at(a, i, 1) * at(b, 1, j) + at(a, i, 2) * at(b, 2, j) for j in range(3)] for i in range(3)])
 
 
+@bound
 def transpose(m: Column) -> Column:
     return mat([[at(m, j, i) for j in range(3)] for i in range(3)])
 
@@ -67,6 +85,7 @@ def identity() -> Column:
     return mat([[1, 0, 0], [0, 1, 0], [0, 0, 1]])
 
 
+@bound
 def determinant(m: Column) -> Column:
     return dot(F.get(m, 0), cross(F.get(m, 1), F.get(m, 2)))
 
@@ -161,11 +180,13 @@ def plane_distance(plane: Column, point: Column, signed: bool = False) -> Column
     return F.when(n <= 1e-8, float("inf")).otherwise((d if signed else F.abs(d)) / n)
 
 
+@bound
 def rotate_y(yaw: Column) -> Column:
     c, s = F.cos(yaw), F.sin(yaw)
     return mat([[c, 0, s], [0, 1, 0], [-s, 0, c]])
 
 
+@bound
 def align_vectors(a: Column, b: Column) -> Column:
     """The rotation that takes direction a to direction b; the identity where they are parallel already."""
     na, nb = norm(a), norm(b)
@@ -184,6 +205,7 @@ def euler_to_matrix(rx: Column, ry: Column, rz: Column) -> Column:
     return mat([[cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx], [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx], [-sy, cy * sx, cy * cx]])
 
 
+@bound
 def matrix_to_euler(m: Column) -> Column:
     """(rx, ry, rz) of Rz * Ry * Rx."""
     sy = F.sqrt(at(m, 0, 0) * at(m, 0, 0) + at(m, 1, 0) * at(m, 1, 0))
@@ -191,6 +213,7 @@ def matrix_to_euler(m: Column) -> Column:
     return F.when(sy > 1e-6, usual).otherwise(vec(F.atan2(-at(m, 1, 2), at(m, 1, 1)), F.atan2(-at(m, 2, 0), sy), F.lit(0.0)))
 
 
+@bound
 def quaternion_to_matrix(q: Column) -> Column:
     """From (w, x, y, z), scaled to unit length."""
     n = F.sqrt(sum((F.get(q, i) * F.get(q, i) for i in range(1, 4)), F.get(q, 0) * F.get(q, 0)))
@@ -222,6 +245,7 @@ def eval_scale(width: Column, height: Column, least: float = 512.0, most: float
     return F.when(s * F.greatest(width, height) > most, most / F.greatest(width, height)).otherwise(s)
 
 
+@bound
 def _ray_rotation(u: Column, v: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
     return align_vectors(vec(0, 0, 1), vec((u - cx) / fx, (v - cy) / fy, 1))
 
@@ -238,6 +262,7 @@ def rotation_valid(m: Column, tolerance: float = 0.1) -> Column:
     return F.coalesce(F.abs(determinant(m) - 1) <= tolerance, F.lit(False))
 
 
+@bound
 def rotation_angle(a: Column, b: Column) -> Column:
     """The angle between two rotations, the cosine clamped."""
     r = matmul(a, transpose(b))
@@ -248,6 +273,7 @@ def mirror_center(center: Column) -> Column:
     return vec(-F.get(center, 0), F.get(center, 1), F.get(center, 2))
 
 
+@bound
 def mirror_pose(m: Column) -> Column:
     """M1 * R * M2 for a horizontal flip: the sign of a term changes where exactly one of its indices is 0."""
     return mat([[at(m, i, j) * (-1 if (i == 0) != (j == 0) else 1) for j in range(3)] for i in range(3)])
