@@ -154,6 +154,18 @@ def _greedy(ignores: bool) -> str:
     )"""
 
 
+def _suppressed(where: str, clash: str) -> str:
+    """Walks each image and category by score, carrying the list of what is kept."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_name ORDER BY score DESC, det_id) AS rk FROM fx_detections WHERE {where}),
+    walk AS (
+        SELECT image_id, category_name, rk, det_id, score, true AS kept, [det_id] AS ids FROM r WHERE rk = 1
+        UNION ALL
+        SELECT d.image_id, d.category_name, d.rk, d.det_id, d.score, NOT b.hit, CASE WHEN b.hit THEN w.ids ELSE list_append(w.ids, d.det_id) END
+        FROM walk w JOIN r d ON d.image_id = w.image_id AND d.category_name = w.category_name AND d.rk = w.rk + 1
+        LEFT JOIN LATERAL (SELECT count(*) > 0 AS hit FROM r g WHERE g.image_id = d.image_id AND g.category_name = d.category_name AND list_contains(w.ids, g.det_id) AND ({clash})) b ON true
+    )"""
+
+
 QUERIES = {
     "ap50_by_category": ap50_by_category,
     "matches_2d": matches_2d,
@@ -196,4 +208,8 @@ ORACLE = {
         b AS (SELECT det_id, arg_max(ann_id, (iou, -ann_id)) FILTER (valid3d) AS ann_id, coalesce(max(iou) FILTER (valid3d), 0) AS iou, coalesce(max(ioa) FILTER (NOT valid3d), 0) AS ioa FROM c GROUP BY 1)
         SELECT d.det_id, CASE WHEN coalesce(iou, 0) >= 0.5 THEN ann_id END AS ann_id, round(coalesce(iou, 0) + 1e-9, 6) AS iou, CASE WHEN coalesce(iou, 0) >= 0.5 THEN 1 WHEN coalesce(ioa, 0) > 0.5 THEN -1 ELSE 0 END AS label
         FROM fx_detections d LEFT JOIN b USING (det_id)"""),
+    "nms_detections": with_views(f"""WITH RECURSIVE {_suppressed("score > 0.05", f"{_IOU2D} > 0.5")}, p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS place FROM walk WHERE kept)
+        SELECT det_id, image_id, score, place FROM p WHERE place <= 5"""),
+    "nms_by_quality": with_views(f"""WITH RECURSIVE {_suppressed("score > 0.1", f"{_IOU2D} >= 0.75 OR ({_IOU2D} >= 0.3 AND sqrt(power(g.cxm - d.cxm, 2) + power(g.cym - d.cym, 2) + power(g.czm - d.czm, 2)) <= 0.35 * (sqrt(g.w3 * g.w3 + g.h3 * g.h3 + g.l3 * g.l3) + sqrt(d.w3 * d.w3 + d.h3 * d.h3 + d.l3 * d.l3)) / 2)")}
+        SELECT det_id, image_id, score AS quality FROM walk WHERE kept"""),
 }
