@@ -31,6 +31,8 @@ SMOOTHED, HALF_EVIDENCE = 100, 300
 POOLED = 0.8
 #: Rates that the projected gradient may change before they are written out, its most steps, and the relative residual at which it ends.
 UNROLLED, STEPS, CLOSE = 8, 64, 1e-4
+#: The fit also ends when a step leaves more than this share of the squared residuals: the allowed range holds it back.
+STALLED = 0.998
 
 
 def _features(text: Column) -> Column:
@@ -88,12 +90,14 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     h = np.array([[moments[f"h{i}_{j}"] for j in k] for i in k])
     weight = 1 / np.maximum(np.diag(h), 1e-9)
     step = 1 / max(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * h * np.sqrt(weight)[None, :]).max(), 1e-9)
-    rate, unrolled = F.col("r"), 0
+    rate, unrolled, before = F.col("r"), 0, math.inf
     for _ in range(STEPS):
         totals = state.select("n", rate.alias("r"), *(f"p{i}" for i in k)).agg(*(F.coalesce(F.sum(F.col("n") * F.col(f"p{i}") * F.col("r")), F.lit(0.0)) for i in k)).first()
         residual = np.array(list(totals)) - wanted
-        if np.abs(residual).max() <= CLOSE * max(wanted.sum(), 1e-9):
+        error = float((weight * residual**2).sum())
+        if np.abs(residual).max() <= CLOSE * max(wanted.sum(), 1e-9) or error > STALLED * before:
             break
+        before = error
         move = sum((F.col(f"p{i}") * float(step * weight[i] * residual[i]) for i in k), F.lit(0.0))
         rate = F.greatest(rate - move, F.lit(0.0))
         if max_rate is not None:
