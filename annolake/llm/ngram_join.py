@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.llm.common import partitions, settled, small_batches
@@ -272,7 +272,7 @@ def _open_groups(percent: int):
                 room = slack[i] + slack[j] <= 1e-3
                 for at in range(0, len(i), 200_000):
                     p, q = i[at : at + 200_000], j[at : at + 200_000]
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "na": pa.array(size[p].astype(np.int32)), "nb": pa.array(size[q].astype(np.int32)), "room": pa.array(room[at : at + 200_000])})
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "ga": pa.array(grp[p]), "gb": pa.array(grp[q]), "na": pa.array(size[p].astype(np.int32)), "nb": pa.array(size[q].astype(np.int32)), "room": pa.array(room[at : at + 200_000])})
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -303,6 +303,37 @@ def _verify(n: int, percent: int):
     return verify
 
 
+def compare_open_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) among the opened pairs (a, b, ga, gb, common), as many as it takes to connect what is linked.
+
+    Every round each group compares its most promising pairs, more in each round and all in the last. Groups that
+    turn out linked become one, and pairs within one group need no comparison any more. So a large group and a set
+    that belongs to it cost a few comparisons, not one for each member; pairs of groups that are not linked are all compared.
+    """
+    links = pairs.select("a", "b").limit(0)
+    for most in (4, 32, 256, None):
+        if pairs.isEmpty():
+            break
+        chosen = pairs
+        if most:
+            best = [F.row_number().over(Window.partitionBy(g).orderBy(F.desc("common"), "a", "b")) for g in ("ga", "gb")]
+            tops = [pairs.withColumn("r", r).where(F.col("r") <= most).drop("r") for r in best]
+            chosen = settled(tops[0].unionByName(tops[1]).distinct(), "join-chosen")
+        texts = through_filter(docs, chosen.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = texts.join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        full = chosen.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        found = settled(full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a long, b long"), "join-verified")
+        links = links.unionByName(found)
+        if not most:
+            break
+        merged = connected_components(chosen.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+        left = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        for g in ("ga", "gb"):
+            left = left.join(merged.select(F.col("node").alias(g), F.col("component").alias("to")), g, "left").withColumn(g, F.coalesce("to", g)).drop("to")
+        pairs = settled(left.where("ga <> gb").select("a", "b", "ga", "gb", "common"), "join-pairs")
+    return links
+
+
 def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, n_shingles, component_id (smallest id reachable by links of at least percent / 100). Ids are long integers."""
     spark = df.sparkSession
@@ -324,12 +355,10 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, text_col: s
     other = through_filter(docs.where("id IS NOT NULL"), special).join(special, "id", "left").where("copy IS NULL OR NOT copy").select("id", F.coalesce("grp", "id").alias("grp"), "text")
     matrix = plain.unionByName(other).mapInArrow(_first_tokens(n, percent, spark.sparkContext.broadcast(level)), "token long, grp long, id long, slack float, n int")
     matrix = matrix.repartition(partitions(spark), "token").sortWithinPartitions("token")
-    met = matrix.mapInArrow(_open_groups(percent), "a long, b long, na int, nb int, room boolean").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("room").alias("room"))
-    pairs = settled(met.where(f"room AND common >= {least_common('na', 'nb', percent)}").select("a", "b"), "join-pairs")
-    texts = through_filter(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = texts.join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    verified = settled(full.mapInArrow(_verify(n, percent), "a long, b long"), "join-verified")
+    met = matrix.mapInArrow(_open_groups(percent), "a long, b long, ga long, gb long, na int, nb int, room boolean")
+    met = met.groupBy("a", "b", "ga", "gb", "na", "nb").agg(F.count("*").alias("common"), F.max("room").alias("room"))
+    pairs = settled(met.where(f"room AND common >= {least_common('na', 'nb', percent)}").select("a", "b", "ga", "gb", "common"), "join-pairs")
+    verified = compare_open_pairs(docs, sets, pairs, n, percent)
     merged = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified))
     of_set = sets.join(merged.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return rows.join(of_set, "digest").select(
