@@ -62,7 +62,7 @@ def test_divergence_stream_equals_batch(spark, tmp_path):
 
 
 def test_convert_stream_once(spark, tmp_path):
-    df = spark.range(10).select(F.timestamp_seconds(F.lit(0)).alias("modified"), (F.col("id") % 5).alias("image_id"))
+    df = spark.range(10).select(F.timestamp_seconds(F.lit(1_700_000_000)).alias("modified"), (F.col("id") % 5).alias("image_id"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     convert = lambda b: b.select("image_id", F.when(F.col("image_id") == 3, "bad").alias("reason"))
