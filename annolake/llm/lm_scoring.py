@@ -2,8 +2,8 @@
 
 A text is its lower-cased tokens, then one end. A token is coded byte by byte (a space closes it, a line
 feed is the end token), each byte bit by bit. Several predictors keep zero/one counts in hashed contexts
-inside the token (its depth, the last one to four bytes, all bytes so far; two of them also by the
-text's class); a gate, the longest context that has been seen, picks the weights that mix them in the
+inside the token (its depth, the last one to four bytes, all bytes so far; depth and the last one to
+three bytes by the text's class); a gate, the longest context that has been seen, picks the weights that mix them in the
 logistic domain. The weights are learnt online, batch by batch, each bit predicted with its own occurrence
 left out, and an adaptive table refines the mixed probability. The token's probability under a class is
 interpolated with its share of that class's training tokens.
@@ -11,7 +11,7 @@ interpolated with its share of that class's training tokens.
 Classes are the most frequent values of a column of the training texts (none is read when scoring). A text
 is scored under all of them, and what it has shown so far weighs them: its probability is the sum over the
 classes of prior times likelihood. Inside a text, a match predictor adds the token that followed the last
-occurrence of the two tokens before; how far it is trusted depends on its last success.
+occurrence of the one or two tokens before; how far it is trusted depends on its last success.
 
 Contexts of bits stay inside a token, so a token's probability under a class depends on the token alone:
 the distinct tokens of all texts form one sharded table that is counted, trained on and scored once, and
@@ -40,41 +40,48 @@ from annolake.llm.words import segment_sums
 
 #: Bytes of text that one block holds, and texts in one of its rows; bound what one task holds of texts and distinct tokens.
 BLOCK_BYTES, ROW_TEXTS = 32_000_000, 256
-#: Slots of each predictor's table, as a power of two: depth, last byte by class, two, three by class, four, all so far.
-SLOTS = (12, 19, 18, 20, 18, 20)
+#: Slots of each predictor's table, as a power of two: depth, last byte by class, two, three by class, four, all so far, depth by class, two by class.
+SLOTS = (12, 19, 18, 20, 18, 20, 15, 19)
 #: Predictors whose context holds the class, with the slots of one class.
-BY_CLASS = {1: 16, 3: 17}
+BY_CLASS = {1: 16, 3: 17, 6: 12, 7: 16}
+#: Predictors whose context is the slot itself; those of the others are hashed.
+DIRECT = (0, 1, 6)
 K, GATES, BUCKETS = len(SLOTS), len(SLOTS) + 1, 33
 #: The most classes; class 0 takes all values that are not among the frequent ones.
 CLASSES = 6
-#: (token, class) pairs handled at once, pairs that each task's weights are learnt from, and the prior count of either bit.
-CHUNK, LEARNT, PRIOR = 12_000, 100_000, 0.05
+#: (token, class) pairs handled at once, and the prior count of either bit.
+CHUNK, PRIOR = 12_000, 0.05
 MIXES = tuple(i / 20 for i in range(20))
 END = b""
-#: States of the match predictor: no match, or a match that failed or succeeded last time.
-MATCHES = 3
+#: States of the match predictor: no match; a match of one token, or of two, that failed or succeeded last time.
+MATCHES = 5
 
 
 def matches(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token of the texts (end to end): the match predictor's state, and whether it names this token.
 
-    A match is the last place in the text after the same two tokens.
+    A match is the last place in the text after the same two tokens, or else after the same token.
     """
     n = len(ids)
-    text = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    text = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths) * np.uint64(0x9E3779B97F4A7C15)
+    inside = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     wide = ids.astype(np.uint64)
-    key = ((text * np.uint64(0x9E3779B97F4A7C15) + np.roll(wide, 1)) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (np.roll(wide, 2) * np.uint64(0x165667B19E3779F9))
-    place = np.flatnonzero((np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)) >= 2)
-    by = place[np.argsort(key[place], kind="stable")]
-    same = np.zeros(len(by), bool)
-    same[1:] = key[by[1:]] == key[by[:-1]]
-    at, before = by[same], by[np.flatnonzero(same) - 1]
-    there, named = np.zeros(n, bool), np.zeros(n, bool)
-    there[at] = True
-    named[at] = ids[at] == ids[before]
-    state = there.astype(np.int8)
-    state[there & np.roll(named, 1)] = 2
-    return state, named
+    state, hit = np.zeros(n, np.int8), np.zeros(n, bool)
+    for order in (1, 2):
+        key = (text + np.roll(wide, 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        if order == 2:
+            key ^= np.roll(wide, 2) * np.uint64(0x165667B19E3779F9)
+        place = np.flatnonzero(inside >= order)
+        by = place[np.argsort(key[place], kind="stable")]
+        same = np.zeros(len(by), bool)
+        same[1:] = key[by[1:]] == key[by[:-1]]
+        at, before = by[same], by[np.flatnonzero(same) - 1]
+        there, named = np.zeros(n, bool), np.zeros(n, bool)
+        there[at] = True
+        named[at] = ids[at] == ids[before]
+        state[there] = 2 * order - 1 + np.roll(named, 1)[there]
+        hit[there] = named[there]
+    return state, hit
 
 
 def _packed(ids: np.ndarray, state: np.ndarray, hit: np.ndarray) -> bytes:
@@ -172,14 +179,14 @@ class Bits:
         four = three | (last[3] << np.uint32(24))
         depths = np.minimum(depth, 15).astype(np.uint32)
         cls = np.repeat(classes.astype(np.uint32), lengths)
-        contexts = (depths, last[0], two, three, four, prefix)
+        contexts = (depths, last[0], two, three, four, prefix, depths, two)
         shift = np.arange(8, dtype=np.uint32)
         node = (np.uint32(256) | codes[:, None]) >> (np.uint32(8) - shift)  # 1, then the bits so far
         self.bit = ((codes[:, None] >> (np.uint32(7) - shift)) & np.uint32(1)).ravel().astype(bool)
         self.depth = np.repeat(depths, 8)
         self.slots = []
         for k, c in enumerate(contexts):
-            if k < 2:
+            if k in DIRECT:
                 s = (c[:, None] << np.uint32(8)) | node
             else:
                 h = (c * np.uint32(0x85EBCA6B))[:, None] ^ (node * np.uint32(0xC2B2AE35))
@@ -303,12 +310,9 @@ def refined_log(stretched: np.ndarray, depth: np.ndarray, bit: np.ndarray, table
 def _train(shared, by_class: list[int]):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mixer, shares = shared.value, Mixer(), np.zeros(len(MIXES))
-        total, learnt = np.maximum(np.array(by_class) - 1, 1), 0
+        total = np.maximum(np.array(by_class) - 1, 1)
         for tokens, n in _chunks(batches, len(by_class), CHUNK):
-            if learnt >= LEARNT:
-                continue  # a few dozen weights are settled long before
             tokens, cls, n = _pairs(tokens, n)
-            learnt += len(tokens)
             bits = Bits(tokens, cls)
             x, gate = bits.inputs(counts)
             # A frequent token teaches as one of middling frequency, so that it does not rule a step.
@@ -420,7 +424,7 @@ def lm_scores(df: DataFrame, learn: Column, text_col: str = "text", id_col: str
     prior = (np.array(by_class) + 0.5) / (n_all + 0.5 * classes)
     found = blocks.where("seen IS NOT NULL").agg(*(F.coalesce(F.sum(F.col(c)[i]), F.lit(0)).alias(f"{c}{i}") for c in ("hits", "seen") for i in range(MATCHES))).first()
     trust = np.array([(found[i] + 0.05) / (found[MATCHES + i] + 1.0) if i else 0.0 for i in range(MATCHES)]) * 0.98
-    trained = tokens.where(f"{any_train} > 0").select("token", *ts).repartition(min(256, max(4, partitions(spark) // 8)))
+    trained = tokens.where(f"{any_train} > 0").select("token", *ts).repartition(max(4, partitions(spark) // 8))
     pieces = trained.mapInArrow(_count_bits(classes), "k int, piece int, counts binary").groupBy("k", "piece").applyInArrow(_add_pieces, "k int, piece int, counts binary")
     counts = [np.zeros((1 << s, 2), np.float32) for s in SLOTS]
     for r in pieces.toLocalIterator():

@@ -6,11 +6,14 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from annolake.llm import lm_scoring
 from annolake.llm.common import id_bucket
 from annolake.llm.embedding_dedup import near_duplicate_vectors
 from annolake.llm.exact_dedup import exact_dedup
@@ -223,6 +226,14 @@ def test_lm_scores(spark, corpus):
     assert lm_scores(table(spark, rows_of(["a b"])), F.lit(False)).first().train_tokens == 0
 
 
+def test_weights_learn_from_all_pairs():
+    tokens = [np.base_repr(i, 36).lower().encode() for i in range(130_000)]
+    batch = pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.binary()), "t0": pa.array([1] * len(tokens), pa.int64()), "t1": pa.array([i % 2 for i in range(len(tokens))], pa.int64())})
+    counts = SimpleNamespace(value=[np.zeros((1 << s, 2), np.float32) for s in lm_scoring.SLOTS])
+    (learnt,) = lm_scoring._train(counts, [130_000, 65_000])(iter(batch.slice(i, 10_000) for i in range(0, len(tokens), 10_000)))
+    assert learnt.column("seen").to_pylist() == [195_000]
+
+
 def test_pieces(spark, corpus):
     import sentencepiece
 
