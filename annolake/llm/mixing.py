@@ -64,8 +64,8 @@ def log_posteriors(x: Column, size: Column, model: list) -> list[Column]:
     return logs
 
 
-def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", max_rate: float | None = None, max_labelled: int = 20_000) -> DataFrame:
-    """id_col, n_tokens, domain (most likely), posterior (map), rate, copies (rate, rounded by a hash of the id).
+def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", max_rate: float | None = None, max_labelled: int = 20_000, row_col: str | None = None) -> DataFrame:
+    """id_col, n_tokens, domain (most likely), posterior (map), rate, copies (rate, rounded by a hash of the id, or of the text where it is null); row_col, a key of the rows, comes along if given.
 
     targets: weight of each domain. A target of None leaves the domain its own proportion of what the others leave.
     With max_rate the rates stay below it, and the budget is the largest at which no domain needs more; else the
@@ -75,15 +75,17 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     model = fit_domains(df, labelled, text_col, id_col, max_labelled)
     names = [d for d, *_ in model]
     k = range(len(names))
-    hashed = F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 53)) / float(1 << 53)
-    rows = df.select(F.col(id_col).alias("id"), hashed.alias("u"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n"), _features(text).alias("x"), F.octet_length(text).alias("size"))
+    hashed = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(23), text)).otherwise(F.xxhash64(F.lit(23), F.col(id_col))), F.lit(1 << 53)) / float(1 << 53)
+    key, key_back = ([F.col(row_col).alias("row")], [F.col("row").alias(row_col)]) if row_col else ([], [])
+    carried = ["row"] if row_col else []
+    rows = df.select(*key, F.col(id_col).alias("id"), hashed.alias("u"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n"), _features(text).alias("x"), F.octet_length(text).alias("size"))
     if not names:
-        return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    logs = rows.select("id", "u", "n", *(c.alias(f"l{i}") for i, c in zip(k, log_posteriors(F.col("x"), F.col("size"), model), strict=True)))
+        return rows.select(*key_back, F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    logs = rows.select(*carried, "id", "u", "n", *(c.alias(f"l{i}") for i, c in zip(k, log_posteriors(F.col("x"), F.col("size"), model), strict=True)))
     top = F.greatest(*(F.col(f"l{i}") for i in k)) if len(names) > 1 else F.col("l0")
     logs = logs.withColumn("top", top)
     scale = sum((F.exp(F.col(f"l{i}") - F.col("top")) for i in k), F.lit(0.0))
-    state = settled(logs.select("id", "u", "n", *((F.exp(F.col(f"l{i}") - F.col("top")) / scale).alias(f"p{i}") for i in k)).withColumn("r", F.lit(1.0)), "mix-state")
+    state = settled(logs.select(*carried, "id", "u", "n", *((F.exp(F.col(f"l{i}") - F.col("top")) / scale).alias(f"p{i}") for i in k)).withColumn("r", F.lit(1.0)), "mix-state")
     moments = state.agg(*(F.coalesce(F.sum(F.col("n") * F.col(f"p{i}")), F.lit(0.0)).alias(f"e{i}") for i in k), *(F.coalesce(F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"h{i}_{j}") for i in k for j in k)).first()
     there = np.array([moments[f"e{i}"] for i in k])
     wanted = _wanted(there, names, targets, max_rate)
@@ -112,7 +114,7 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     # A rate within a thousandth of a whole number is that number: the fit is no finer.
     whole = F.floor(F.col("r") + 1e-3)
     copies = (whole + F.when(F.col("u") < F.col("r") - whole, 1).otherwise(0)).cast("int")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), domain.alias("domain"), posterior.alias("posterior"), F.col("r").alias("rate"), copies.alias("copies"))
+    return out.select(*key_back, F.col("id").alias(id_col), F.col("n").alias("n_tokens"), domain.alias("domain"), posterior.alias("posterior"), F.col("r").alias("rate"), copies.alias("copies"))
 
 
 def _wanted(there: np.ndarray, names: list[str], targets: dict[str, float | None], max_rate: float | None) -> np.ndarray:

@@ -24,3 +24,20 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count() > 0.5 * first.count() and out.where("NOT round_trip").count() == 0
     assert docs.select("text").distinct().count() == docs.count()
+
+
+def test_pipeline_decides_on_rows(spark):
+    """Repeated rows, two texts of one id, and null ids."""
+    larger = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{larger}/{x}.parquet") for x in ("documents", "labels"))
+    clean = corpus_pipeline.remove_toxic(spark, docs, larger).persist()
+    toxic = docs.where("doc_id IS NOT NULL").join(clean, "doc_id", "left_anti").orderBy("doc_id").first()
+    plain = clean.join(labels, "doc_id", "left_anti").where("size(split(text, ' ')) > 50").orderBy("doc_id").select(*docs.columns).first()
+    near = plain.text + " changed"
+    odd = [(i, t, plain.lang, plain.source, plain.n_chars) for i, t in ((plain.doc_id, toxic.text), (None, toxic.text), (plain.doc_id, plain.text), (None, plain.text), (None, near), (None, near))]
+    left = corpus_pipeline.remove_toxic(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), larger)
+    left = left.where(left.text.isin(toxic.text, plain.text, near)).persist()
+    assert left.where(left.text == toxic.text).count() == 0 and left.count() >= 5
+    for stage, wanted in ((corpus_pipeline.remove_copies, [plain.text, near]), (corpus_pipeline.one_of_each_group, [plain.text])):
+        left = stage(spark, left, larger).persist()
+        assert sorted(r.text for r in left.collect()) == sorted(wanted) and left.where(left.doc_id == plain.doc_id).count() == 1
