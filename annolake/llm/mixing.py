@@ -68,6 +68,7 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """id_col, n_tokens, domain (most likely), posterior (map), rate, copies (rate, rounded by a hash of the id, or of the text where it is null); row_col, a key of the rows, comes along if given.
 
     targets: weight of each domain. A target of None leaves the domain its own proportion of what the others leave.
+    With max_rate and such a domain, the weights of the others are upper limits: one that holds less keeps its share.
     With max_rate the rates stay below it, and the budget is the largest at which no domain needs more; else the
     budget is all tokens.
     """
@@ -121,6 +122,17 @@ def _wanted(there: np.ndarray, names: list[str], targets: dict[str, float | None
     """Token totals to reach, from the totals that are there."""
     fixed = np.array([float(targets.get(d) or 0.0) if targets.get(d, 0.0) is not None else np.nan for d in names])
     free = np.isnan(fixed)
+    if max_rate is not None and free.any():
+        # Domains within their limits are free too; binding one leaves the others more, which may bind another.
+        limits, bound = np.where(free, np.inf, fixed), np.zeros(len(fixed), bool)
+        while True:
+            share = max(1.0 - limits[bound].sum(), 0.0) * there / max(there[~bound].sum(), 1e-9)
+            over = ~bound & (share > limits * (1 + 1e-9))
+            if not over.any():
+                break
+            bound |= over
+        free = ~bound
+        fixed = np.where(bound, limits, np.nan)
     given = np.nansum(fixed)
     if free.any():
         left = max(1.0 - given, 0.0)

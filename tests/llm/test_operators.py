@@ -20,7 +20,7 @@ from annolake.llm.exact_dedup import exact_dedup
 from annolake.llm.graph import connected_components
 from annolake.llm.language_id import identify_language
 from annolake.llm.lm_scoring import lm_scores
-from annolake.llm.mixing import mix_to_targets
+from annolake.llm.mixing import _wanted, mix_to_targets
 from annolake.llm.ngram_join import jaccard_components
 from annolake.llm.quality import quality
 from annolake.llm.queries import PIECE_MODEL
@@ -280,3 +280,16 @@ def test_mixing(spark, corpus):
     clean = [r for r in capped if r.doc_id < 150 and good[r.doc_id]]
     assert all(r.rate <= 1 for r in capped) and np.mean([r.copies for r in clean]) > 0.95
     assert {r.rate for r in mix_to_targets(docs, labelled.limit(0), {"en": 1.0}).collect()} == {1.0}
+
+
+def test_bounded_domain_below_its_limit(spark):
+    there, names = np.array([700.0, 295.0, 5.0]), ["de", "en", "low"]
+    assert _wanted(there, names, {"de": None, "en": None, "low": 0.02}, 1.0) == pytest.approx(there)
+    assert _wanted(np.array([500.0, 400.0, 100.0]), names, {"de": None, "en": None, "low": 0.02}, 1.0) == pytest.approx([500, 400, 900 * 0.02 / 0.98])
+    # Binding de lifts low's share; low stays below its limit and whole.
+    assert _wanted(there, names, {"de": 0.5, "en": None, "low": 0.02}, 1.0) == pytest.approx([300, 295, 5])
+    rng = random.Random(6)
+    texts = [" ".join(["%%|$"] * 60) if i == 0 else sentence(rng, "en", 60) for i in range(200)]
+    labelled = spark.createDataFrame([(i, "low" if i == 0 else "en") for i in range(100)], "id long, domain string")
+    got = mix_to_targets(table(spark, rows_of(texts)), labelled, {"en": None, "low": 0.02}, max_rate=1.0).collect()
+    assert all(r.copies == 1 for r in got if r.doc_id)
