@@ -4,9 +4,10 @@ Equal vectors of a group are one class. Every class starts with the neighbours t
 into its blocks (several tables, blocks of bounded size), then rounds of NN-descent join the neighbours of
 each class with one another, lists that end at or above the threshold counting as saturated. Lists are not
 cut off there: what the lists connect is gathered into components, and a component's members are compared
-in full, in tiles of bounded size, which enlarges every saturated list to all its links. A fixed number of
-classes is audited against all vectors; if too few of their links were found, the search goes on with
-more tables and longer lists. Only pairs whose cosine in double precision reaches the threshold are links.
+in full, in tiles of bounded size, which enlarges every saturated list to all its links. Classes are
+audited against all vectors until so many true links are known that the share found can be told, or all
+classes have been audited; if too few of their links were found, the search goes on with more tables and
+longer lists, and groups that stay below are compared in full. Only pairs whose cosine in double precision reaches the threshold are links.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows whose
 group is null, link with nothing; so do vectors of different lengths; rows that repeat a vector link with
@@ -27,8 +28,10 @@ from annolake.llm.graph import connected_components
 
 #: Rows of a block or tile; neighbours kept in a list at first; hyperplane tables of the first try.
 BLOCK, LIST, TABLES = 192, 8, 4
-#: Classes audited, the share of their links that must be found, and how often the search may go on.
-AUDITED, RECALL, TRIES = 512, 0.97, 3
+#: Classes audited at first, true links that an audit needs, the share of them that must be found, and tries before groups are compared in full.
+AUDITED, AUDIT_LINKS, RECALL, TRIES = 512, 500, 0.97, 3
+#: Rows of either side of a tile where classes are compared with all others.
+TILE = 1024
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -184,32 +187,69 @@ def _tile_links(threshold: float):
     return links
 
 
-def _audit(classes: DataFrame, component: DataFrame, threshold: float) -> float:
-    """The share of links of a fixed number of classes that lie inside components."""
-    spark = classes.sparkSession
-    asked = classes.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(AUDITED).select("id", "grp", "dim", "v").collect()
-    if not asked:
-        return 1.0
-    shared = spark.sparkContext.broadcast([(r.id, r.grp, np.array(r.v)) for r in asked])
+def _cross_links(threshold: float):
+    def links(tile: pa.Table) -> pa.Table:
+        """(a, b), a < b: links between the two sides of a tile."""
+        side, ids, v = tile.column("side").to_numpy(), tile.column("id").to_numpy(), _matrix(tile.column("v"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = np.nonzero(v[x] @ v[y].T >= threshold)
+        p, q = ids[x[i]], ids[y[j]]
+        return pa.table({"a": np.minimum(p, q)[p != q], "b": np.maximum(p, q)[p != q], "grp": pa.repeat(tile.column("grp")[0], int((p != q).sum())), "dim": pa.repeat(tile.column("dim")[0], int((p != q).sum()))})
 
-    def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict = {}
-        for i, g, v in shared.value:
-            of.setdefault((g, len(v)), []).append((i, v))
-        of = {k: (np.array([i for i, _ in x]), np.stack([v for _, v in x])) for k, x in of.items()}
-        for batch in batches:
-            ids, grp, dim = batch.column("id").to_numpy(), np.array(batch.column("grp").to_pylist(), object), batch.column("dim").to_numpy()
-            for (g, d), (own, m) in of.items():
-                at = np.flatnonzero((grp == g) & (dim == d))
-                if len(at):
-                    i, j = np.nonzero(_matrix(batch.column("v").take(pa.array(at))) @ m.T >= threshold)
-                    keep = ids[at[i]] != own[j]
-                    yield pa.RecordBatch.from_pydict({"a": own[j][keep], "b": ids[at[i]][keep]})
-
-    pairs = classes.select("id", "grp", "dim", "v").mapInArrow(truth, "a long, b long")
+    return links
+
+
+def _true_links(asked: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, grp, dim), a < b: all links between the classes asked for and all classes, compared in tiles."""
+    keys = ["grp", "dim"]
+    parts = asked.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).alias("m")).join(classes.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).alias("n")), keys)
+
+    def dealt(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("id", F.lit(31)), F.col(own)).alias(own)
+        return rows.join(parts, keys).select(*keys, at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), F.lit(side).alias("side"), "id", "v")
+
+    tiles = dealt(asked, 0, "m", "n").unionByName(dealt(classes, 1, "n", "m"))
+    return tiles.groupBy(*keys, "m", "n").applyInArrow(_cross_links(threshold), "a long, b long, grp string, dim int").distinct()
+
+
+def _audit(classes: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
+    """True links of classes drawn by a hash, at least AUDIT_LINKS of them or those of all classes, and whether it is all."""
+    total, slots, asked = classes.count(), 1 << 30, AUDITED
+    drawn = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(slots))
+    true, done = None, 0
+    while True:
+        limit = slots if asked >= total else slots * asked // total
+        new = settled(_true_links(classes.where((drawn >= done) & (drawn < limit)), classes, threshold), "nn-audit")
+        true, done = new if true is None else true.unionByName(new).distinct(), limit
+        if done == slots or true.count() >= AUDIT_LINKS:
+            return true, done == slots
+        asked *= 8
+
+
+def _recall(true: DataFrame, component: DataFrame) -> list:
+    """For each group: true links, and how many of them lie inside components."""
     ca, cb = component.select(F.col("node").alias("a"), F.col("component").alias("ca")), component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    r = pairs.join(ca, "a", "left").join(cb, "b", "left").agg(F.count("*").alias("n"), F.expr("count_if(ca = cb)").alias("found")).first()
-    return r.found / r.n if r.n else 1.0
+    return true.join(ca, "a", "left").join(cb, "b", "left").groupBy("grp", "dim").agg(F.count("*").alias("n"), F.expr("count_if(ca = cb)").alias("found")).collect()
+
+
+def _all_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the links that are audited and searched for."""
+    true, whole = _audit(classes, threshold)
+    if whole:
+        return true.select("a", "b")
+    sizes = classes.groupBy("grp", "dim").agg(F.count("*").alias("n"))
+    lists, k, first = None, LIST, 0
+    for tries in range(TRIES):
+        tables = TABLES * 2**tries
+        lists = _search(classes, sizes, first, tables, k, 1 + tries, lists)
+        links = settled(_links_of_lists(lists, classes, threshold), "nn-links")
+        found = _recall(true, connected_components(links))
+        if sum(r.found for r in found) >= RECALL * sum(r.n for r in found):
+            return links.unionByName(true.select("a", "b"))
+        first, k = first + tables, 2 * k
+    below = classes.sparkSession.createDataFrame([(r.grp, r.dim) for r in found if r.found < RECALL * r.n], "grp string, dim int")
+    rest = classes.join(F.broadcast(below), ["grp", "dim"], "left_semi")
+    return links.unionByName(true.select("a", "b")).unionByName(_true_links(rest, rest, threshold).select("a", "b"))
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label") -> DataFrame:
@@ -232,16 +272,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93, id_col: str =
             yield batch.append_column("q", pa.array(q, pa.binary()))
 
     classes = settled(classes.select("id", "grp", "dim", "h1", "h2", "times", "v").mapInArrow(halves, "id long, grp string, dim int, h1 long, h2 long, times long, v array<double>, q binary"), "nn-classes")
-    sizes = classes.groupBy("grp", "dim").agg(F.count("*").alias("n"))
-    lists, k, first = None, LIST, 0
-    for tries in range(TRIES):
-        tables = TABLES * 2**tries
-        lists = _search(classes, sizes, first, tables, k, 1 + tries, lists)
-        links = settled(_links_of_lists(lists, classes, threshold), "nn-links")
-        component = settled(connected_components(links), "nn-components")
-        if _audit(classes, component, threshold) >= RECALL:
-            break
-        first, k = first + tables, 2 * k
+    links = settled(_all_links(classes, threshold).distinct(), "nn-links")
+    component = settled(connected_components(links), "nn-components")
     # Lists of a pair are complete; larger components are compared in full.
     many = component.groupBy("component").agg(F.count("*").alias("size"))
     members = component.join(many, "component").withColumnRenamed("node", "id")

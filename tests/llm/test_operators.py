@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annolake.llm import lm_scoring
+from annolake.llm import embedding_dedup, lm_scoring
 from annolake.llm.common import id_bucket
 from annolake.llm.embedding_dedup import near_duplicate_vectors
 from annolake.llm.exact_dedup import exact_dedup
@@ -153,6 +153,21 @@ def test_vectors(spark):
     assert np.mean([got[i].component_id == want[i] for i in got]) > 0.97 and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("constants", [{}, {"AUDIT_LINKS": 5, "RECALL": 1.01, "TRIES": 1}])
+def test_rare_links(spark, monkeypatch, constants):
+    """Isolated pairs just above the threshold among many vectors without links; also where the search never finds enough."""
+    for name, value in constants.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6000, 48))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    other = rng.normal(size=(60, 48))
+    other -= (other * v[:60]).sum(axis=1)[:, None] * v[:60]
+    v[60:120] = 0.935 * v[:60] + math.sqrt(1 - 0.935**2) * other / np.linalg.norm(other, axis=1)[:, None]
+    got = near_duplicate_vectors(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.where("n_links > 0").collect()} == {i: (1, i % 60) for i in range(120)}
+
+
 def test_differencing():
     rng = random.Random(1)
     w = [rng.randrange(1, 1000) for _ in range(2000)]
