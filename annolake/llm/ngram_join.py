@@ -2,20 +2,27 @@
 
 A document's set holds the hashes of its distinct word n-grams; documents of one normalised word sequence
 are one set. Similar sets are first partitioned into groups: sets that share a smallest hash meet in
-bounded blocks, where those that reach the threshold with a block's leader join its group. The matrix then
-has a row for each token and an entry for each group with that token among its members' first tokens (in
-an order by frequency, rarest first, of which a set needs only as many as it may miss). An entry stores its
-group's members' slack, what each has already lost before this token. A row that one group fills stays closed. From
-the rows that groups share follows a bound of two members' overlap: their slacks in one row must leave room
-for the threshold, and they must share as many first tokens as sets that reach it share at least. Only pairs
-within these bounds are opened and compared in full. Groups only save work: every pair of sets in different
-groups that may reach the threshold is opened, so no link between components is lost.
+bounded blocks, where those that reach the threshold with a block's leader join its group; every other set
+is a group of its own. The matrix has a row for each token and one entry for each group whose union holds
+it. Of a union it keeps its members' first tokens (in an order by frequency, rarest first, of which a set
+needs only as many as it may miss), with the least slack (what a member has already lost before the token)
+and the range of the members' sizes. A row with one group stays closed. Rows that groups share give pairs of
+groups; one aggregate on the pair bounds their overlap: in some row the least slacks must leave room for the
+threshold, and the unions must share as many first tokens as members of these sizes share at least. Only
+groups that qualify are opened: the members of the smaller one are queries, each held against the tokens'
+union of a tile of the larger one and, if that may be enough, counted exactly against all its members. Groups
+only save work: all pairs of sets in different groups that may reach the threshold are among what is opened, so no
+link between components is lost.
+
+A row of very many groups is paired in tiles by other tasks; no task holds a whole group.
 
 Frequencies come from a sketch of fixed size; they decide the order and nothing else.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer than n words
 is one n-gram as a whole; ids should be unique (rows that repeat an id are rows of that id); null ids are
-components of their own; an empty table gives an empty result; further input columns are ignored.
+components of their own, with a null component; ids of any type that has an order do (those that are no integers
+are numbered in their order first); ties (several smallest hashes, equal frequencies) change nothing in the result;
+an empty table gives an empty result; further input columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from annolake.llm.common import partitions, settled, small_batches
 from annolake.llm.graph import connected_components
@@ -35,8 +43,10 @@ from annolake.llm.graph import connected_components
 BLOCK = 64
 #: Counters of the frequency sketch and bits of an id filter, as powers of two; pieces in which they travel.
 SKETCH_BITS, FILTER_BITS, PIECE = 20, 24, 1 << 13
-#: Matrix rows of up to so many entries are handled all at once.
-SHORT_ROW = 48
+#: Matrix rows of up to so many groups are paired all at once; above the second width in tiles of the third one.
+SHORT_ROW, WIDE_ROW, WIDE_TILE = 48, 8_192, 1_024
+#: Members in a tile of an opened group, and queries in a block; rows in a task's bucket of such tiles; queries of a pair of groups that go first.
+TILE, BUCKET, FIRST_QUERIES = 256, 1_000, 8
 _B = 0x5851F42D4C957F2D
 _U = np.uint64
 
@@ -198,7 +208,10 @@ def similar_groups(docs: DataFrame, sets: DataFrame, n: int, percent: int, round
 
 def _first_tokens(n: int, percent: int, shared):
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Matrix entries of each set: its rarest tokens, as many as it may miss and one, with its slack at each."""
+        """Each set's share of its group's union: its rarest tokens, as many as it may miss and one, with its slack at each and its size.
+
+        Members of one group that meet in a batch are united here, so a large group sends a few rows for each of its tokens.
+        """
         shingles = Shingler(n)
         level = shared.value
         for batch in batches:
@@ -215,15 +228,33 @@ def _first_tokens(n: int, percent: int, shared):
                     slack.append(np.arange(take) - len(s) * (100 - percent) / (100 + percent))
                     size.append(np.full(take, len(s)))
             if token:
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token).astype(np.int64)), batch.column("grp").take(at), batch.column("id").take(at), pa.array(np.concatenate(slack).astype(np.float32)), pa.array(np.concatenate(size).astype(np.int32))],
-                    names=["token", "grp", "id", "slack", "n"],
-                )
+                at = np.concatenate(row)
+                grp, ids = batch.column("grp").to_numpy(), batch.column("id").to_numpy()
+                tokens, slacks, sizes = np.concatenate(token).astype(np.int64), np.concatenate(slack).astype(np.float32), np.concatenate(size).astype(np.int32)
+                alone = (grp == ids)[at]
+                united = _united(tokens[~alone], grp[at[~alone]], slacks[~alone], sizes[~alone], sizes[~alone])
+                yield _entries(*(np.concatenate(x) for x in zip((tokens[alone], grp[at[alone]], slacks[alone], sizes[alone], sizes[alone]), united, strict=True)))
 
     return first_tokens
 
 
+def _entries(token: np.ndarray, grp: np.ndarray, slack: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(grp), pa.array(slack), pa.array(lo), pa.array(hi)], names=["token", "grp", "slack", "lo", "hi"])
+
+
+def _united(token: np.ndarray, grp: np.ndarray, slack: np.ndarray, lo: np.ndarray, hi: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, ...]:
+    """One entry for each (token, group): the least slack and the range of sizes. ordered: they come by token and group."""
+    if not len(token):
+        return token, grp, slack, lo, hi
+    if not ordered:
+        by = np.lexsort((grp, token))
+        token, grp, slack, lo, hi = (x[by] for x in (token, grp, slack, lo, hi))
+    at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])))
+    if len(at) == len(token):
+        return token, grp, slack, lo, hi
+    return token[at], grp[at], np.minimum.reduceat(slack, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+
+
 def least_common(n_a: str, n_b: str, percent: int) -> str:
     """SQL for the first tokens that two sets of these sizes share at least if they reach the threshold.
 
@@ -236,106 +267,220 @@ def least_common(n_a: str, n_b: str, percent: int) -> str:
     return f"greatest(1, least({first[0]} - ({n_a} - {common}), {first[1]} - ({n_b} - {common})))"
 
 
-def _open_groups(percent: int):
-    def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token. Of each matrix row, the pairs of members of different groups whose sizes leave room,
-        and whether their slacks in this row do. Rows in which only one group has an entry stay closed."""
+def least_common_of_groups(percent: int) -> str:
+    """least_common of any two members of groups with sizes from la to ha and lb to hb; exact where each has one size.
+
+    Without rounding it rises with the smaller size and falls with the larger one, so it is least at two corners.
+    """
+    loose = [f"ceil({percent} * ({x} + {y}) / {100 + percent}.0 - {percent} / 100.0 * greatest({x}, {y}) - 1e-9)" for x, y in (("la", "hb"), ("lb", "ha"))]
+    return f"CASE WHEN la = ha AND lb = hb THEN {least_common('la', 'lb', percent)} ELSE greatest(1, least({loose[0]}, {loose[1]})) END"
+
+
+#: What a matrix row gives: pairs of groups (a, b) with the size ranges of either and whether the slacks leave room; or, of a wide row, its entries (a, tok, slack, la, ha).
+MET = "a long, b long, la int, ha int, lb int, hb int, room boolean, tok long, slack float"
+
+
+def _pair_batch(i: np.ndarray, j: np.ndarray, grp: np.ndarray, slack: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    swap = grp[i] > grp[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    none = pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.float32())
+    return pa.RecordBatch.from_arrays([pa.array(grp[i]), pa.array(grp[j]), pa.array(lo[i]), pa.array(hi[i]), pa.array(lo[j]), pa.array(hi[j]), pa.array(slack[i] + slack[j] <= 1e-3), *none], names=["a", "b", "la", "ha", "lb", "hb", "room", "tok", "slack"])
+
+
+def _fitting(i: np.ndarray, j: np.ndarray, grp: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different groups of which two members' sizes may reach the threshold."""
+    fit = (grp[i] != grp[j]) & (100 * hi[i].astype(np.int64) >= percent * lo[j]) & (100 * hi[j].astype(np.int64) >= percent * lo[i])
+    return i[fit], j[fit]
 
-        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, grp, ids = t.column("token").to_numpy(), t.column("grp").to_numpy(), t.column("id").to_numpy()
-            slack, size = t.column("slack").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            width = np.diff(cuts)
-            wide = np.repeat(width > SHORT_ROW, width)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def keep(i: np.ndarray, j: np.ndarray) -> None:
-                small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                fit = (grp[i] != grp[j]) & (100 * small >= percent * large)
-                if fit.any():
-                    found.append((i[fit], j[fit]))
+def _meet(percent: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries come sorted by token and group. Of each matrix row the pairs of groups that fit; a wide row goes on as its
+        entries, to be paired in tiles. A row in which only one group has an entry stays closed."""
+        wide_token = None
 
+        def rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, grp, slack, lo, hi = _united(*(t.column(c).to_numpy() for c in ("token", "grp", "slack", "lo", "hi")), ordered=True)
+            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+            width = np.diff(cuts)
+            of = np.repeat(width, width)
+            wide = (of > WIDE_ROW) | (token == wide_token)
+            if wide.any():
+                k, none = int(wide.sum()), pa.nulls(int(wide.sum()), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(grp[wide]), pa.nulls(k, pa.int64()), pa.array(lo[wide]), pa.array(hi[wide]), none, none, pa.nulls(k, pa.bool_()), pa.array(token[wide]), pa.array(slack[wide])], names=["a", "b", "la", "ha", "lb", "hb", "room", "tok", "slack"])
+            short = (of <= SHORT_ROW) & ~wide
             for step in range(1, int(min(width.max(initial=1), SHORT_ROW))):
-                i = np.flatnonzero((token[:-step] == token[step:]) & ~wide[:-step])
+                i = np.flatnonzero((token[:-step] == token[step:]) & short[:-step])
                 if not len(i):
                     break
-                keep(i, i + step)
-            for k in np.flatnonzero(width > SHORT_ROW):
-                row = np.arange(cuts[k], cuts[k + 1])
-                if (grp[row] != grp[row[0]]).any():
-                    for at in range(len(row) - 1):
-                        keep(np.full(len(row) - at - 1, row[at]), row[at + 1 :])
-            if found:
-                i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                swap = ids[i] > ids[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                room = slack[i] + slack[j] <= 1e-3
-                for at in range(0, len(i), 200_000):
-                    p, q = i[at : at + 200_000], j[at : at + 200_000]
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "ga": pa.array(grp[p]), "gb": pa.array(grp[q]), "na": pa.array(size[p].astype(np.int32)), "nb": pa.array(size[q].astype(np.int32)), "room": pa.array(room[at : at + 200_000])})
+                i, j = _fitting(i, i + step, grp, lo, hi, percent)
+                if len(i):
+                    yield _pair_batch(i, j, grp, slack, lo, hi)
+            for k in np.flatnonzero((width > SHORT_ROW) & ~wide[cuts[:-1]]):
+                yield from _row_pairs(np.arange(cuts[k], cuts[k + 1]), grp, slack, lo, hi, percent)
 
         held: list[pa.RecordBatch] = []
-        rows = 0
+        count = 0
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows < 100_000:
+            count += batch.num_rows
+            if count < 100_000:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             token = t.column("token").to_numpy()
             cut = int(np.searchsorted(token, token[-1]))  # the last row may go on
-            if cut:
-                yield from pairs(t.slice(0, cut).combine_chunks())
-            held, rows = t.slice(cut).to_batches(), len(token) - cut
-        if held and rows:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks())
-
-    return open_groups
-
-
-def _verify(n: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not cut:
+                cut, wide_token = len(token), token[-1]
+            yield from rows(t.slice(0, cut).combine_chunks())
+            held, count = t.slice(cut).to_batches(), len(token) - cut
+        if count:
+            yield from rows(pa.Table.from_batches(held).combine_chunks())
+
+    return meet
+
+
+def _row_pairs(row: np.ndarray, grp: np.ndarray, slack: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, other: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The fitting pairs of one row, or of one tile with another, some hundred thousand at a time."""
+    by = 1 + 200_000 // max(len(row) if other is None else len(other), 1)
+    for at in range(0, len(row), by):
+        part = row[at : at + by]
+        if other is None:
+            i, j = np.nonzero(np.arange(len(row))[None, :] > np.arange(at, at + len(part))[:, None])
+            i, j = part[i], row[j]
+        else:
+            i, j = np.repeat(part, len(other)), np.tile(other, len(part))
+        i, j = _fitting(i, j, grp, lo, hi, percent)
+        if len(i):
+            yield _pair_batch(i, j, grp, slack, lo, hi)
+
+
+def _tile_pairs(percent: int):
+    def tile_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        """Pairs between two tiles of a wide row, or within one."""
+        grp, slack, lo, hi = (t.column(c).to_numpy() for c in ("a", "slack", "la", "ha"))
+        own = t.column("tile").to_numpy() == key[1].as_py()
+        one, two = np.flatnonzero(own), np.flatnonzero(~own)
+        found = list(_row_pairs(one, grp, slack, lo, hi, percent, None if key[1].as_py() == key[2].as_py() else two))
+        return pa.Table.from_batches(found or [_pair_batch(one[:0], one[:0], grp, slack, lo, hi)])
+
+    return tile_pairs
+
+
+def qualifying_groups(matrix: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a, b) that may hold a link: matrix rows give pairs, one aggregate bounds each pair's overlap."""
+    spark = matrix.sparkSession
+    ordered = matrix.repartition(partitions(spark), "token").sortWithinPartitions("token", "grp")
+    ranges = [F.min("la").alias("la"), F.max("ha").alias("ha"), F.min("lb").alias("lb"), F.max("hb").alias("hb"), F.max("room").alias("room")]
+    met = settled(ordered.mapInArrow(_meet(percent), MET).groupBy("a", "b", "tok").agg(F.count("*").alias("common"), F.min("slack").alias("slack"), *ranges), "join-met")
+    pairs, wide = met.where("b IS NOT NULL").drop("tok", "slack"), met.where("b IS NULL")
+    if not wide.isEmpty():
+        tiles = wide.groupBy("tok").agg(F.ceil(F.count("*") / WIDE_TILE).cast("int").alias("tiles"))
+        dealt = wide.join(tiles, "tok").withColumn("tile", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int"))
+        dealt = dealt.select("tok", "a", "slack", "la", "ha", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+        dealt = dealt.withColumn("t1", F.least("tile", "with")).withColumn("t2", F.greatest("tile", "with"))
+        more = dealt.groupBy("tok", "t1", "t2").applyInArrow(_tile_pairs(percent), MET).drop("tok", "slack").withColumn("common", F.lit(1).cast("long"))
+        pairs = pairs.unionByName(more).groupBy("a", "b").agg(F.sum("common").alias("common"), *ranges)
+    return settled(pairs.where(f"room AND common >= {least_common_of_groups(percent)}").select("a", "b"), "join-pairs")
+
+
+def _open(n: int, percent: int):
+    def opened(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        """Queries against a tile of an opened group: the tile stays closed to a query that shares too few tokens with its union,
+        else the query's overlap with every member is counted at once. One link of a query with a tile is enough."""
         shingles = Shingler(n)
-        for batch in batches:
-            ok = [reaches(shingles(words_of(x)), shingles(words_of(y)), percent) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    return verify
-
-
-def compare_open_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) among the opened pairs (a, b, ga, gb, common), as many as it takes to connect what is linked.
-
-    Every round each group compares its most promising pairs, more in each round and all in the last. Groups that
-    turn out linked become one, and pairs within one group need no comparison any more. So a large group and a set
-    that belongs to it cost a few comparisons, not one for each member; pairs of groups that are not linked are all compared.
+        sets: dict[int, np.ndarray] = {}
+        large, tile, block, ids = (t.column(c).to_numpy() for c in ("large", "tile", "block", "id"))
+        small, texts = t.column("small").to_pylist(), t.column("text").to_pylist()
+        order = np.lexsort((block, tile, large))
+        keys = np.stack([large, tile, block])[:, order]
+        cuts = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))), len(order))
+        out: list[tuple[int, int, int, int]] = []
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[begin:end].tolist()
+            for i in at:
+                if ids[i] not in sets:
+                    sets[ids[i]] = shingles(words_of(texts[i]))
+            members = [i for i in at if small[i] is None]
+            if not members:
+                continue
+            sizes = np.array([len(sets[ids[i]]) for i in members])
+            union = np.concatenate([sets[ids[i]] for i in members])
+            owner = np.repeat(np.arange(len(members)), sizes)
+            by = np.argsort(union, kind="stable")
+            union, owner = union[by], owner[by]
+            for q in at:
+                if small[q] is None:
+                    continue
+                s = sets[ids[q]]
+                low, high = np.searchsorted(union, s), np.searchsorted(union, s, "right")
+                shared = high > low
+                fewest = -(-percent * (len(s) + max(int(sizes.min()), -(-percent * len(s) // 100))) // (100 + percent))
+                if int(shared.sum()) < fewest:
+                    continue
+                low, each = low[shared], (high - low)[shared]
+                hits = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                common = np.bincount(owner[hits], minlength=len(members))
+                linked = np.flatnonzero((common > 0) & (100 * common >= percent * (len(s) + sizes - common)))
+                if len(linked):
+                    out.append((int(ids[q]), int(ids[members[linked[0]]]), small[q], int(large[q])))
+        return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("q", "m", "small", "large"))})
+
+    return opened
+
+
+def links_of_opened(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of groups that a verified link joins, as many as it takes to connect what is linked.
+
+    The smaller group's members are queries against the larger one, which is opened in tiles: its members travel once for
+    each block of queries, a query once for each tile. A few queries of each pair go first; the rest of them only where the
+    groups are not connected by then.
     """
-    links = pairs.select("a", "b").limit(0)
-    for most in (4, 32, 256, None):
-        if pairs.isEmpty():
+    member = groups.select(F.col("component").alias("grp"), F.col("node").alias("id"))
+    size = settled(groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("size")), "join-sizes")
+    of = [size.select(F.col("grp").alias(g), F.col("size").alias(f"s{g}")) for g in "ab"]
+    sized = pairs.join(of[0], "a", "left").join(of[1], "b", "left").na.fill(1, ["sa", "sb"])
+    swap = F.col("sa") > F.col("sb")
+    turned = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"), F.least("sa", "sb").alias("queries"), F.greatest("sa", "sb").alias("size"))
+    asked = turned.join(member.select(F.col("grp").alias("small"), F.col("id").alias("q")), "small", "left").withColumn("q", F.coalesce("q", "small"))
+    place = F.row_number().over(Window.partitionBy("small", "large").orderBy(F.xxhash64("q"), "q"))
+    asked = settled(asked.withColumn("place", F.when(F.col("queries") > 1, place).otherwise(1)), "join-queries")
+    linked = pairs.limit(0)
+    for before, last in ((0, FIRST_QUERIES), (FIRST_QUERIES, None)):
+        now = asked.where(F.col("place") > before)
+        if last:
+            now = now.where(F.col("place") <= last)
+        elif now.isEmpty():
             break
-        chosen = pairs
-        if most:
-            best = [F.row_number().over(Window.partitionBy(g).orderBy(F.desc("common"), "a", "b")) for g in ("ga", "gb")]
-            tops = [pairs.withColumn("r", r).where(F.col("r") <= most).drop("r") for r in best]
-            chosen = settled(tops[0].unionByName(tops[1]).distinct(), "join-chosen")
-        texts = through_filter(docs, chosen.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        texts = texts.join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
-        full = chosen.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        found = settled(full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a long, b long"), "join-verified")
-        links = links.unionByName(found)
-        if not most:
-            break
-        merged = connected_components(chosen.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-        left = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-        for g in ("ga", "gb"):
-            left = left.join(merged.select(F.col("node").alias(g), F.col("component").alias("to")), g, "left").withColumn(g, F.coalesce("to", g)).drop("to")
-        pairs = settled(left.where("ga <> gb").select("a", "b", "ga", "gb", "common"), "join-pairs")
-    return links
+        else:
+            merged = connected_components(linked).withColumnRenamed("component", "to")
+            for g in ("small", "large"):
+                now = now.join(merged.select(F.col("node").alias(g), F.col("to").alias(f"{g}_to")), g, "left").withColumn(f"{g}_to", F.coalesce(f"{g}_to", g))
+            now = settled(now.where("small_to <> large_to").drop("small_to", "large_to"), "join-queries")
+            if now.isEmpty():
+                break
+        opened = settled(now.groupBy("large").agg(F.ceil(F.count("*") / TILE).alias("blocks"), F.ceil(F.first("size") / TILE).alias("tiles")), "join-opened")
+        queries = now.join(opened, "large").select("small", "large", F.col("q").alias("id"), F.expr("sequence(0L, tiles - 1)").alias("at"), F.array(F.pmod(F.xxhash64("q"), "blocks")).alias("blocks"))
+        members = opened.join(member.withColumnRenamed("grp", "large"), "large", "left").withColumn("id", F.coalesce("id", "large"))
+        members = members.select(F.lit(None).cast("long").alias("small"), "large", "id", F.array(F.pmod(F.xxhash64("id", F.lit(11)), "tiles")).alias("at"), F.expr("sequence(0L, blocks - 1)").alias("blocks"))
+        rows = settled(queries.unionByName(members), "join-rows")
+        texts = through_filter(docs, rows.select("id").distinct()).join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        full = rows.join(texts, "id").select("*", F.explode("at").alias("tile")).select("small", "large", "id", "text", "tile", F.explode("blocks").alias("block"))
+        # Many small groups share a bucket; a tile with its block of queries is bounded.
+        buckets = max(partitions(docs.sparkSession), rows.count() // BUCKET)
+        full = full.withColumn("bucket", F.pmod(F.xxhash64("large", "tile", "block", F.lit(3)), F.lit(buckets)))
+        found = settled(full.groupBy("bucket").applyInArrow(_open(n, percent), "q long, m long, small long, large long"), "join-linked")
+        linked = linked.unionByName(found.select(F.col("small").alias("a"), F.col("large").alias("b")).distinct())
+    return linked
 
 
 def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_shingles, component_id (smallest id reachable by links of at least percent / 100). Ids are long integers."""
+    """id_col, n_shingles, component_id (smallest id reachable by links of at least percent / 100)."""
+    if not isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        # Sorted partitions are numbered in their order, so the smallest number is the smallest id.
+        numbers = settled(df.select(F.col(id_col).alias("own")).where("own IS NOT NULL").distinct().orderBy("own").withColumn("number", F.monotonically_increasing_id()), "join-numbers")
+        found = jaccard_components(df.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(numbers, "own", "left"), n, percent, "text", "number")
+        named = found.join(numbers, "number", "left").withColumnRenamed("own", id_col)
+        return named.join(numbers.select(F.col("number").alias("component_id"), F.col("own").alias("component")), "component_id", "left").select(id_col, "n_shingles", F.col("component").alias("component_id"))
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
@@ -353,12 +498,8 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, text_col: s
     special = settled(groups.select(F.col("node").alias("id"), F.col("component").alias("grp"), F.lit(False).alias("copy")).unionByName(copies.distinct()), "join-special")
     plain = through_filter(docs.where("id IS NOT NULL"), special, inside=False).select("id", F.col("id").alias("grp"), "text")
     other = through_filter(docs.where("id IS NOT NULL"), special).join(special, "id", "left").where("copy IS NULL OR NOT copy").select("id", F.coalesce("grp", "id").alias("grp"), "text")
-    matrix = plain.unionByName(other).mapInArrow(_first_tokens(n, percent, spark.sparkContext.broadcast(level)), "token long, grp long, id long, slack float, n int")
-    matrix = matrix.repartition(partitions(spark), "token").sortWithinPartitions("token")
-    met = matrix.mapInArrow(_open_groups(percent), "a long, b long, ga long, gb long, na int, nb int, room boolean")
-    met = met.groupBy("a", "b", "ga", "gb", "na", "nb").agg(F.count("*").alias("common"), F.max("room").alias("room"))
-    pairs = settled(met.where(f"room AND common >= {least_common('na', 'nb', percent)}").select("a", "b", "ga", "gb", "common"), "join-pairs")
-    verified = compare_open_pairs(docs, sets, pairs, n, percent)
+    matrix = plain.unionByName(other).mapInArrow(_first_tokens(n, percent, spark.sparkContext.broadcast(level)), "token long, grp long, slack float, lo int, hi int")
+    verified = links_of_opened(docs, sets, groups, qualifying_groups(matrix, percent), n, percent)
     merged = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified))
     of_set = sets.join(merged.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return rows.join(of_set, "digest").select(

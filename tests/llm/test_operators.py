@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annolake.llm import embedding_dedup, lm_scoring
+from annolake.llm import embedding_dedup, lm_scoring, ngram_join
 from annolake.llm.common import id_bucket
 from annolake.llm.embedding_dedup import near_duplicate_vectors
 from annolake.llm.exact_dedup import exact_dedup
@@ -126,9 +126,27 @@ def test_jaccard_components(spark, corpus):
     want = components(len(texts), links)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows_of(texts))).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))} and len(links) > 20
+    named = table(spark, rows_of(texts)).withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    assert {r.doc_id: r.component_id for r in jaccard_components(named).collect()} == {f"d{i:05d}": f"d{want[i]:05d}" for i in range(len(texts))}
     assert jaccard_components(table(spark, [])).count() == 0
 
 
+def test_jaccard_wide_rows_and_large_groups(spark, monkeypatch):
+    """A group of near copies, sets on either side of the threshold to it, and many sets around one passage, with rows paired in tiles."""
+    for name, value in {"SHORT_ROW": 3, "WIDE_ROW": 8, "WIDE_TILE": 4, "TILE": 5, "FIRST_QUERIES": 1, "BUCKET": 20}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(11)
+    base, other = sentence(rng, "en", 140).split(), sentence(rng, "de", 100).split()
+    texts = [" ".join([*base[:k], f"w{i}", *base[k + 1 :]]) for i, k in enumerate(rng.choices(range(140), k=40))]
+    texts += [" ".join(w if k not in at else f"v{i}" for k, w in enumerate(base)) for i in range(30) for at in [set(rng.sample(range(140), rng.randrange(2, 7)))]]
+    texts += [" ".join([*other, *sentence(rng, "en", rng.randrange(5, 40)).split()]) for _ in range(40)]
+    rows = rows_of([*texts, *texts[:20]])
+    sets = [shingles(r[1]) for r in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = components(len(rows), links)
+    assert {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows)).collect()} == dict(enumerate(want)) and len(set(want)) > 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 60), (60, 55), (60, 60), (50, 60)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
