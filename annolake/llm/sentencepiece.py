@@ -8,17 +8,24 @@ computes only the rest. A forward state is the best score of a prefix and the pi
 For a unigram model the score is the sum of the pieces' scores. A BPE model's encoding of a prefix ends
 with the one piece whose left neighbour would not have merged with it, so a step scores 0 where merging
 the two pieces' characters gives just these two pieces, and is ruled out otherwise; that gives exactly the
-encoding by merges. Characters outside the vocabulary become byte pieces.
+encoding by merges (so the search for a best score is reduced to the search for an admissible path, exactly).
+Characters outside the vocabulary become byte pieces.
+
+The round trip is judged once for each distinct word: a text's pieces are its words' pieces end to end, so the
+text comes back exactly if all its words do.
 
 Defined results: a null text has null pieces; an empty one has none; a text that holds the mark itself
-(U+2581) decodes to spaces there, as the model's format has it, so its round trip is false; repeated rows
-are encoded alike; further input columns are ignored.
+(U+2581) decodes to spaces there, as the model's format has it, so its round trip is false; unigram paths of
+equal score: the one whose last piece is longer; ids may be null or repeat, each row is encoded for itself; an
+empty table gives an empty result; further input columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -27,8 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.llm.common import small_batches
+from annolake.llm.words import segment_sums
 
 MARK = "▁"
+#: Characters by which the lengths of pieces are looked up.
+TAIL = 3
 #: Marked words a task remembers before it starts anew, and their pieces; bounds its memory.
 REMEMBERED, REMEMBERED_PIECES = 400_000, 4_000_000
 _WORDS = re.compile(r" *[^ \n]+| +|\n").findall
@@ -57,7 +67,12 @@ class Encoder:
         self.kind, self.scores = kind, model["scores"]
         self.ids = {p.replace(MARK, " "): i for i, (p, ok) in enumerate(zip(model["pieces"], model["plain"], strict=True)) if ok}
         self.text = {i: p for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        # Lengths of the longer pieces by their last characters; of all pieces that may end with such, filled as they are met.
+        self.longer: dict[str, set[int]] = defaultdict(set)
+        for p in self.ids:
+            if len(p) > TAIL:
+                self.longer[p[-TAIL:]].add(len(p))
+        self.lengths: dict[str, tuple[int, ...]] = {}
         self.byte, self.unknown = model["bytes"], model["unknown"]
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -69,6 +84,13 @@ class Encoder:
         if self.unknown >= 0:
             self.out[self.unknown] = " ⁇ ".encode()
 
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        """Lengths of the pieces that end with the tail (of TAIL characters) or are an end of it, longest first."""
+        if len(self.lengths) > REMEMBERED:
+            self.lengths.clear()
+        found = {n for n in range(1, len(tail) + 1) if tail[-n:] in self.ids} | self.longer.get(tail, set())
+        return self.lengths.setdefault(tail, tuple(sorted(found, reverse=True)))
+
     def merged(self, text: str) -> list[str]:
         """The text's characters after all merges, best score first, leftmost first among equals."""
         parts = list(text)
@@ -87,47 +109,28 @@ class Encoder:
         ok = self.whole.get(right)
         if ok is None:
             ok = self.whole[right] = self.merged(self.text[right]) == [self.text[right]]
-        if left < 0 or not ok:
-            return ok
-        key = (left << 20) | right
-        ok = self.fits.get(key)
-        if ok is None:
+        if left >= 0 and ok:
             a, b = self.text[left], self.text[right]
-            ok = self.fits[key] = self.merged(a + b) == [a, b]
+            ok = self.merged(a + b) == [a, b]
+        self.fits[(left + 1) << 20 | right] = ok
         return ok
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the words end to end, in the order given, and how many each has."""
-        ids, longest, bpe = self.ids, self.longest, self.kind == "bpe"
         found: list[list[int]] = [[]] * len(words)
-        last, states = "", [(0.0, -1, 0)]  # score, piece that ends here (-1: none), where it begins
+        forward = self._forward_bpe if self.kind == "bpe" else self._forward_unigram
+        last, scores, ends, begins = "", [0.0], [-1], [0]  # of each prefix: score, piece it ends with (-1: none, -2: no way there), where that begins
         for at in sorted(range(len(words)), key=words.__getitem__):
             word = words[at]
             shared, most = 0, min(len(word), len(last))
             while shared < most and word[shared] == last[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best = None
-                for begin in range(max(0, end - longest), end):
-                    piece = ids.get(word[begin:end])
-                    if piece is None:
-                        continue
-                    score, before, _ = states[begin]
-                    if bpe:
-                        if score == 0 and self._step(before, piece):
-                            best = (0.0, piece, begin)
-                            break
-                    elif best is None or score + self.scores[piece] > best[0]:
-                        best = (score + self.scores[piece], piece, begin)
-                if best is None:  # a character of its own; in a BPE word only where it is no piece
-                    known = word[end - 1] in ids
-                    best = ((float("-inf") if known else 0.0) if bpe else states[end - 1][0] - 100.0, -1, end - 1)
-                states.append(best)
+            del scores[shared + 1 :], ends[shared + 1 :], begins[shared + 1 :]
+            forward(word, shared, scores, ends, begins)
             last = word
             pieces, end = [], len(word)
             while end:
-                _, piece, begin = states[end]
+                piece, begin = ends[end], begins[end]
                 if piece >= 0:
                     pieces.append(piece)
                 else:
@@ -138,42 +141,98 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((p for f in found for p in f), np.int32, int(lengths.sum())), lengths
 
+    def _forward_bpe(self, word: str, shared: int, scores: list[float], ends: list[int], begins: list[int]) -> None:
+        """States of the prefixes longer than shared. All admissible paths score 0, so the first one found is a best one."""
+        ids, lengths, fits = self.ids.get, self.lengths.get, self.fits.get
+        for end in range(shared + 1, len(word) + 1):
+            state, start = -2, end - 1
+            tail = word[end - TAIL : end] if end > TAIL else word[:end]
+            for length in lengths(tail) or self._lengths(tail):
+                begin = end - length
+                if begin < 0:
+                    continue
+                piece = ids(word[begin:end])
+                if piece is None:
+                    continue
+                before = ends[begin]
+                if before == -2:
+                    continue
+                ok = fits((before + 1) << 20 | piece)
+                if self._step(before, piece) if ok is None else ok:
+                    state, start = piece, begin
+                    break
+            if state == -2 and word[end - 1] not in self.ids:
+                state = -1  # a character of its own, outside the vocabulary
+            ends.append(state)
+            begins.append(start)
+
+    def _forward_unigram(self, word: str, shared: int, scores: list[float], ends: list[int], begins: list[int]) -> None:
+        """States of the prefixes longer than shared: the best sum of scores."""
+        for end in range(shared + 1, len(word) + 1):
+            best, state, start = float("-inf"), -1, end - 1
+            tail = word[end - TAIL : end] if end > TAIL else word[:end]
+            for length in self.lengths.get(tail) or self._lengths(tail):
+                begin = end - length
+                piece = self.ids.get(word[begin:end]) if begin >= 0 else None
+                if piece is not None and scores[begin] + self.scores[piece] > best:
+                    best, state, start = scores[begin] + self.scores[piece], piece, begin
+            scores.append(best if state >= 0 else scores[end - 1] - 100.0)
+            ends.append(state)
+            begins.append(start)
+
+    def sound(self, words: list[str], pieces: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether decoding each word's pieces gives the word."""
+        parts = [self.out[p] for p in pieces.tolist()]
+        ends = np.cumsum(counts).tolist()
+        return np.fromiter((b"".join(parts[e - n : e]) == w.encode() for w, e, n in zip(words, ends, counts.tolist(), strict=True)), bool, len(words))
+
     def decode(self, pieces: list[int]) -> bytes:
         """The text of the pieces, without the mark before it."""
         return b"".join(map(self.out.__getitem__, pieces))[1:]
 
 
-def _encoding(shared, kind: str, check: bool):
+@lru_cache(maxsize=1)
+def _encoder(model: tuple[str, str], shared) -> Encoder:
+    """The worker's encoder, kept from task to task with the steps it has judged."""
+    return Encoder(shared.value, model[1])
+
+
+def _encoding(shared, model_path: str, kind: str, check: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, kind)
-        index: dict[str, int] = {}
-        pieces, starts, counts = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        encoder = _encoder((model_path, kind), shared)
+        index: defaultdict[str, int] = defaultdict()
+        pieces, starts, counts, sound = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         used = 0
         for batch in batches:
-            if len(index) > REMEMBERED or used > REMEMBERED_PIECES:
-                index, starts, counts, used = {}, starts[:0], counts[:0], 0
-            texts, known, rows = batch.column("text").to_pylist(), len(index), []
+            if not index or len(index) > REMEMBERED or used > REMEMBERED_PIECES:
+                index = defaultdict()
+                index.default_factory = index.__len__
+                starts, counts, sound, used = starts[:0], counts[:0], sound[:0], 0
+            texts, known, rows, marked = batch.column("text").to_pylist(), len(index), [], []
             for t in texts:
-                words = _WORDS(" " + t.replace(MARK, " ")) if t else []
-                rows.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+                marked.append(t is not None and MARK in t)
+                words = _WORDS(" " + (t.replace(MARK, " ") if marked[-1] else t)) if t else []
+                rows.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
             if len(index) > known:
-                new, n = encoder.words(list(islice(index, known, None)))
+                fresh = list(islice(index, known, None))
+                new, n = encoder.words(fresh)
                 while used + len(new) > len(pieces):
                     pieces = np.append(pieces, np.zeros_like(pieces))
                 pieces[used : used + len(new)] = new
                 starts, counts = np.append(starts, used + np.cumsum(n) - n), np.append(counts, n)
                 used += len(new)
-            out = []
-            for r in rows:
-                n = counts[r]
-                first = np.cumsum(n) - n
-                out.append(pieces[np.repeat(starts[r] - first, n) + np.arange(int(n.sum()))])
+                if check:
+                    sound = np.append(sound, encoder.sound(fresh, new, n))
+            flat, lengths = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array([len(r) for r in rows], np.int64)
+            n = counts[flat]
+            out = pieces[np.repeat(starts[flat] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            sizes = segment_sums(n, lengths).astype(np.int64)
             null = np.array([t is None for t in texts])
-            lengths = np.array([len(o) for o in out], np.int64)
-            offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)), mask=pa.array(null))
-            same = pa.array([None if t is None else encoder.decode(o.tolist()) == t.encode() for t, o in zip(texts, out, strict=True)], pa.bool_()) if check else None
-            yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(lengths, mask=null), *([same] if check else [])], names=["id", "pieces", "n_pieces", *(["round_trip"] if check else [])])
+            column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(out), mask=pa.array(null))
+            own = []
+            if check:  # a text comes back if all its words do and it holds no mark of its own
+                own = [pa.array((segment_sums(~sound[flat], lengths) == 0) & ~np.array(marked), mask=null)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(sizes, mask=null), *own], names=["id", "pieces", "n_pieces", *(["round_trip"] if check else [])])
 
     return encode
 
@@ -185,7 +244,7 @@ def encode_pieces(df: DataFrame, model_path: str, kind: str = "bpe", text_col: s
     shared = spark.sparkContext.broadcast(load_model(model_path))  # as large as the model file
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {df.schema[id_col].dataType.simpleString()}, pieces array<int>, n_pieces long" + ", round_trip boolean" * check
-    return rows.mapInArrow(_encoding(shared, kind, check), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_encoding(shared, model_path, kind, check), schema).withColumnRenamed("id", id_col)
 
 
 def decode_pieces(df: DataFrame, model_path: str, pieces_col: str = "pieces", id_col: str = "doc_id") -> DataFrame:
