@@ -1,7 +1,8 @@
 """3D IoU of oriented boxes, for pairs that a join has already narrowed down.
 
 A box cut by the six half spaces of another: each of its faces is clipped polygon by polygon, and the cuts
-are closed by the other box's clipped faces; the volume is the sum of the signed tetrahedra of all faces.
+are closed by the other box's clipped faces; the volume is the sum of the tetrahedra from an inner point to
+all faces. All pairs of a batch are clipped together, as padded arrays of polygons.
 """
 
 from __future__ import annotations
@@ -13,96 +14,104 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import FACES
 
-
-def _clip(polygon: list, normal: np.ndarray, offset: float) -> list:
-    """The part of a polygon with normal . p <= offset."""
-    out = []
-    for i, p in enumerate(polygon):
-        q = polygon[(i + 1) % len(polygon)]
-        dp, dq = normal @ p - offset, normal @ q - offset
-        if dp <= 0:
-            out.append(p)
-        if (dp < 0 < dq) or (dq < 0 < dp):
-            out.append(p + (q - p) * (dp / (dp - dq)))
-    return out
-
-
-def _half_spaces(corners: np.ndarray) -> list:
-    middle, out = corners.mean(axis=0), []
-    for face in FACES:
-        a, b, c, _ = corners[list(face)]
-        n = np.cross(b - a, c - a)
-        size = np.linalg.norm(n)
-        if size < 1e-12:
-            return []
-        n = n / size
-        if n @ (middle - a) > 0:
-            n = -n
-        out.append((n, n @ a))
-    return out
-
-
-def _volume(faces: list, inside: np.ndarray) -> float:
-    total = 0.0
-    for polygon in faces:
-        for i in range(1, len(polygon) - 1):
-            total += abs(np.dot(polygon[0] - inside, np.cross(polygon[i] - inside, polygon[i + 1] - inside))) / 6
-    return total
-
-
-def box_volume(corners: np.ndarray) -> float:
-    return _volume([[corners[i] for i in face] for face in FACES], corners.mean(axis=0))
-
-
-def intersection_volume(a: np.ndarray, b: np.ndarray) -> float:
-    spaces_a, spaces_b = _half_spaces(a), _half_spaces(b)
-    if not spaces_a or not spaces_b:
-        return 0.0
-    faces = []
-    for k, (corners, others) in enumerate(((a, spaces_b), (b, spaces_a))):
-        for own, face in enumerate(FACES):
-            if k and any(np.allclose(spaces_b[own][0], n, atol=1e-9) and abs(spaces_b[own][1] - d) < 1e-9 for n, d in spaces_a):
-                continue  # a face that both boxes share counts once
-            polygon = [corners[i] for i in face]
-            for n, d in others:
-                polygon = _clip(polygon, n, d + 1e-12)
-                if len(polygon) < 3:
-                    break
-            if len(polygon) >= 3:
-                faces.append(polygon)
-    if len(faces) < 4:
-        return 0.0
-    return _volume(faces, np.mean([p for f in faces for p in f], axis=0))
+#: Pairs clipped together; bounds the arrays.
+TOGETHER = 4096
+
+
+def _half_spaces(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Outward normals (n, 6, 3) and offsets (n, 6) of the boxes' faces, and which boxes have six."""
+    a, b, c = (corners[:, [f[i] for f in FACES]] for i in range(3))
+    normal = np.cross(b - a, c - a)
+    size = np.linalg.norm(normal, axis=2)
+    normal = normal / np.maximum(size, 1e-300)[:, :, None]
+    outwards = (normal * (corners.mean(axis=1)[:, None] - a)).sum(axis=2) <= 0
+    normal = np.where(outwards[:, :, None], normal, -normal)
+    return normal, (normal * a).sum(axis=2), (size >= 1e-12).all(axis=1)
+
+
+def _clip(polygons: np.ndarray, counts: np.ndarray, normal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of polygons (m, k, 3), of which the first counts points are there, with normal . p <= offset."""
+    m, k, _ = polygons.shape
+    place = np.arange(k)[None, :]
+    there = place < counts[:, None]
+    after = np.where(place + 1 < counts[:, None], place + 1, 0)
+    q = np.take_along_axis(polygons, after[:, :, None], axis=1)
+    dp = (polygons * normal[:, None]).sum(axis=2) - offset[:, None]
+    dq = np.take_along_axis(dp, after, axis=1)
+    crossing = there & (((dp < 0) & (dq > 0)) | ((dq < 0) & (dp > 0)))
+    share = np.where(crossing, dp / np.where(crossing, dp - dq, 1.0), 0.0)
+    points = np.stack([polygons, polygons + (q - polygons) * share[:, :, None]], axis=2).reshape(m, 2 * k, 3)
+    kept = np.stack([there & (dp <= 0), crossing], axis=2).reshape(m, 2 * k)
+    counts = kept.sum(axis=1)
+    order = np.argsort(~kept, axis=1, kind="stable")[:, : max(int(counts.max(initial=0)), 1)]
+    return np.take_along_axis(points, order[:, :, None], axis=1), counts
+
+
+def _cones(polygons: np.ndarray, counts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Volumes of the cones from an inner point over each polygon."""
+    p = polygons - inside[:, None]
+    triangles = np.cross(p[:, 1:-1], p[:, 2:])
+    volumes = np.abs((p[:, :1] * triangles).sum(axis=2)) / 6
+    return np.where(np.arange(1, p.shape[1] - 1)[None, :] < counts[:, None] - 1, volumes, 0.0).sum(axis=1)
+
+
+def box_volumes(corners: np.ndarray) -> np.ndarray:
+    n = len(corners)
+    faces = corners[:, FACES].reshape(n * len(FACES), 4, 3)
+    return _cones(faces, np.full(len(faces), 4), np.repeat(corners.mean(axis=1), len(FACES), axis=0)).reshape(n, -1).sum(axis=1)
+
+
+def intersection_volumes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Volumes that the boxes a and b (n, 8, 3) have in common, pair by pair."""
+    n, sides = len(a), len(FACES)
+    (normal_a, offset_a, sound_a), (normal_b, offset_b, sound_b) = _half_spaces(a), _half_spaces(b)
+    polygons, counts = np.concatenate([a[:, FACES], b[:, FACES]], axis=1).reshape(n * 2 * sides, 4, 3), np.full(n * 2 * sides, 4)
+    by = [np.concatenate([np.repeat(y[:, None], sides, axis=1), np.repeat(x[:, None], sides, axis=1)], axis=1) for x, y in ((normal_a, normal_b), (offset_a, offset_b))]
+    for side in range(sides):
+        polygons, counts = _clip(polygons, counts, by[0][:, :, side].reshape(-1, 3), by[1][:, :, side].reshape(-1) + 1e-12)
+    # A face that both boxes share counts once.
+    same = ((np.abs(normal_a[:, None] - normal_b[:, :, None]) < 1e-9).all(axis=3) & (np.abs(offset_a[:, None] - offset_b[:, :, None]) < 1e-9)).any(axis=2)
+    there = (counts >= 3).reshape(n, 2 * sides) & ~np.concatenate([np.zeros_like(same), same], axis=1)
+    use = there.reshape(-1)[:, None] & (np.arange(polygons.shape[1])[None, :] < counts[:, None])
+    points = np.where(use[:, :, None], polygons, 0.0).reshape(n, -1, 3).sum(axis=1)
+    inside = points / np.maximum(use.reshape(n, -1).sum(axis=1), 1)[:, None]
+    volumes = np.where(there, _cones(polygons, counts, np.repeat(inside, 2 * sides, axis=0)).reshape(n, -1), 0.0).sum(axis=1)
+    return np.where(sound_a & sound_b & (there.sum(axis=1) >= 4), volumes, 0.0)
+
+
+def ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of the boxes a and b (n, 8, 3), pair by pair; 0 where one is not finite or has no volume.
+
+    Boxes that fill their axis-aligned hulls are compared by those; the others are clipped.
+    """
+    finite = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=(1, 2))
+    a, b = (np.where(finite[:, None, None], c, 0.0) for c in (a, b))
+    lo, hi = [c.min(axis=1) for c in (a, b)], [c.max(axis=1) for c in (a, b)]
+    both = np.clip(np.minimum(hi[0], hi[1]) - np.maximum(lo[0], lo[1]), 0, None).prod(axis=1)
+    hulls = [(h - k).prod(axis=1) for k, h in zip(lo, hi, strict=True)]
+    edges = [np.abs(np.einsum("ij,ij->i", c[:, 1] - c[:, 0], np.cross(c[:, 3] - c[:, 0], c[:, 4] - c[:, 0]))) for c in (a, b)]
+    straight = np.all([np.isclose(h, e, rtol=1e-9) for h, e in zip(hulls, edges, strict=True)], axis=0)
+    union = hulls[0] + hulls[1] - both
+    found = np.where(straight & (union > 1e-12), both / np.where(union > 1e-12, union, 1.0), 0.0)
+    turned = np.flatnonzero(finite & ~straight & (both > 0))
+    for at in range(0, len(turned), TOGETHER):
+        k = turned[at : at + TOGETHER]
+        common = intersection_volumes(a[k], b[k])
+        union = box_volumes(a[k]) + box_volumes(b[k]) - common
+        found[k] = np.where(union > 1e-12, common / np.where(union > 1e-12, union, 1.0), 0.0)
+    return np.where(finite, found, 0.0)
 
 
 def iou3d_of(a, b) -> float:
     a, b = np.array([list(p) for p in a], float), np.array([list(p) for p in b], float)
-    if a.shape != (8, 3) or b.shape != (8, 3) or not (np.isfinite(a).all() and np.isfinite(b).all()):
-        return 0.0
-    if (a.max(axis=0) <= b.min(axis=0)).any() or (b.max(axis=0) <= a.min(axis=0)).any():
-        return 0.0
-    both = intersection_volume(a, b)
-    union = box_volume(a) + box_volume(b) - both
-    return float(both / union) if union > 1e-12 else 0.0
+    return float(ious(a[None], b[None])[0]) if a.shape == b.shape == (8, 3) else 0.0
 
 
 def _iou3d(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Boxes that fill their axis-aligned hulls are compared by those, all at once; only the others are clipped one by one."""
     out = np.zeros(len(a))
     sound = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None and len(x) == 8 and len(y) == 8]
-    if not sound:
-        return pd.Series(out)
-    x, y = (np.array([[list(p) for p in c.iloc[i]] for i in sound], float) for c in (a, b))
-    lo, hi = [c.min(axis=1) for c in (x, y)], [c.max(axis=1) for c in (x, y)]
-    both = np.clip(np.minimum(hi[0], hi[1]) - np.maximum(lo[0], lo[1]), 0, None).prod(axis=1)
-    hulls = [(h - k).prod(axis=1) for k, h in zip(lo, hi, strict=True)]
-    edges = [np.abs(np.einsum("ij,ij->i", c[:, 1] - c[:, 0], np.cross(c[:, 3] - c[:, 0], c[:, 4] - c[:, 0]))) for c in (x, y)]
-    straight = np.all([np.isclose(h, e, rtol=1e-9) for h, e in zip(hulls, edges, strict=True)], axis=0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        found = np.where(straight, both / (hulls[0] + hulls[1] - both), 0.0)
-    for k in np.flatnonzero(~straight & (both > 0)):
-        found[k] = iou3d_of(x[k], y[k])
-    out[sound] = np.nan_to_num(found)
+    if sound:
+        out[sound] = ious(*(np.array([np.stack(c.iloc[i]) for i in sound], float) for c in (a, b)))
     return pd.Series(out)
 
 

@@ -5,11 +5,15 @@ A metric that has no ground truth has no row: absence is never a number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolake.functions import geometry
+
 #: Recall levels at which precision is read, prefixes of a detection list, and the usual settings.
 LEVELS, PREFIXES, MOST = 101, (1, 10, 100), 100
+#: Bands of scores that a group is sorted in.
+SCORE_BANDS = 32
 THRESHOLDS_2D = [0.5 + 0.05 * i for i in range(10)]
 THRESHOLDS_3D = [0.05 + 0.05 * i for i in range(10)]
 AREAS_2D = [("all", 0.0, 1e10), ("small", 0.0, 1024.0), ("medium", 1024.0, 9216.0), ("large", 9216.0, 1e10)]
@@ -23,20 +27,41 @@ def positives(gt: DataFrame, areas: list[tuple[str, float, float]], size_col: st
     return gt.select(*by, size_col, "ignore", a).where(inside).groupBy(*by, F.col("a.n").alias("area_range")).agg(F.count("*").alias("npig"))
 
 
-def precision_recall(matches: DataFrame, npig: DataFrame, prefixes: tuple[int, ...] = (MOST,), by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id")) -> DataFrame:
-    """Running precision and recall with the envelope: keys, pos, rc, pr, env, score. Ignored detections count on neither side."""
+def precision_recall(matches: DataFrame, npig: DataFrame, prefixes: tuple[int, ...] = (MOST,), by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id"), bands: int = SCORE_BANDS) -> DataFrame:
+    """Running precision and recall with the envelope: keys, pos, rc, before (the recall one row earlier), pr, env, score, npig.
+
+    Ignored detections count on neither side. A group is cut into bands of scores, so that a category with a third of all
+    detections is sorted by many tasks: counts run within a band, and what the better bands hold is added from a table
+    with a row for each band. The envelope likewise runs from the worse end of a band, with the best of the worse bands.
+    """
     keys = [*by, "area_range", "thr", "max_dets"]
     rows = matches.select("*", F.explode(F.array(*map(F.lit, prefixes))).alias("max_dets")).where(F.col("rank") <= F.col("max_dets"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), *ties)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    counts = F.col("matched").isNotNull() & ~F.col("ignored")
-    wrong = F.col("matched").isNull() & ~F.col("ignored")
-    rows = rows.withColumn("tp", F.sum(F.when(counts, 1).otherwise(0)).over(so_far)).withColumn("fp", F.sum(F.when(wrong, 1).otherwise(0)).over(so_far)).withColumn("pos", F.row_number().over(order))
-    rows = rows.join(F.broadcast(npig), [*by, "area_range"])
-    total = F.col("tp") + F.col("fp")
-    rows = rows.withColumn("rc", F.col("tp") / F.col("npig")).withColumn("pr", F.when(total > 0, F.col("tp") / total).otherwise(0.0))
-    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("env", F.max("pr").over(ahead)).select(*keys, "pos", "rc", "pr", "env", "score", "npig")
+    counts = F.when(F.col("matched").isNotNull() & ~F.col("ignored"), 1).otherwise(0)
+    wrong = F.when(F.col("matched").isNull() & ~F.col("ignored"), 1).otherwise(0)
+    # Scores beyond [0, 1] fall into the outer bands; the order within a band is by the score itself.
+    band = F.floor((1 - F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))) * bands).cast("int")
+    rows = rows.select(*keys, *(t for t in ties if t not in keys), "score", band.alias("band"), counts.alias("tp_row"), wrong.alias("fp_row"))
+    inside = Window.partitionBy(*keys, "band").orderBy(F.desc("score"), *ties)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", F.sum("tp_row").over(so_far).alias("tp"), F.sum("fp_row").over(so_far).alias("fp"), F.row_number().over(inside).alias("pos"))
+    better = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(*keys, "band").agg(F.sum("tp_row").alias("tp_in"), F.sum("fp_row").alias("fp_in"), F.count("*").alias("n_in"))
+    held = held.select(*keys, "band", *(F.coalesce(F.sum(f"{c}_in").over(better), F.lit(0)).alias(f"{c}_0") for c in ("tp", "fp", "n")))
+    rows = rows.join(held, [*keys, "band"]).join(F.broadcast(npig), [*by, "area_range"])
+    tp, total = F.col("tp") + F.col("tp_0"), F.col("tp") + F.col("tp_0") + F.col("fp") + F.col("fp_0")
+    rows = rows.select(*keys, "band", (F.col("pos") + F.col("n_0")).alias("pos"), (tp / F.col("npig")).alias("rc"), ((tp - F.col("tp_row")) / F.col("npig")).alias("before"), F.when(total > 0, tp / total).otherwise(0.0).alias("pr"), "score", "npig")
+    worse = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    best = rows.groupBy(*keys, "band").agg(F.max("pr").alias("best")).select(*keys, "band", F.max("best").over(worse).alias("beyond"))
+    back = Window.partitionBy(*keys, "band").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.max("pr").over(back)).join(best, [*keys, "band"])
+    return rows.select(*keys, "pos", "rc", "before", "pr", F.greatest("own", "beyond").alias("env"), "score", "npig")
+
+
+def _levels_of(levels: int) -> tuple[Column, Column]:
+    """First and last recall level that a row of the curve answers for: those above the recall before it, up to its own."""
+    last = levels - 1
+    low = F.when(F.col("pos") == 1, 0).otherwise(F.floor(F.col("before") * last + 1e-9) + 1)
+    return low.cast("int"), F.floor(F.col("rc") * last + 1e-9).cast("int")
 
 
 def interpolate(curve: DataFrame, by: tuple[str, ...] = ("category_name",), levels: int = LEVELS) -> DataFrame:
@@ -45,23 +70,19 @@ def interpolate(curve: DataFrame, by: tuple[str, ...] = ("category_name",), leve
     A position answers for the levels between the recall before it and its own, so nothing is multiplied by the levels.
     """
     keys = [*by, "area_range", "thr", "max_dets"]
-    before = F.lag("rc").over(Window.partitionBy(*keys).orderBy("pos"))
-    last = levels - 1
-    rows = curve.withColumn("before", before)
-    top = F.floor(F.col("rc") * last + 1e-9)
-    low = F.when(F.col("before").isNull(), 0).otherwise(F.floor(F.col("before") * last + 1e-9) + 1)
-    rows = rows.withColumn("lo", low.cast("int")).withColumn("hi", top.cast("int")).where("hi >= lo")
+    lo, hi = _levels_of(levels)
+    rows = curve.withColumns({"lo": lo, "hi": hi}).where("hi >= lo")
     return rows.select(*keys, F.explode(F.sequence("lo", "hi")).alias("level"), F.col("env").alias("precision"), "score")
 
 
 def average_precision(curve: DataFrame, npig: DataFrame, thresholds: int, by: tuple[str, ...] = ("category_name",), prefixes: tuple[int, ...] = (MOST,), levels: int = LEVELS) -> DataFrame:
-    """(by, area_range, max_dets, thr, npig, ap, ar): mean precision over the levels, and final recall; 0 where nothing was detected."""
+    """(by, area_range, max_dets, thr, npig, ap, ar): mean precision over the levels, and final recall, from one pass over the
+    curve; 0 where nothing was detected."""
     keys = [*by, "area_range", "thr", "max_dets"]
     groups = npig.select(*by, "area_range", "npig", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("thr")).select("*", F.explode(F.array(*map(F.lit, prefixes))).alias("max_dets"))
-    ap = interpolate(curve, by, levels).groupBy(*keys).agg((F.sum("precision") / levels).alias("ap"))
-    ar = curve.groupBy(*keys).agg(F.max("rc").alias("ar"))
-    out = groups.join(ap, keys, "left").join(ar, keys, "left")
-    return out.select(*keys, "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
+    lo, hi = _levels_of(levels)
+    found = curve.groupBy(*keys).agg((F.sum(F.col("env") * F.greatest(hi - lo + 1, F.lit(0))) / levels).alias("ap"), F.max("rc").alias("ar"))
+    return groups.join(found, keys, "left").select(*keys, "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
 
 
 def average_recall(matches: DataFrame, npig: DataFrame, thresholds: int, by: tuple[str, ...] = ("category_name",), prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
@@ -109,7 +130,9 @@ def both_scopes(matches: DataFrame, order_col: str = "dataset_id") -> DataFrame:
 
 
 def localisation_errors(best: DataFrame) -> DataFrame:
-    """Mean errors of matched pairs. best: structs g and d with u, v, z, w, h, l and optional angle."""
+    """Mean errors of matched pairs. best: structs g and d with u, v, z, w, h, l and optionally r, a rotation."""
     out = [F.avg(F.sqrt((F.col("g.u") - F.col("d.u")) ** 2 + (F.col("g.v") - F.col("d.v")) ** 2)).alias("pixel_error")]
     out += [F.avg(F.abs(F.col(f"g.{c}") - F.col(f"d.{c}"))).alias(f"{c}_error") for c in ("z", "w", "h", "l")]
+    if "r" in best.schema["g"].dataType.names:
+        out.append(F.avg(geometry.rotation_angle(F.col("g.r"), F.col("d.r"))).alias("angle_error"))
     return best.agg(F.count("*").alias("n"), *out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.functions import boxes
+from annolake.sources.shared import settled
 
 
 @dataclass(frozen=True)
@@ -105,8 +106,13 @@ def training_records(gt: DataFrame, images: DataFrame, ids: DataFrame, filter_em
 
 def assign_ann_ids(df: DataFrame, order: list[str], dataset_col: str = "dataset_id", span: int = 10_000_000) -> DataFrame:
     """df with new_ann_id = dataset_id * span + n, n from 1 in the order given; an error where a set outgrows the span."""
-    n = F.row_number().over(Window.partitionBy(dataset_col).orderBy(*order))
-    rows = df.withColumn("_n", n)
+    # Ranges of the order, numbered within; what the ranges before hold of the same set is added. A set may lie in many ranges.
+    ranged = settled(df.repartitionByRange(dataset_col, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(dataset_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(dataset_col, "_part").agg(F.count("*").alias("_c"))
+    counts = counts.select(F.col(dataset_col).alias("_set"), F.col("_part").alias("_range"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy(dataset_col, "_part").orderBy(*order)) + F.col("_before")
+    rows = ranged.join(counts, (F.col(dataset_col).eqNullSafe(F.col("_set"))) & (F.col("_part") == F.col("_range"))).withColumn("_n", n).drop("_set", "_part", "_range", "_before")
     ok = F.when(F.col("_n") < span, F.col(dataset_col) * F.lit(span).cast("long") + F.col("_n")).otherwise(F.raise_error(F.lit("a data set has more annotations than its span of ids")))
     return rows.withColumn("new_ann_id", ok.cast("long")).drop("_n")
 

@@ -110,7 +110,8 @@ def sample_first(df: DataFrame, n: int, key: str) -> DataFrame:
 def weighted_subsample(df: DataFrame, n: int, fg_share: float, weight: Column, by: str = "image_id", key: str = "det_id", seed: int = 0) -> DataFrame:
     """Up to n rows per `by`, at most fg_share of them foreground (label 1) and the rest background (label 0), without
     replacement in proportion to weight: the smallest -ln(u) / weight win, u being a hash of the key."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 10), 16, 10).cast("long")
+    u = (drawn + 0.5) / float(1 << 40)
     keyed = df.where("label >= 0").withColumn("_k", -F.log(u) / F.greatest(weight, F.lit(1e-9)))
     ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(by, "label").orderBy("_k", key)))
     fg = ranked.where((F.col("label") == 1) & (F.col("_r") <= int(n * fg_share)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from annolake.functions import boxes, geometry, labels
 from annolake.operators import gates, priors, sets, stats, vocabulary
 from annolake.plans.fixtures import view, with_views
+from annolake.sources import documents
+from annolake.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -197,21 +199,27 @@ def filled_annotations(spark, sf_dir):
 _NAME = "(CASE WHEN p_partkey % 2 = 0 THEN '  ' || replace(p_name, ' ', '_') ELSE upper(p_name) || ' ' END)"
 
 
-@_query("""SELECT p_partkey, replace(lower(p_name), '_', ' ') AS norm, CASE WHEN split_part(p_name, ' ', 2) = 'widget' THEN 'gadget' ELSE split_part(p_name, ' ', 2) END AS standard, 3 AS spans FROM part WHERE split_part(p_name, ' ', 2) <> '' AND split_part(p_name, ' ', 3) = ''""")
+@_query("""WITH w AS (SELECT *, string_split(lower(p_name), ' ') AS ws FROM part)
+    SELECT p_partkey, lower(p_name) AS norm, CASE WHEN ws[-1] = 'widget' AND len(ws) > 1 THEN 'gadget' ELSE ws[-1] END AS standard, len(ws) * (len(ws) + 1) // 2 AS spans, array_to_string(list_sort(flatten([[array_to_string(ws[i:j], ' ') FOR j IN range(i, len(ws) + 1)] FOR i IN range(1, len(ws) + 1)])), ';') AS each FROM w""")
 def standard_labels(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("size(split(p_name, ' ')) = 2").withColumn("raw", F.expr(_NAME))
+    """The last words of the names are the vocabulary, a table; a name whose last word is widget is mapped to gadget."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("raw", F.expr(_NAME))
     norm = labels.normalize_label(F.col("raw"))
-    vocab = [r[0] for r in part.select(F.split("p_name", " ")[1]).distinct().collect()]  # a vocabulary
-    mapping = {r[0]: "gadget" for r in part.where("p_name LIKE '% widget'").select("p_name").distinct().collect()}
-    return part.select("p_partkey", norm.alias("norm"), labels.standard_category(F.col("raw"), mapping, vocab).alias("standard"), F.size(labels.word_spans(norm)).alias("spans"))
+    last = F.element_at(F.split(F.lower("p_name"), " "), -1)
+    vocab = part.select(last.alias("name")).distinct()
+    mapping = part.where("lower(p_name) LIKE '% widget'").select(F.lower("p_name").alias("phrase"), F.lit("gadget").alias("name")).distinct()
+    named = vocabulary.standard_categories(part.select("p_partkey", norm.alias("label")), vocab, mapping)
+    spans = labels.word_spans(F.col("label"))
+    return named.select("p_partkey", F.col("label").alias("norm"), F.col("category").alias("standard"), F.size(spans).alias("spans"), F.array_join(F.array_sort(spans), ";").alias("each"))
 
 
-@_query("""SELECT p_brand, 'Brand#' || CASE WHEN length(p_brand) = 7 THEN '0' || substr(p_brand, 7) ELSE substr(p_brand, 7) END AS m, count(*) AS n FROM part WHERE length(p_brand) = 8 GROUP BY 1, 2""")
+@_query("""SELECT p_brand, 'Brand#' || lpad(substr(p_brand, 7), 2, '0') AS m, count(*) AS n FROM part GROUP BY 1, 2""")
 def fuzzy_brands(spark, sf_dir):
-    """Brand names to the closest vocabulary entry, themselves where they have two digits."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("length(p_brand) = 8")
-    vocab = [r[0] for r in part.select("p_brand").distinct().collect()]  # a vocabulary
-    m = vocabulary.fuzzy_label(part.select(F.col("p_brand").alias("label")), vocab)
+    """Brand names to the closest name of the vocabulary, which has two digits in each."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand")
+    two = F.concat(F.lit("Brand#"), F.lpad(F.substring("p_brand", 7, 9), 2, "0"))
+    vocab = [r[0] for r in part.select(two).distinct().collect()]  # at most a hundred
+    m = vocabulary.fuzzy_label(part.select(F.col("p_brand").alias("label")).distinct(), vocab)
     return part.join(m, F.col("p_brand") == F.col("label")).groupBy("p_brand", F.col("match").alias("m")).agg(F.count("*").alias("n"))
 
 
@@ -287,7 +295,9 @@ def first_annotations(spark, sf_dir):
     return stats.sample_first(_anns(spark, sf_dir).select("ann_id", "image_id"), 100, "ann_id")
 
 
-@_query()
+@_query("""WITH k AS (SELECT det_id, image_id, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS label, -ln((('0x' || substr(md5('0:' || det_id), 1, 10))::BIGINT + 0.5) / 1099511627776.0::DOUBLE) / greatest(score, 1e-9) AS k FROM fx_detections),
+    r AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY k, det_id) AS r FROM k), f AS (SELECT image_id, count(*) AS n FROM r WHERE label = 1 AND r <= 2 GROUP BY 1)
+    SELECT det_id, image_id, label FROM r LEFT JOIN f USING (image_id) WHERE (label = 1 AND r <= 2) OR (label = 0 AND r <= 4 - coalesce(n, 0))""")
 def proposals_subsampled(spark, sf_dir):
     det = view(spark, sf_dir, "fx_detections").withColumn("label", (F.col("score") > 0.5).cast("int"))
     return stats.weighted_subsample(det, 4, 0.5, F.col("score")).select("det_id", "image_id", "label")
@@ -303,7 +313,7 @@ def size_priors(spark, sf_dir):
 @_query()
 def depth_bins_of_sizes(spark, sf_dir):
     rows = _anns(spark, sf_dir).select("category_name", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2).alias("diagonal"), F.col("czm").alias("depth"))
-    return priors.depth_bins(rows, 4, rounds=20)
+    return priors.depth_bins(rows, 4)
 
 
 def _cuboids(spark, sf_dir) -> DataFrame:
@@ -368,12 +378,14 @@ def quality_of_boxes(spark, sf_dir):
     return _anns(spark, sf_dir).select("ann_id", _r(q).alias("quality"), (q >= gates.quality_threshold(F.col("category_name"))).alias("ok"))
 
 
-@_query("""SELECT ann_id, round(CASE WHEN abs(s) < 1e-3 THEN 0 ELSE s END + 1e-9, 6) AS shift, round(CASE WHEN w3 / h3 BETWEEN 0.4 AND 2.5 AND abs(ln(w3 / h3)) >= 0.03 THEN w3 / h3 END + 1e-9, 6) AS rescale, round(greatest(4 * l3, 0.25) + 1e-9, 6) AS most_l
+@_query("""SELECT ann_id, round(CASE WHEN abs(s) < 1e-3 THEN 0 ELSE s END + 1e-9, 6) AS shift, round(CASE WHEN w3 / h3 BETWEEN 0.4 AND 2.5 AND abs(ln(w3 / h3)) >= 0.03 THEN w3 / h3 END + 1e-9, 6) AS rescale, round(greatest(4 * l3, 0.25) + 1e-9, 6) AS most_l,
+        round(CASE WHEN sqrt(w3 / h3) BETWEEN 0.6 AND 2 AND abs(ln(sqrt(w3 / h3))) >= 0.03 THEN sqrt(w3 / h3) END + 1e-9, 6) AS silhouette, round(CASE WHEN abs(h3 + 1) >= 0.03 AND (w3 + 1) / (h3 + 1) BETWEEN 0.5 AND 2 AND abs(ln((w3 + 1) / (h3 + 1))) >= 0.03 THEN (w3 + 1) / (h3 + 1) END + 1e-9, 6) AS refined
     FROM (SELECT *, greatest(least(w3 + w3 / 2 - 1, 0.25 * czm), -0.25 * czm) AS s FROM fx_annotations) a""")
 def depth_refinement(spark, sf_dir):
     """A median depth of centre plus width less one, front offset half the width."""
     shift = gates.refine_depth(F.col("czm"), F.col("czm") - F.col("w3") / 2, F.col("czm") + F.col("w3") - 1)
-    return _anns(spark, sf_dir).select("ann_id", _r(shift).alias("shift"), _r(gates.depth_rescale("median", F.col("w3"), F.col("h3"))).alias("rescale"), _r(F.get(gates.category_bounds(F.array("w3", "h3", "l3"))["most"], 2)).alias("most_l"))
+    return _anns(spark, sf_dir).select("ann_id", _r(shift).alias("shift"), _r(gates.depth_rescale("median", F.col("w3"), F.col("h3"))).alias("rescale"), _r(F.get(gates.category_bounds(F.array("w3", "h3", "l3"))["most"], 2)).alias("most_l"),
+        _r(gates.depth_rescale("silhouette", F.col("w3"), F.col("h3"))).alias("silhouette"), _r(gates.depth_rescale("refined", F.col("w3") + 1, F.col("h3") + 1, F.lit(0.0))).alias("refined"))
 
 
 @_query("""SELECT det_id, CASE WHEN w3 - 1 >= 0.15 THEN round((score + w3 - 1) / 2 + 1e-9, 6) END AS fused, round(sqrt(score * exp(-w3)) + 1e-9, 6) AS uncertain FROM fx_detections""")
@@ -397,3 +409,75 @@ def rotated_frames(spark, sf_dir):
     rows = _cuboids(spark, sf_dir).join(key, "ann_id").withColumn("r", geometry.rotate_y(F.col("t")))
     p = geometry.world_to_camera(F.col("center"), F.col("r"), geometry.vec(0, 0, 1))
     return rows.select("ann_id", F.round(F.get(p, 0) + 1e-9, 5).alias("x"), F.round(F.get(p, 2) + 1e-9, 5).alias("z"), F.round(geometry.yaw_mod_pi(F.col("t")) + 1e-9, 5).alias("yaw"), geometry.rotation_valid(F.col("r")).alias("valid"), F.round(geometry.rotation_angle(F.col("r"), geometry.identity()) + 1e-9, 5).alias("angle"))
+
+
+_PATHS = "'/data/' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '_val' WHEN 1 THEN '_train' ELSE '' END || '.json'"
+_SCALARS = "CASE p_partkey % 4 WHEN 0 THEN '[[0.' || p_size || ']]' WHEN 1 THEN '[' || p_size || ']' WHEN 2 THEN '[]' ELSE '-1.5e1' END"
+
+
+@_query(f"""WITH p AS (SELECT *, {_PATHS} AS path, string_split(p_name, ' ')[-1] || '_' || p_size || '.ply' AS file FROM part)
+    SELECT p_partkey, lower(trim(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END)) AS label, CASE p_partkey % 4 WHEN 0 THEN ('0.' || p_size)::DOUBLE WHEN 1 THEN p_size::DOUBLE WHEN 2 THEN 0 ELSE -15 END AS scalar,
+           CASE p_partkey % 3 WHEN 0 THEN 'val' WHEN 1 THEN 'train' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'test' ELSE 'train' END END AS split, replace(p_brand, '#', '_') AS safe, replace(replace(path, '/data/', ''), '.json', '') AS stem, '.json' AS ext,
+           string_split(p_name, ' ')[-1] AS word, p_size::INT AS idx, lower(p_type) IN ('economy', 'small') AS in_prompt FROM p""")
+def label_records(spark, sf_dir):
+    """Labels, wrapped scalars, splits, parts of paths and file names of raw records."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("path", F.expr(_PATHS)).withColumn("file", F.expr("element_at(split(p_name, ' '), -1) || '_' || p_size || '.ply'"))
+    named = labels.label_and_index(F.col("file"))
+    return p.select(
+        "p_partkey", labels.resolve_label(F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_name")), F.col("p_type")).alias("label"), labels.unwrap_scalar(F.expr(_SCALARS)).alias("scalar"),
+        labels.infer_split(F.col("path"), F.when(F.col("p_partkey") % 2 == 0, "test")).alias("split"), labels.safe_name(F.col("p_brand")).alias("safe"), labels.path_stem(F.col("path")).alias("stem"), labels.path_extension(F.col("path")).alias("ext"),
+        named["label"].alias("word"), named["idx"].alias("idx"), labels.in_prompt(F.col("p_type"), "Economy. small.").alias("in_prompt"),
+    )
+
+
+@_query("""SELECT ann_id, cxm <> -1 AS corner, valid3d AS dimension, valid3d AND czm - 3 > 0 AND tx_ok AS geometry FROM (SELECT *, truncation < 0.4 AS tx_ok FROM fx_annotations) a""")
+def valid_policies(spark, sf_dir):
+    """The three policies of a valid 3D box."""
+    rows = _anns(spark, sf_dir).withColumn("dims", F.when(F.col("valid3d"), F.array("w3", "h3", "l3")).otherwise(F.array(F.lit(-1.0), F.col("h3"), F.col("l3"))))
+    reason = F.when(F.col("truncation") < 0.4, "valid_render_back").otherwise("render_failed")
+    return rows.select("ann_id", *(sets.valid3d(p, F.col("dims"), F.col("czm") - 3, F.col("cxm"), reason).alias(p) for p in ("corner", "dimension", "geometry")))
+
+
+@_query("""SELECT ann_id, (truncation >= 0.08 OR visibility >= 0.15) AND CASE WHEN x2 - x1 >= 24 THEN w3 - 0.5 <= 0.35 ELSE truncation >= 0.16 END AS ok, visibility >= 0.25 AND truncation >= 0.18 AND h3 >= 0.25 AND x2 - x1 >= 24 AND w3 - 0.5 <= 0.2 AS strict FROM fx_annotations""")
+def alignment_gates(spark, sf_dir):
+    rows, err, px = _anns(spark, sf_dir), F.col("w3") - 0.5, F.col("x2") - F.col("x1")
+    return rows.select("ann_id", gates.gate_alignment(F.col("truncation"), F.col("visibility"), err, px).alias("ok"), gates.gate_alignment_strict(F.col("truncation"), err, px, F.col("visibility"), F.col("h3")).alias("strict"))
+
+
+@_query("""WITH p AS (SELECT p_type, avg(p_size) AS w FROM part WHERE p_type <> 'SMALL' GROUP BY 1), d AS (SELECT DISTINCT image_id FROM fx_detections)
+    SELECT ann_id, round(coalesce(w, 0.5) + 1e-9, 6) AS pw FROM fx_annotations a LEFT JOIN p ON p_type = category_name WHERE category_name IN ('ECONOMY', 'SMALL') AND image_id IN (SELECT image_id FROM d)""")
+def vocabulary_with_priors(spark, sf_dir):
+    """Annotations of a vocabulary, on images that have pseudo labels, with their category's prior."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_type <> 'SMALL'").groupBy(F.lower("p_type").alias("category_name")).agg(F.avg("p_size").alias("w"))
+    p = p.select("category_name", "w", F.lit(1.0).alias("h"), F.lit(1.0).alias("l"))
+    names = _anns(spark, sf_dir).select(F.col("category_name").alias("name")).where("name IN ('ECONOMY', 'SMALL')").distinct()
+    images = sets.with_pseudo_labels(view(spark, sf_dir, "fx_images"), view(spark, sf_dir, "fx_detections"))
+    rows = sets.vocabulary_filter(_anns(spark, sf_dir), names).join(images.select("image_id"), "image_id")
+    return sets.with_prior(rows, p).select("ann_id", _r(F.col("pw")).alias("pw"))
+
+
+_FILE = "CASE p_partkey % 4 WHEN 0 THEN w || '_' || i || '.ply' WHEN 1 THEN w || '.ply' WHEN 2 THEN w || '_' || i || '.glb' ELSE 'object_' || i || '.ply' END"
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[-1] AS w, p_size % 9 AS i FROM part), l AS (SELECT DISTINCT {_FILE} AS name FROM p WHERE p_partkey % 10 = 0)
+    SELECT p_partkey AS image_id, '/m/' || coalesce((SELECT name FROM l WHERE name = w || '_' || i || '.ply'), (SELECT name FROM l WHERE name = w || '.ply'), (SELECT name FROM l WHERE name = w || '_' || i || '.glb'), (SELECT name FROM l WHERE name = 'object_' || i || '.ply')) AS path FROM p""")
+def matched_files(spark, sf_dir):
+    """Mesh files of objects by the priority of their names; the listing comes from a tenth of the parts."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr("element_at(split(p_name, ' '), -1)").alias("w"), (F.col("p_size") % 9).alias("i"))
+    listing = p.where("p_partkey % 10 = 0").select(F.expr(_FILE).alias("name")).distinct().withColumn("path", F.concat(F.lit("/m/"), "name"))
+    return sets.match_files(p.select(F.col("p_partkey").alias("image_id"), F.col("w").alias("phrase"), F.col("i").alias("idx")), listing).select("image_id", "path")
+
+
+@_query("""SELECT count(*) AS n, count(*) FILTER (category_name IN ('ECONOMY', 'SMALL')) AS in_vocabulary, max(score) AS best, round(sum(score) + 1e-9, 4) AS csv_sum, round(sum(x1) + 1e-9, 4) AS json_sum FROM fx_detections""")
+def stored_detections(spark, sf_dir):
+    """Detections through every sink and back: Parquet with a vocabulary, CSV, JSON lines, and a record of statistics."""
+    det, at = view(spark, sf_dir, "fx_detections"), shared_path(spark, "stored")
+    names = det.select(F.col("category_name").alias("name")).where("name IN ('ECONOMY', 'SMALL')").distinct()
+    documents.write_predictions(det, f"{at}/own", names)
+    documents.write_flat(det.select("det_id", "score"), f"{at}/csv")
+    documents.write_flat(det.select("det_id", "x1"), f"{at}/json", "json")
+    documents.write_stats(stats.stats_record(det, {"n": F.count("*"), "best": F.max("score")}), f"{at}/stats")
+    csv = spark.read.schema("det_id long, score double").option("header", True).csv(f"{at}/csv").agg(F.round(F.sum("score") + 1e-9, 4).alias("csv_sum"))
+    lines = spark.read.schema("det_id long, x1 double").json(f"{at}/json").agg(F.round(F.sum("x1") + 1e-9, 4).alias("json_sum"))
+    own = spark.read.parquet(f"{at}/own").agg(F.count("*").alias("in_vocabulary"))
+    return documents.read_stats(spark, f"{at}/stats", "n long, best double").crossJoin(own).crossJoin(csv).crossJoin(lines)  # one row each

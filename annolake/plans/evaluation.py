@@ -9,6 +9,7 @@ from annolake.functions import boxes, geometry
 from annolake.functions.iou3d import iou3d
 from annolake.operators import matching, metrics, suppression
 from annolake.plans.fixtures import view, with_views
+from annolake.sources.shared import settled
 
 
 def _box(*names: str):
@@ -34,7 +35,7 @@ def ap50_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2D AP at IoU .5 of every category, nothing ignored."""
     gt, det = truths(spark, sf_dir).withColumn("ignore", F.lit(False)), detections(spark, sf_dir)
     ranked = matching.rank_detections(det)
-    found = matching.match_greedy(gt, ranked, pairs_2d(gt, det), [0.5], metrics.AREAS_2D[:1])
+    found = settled(matching.match_greedy(gt, ranked, pairs_2d(gt, det), [0.5], metrics.AREAS_2D[:1]), "matches")
     npig = metrics.positives(gt, metrics.AREAS_2D[:1])
     table = metrics.average_precision(metrics.precision_recall(found, npig, (100,)), npig, 1, prefixes=(100,))
     return table.select("category_name", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"), "npig")
@@ -52,9 +53,9 @@ def summary_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, det = truths(spark, sf_dir), detections(spark, sf_dir)
     sets = view(spark, sf_dir, "fx_images").select("image_id", "dataset_id")
     pairs = pairs_2d(gt, det)
-    found = matching.match_greedy(gt, matching.rank_detections(det), pairs, metrics.THRESHOLDS_2D, metrics.AREAS_2D, near=matching.proximity(pairs)).persist()
+    found = matching.match_greedy(gt, matching.rank_detections(det), pairs, metrics.THRESHOLDS_2D, metrics.AREAS_2D, near=matching.proximity(pairs))
     by = ("scope", "category_name")
-    scoped = metrics.both_scopes(found.join(sets, "image_id"))
+    scoped = metrics.both_scopes(settled(found.join(sets, "image_id"), "matches"))
     npig = metrics.positives(metrics.both_scopes(gt.join(sets, "image_id")), metrics.AREAS_2D, by=by)
     curve = metrics.precision_recall(scoped, npig, by=by, ties=("dataset_id", "image_id", "rank", "det_id"))
     out = metrics.summarize(metrics.average_precision(curve, npig, 10, by), metrics.average_recall(scoped, npig, 10, by), "2D", ("scope",))
@@ -82,12 +83,30 @@ def iou_pairs_3d_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, det = truths(spark, sf_dir), detections(spark, sf_dir)
-    found = matching.match_greedy(gt, matching.rank_detections(det), pairs_3d(gt, det), metrics.THRESHOLDS_3D, metrics.AREAS_3D, "depth").persist()
+    found = settled(matching.match_greedy(gt, matching.rank_detections(det), pairs_3d(gt, det), metrics.THRESHOLDS_3D, metrics.AREAS_3D, "depth"), "matches")
     npig = metrics.positives(gt, metrics.AREAS_3D, "depth")
     out = metrics.summarize(metrics.average_precision(metrics.precision_recall(found, npig), npig, 10), metrics.average_recall(found, npig, 10), "3D")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+def iou_pairs_3d_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, each image's scene turned about y and tilted about x: the boxes are clipped, their IoU stays."""
+    pairs = pairs_3d(truths(spark, sf_dir), detections(spark, sf_dir)).where("iou > 0")
+    t, s = (F.col("image_id") % 7) * 0.2 + 0.1, (F.col("image_id") % 5) * 0.15 + 0.05
+    c, n, a, b = F.cos(t), F.sin(t), F.cos(s), F.sin(s)
+    turned = pairs.withColumn("r", F.array(F.array(c, F.lit(0.0), n), F.array(n * b, a, -c * b), F.array(-n * a, b, c * a)))
+    corners = (geometry.box_corners(geometry.times(F.col("r"), F.col(f"{x}.c")), F.col(f"{x}.s"), F.col("r")) for x in "gd")
+    return turned.select("ann_id", "det_id", F.round(iou3d(*corners) + 1e-8, 5).alias("iou"))
+
+
+def category_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP at IoU .5 in percent of every category, and means over two vocabularies, one of them with a name that no truth has."""
+    table = ap50_by_category(spark, sf_dir).withColumns({"area_range": F.lit("all"), "thr": F.lit(0), "max_dets": F.lit(100)})
+    each = settled(metrics.category_ap(table), "categories")
+    means = metrics.vocabulary_mean(each, {"two": ["ECONOMY", "SMALL"], "partly": ["ECONOMY", "nothing"]})
+    return each.select(F.col("category_name").alias("name"), F.round(F.col("ap") + 1e-9, 4).alias("ap")).unionByName(means.select(F.col("vocabulary").alias("name"), F.round(F.col("ap") + 1e-9, 4).alias("ap")))
+
+
 def nearest_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = matching.nearest_truth(pairs_2d(truths(spark, sf_dir), detections(spark, sf_dir)))
     return best.select("det_id", "ann_id", F.round(F.col("iou") + 1e-9, 6).alias("iou"))
@@ -109,7 +128,7 @@ def proposal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     counting = cross.where("NOT ignore").select("det_id", "ann_id", boxes.iou2d(F.col("g"), F.col("d")).alias("iou"))
     covered = cross.where("ignore").select("det_id", boxes.ioa2d(F.col("d"), F.col("g")).alias("ioa"))
     out = matching.label_proposals(counting, det, covered)
-    return out.select("det_id", "ann_id", F.round("iou", 6).alias("iou"), "label")
+    return out.select("det_id", "ann_id", F.round(F.col("iou") + 1e-9, 6).alias("iou"), "label")
 
 
 def nms_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +146,7 @@ def assignment_2d_to_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = gt.join(det.select("det_id", "image_id", "category_name", "d"), ["image_id", "category_name"])
     score = boxes.alignment_score(boxes.alignment_metrics(F.col("g"), F.col("d")))
     out = matching.assign_2d_to_3d(pairs.select("image_id", "category_name", "det_id", F.col("ann_id").alias("cand_id"), score.alias("score")))
-    return out.select("det_id", "cand_id", F.round("score", 6).alias("score"))
+    return out.select("det_id", "cand_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 _IOU2D = """(greatest(least(g.x2, d.x2) - greatest(g.x1, d.x1), 0) * greatest(least(g.y2, d.y2) - greatest(g.y1, d.y1), 0))
@@ -172,6 +191,8 @@ QUERIES = {
     "summary_2d": summary_2d,
     "iou_pairs_3d": iou_pairs_3d,
     "iou_pairs_3d_general": iou_pairs_3d_general,
+    "iou_pairs_3d_rotated": iou_pairs_3d_rotated,
+    "category_means": category_means,
     "summary_3d": summary_3d,
     "nearest_truths": nearest_truths,
     "localisation": localisation,
@@ -198,18 +219,33 @@ ORACLE = {
         SELECT det_id, rank, matched, coalesce((SELECT NOT valid3d FROM fx_annotations a WHERE a.ann_id = matched), false) AS ignored FROM walk"""),
     "iou_pairs_3d": with_views(f"WITH p AS ({_IOU3D}) SELECT ann_id, det_id, round(vol / (both_vol - vol) + 1e-9, 6) AS iou FROM p WHERE vol / (both_vol - vol) > 0"),
     "iou_pairs_3d_general": with_views(f"WITH p AS ({_IOU3D}) SELECT ann_id, det_id, round(vol / (both_vol - vol) + 1e-8, 5) AS iou FROM p WHERE vol / (both_vol - vol) > 0"),
+    "iou_pairs_3d_rotated": with_views(f"WITH p AS ({_IOU3D}) SELECT ann_id, det_id, round(vol / (both_vol - vol) + 1e-8, 5) AS iou FROM p WHERE vol / (both_vol - vol) > 0"),
     "nearest_truths": with_views(f"WITH {_PAIRS} SELECT det_id, arg_max(ann_id, (iou, -ann_id)) AS ann_id, round(max(iou) + 1e-9, 6) AS iou FROM pairs WHERE iou >= 0.5 GROUP BY 1"),
     "localisation": with_views(f"""WITH {_PAIRS}, best AS (SELECT det_id, arg_max(ann_id, (iou, -ann_id)) AS ann_id FROM pairs WHERE iou >= 0.5 GROUP BY 1)
         SELECT count(*) AS n, round(avg(sqrt(power((g.x1 + g.x2) / 2 - (d.x1 + d.x2) / 2, 2) + power((g.y1 + g.y2) / 2 - (d.y1 + d.y2) / 2, 2))), 6) AS pixel_error, round(avg(abs(g.czm - d.czm)), 6) AS z_error,
                round(avg(abs(g.w3 - d.w3)), 6) AS w_error, round(avg(abs(g.h3 - d.h3)), 6) AS h_error, round(avg(abs(g.l3 - d.l3)), 6) AS l_error
         FROM best JOIN fx_annotations g USING (ann_id) JOIN fx_detections d USING (det_id)"""),
-    "proposal_labels": with_views(f"""WITH c AS (SELECT g.ann_id, g.valid3d, d.det_id, {_IOU2D} AS iou,
-            greatest(least(g.x2, d.x2) - greatest(g.x1, d.x1), 0) * greatest(least(g.y2, d.y2) - greatest(g.y1, d.y1), 0) / ((d.x2 - d.x1) * (d.y2 - d.y1)) AS ioa FROM fx_annotations g JOIN fx_detections d ON g.image_id = d.image_id),
-        b AS (SELECT det_id, arg_max(ann_id, (iou, -ann_id)) FILTER (valid3d) AS ann_id, coalesce(max(iou) FILTER (valid3d), 0) AS iou, coalesce(max(ioa) FILTER (NOT valid3d), 0) AS ioa FROM c GROUP BY 1)
-        SELECT d.det_id, CASE WHEN coalesce(iou, 0) >= 0.5 THEN ann_id END AS ann_id, round(coalesce(iou, 0) + 1e-9, 6) AS iou, CASE WHEN coalesce(iou, 0) >= 0.5 THEN 1 WHEN coalesce(ioa, 0) > 0.5 THEN -1 ELSE 0 END AS label
-        FROM fx_detections d LEFT JOIN b USING (det_id)"""),
+    "proposal_labels": with_views(f"""WITH c AS MATERIALIZED (SELECT g.ann_id, g.valid3d, d.det_id, {_IOU2D} AS iou,
+            greatest(least(g.x2, d.x2) - greatest(g.x1, d.x1), 0) * greatest(least(g.y2, d.y2) - greatest(g.y1, d.y1), 0) / ((d.x2 - d.x1) * (d.y2 - d.y1)) AS ioa FROM fx_annotations g JOIN fx_detections d ON g.image_id = d.image_id AND g.x1 < d.x2 AND d.x1 < g.x2 AND g.y1 < d.y2 AND d.y1 < g.y2),
+        b AS (SELECT det_id, max(iou) FILTER (valid3d) AS iou, max(ioa) FILTER (NOT valid3d) AS ioa FROM c GROUP BY 1),
+        f AS (SELECT c.det_id, min(c.ann_id) AS ann_id FROM c JOIN b ON c.det_id = b.det_id AND c.iou = b.iou WHERE c.valid3d AND c.iou >= 0.5 GROUP BY 1)
+        SELECT d.det_id, f.ann_id, round(coalesce(iou, 0) + 1e-9, 6) AS iou, CASE WHEN coalesce(iou, 0) >= 0.5 THEN 1 WHEN coalesce(ioa, 0) > 0.5 THEN -1 ELSE 0 END AS label
+        FROM fx_detections d LEFT JOIN b USING (det_id) LEFT JOIN f USING (det_id)"""),
     "nms_detections": with_views(f"""WITH RECURSIVE {_suppressed("score > 0.05", f"{_IOU2D} > 0.5")}, p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS place FROM walk WHERE kept)
         SELECT det_id, image_id, score, place FROM p WHERE place <= 5"""),
     "nms_by_quality": with_views(f"""WITH RECURSIVE {_suppressed("score > 0.1", f"{_IOU2D} >= 0.75 OR ({_IOU2D} >= 0.3 AND sqrt(power(g.cxm - d.cxm, 2) + power(g.cym - d.cym, 2) + power(g.czm - d.czm, 2)) <= 0.35 * (sqrt(g.w3 * g.w3 + g.h3 * g.h3 + g.l3 * g.l3) + sqrt(d.w3 * d.w3 + d.h3 * d.h3 + d.l3 * d.l3)) / 2)")}
         SELECT det_id, image_id, score AS quality FROM walk WHERE kept"""),
 }
+ORACLE["category_means"] = f"""WITH t AS ({ORACLE["ap50_by_category"]}), e AS (SELECT category_name AS name, ap * 100 AS ap FROM t)
+    SELECT name, round(ap + 1e-9, 4) AS ap FROM e UNION ALL SELECT 'two', (SELECT round(avg(ap) + 1e-9, 4) FROM e WHERE name IN ('ECONOMY', 'SMALL')) UNION ALL SELECT 'partly', NULL"""
+ORACLE["assignment_2d_to_3d"] = with_views(f"""WITH RECURSIVE c AS (SELECT g.image_id, g.category_name, g.ann_id AS cand_id, d.det_id, {_IOU2D} AS iou,
+        sqrt(power((g.x1 + g.x2) / 2 - (d.x1 + d.x2) / 2, 2) + power((g.y1 + g.y2) / 2 - (d.y1 + d.y2) / 2, 2)) / sqrt(power(d.x2 - d.x1, 2) + power(d.y2 - d.y1, 2)) AS apart,
+        (g.x2 - g.x1) * (g.y2 - g.y1) / ((d.x2 - d.x1) * (d.y2 - d.y1)) AS ratio FROM fx_annotations g JOIN fx_detections d ON g.image_id = d.image_id AND g.category_name = d.category_name),
+    p AS MATERIALIZED (SELECT image_id, category_name, det_id, cand_id, score, row_number() OVER (PARTITION BY image_id, category_name ORDER BY score DESC, det_id, cand_id) AS rk
+        FROM (SELECT *, iou - 0.05 * apart - 0.01 * abs(ln(greatest(ratio, 1e-6))) AS score FROM c)),
+    walk AS (SELECT image_id, category_name, rk, det_id, cand_id, score, true AS taken, [det_id] AS dets, [cand_id] AS cands FROM p WHERE rk = 1
+        UNION ALL SELECT p.image_id, p.category_name, p.rk, p.det_id, p.cand_id, p.score, NOT (list_contains(w.dets, p.det_id) OR list_contains(w.cands, p.cand_id)),
+            CASE WHEN list_contains(w.dets, p.det_id) OR list_contains(w.cands, p.cand_id) THEN w.dets ELSE list_append(w.dets, p.det_id) END,
+            CASE WHEN list_contains(w.dets, p.det_id) OR list_contains(w.cands, p.cand_id) THEN w.cands ELSE list_append(w.cands, p.cand_id) END
+        FROM walk w JOIN p ON p.image_id = w.image_id AND p.category_name = w.category_name AND p.rk = w.rk + 1)
+    SELECT det_id, cand_id, round(score + 1e-9, 6) AS score FROM walk WHERE taken""")

@@ -51,12 +51,16 @@ VIEWS: dict[str, str] = {
         ) u WHERE x2 > x1 AND y2 > y1
     """,
     "fx_mask_runs": """
-        SELECT CAST(user_id % 50 AS BIGINT) AS image_id, CAST(user_id AS BIGINT) AS inst_id, CAST(event_id % 48 AS INT) AS v,
+        SELECT CAST(floor(user_id / 20) AS BIGINT) AS image_id, CAST(user_id AS BIGINT) AS inst_id, CAST(event_id % 48 AS INT) AS v,
                CAST((event_id * 37) % 40 AS INT) AS u0, CAST((event_id * 37) % 40 + 1 + (event_id * 11) % 20 AS INT) AS u1
         FROM events
     """,
+    "fx_lines": """
+        SELECT CAST(floor(user_id / 20) AS BIGINT) AS image_id, CAST(event_id % 48 AS INT) AS v, CAST(max(event_id) % 50 AS BIGINT) AS base
+        FROM events GROUP BY CAST(floor(user_id / 20) AS BIGINT), CAST(event_id % 48 AS INT)
+    """,
     "fx_points": """
-        SELECT CAST(user_id % 50 AS BIGINT) AS image_id, CAST(user_id AS BIGINT) AS inst_id, CAST(event_id AS BIGINT) AS pt_id, CAST((event_id * 37) % 640 AS DOUBLE) AS u,
+        SELECT CAST(floor(user_id / 20) AS BIGINT) AS image_id, CAST(user_id AS BIGINT) AS inst_id, CAST(event_id AS BIGINT) AS pt_id, CAST((event_id * 37) % 640 AS DOUBLE) AS u,
                CAST((event_id * 53) % 480 AS DOUBLE) AS v, 1 + ((event_id * 97) % 500) / CAST(100 AS DOUBLE) AS depth
         FROM events
     """,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from annolake.functions import geometry
 from annolake.operators import gates, points, raster, suppression
 from annolake.plans.fixtures import view, with_views
 from annolake.sources import documents
+from annolake.sources.shared import shared_path
 from annolake.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,17 @@ def fitted_boxes(spark, sf_dir):
     return out.select("inst_id", "n", F.round(F.col("dx") + 1e-9, 4).alias("dx"), F.round(F.col("dy") + 1e-9, 4).alias("dy"), F.round(F.col("dz") + 1e-9, 4).alias("dz"), "ok")
 
 
-@_query()
+@_query(f"""WITH {_XYZ}, e AS (SELECT inst_id, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM pts GROUP BY 1),
+    c AS (SELECT inst_id, i * 2 + j AS proposal, (x0 + x1) / 2 + sx * (x1 - x0) / 2 AS ax, (z0 + z1) / 2 + sz * (z1 - z0) / 2 AS az, sx * CASE WHEN j = 0 THEN 3.0 ELSE 2.0 END AS lx, sz * CASE WHEN j = 0 THEN 2.0 ELSE 3.0 END AS lz
+        FROM e CROSS JOIN (VALUES (0, 1, 1), (1, -1, 1), (2, -1, -1), (3, 1, -1)) s(i, sx, sz) CROSS JOIN range(2) t(j)),
+    b AS (SELECT inst_id, proposal, least(ax, ax - lx) AS xl, greatest(ax, ax - lx) AS xh, least(az, az - lz) AS zl, greatest(az, az - lz) AS zh FROM c),
+    m AS (SELECT b.*, p.z, CASE WHEN p.x = 0 THEN 1e-4 ELSE p.x END AS x, p.z / (CASE WHEN p.x = 0 THEN 1e-4 ELSE p.x END) AS s FROM b JOIN pts p USING (inst_id)),
+    r AS (SELECT inst_id, proposal, x > xl AND x < xh AND z > zl AND z < zh AS inside, list_sort(list_filter([
+        CASE WHEN xl * s BETWEEN zl AND zh THEN {{'r': xl * xl + (xl * s) * (xl * s), 'f': abs(xl - x) + abs(xl * s - z)}} END, CASE WHEN xh * s BETWEEN zl AND zh THEN {{'r': xh * xh + (xh * s) * (xh * s), 'f': abs(xh - x) + abs(xh * s - z)}} END,
+        CASE WHEN zl / s BETWEEN xl AND xh THEN {{'r': (zl / s) * (zl / s) + zl * zl, 'f': abs(zl / s - x) + abs(zl - z)}} END, CASE WHEN zh / s BETWEEN xl AND xh THEN {{'r': (zh / s) * (zh / s) + zh * zh, 'f': abs(zh / s - x) + abs(zh - z)}} END], lambda t: t IS NOT NULL))[1].f AS far FROM m),
+    l AS (SELECT inst_id, proposal, avg(CASE WHEN inside THEN 1.0 ELSE 0 END) AS inside, CASE WHEN count(far) >= 3 THEN avg(far) + 5.0 * (1 - avg(CASE WHEN inside THEN 1.0 ELSE 0 END)) ELSE 'infinity'::DOUBLE END AS loss FROM r GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY loss, proposal) AS k FROM l)
+    SELECT inst_id, proposal::INT AS proposal, round(loss + 1e-9, 5) AS loss, round(inside + 1e-9, 5) AS inside FROM k WHERE k = 1""")
 def footprints(spark, sf_dir):
     """The best of the eight rectangles of size 2 x 3 for every object."""
     cloud = _cloud(spark, sf_dir)
@@ -169,7 +179,13 @@ def eroded_masks(spark, sf_dir):
     return out.groupBy("inst_id").agg(F.sum(F.col("u1") - F.col("u0") + 1).alias("pixels"))
 
 
-@_query()
+@_query("""WITH g AS (SELECT image_id, floor(u / 16)::INT AS u, floor(v / 16)::INT AS v, ln(min(depth)) AS d FROM fx_points GROUP BY 1, 2, 3),
+    n AS (SELECT a.image_id, a.u, a.v, any_value(a.d) AS d, max(b.d) FILTER (b.u - a.u = 1 AND b.v - a.v = -1) AS a1, max(b.d) FILTER (b.u - a.u = 1 AND b.v = a.v) AS a2, max(b.d) FILTER (b.u - a.u = 1 AND b.v - a.v = 1) AS a3,
+        max(b.d) FILTER (b.u - a.u = -1 AND b.v - a.v = -1) AS b1, max(b.d) FILTER (b.u - a.u = -1 AND b.v = a.v) AS b2, max(b.d) FILTER (b.u - a.u = -1 AND b.v - a.v = 1) AS b3, max(b.d) FILTER (b.u = a.u AND b.v - a.v = 1) AS c1, max(b.d) FILTER (b.u = a.u AND b.v - a.v = -1) AS c2
+        FROM g a JOIN g b ON a.image_id = b.image_id AND abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 GROUP BY 1, 2, 3),
+    e AS (SELECT *, sqrt(power(coalesce(a1, d) + 2 * coalesce(a2, d) + coalesce(a3, d) - coalesce(b1, d) - 2 * coalesce(b2, d) - coalesce(b3, d), 2) + power(coalesce(b3, d) + 2 * coalesce(c1, d) + coalesce(a3, d) - coalesce(b1, d) - 2 * coalesce(c2, d) - coalesce(a1, d), 2)) > 2 AS edge FROM n),
+    m AS (SELECT a.image_id, a.u, a.v, NOT bool_or(b.edge) AS good FROM e a JOIN e b ON a.image_id = b.image_id AND abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 GROUP BY 1, 2, 3)
+    SELECT image_id, CASE WHEN count(*) FILTER (good) < 20 OR count(*) FILTER (good) < 0.35 * count(*) THEN count(*) ELSE count(*) FILTER (good) END AS n FROM m GROUP BY 1""")
 def smooth_depth_pixels(spark, sf_dir):
     """Pixels away from depth edges, the pixels of an image on a coarse grid."""
     px = _cloud(spark, sf_dir).groupBy("image_id", F.floor(F.col("u") / 16).cast("int").alias("u"), F.floor(F.col("v") / 16).cast("int").alias("v")).agg(F.min("depth").alias("depth"))
@@ -177,13 +193,11 @@ def smooth_depth_pixels(spark, sf_dir):
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    """One depth line per image and row, 64 wide."""
-    img = view(spark, sf_dir, "fx_mask_runs").select("image_id").distinct()
-    rows = img.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("v"))
-    return rows.withColumn("depth", F.expr("transform(sequence(0, 63), u -> (1 + (image_id * 7 + v * 5 + u * 3) % 50 / 10D))"))
+    """One depth line, 64 wide, for each image and row that has an event."""
+    return view(spark, sf_dir, "fx_lines").select("image_id", "v", F.expr("transform(sequence(0, 63), u -> (1 + (base * 7 + u * 3) % 50 / 10D))").alias("depth"))
 
 
-@_query("""WITH b AS (SELECT inst_id, image_id, min(u0) AS x1, max(u1) AS x2, min(v) AS y1, max(v) AS y2 FROM fx_mask_runs GROUP BY 1, 2), d AS (SELECT inst_id, 1 + ((image_id * 7 + v * 5 + u * 3) % 50) / 10.0::DOUBLE AS d FROM b, unnest(range(y1, y2 + 1)) r(v), unnest(range(x1, x2 + 1)) c(u))
+@_query("""WITH b AS (SELECT inst_id, image_id, min(u0) AS x1, max(u1) AS x2, min(v) AS y1, max(v) AS y2 FROM fx_mask_runs GROUP BY 1, 2), d AS (SELECT inst_id, 1 + ((base * 7 + u * 3) % 50) / 10.0::DOUBLE AS d FROM b JOIN fx_lines l ON l.image_id = b.image_id AND l.v BETWEEN y1 AND y2, unnest(range(x1, x2 + 1)) c(u))
     SELECT inst_id, count(*) AS pixels, round(avg(CASE WHEN d BETWEEN 1.8 AND 4.2 THEN 1.0 ELSE 0 END) + 1e-9, 5) AS support, round(median(d) + 1e-9, 5) AS median, (count(*) >= 16 AND avg(CASE WHEN d BETWEEN 1.8 AND 4.2 THEN 1.0 ELSE 0 END) >= 0.2 AND abs(median(d) - 3) / 3 <= 0.5) AS ok FROM d GROUP BY 1""")
 def depth_supports(spark, sf_dir):
     b = view(spark, sf_dir, "fx_mask_runs").groupBy(F.col("inst_id"), "image_id").agg(*(e.cast("double").alias(n) for n, e in (("x1", F.min("u0")), ("x2", F.max("u1")), ("y1", F.min("v")), ("y2", F.max("v")))))
@@ -193,20 +207,20 @@ def depth_supports(spark, sf_dir):
 
 
 @_query(f"""WITH {_RUNS}, a AS (SELECT image_id, v, u, 1 + min(inst_id % 7) AS da FROM px GROUP BY 1, 2, 3), b AS (SELECT image_id, v, u + 1 AS u, 1 + min(inst_id % 5) AS db FROM px GROUP BY 1, 2, u), j AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, da, db FROM a FULL JOIN b ON a.image_id = b.image_id AND a.v = b.v AND a.u = b.u)
-    SELECT image_id, round(count(*) FILTER (da IS NOT NULL AND db IS NOT NULL)::DOUBLE / count(*) + 1e-9, 6) AS silhouette_iou, count(*) FILTER (da IS NOT NULL AND db IS NOT NULL) AS overlap, median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN da END) AS median_a FROM j GROUP BY 1""")
+    SELECT image_id, round(count(*) FILTER (da IS NOT NULL AND db IS NOT NULL)::DOUBLE / count(*) + 1e-9, 6) AS silhouette_iou, count(*) FILTER (da IS NOT NULL AND db IS NOT NULL) AS overlap, median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN da END) AS median_a, round(median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN abs(db - da) / da END) + 1e-9, 6) AS rel_error, median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN db - da END) AS bias FROM j GROUP BY 1""")
 def layer_alignments(spark, sf_dir):
     px = _merged(spark, sf_dir).select("image_id", "inst_id", "v", F.explode(F.sequence("u0", "u1")).alias("u"))
     a = px.groupBy("image_id", "v", "u").agg((1 + F.min(F.col("inst_id") % 7)).cast("double").alias("depth"))
     b = px.groupBy("image_id", "v", (F.col("u") + 1).alias("u")).agg((1 + F.min(F.col("inst_id") % 5)).cast("double").alias("depth"))
     out = raster.layer_alignment(a, b, ["image_id"])
     ok = gates.gate_alignment(F.col("silhouette_iou"), F.col("bbox_iou"), F.col("rel_error"), F.col("overlap"))
-    return out.withColumn("ok", ok).select("image_id", _r(F.col("silhouette_iou"), 6).alias("silhouette_iou"), "overlap", "median_a")
+    return out.withColumn("ok", ok).select("image_id", _r(F.col("silhouette_iou"), 6).alias("silhouette_iou"), "overlap", "median_a", _r(F.col("rel_error"), 6).alias("rel_error"), "bias")
 
 
-@_query("SELECT image_id, 'depth' AS channel, count(*) AS n, count(*) FILTER (depth < 1.5) AS nan, max(depth) AS max FROM fx_points GROUP BY 1")
+@_query("SELECT image_id, 'depth' AS channel, count(*) AS n, count(*) FILTER (depth < 1.5) AS nan, count(*) FILTER (depth > 5.5) AS inf, count(*) FILTER (depth BETWEEN 1.5 AND 5.5) AS valid, min(depth) FILTER (depth BETWEEN 1.5 AND 5.5) AS min, max(depth) FILTER (depth BETWEEN 1.5 AND 5.5) AS max FROM fx_points GROUP BY 1")
 def raster_healths(spark, sf_dir):
-    px = _cloud(spark, sf_dir).withColumn("depth", F.when(F.col("depth") < 1.5, float("nan")).otherwise(F.col("depth")))
-    return raster.raster_health(px, ["image_id"], ["depth"]).select("image_id", "channel", "n", "nan", "max")
+    px = _cloud(spark, sf_dir).withColumn("depth", F.when(F.col("depth") < 1.5, float("nan")).when(F.col("depth") > 5.5, float("inf")).otherwise(F.col("depth")))
+    return raster.raster_health(px, ["image_id"], ["depth"]).select("image_id", "channel", "n", "nan", "inf", "valid", "min", "max")
 
 
 def _steps(spark, sf_dir) -> DataFrame:
@@ -233,11 +247,9 @@ def streamed_throughput(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     steps = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run_id"), (F.col("value") / 100).alias("data_s"), (F.col("event_id") % 7).cast("double").alias("compute_s"), (F.col("event_id") % 3).cast("double").alias("eval_s"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    name = f"throughput_{abs(hash((sf_dir, tempfile.mktemp())))}"
-    q = jobs.throughput_stream(steps, "6 hours").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.table(name)
+    at = shared_path(spark, "throughput")
+    jobs.write_updates(jobs.throughput_stream(steps, "6 hours"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    out = jobs.latest_updates(spark, f"{at}/out", ["run_id", "start"])
     return out.groupBy("run_id").agg(F.sum("n").alias("n"), _r(F.sum(F.col("total_s") * F.col("n")) / F.sum("n")).alias("total_s"))
 
 

@@ -5,42 +5,92 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_convert(stream: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, retry: str, checkpoint: str, time_col: str = "modified", late: str = "1 hour") -> StreamingQuery:
-    """Convert each image once, append what is fine and keep what failed for a later try.
+    """Convert each image once, write what is fine and keep what failed, with its input, for retry_failed.
 
-    convert gives rows with `reason`, null where the row is fine. The checkpoint makes a restart go on where it ended.
+    convert gives rows with `reason`, null where the row is fine. The checkpoint makes a restart go on where it ended, and a
+    batch writes to folders named after it, so that a batch which runs again replaces what it wrote.
     """
     once = stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["image_id"])
 
-    def write(batch: DataFrame, _: int) -> None:
-        done = convert(batch).persist()
-        done.where("reason IS NULL").drop("reason").write.mode("append").parquet(out)
-        done.where("reason IS NOT NULL").select("image_id", "reason").write.mode("append").parquet(retry)
-        done.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        _convert_to(batch.persist(), convert, f"{out}/batch={number}", f"{retry}/batch={number}").unpersist()
 
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _convert_to(batch: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, retry: str) -> DataFrame:
+    done = convert(batch)
+    done.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(out)
+    failed = done.where("reason IS NOT NULL").select("image_id", "reason").distinct()
+    batch.join(failed, "image_id").write.mode("overwrite").parquet(retry)
+    return batch
+
+
+def retry_failed(spark: SparkSession, convert: Callable[[DataFrame], DataFrame], out: str, retry: str, attempt: int) -> DataFrame:
+    """Try the images that failed and have no result yet once more: what is fine joins the results, what fails again stays to be retried. Gives the images that are still open."""
+    failed = spark.read.option("mergeSchema", True).parquet(retry).drop("reason", "batch").dropDuplicates(["image_id"])
+    done = spark.read.option("mergeSchema", True).parquet(out).select("image_id").distinct()
+    open_ones = failed.join(done, "image_id", "left_anti").persist()
+    _convert_to(open_ones, convert, f"{out}/batch=retry-{attempt}", f"{retry}/batch=retry-{attempt}").unpersist()
+    return failed.join(spark.read.option("mergeSchema", True).parquet(out).select("image_id").distinct(), "image_id", "left_anti").select("image_id")
+
+
+def write_updates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """An aggregated stream in update mode: each batch's changed groups go to a folder of their own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("written", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """Of each group the row of the last batch that changed it."""
+    rows = spark.read.parquet(out).drop("batch")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "written").alias("r")).select(*keys, "r.*").drop("written")
+
+
 #: A step diverges above this many times the running mean, whose weight for a new step this is.
 TOLERANCE, GAMMA = 4.0, 0.02
 
 
 def divergence(steps: DataFrame, tolerance: float = TOLERANCE, gamma: float = GAMMA) -> DataFrame:
     """(run_id, iteration, loss, ema, diverging): the mean starts at twice the first loss and skips diverging steps. Batch form."""
-    lists = steps.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("iteration", F.coalesce("loss", F.lit(float("nan"))).alias("loss")))).alias("s"))
-    fold = F.expr(f"""
-        aggregate(s, named_struct('ema', cast(null AS double), 'out', cast(array() AS array<struct<iteration:bigint,loss:double,ema:double,diverging:boolean>>)), (a, x) ->
-            transform(array(coalesce(a.ema, CASE WHEN isnan(x.loss) THEN double('infinity') ELSE 2 * x.loss END)), ema ->
-                transform(array(isnan(x.loss) OR abs(x.loss) = double('infinity') OR x.loss > {tolerance} * ema), bad ->
-                    transform(array(CASE WHEN bad THEN ema WHEN ema = double('infinity') THEN 2 * x.loss ELSE ema * (1 - {gamma}D) + x.loss * {gamma}D END), next ->
-                        named_struct('ema', next, 'out', concat(a.out, array(named_struct('iteration', x.iteration, 'loss', x.loss, 'ema', next, 'diverging', bad)))))[0])[0])[0])
-    """)
-    return lists.select("run_id", F.explode(fold["out"]).alias("o")).select("run_id", "o.*")
+    schema = "run_id long, iteration long, loss double, ema double, diverging boolean"
+    rows = steps.select(F.col("run_id").cast("long").alias("run_id"), F.col("iteration").cast("long").alias("iteration"), F.col("loss").cast("double").alias("loss"))
+    # A run comes in order, batch by batch; only its running mean is carried from one batch to the next.
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "iteration").mapInPandas(_carry(tolerance, gamma), schema)
+
+
+def _carry(tolerance: float, gamma: float):
+    def carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, ema = None, None
+        for frame in frames:
+            means, marks = [], []
+            for own, loss in zip(frame["run_id"].tolist(), frame["loss"].tolist(), strict=True):
+                ema, bad = _step(None if own != run else ema, loss, tolerance, gamma)
+                run = own
+                means.append(ema), marks.append(bad)
+            yield frame.assign(ema=means, diverging=marks)
+
+    return carry
+
+
+def _step(ema: float | None, loss: float | None, tolerance: float, gamma: float) -> tuple[float, bool]:
+    """The running mean after a step, and whether the step diverges."""
+    bad_number = loss is None or loss != loss or abs(loss) == float("inf")
+    if ema is None:
+        ema = float("inf") if bad_number else 2 * loss
+    if bad_number or loss > tolerance * ema:
+        return ema, True
+    return (2 * loss if ema == float("inf") else ema * (1 - gamma) + loss * gamma), False
 
 
 def restart_signal(marked: DataFrame, period: int, share: float = 0.25) -> DataFrame:
@@ -55,12 +105,7 @@ def _watch(tolerance: float, gamma: float):
         rows = pd.concat(list(frames)).sort_values(["ts", "iteration"])
         out = []
         for it, loss in zip(rows["iteration"], rows["loss"], strict=True):
-            bad_number = loss is None or loss != loss or abs(loss) == float("inf")
-            if ema is None:
-                ema = float("inf") if bad_number else 2 * loss
-            bad = bad_number or loss > tolerance * ema
-            if not bad:
-                ema = 2 * loss if ema == float("inf") else ema * (1 - gamma) + loss * gamma
+            ema, bad = _step(ema, loss, tolerance, gamma)
             out.append((key[0], it, loss, ema, bad))
         state.update((ema,))
         yield pd.DataFrame(out, columns=["run_id", "iteration", "loss", "ema", "diverging"])

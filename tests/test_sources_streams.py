@@ -71,3 +71,6 @@ def test_convert_stream_once(spark, tmp_path):
         jobs.stream_convert(stream, *args).awaitTermination()
     assert sorted(r.image_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 4]
     assert [r.image_id for r in spark.read.parquet(str(tmp_path / "retry")).collect()] == [3]
+    fixed = lambda b: b.select("image_id", F.lit(None).cast("string").alias("reason"))
+    left = [sorted(r.image_id for r in jobs.retry_failed(spark, f, *args[1:3], k).collect()) for k, f in enumerate((convert, fixed, fixed))]
+    assert left == [[3], [], []] and sorted(r.image_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
