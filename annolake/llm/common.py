@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds; with whole texts in the rows this bounds what a Python worker holds at once.
-BATCH_ROWS = 512
-
+from annolake.sources.shared import settled, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where the setting is missing, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-annolake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+__all__ = ["BATCH_ROWS", "id_bucket", "partitions", "settled", "shared_dir", "small_batches", "table", "text_or_empty"]
 
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    Only the committed attempt of a task is in the table, so ids that a task made up are consistent in it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/annolake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows an Arrow batch holds; with whole texts in the rows this bounds what a Python worker holds at once.
+BATCH_ROWS = 512
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
