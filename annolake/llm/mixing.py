@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership, in DataFrame functions only.
 
-A classifier learnt from the labelled table gives every document a posterior over domains (Gaussian naive
-Bayes over the rates of a few marks in the text, one aggregate over a bounded sample of the labelled rows).
+A classifier learnt from the labelled table gives every document a posterior over domains: multinomial naive
+Bayes over hashed words and hashed word forms, its counts one aggregate over a bounded sample of the labelled rows.
 A document's tokens count for each domain by its posterior. Nonnegative document rates are then fitted so
 that the expected token totals of the domains match the targets: least squares by projected gradient, where
 each step needs one aggregate over the documents for the totals (as many numbers as domains) and moves every
@@ -10,12 +10,16 @@ rate by its posterior times the scaled residuals, then back onto the allowed ran
 Defined results: a null or empty text has no tokens, the prior's posterior, and is rated like any other;
 rows without a domain are never learnt from; targets of domains that the labelled rows lack are left out and
 the others scaled up; with nothing to learn from every rate is 1; repeated rows are rated alike; an id with
-several labels counts for each; further input columns are ignored.
+several labels counts for each; rows with a null id or an id that repeats are rated each for itself; equal
+posteriors: the domain first by name; an empty table gives an empty result; further input columns are ignored.
+If the fit ends off the targets (they contradict one another or the allowed range), it warns with the residual,
+and mixed_totals gives the totals that were reached.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,12 +27,10 @@ from pyspark.sql import functions as F
 
 from annolake.llm.common import settled, text_or_empty
 
-#: Marks whose rates (per thousand bytes) describe a text.
-MARKS = ("é", "è", "ç", "ñ", "ó", "í", "ä", "ü", "ß", " the ", " of ", " de ", " la ", " der ", " und ", "!", "%", "$", "|", "*", "&", ".", ",")
-#: Bytes added to a text's size in its rates, and bytes at which its evidence counts for half.
-SMOOTHED, HALF_EVIDENCE = 100, 300
-#: How far a domain's variances are drawn to those within all domains.
-POOLED = 0.8
+#: Buckets of hashed words and of hashed word forms (each run of small letters or of capitals as one sign).
+BUCKETS = 2048
+#: Words at which a text's evidence counts for half of what it says, and the prior count of a bucket.
+HALF_EVIDENCE, ALPHA = 40, 0.2
 #: Rates that the projected gradient may change before they are written out, its most steps, and the relative residual at which it ends.
 UNROLLED, STEPS, CLOSE = 8, 64, 1e-4
 #: The fit also ends when a step leaves more than this share of the squared residuals: the allowed range holds it back.
@@ -36,32 +38,39 @@ STALLED = 0.998
 
 
 def _features(text: Column) -> Column:
-    size = F.octet_length(text)
-    rates = [F.log1p((size - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / F.lit(float(len(m.encode()))) * 1000.0 / (size + SMOOTHED)) for m in MARKS]
-    upper = F.log1p(F.regexp_count(text, F.lit("[A-Z]")) * 1000.0 / (size + SMOOTHED))
-    return F.array(*rates, upper)
+    """Bucket numbers of the text's words, lower-cased, and of their forms."""
+    def hashed(c: Column, first: int) -> Column:
+        return F.transform(F.array_remove(F.split(c, r"\s+"), ""), lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)) + first)
+
+    forms = F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
+    return F.concat(hashed(F.lower(text), 0), hashed(forms, BUCKETS))
 
 
 def fit_domains(df: DataFrame, labelled: DataFrame, text_col: str, id_col: str, max_labelled: int = 20_000) -> list:
-    """Name, prior, means and variances of each domain. labelled: id, domain; at most max_labelled rows, chosen by a hash of the id."""
+    """Name, share and log-probabilities of the buckets of each domain. labelled: id, domain; at most max_labelled rows, chosen by a hash of the id.
+
+    What comes to the driver has as many rows as domains times buckets at most.
+    """
     sample = labelled.where("id IS NOT NULL AND domain IS NOT NULL").orderBy(F.xxhash64(F.lit(19), "id"), "id").limit(max_labelled)
-    seen = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").select("domain", _features(F.col("text")).alias("x"))
-    n = len(MARKS) + 1
-    stats = seen.groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(n)), *(F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(n))).orderBy("domain").collect()
-    total = sum(r.n for r in stats)
-    pooled = [sum(r.n * r[f"v{i}"] for r in stats) / total for i in range(n)] if stats else []
-    return [(r.domain, r.n, [r[f"m{i}"] for i in range(n)], [max((1 - POOLED) * r[f"v{i}"] + POOLED * pooled[i], 0.02) for i in range(n)]) for r in stats]
+    seen = settled(df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").select("domain", _features(F.col("text")).alias("x")), "mix-sample")
+    shares = {r.domain: r["count"] for r in seen.groupBy("domain").count().orderBy("domain").collect()}
+    counts = {d: np.zeros(2 * BUCKETS) for d in shares}
+    for r in seen.select("domain", F.explode("x").alias("b")).groupBy("domain", "b").count().collect():
+        counts[r.domain][r.b] = r["count"]
+    # Words and forms are two independent draws, each with its own total.
+    logs = {d: np.concatenate([np.log((part + ALPHA) / (part.sum() + ALPHA * BUCKETS)) for part in c.reshape(2, -1)]) for d, c in counts.items()}
+    return [(d, n / sum(shares.values()), logs[d]) for d, n in shares.items()]
+
 
+def log_posteriors(x: Column, model: list) -> list[Column]:
+    """Unscaled log-posteriors, one for each domain of the model: multinomial naive Bayes, of which a longer text's evidence is tempered."""
+    tempered = F.lit(float(HALF_EVIDENCE)) / (F.size(x) / F.lit(2.0) + HALF_EVIDENCE)
 
-def log_posteriors(x: Column, size: Column, model: list) -> list[Column]:
-    """Unscaled log-posteriors, one for each domain of the model. A short text's evidence counts for less."""
-    total = sum(n for _, n, _, _ in model)
-    logs = []
-    for _, n, means, variances in model:
-        const = -0.5 * sum(math.log(2 * math.pi * v) for v in variances)
-        evidence = sum(((F.get(x, i) - m) * (F.get(x, i) - m) * (-0.5 / v) for i, (m, v) in enumerate(zip(means, variances, strict=True))), F.lit(const))
-        logs.append(F.lit(math.log(n / total)) + evidence * size / (size + HALF_EVIDENCE))
-    return logs
+    def evidence(logs: np.ndarray) -> Column:
+        table = F.lit(logs)
+        return F.aggregate(x, F.lit(0.0), lambda total, b: total + F.get(table, b))
+
+    return [F.lit(math.log(share)) + evidence(logs) * tempered for _, share, logs in model]
 
 
 def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", max_rate: float | None = None, max_labelled: int = 20_000, row_col: str | None = None) -> DataFrame:
@@ -74,15 +83,15 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     text = text_or_empty(text_col)
     model = fit_domains(df, labelled, text_col, id_col, max_labelled)
-    names = [d for d, *_ in model]
+    names = [d for d, _, _ in model]
     k = range(len(names))
     hashed = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(23), text)).otherwise(F.xxhash64(F.lit(23), F.col(id_col))), F.lit(1 << 53)) / float(1 << 53)
     key, key_back = ([F.col(row_col).alias("row")], [F.col("row").alias(row_col)]) if row_col else ([], [])
     carried = ["row"] if row_col else []
-    rows = df.select(*key, F.col(id_col).alias("id"), hashed.alias("u"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n"), _features(text).alias("x"), F.octet_length(text).alias("size"))
+    rows = df.select(*key, F.col(id_col).alias("id"), hashed.alias("u"), _features(text).alias("x")).withColumn("n", (F.size("x") / 2).cast("long"))
     if not names:
         return rows.select(*key_back, F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    logs = rows.select(*carried, "id", "u", "n", *(c.alias(f"l{i}") for i, c in zip(k, log_posteriors(F.col("x"), F.col("size"), model), strict=True)))
+    logs = rows.select(*carried, "id", "u", "n", *(c.alias(f"l{i}") for i, c in zip(k, log_posteriors(F.col("x"), model), strict=True)))
     top = F.greatest(*(F.col(f"l{i}") for i in k)) if len(names) > 1 else F.col("l0")
     logs = logs.withColumn("top", top)
     scale = sum((F.exp(F.col(f"l{i}") - F.col("top")) for i in k), F.lit(0.0))
@@ -98,7 +107,8 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
         totals = state.select("n", rate.alias("r"), *(f"p{i}" for i in k)).agg(*(F.coalesce(F.sum(F.col("n") * F.col(f"p{i}") * F.col("r")), F.lit(0.0)) for i in k)).first()
         residual = np.array(list(totals)) - wanted
         error = float((weight * residual**2).sum())
-        if np.abs(residual).max() <= CLOSE * max(wanted.sum(), 1e-9) or error > STALLED * before:
+        off = float(np.abs(residual).max()) / max(wanted.sum(), 1e-9)
+        if off <= CLOSE or error > STALLED * before:
             break
         before = error
         move = sum((F.col(f"p{i}") * float(step * weight[i] * residual[i]) for i in k), F.lit(0.0))
@@ -108,6 +118,8 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
         unrolled += 1
         if unrolled == UNROLLED:
             state, rate, unrolled = settled(state.withColumn("r", rate), "mix-state"), F.col("r"), 0
+    if off > 10 * CLOSE:
+        warnings.warn(f"the domain totals miss their targets by up to {off:.2%} of all wanted tokens", stacklevel=2)
     out = state.withColumn("r", F.round(rate, 6))
     best = F.greatest(*(F.col(f"p{i}") for i in k)) if len(names) > 1 else F.col("p0")
     domain = F.coalesce(*(F.when(F.col(f"p{i}") == best, F.lit(names[i])) for i in k))
@@ -118,6 +130,13 @@ def mix_to_targets(df: DataFrame, labelled: DataFrame, targets: dict[str, float]
     return out.select(*key_back, F.col("id").alias(id_col), F.col("n").alias("n_tokens"), domain.alias("domain"), posterior.alias("posterior"), F.col("r").alias("rate"), copies.alias("copies"))
 
 
+def mixed_totals(mixed: DataFrame) -> DataFrame:
+    """(domain, tokens_before, tokens, share): expected token totals of the domains in a result of mix_to_targets."""
+    rows = mixed.select("n_tokens", "rate", F.explode("posterior").alias("domain", "p"))
+    totals = rows.groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("p")).alias("tokens_before"), F.sum(F.col("n_tokens") * F.col("p") * F.col("rate")).alias("tokens"))
+    return totals.crossJoin(F.broadcast(totals.agg(F.sum("tokens").alias("all")))).select("domain", "tokens_before", "tokens", (F.col("tokens") / F.col("all")).alias("share"))  # one row
+
+
 def _wanted(there: np.ndarray, names: list[str], targets: dict[str, float | None], max_rate: float | None) -> np.ndarray:
     """Token totals to reach, from the totals that are there."""
     fixed = np.array([float(targets.get(d) or 0.0) if targets.get(d, 0.0) is not None else np.nan for d in names])
