@@ -4,11 +4,14 @@ Folding maps homoglyphs, accented letters and digit substitutions to plain lette
 is no letter to a space. The lexicon holds whole words and word beginnings; each one's weight is a lower
 bound of its log-odds in the labelled training rows. Words that begin like a lexicon entry but are clean
 in training become exception phrases; more can be given. A text's score sets its matched weight against
-its length. Labels are learnt from a bounded sample of the labelled rows (max_labelled).
+its length. Labels are learnt from a bounded sample of the labelled rows (max_labelled), which bounds the lexicon
+and the exception phrases too: their entries come from that sample alone.
 
 Defined results: a null or empty text scores 0; null labels are never learnt from; without a toxic
 training row every score is 0; repeated rows are scored alike; an id with several labels counts as
-toxic if one of them is; further input columns are ignored.
+toxic if one of them is; a row with a null id is scored and counts as not held out, and is never learnt from; a
+text whose score is just the threshold is toxic; an empty table gives an empty result; further input columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -134,7 +137,7 @@ def density(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     return weight / np.log2(4.0 + words)
 
 
-def learn_lexicon(df: DataFrame, labels: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", toxic_col: str = "toxic", max_labelled: int = 40_000, max_entries: int = 4_000, exceptions: Sequence[str] = ()) -> Lexicon:
+def learn_lexicon(df: DataFrame, labels: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", toxic_col: str = "toxic", max_labelled: int = 40_000, exceptions: Sequence[str] = ()) -> Lexicon:
     """Learn from at most max_labelled labelled rows for which learn holds (chosen by a hash of the id)."""
     spark = df.sparkSession
     small_batches(spark)
@@ -153,11 +156,11 @@ def learn_lexicon(df: DataFrame, labels: DataFrame, learn: Column, text_col: str
     a, c = F.col("bad") + 0.5, F.col("good") + 0.5
     weight = F.log(a / (n.bad + 1)) - F.log(c / (n.good + 1)) - 2 * F.sqrt(1 / a + 1 / c)
     toxic_entries = entries.withColumn("w", weight).where((F.col("w") > 0.7) & (F.col("bad") >= least) & (F.col("bad") >= 20 * F.col("good")))
-    weights = {r.entry: float(r.w) for r in toxic_entries.orderBy(F.desc("bad"), "entry").limit(max_entries).select("entry", "w").collect()}
+    weights = {r.entry: float(r.w) for r in toxic_entries.select("entry", "w").collect()}
     beginnings = spark.createDataFrame([(e,) for e in weights if not e.endswith(" ")], "entry string")
     clean = entries.where(f"good >= 2 AND bad = 0 AND endswith(entry, ' ') AND length(entry) >= {SHORTEST} + 2")
     clean = clean.select(F.col("entry").alias("word"), "good", F.explode(F.expr(f"transform(sequence({SHORTEST}, least(length(entry) - 2, {LONGEST})), i -> substring(entry, 1, i + 1))")).alias("entry"))
-    spared = clean.join(F.broadcast(beginnings), "entry", "left_semi").groupBy("word").agg(F.max("good").alias("good")).orderBy(F.desc("good"), "word").limit(max_entries)
+    spared = clean.join(F.broadcast(beginnings), "entry", "left_semi").select("word").distinct()
     tables = _fold_tables()
     given = [" " + " ".join(fold(x, tables).split()) + " " for x in exceptions]
     lexicon = Lexicon(weights, [*(r.word for r in spared.collect()), *given])
@@ -197,4 +200,4 @@ def toxicity(df: DataFrame, labels: DataFrame, learn: Column, text_col: str = "t
     """id_col, held_out (not learnt from), score, predicted (score >= .5)."""
     lexicon = learn_lexicon(df, labels, learn, text_col, id_col, **options)
     scored = score_toxicity(df, lexicon, text_col, id_col)
-    return scored.select(id_col, (~learn).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(id_col, F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
