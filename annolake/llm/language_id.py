@@ -198,6 +198,6 @@ def identify_language(df: DataFrame, learn: Column, text_col: str = "text", lang
     """id_col, held_out (not learnt from), lang_pred, score (share of the best language, 0 to 1), cross_entropy, rejected."""
     models = train_language_models(df, learn, text_col, lang_col, id_col, rows_per_lang)
     shared = df.sparkSession.sparkContext.broadcast(models)
-    rows = df.select(F.col(id_col).alias("id"), (~learn).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(~learn, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_predictor(shared, ["id", "held_out"]), f"id {df.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
