@@ -47,8 +47,8 @@ BY_CLASS = {1: 16, 3: 17, 6: 12, 7: 16}
 #: Predictors whose context is the slot itself; those of the others are hashed.
 DIRECT = (0, 1, 6)
 K, GATES, BUCKETS = len(SLOTS), len(SLOTS) + 1, 33
-#: The most classes; class 0 takes all values that are not among the frequent ones.
-CLASSES = 6
+#: The most classes, as many as the class tables have room for; class 0 takes all values that are not among the frequent ones.
+CLASSES = 8
 #: (token, class) pairs handled at once, and the prior count of either bit.
 CHUNK, PRIOR = 12_000, 0.05
 MIXES = tuple(i / 20 for i in range(20))
@@ -113,7 +113,7 @@ def blocks_of_texts(classes: int):
             return pa.RecordBatch.from_arrays([pa.repeat((task << 24) + blocks, n), *(own[f.name] if f.name in own else pa.nulls(n, f.type) for f in fields)], names=["block", *(f.name for f in fields)])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lengths = np.array([len(x[3]) for x in docs])
+            lengths, sizes = np.array([len(x[3]) for x in docs]), np.array([x[4] for x in docs])
             flat, held = np.concatenate([x[3] for x in docs]), np.array([bool(x[1]) for x in docs])
             cls = np.array([x[2] for x in docs])
             train = [np.bincount(flat[np.repeat(~held & (cls == c), lengths)], minlength=len(index)) for c in range(classes)]
@@ -125,7 +125,7 @@ def blocks_of_texts(classes: int):
                 j = min(i + ROW_TEXTS, len(docs))
                 part = slice(ends[i], ends[j])
                 ids = pa.concat_arrays([x[0] for x in docs[i:j]])
-                yield rows(1, ids=pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids), held=pa.array([held[i:j].tolist()]), lengths=pa.array([lengths[i:j].tolist()], pa.list_(pa.int64())), blob=pa.array([_packed(flat[part], state[part], hit[part])]))
+                yield rows(1, ids=pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids), held=pa.array([held[i:j].tolist()]), lengths=pa.array([lengths[i:j].tolist()], pa.list_(pa.int64())), sizes=pa.array([sizes[i:j].tolist()], pa.list_(pa.int64())), blob=pa.array([_packed(flat[part], state[part], hit[part])]))
             tokens = list(index)
             for i in range(0, len(tokens), 50_000):
                 part = tokens[i : i + 50_000]
@@ -136,13 +136,13 @@ def blocks_of_texts(classes: int):
         for batch in batches:
             keys = batch.column("id")
             fields = fields or [
-                pa.field("ids", pa.list_(keys.type)), pa.field("held", pa.list_(pa.bool_())), pa.field("lengths", pa.list_(pa.int64())), pa.field("blob", pa.binary()),
+                pa.field("ids", pa.list_(keys.type)), pa.field("held", pa.list_(pa.bool_())), pa.field("lengths", pa.list_(pa.int64())), pa.field("sizes", pa.list_(pa.int64())), pa.field("blob", pa.binary()),
                 pa.field("token", pa.binary()), pa.field("place", pa.int32()), *(pa.field(f"t{c}", pa.int64()) for c in range(classes)), pa.field("seen", pa.list_(pa.int64())), pa.field("hits", pa.list_(pa.int64())),
             ]
             for i, (held, cls, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("held_out", "cls", "text")), strict=True)):
                 tokens = (text or b"").lower().split()
                 tokens.append(END)
-                docs.append((keys.slice(i, 1), held, cls, np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))))
+                docs.append((keys.slice(i, 1), held, cls, np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens)), len(text or b"")))
                 size += len(text or b"")
                 if size >= BLOCK_BYTES:
                     yield from flush()
@@ -304,7 +304,8 @@ def refined_log(stretched: np.ndarray, depth: np.ndarray, bit: np.ndarray, table
     a, b = table
     at = depth.astype(np.int64) * BUCKETS + _bucket(stretched)
     p = a.ravel()[at] + b.ravel()[at] / (1 + np.exp(-stretched))
-    return np.log(np.clip(np.where(bit, p, 1 - p), np.float32(1e-7), np.float32(1)))
+    p = np.clip(p, np.float32(1e-7), np.float32(1 - 1e-7))  # so that both values of a bit add up to 1
+    return np.log(np.where(bit, p, 1 - p))
 
 
 def _train(shared, by_class: list[int]):
@@ -315,8 +316,8 @@ def _train(shared, by_class: list[int]):
             tokens, cls, n = _pairs(tokens, n)
             bits = Bits(tokens, cls)
             x, gate = bits.inputs(counts)
-            # A frequent token teaches as one of middling frequency, so that it does not rule a step.
-            w = np.repeat(np.minimum(n, 50), bits.per_token).astype(np.float32)
+            # A frequent token teaches by the order of its frequency, so that it does not rule a step.
+            w = np.repeat(1 + np.log(n), bits.per_token).astype(np.float32)
             s = mixer.mixed(x, gate)
             if mixer.seen:  # predicted before it is learnt from
                 p = np.exp(np.add.reduceat(refined_log(s, bits.depth, bits.bit, mixer.refinement()), bits.first))
@@ -394,14 +395,14 @@ def _sum_docs(n_all: int, v: int, prior: np.ndarray, trust: np.ndarray):
             top = total.max(axis=1)
             score = (top + np.log(np.exp(total - top[:, None]).sum(axis=1))) / np.log(10)
             known = segment_sums((c > 0)[ids].astype(np.float64), lengths)
-            out.append(pa.table({"id": docs.column("ids")[r].values, "held_out": docs.column("held")[r].values, "n_tokens": pa.array(lengths, pa.int64()), "n_known": known.astype(np.int64), "base_score": segment_sums(base[ids], lengths), "score": score}))
+            out.append(pa.table({"id": docs.column("ids")[r].values, "held_out": docs.column("held")[r].values, "n_tokens": pa.array(lengths, pa.int64()), "n_known": known.astype(np.int64), "base_score": segment_sums(base[ids], lengths), "score": score, "bits_per_byte": -score / np.log10(2) / (np.array(docs.column("sizes")[r].as_py()) + 1)}))
         return pa.concat_tables(out)
 
     return sums
 
 
 def lm_scores(df: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", class_col: str | None = "lang") -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (log10 probability)."""
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (log10 probability), bits_per_byte (over the text's bytes and its end)."""
     spark = df.sparkSession
     small_batches(spark)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -413,10 +414,10 @@ def lm_scores(df: DataFrame, learn: Column, text_col: str = "text", id_col: str
     classes = len(common) + 1 if class_col else 1
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(~learn, F.lit(False)).alias("held_out"), cls.alias("cls"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
     ts = [f"t{c}" for c in range(classes)]
-    schema = f"block long, ids array<{id_type}>, held array<boolean>, lengths array<long>, blob binary, token binary, place int, {', '.join(f'{t} long' for t in ts)}, seen array<long>, hits array<long>"
+    schema = f"block long, ids array<{id_type}>, held array<boolean>, lengths array<long>, sizes array<long>, blob binary, token binary, place int, {', '.join(f'{t} long' for t in ts)}, seen array<long>, hits array<long>"
     blocks = settled(rows.mapInArrow(blocks_of_texts(classes), schema), "lm-blocks")
     own = blocks.where("place IS NOT NULL")
-    # A token's list has as many entries as there are blocks.
+    # A token's list has as many entries as there are blocks: 12 bytes for each 32 MB of text, 40 MB at 100 TB.
     tokens = settled(own.groupBy("token").agg(*(F.sum(t).alias(t) for t in ts), F.collect_list(F.struct("block", "place")).alias("places")), "lm-tokens")
     any_train = " + ".join(ts)
     *by_class, v = tokens.agg(*(F.coalesce(F.sum(t), F.lit(0)) for t in ts), F.expr(f"count_if({any_train} > 0)")).first()
@@ -443,6 +444,6 @@ def lm_scores(df: DataFrame, learn: Column, text_col: str = "text", id_col: str
     del counts
     scored = tokens.mapInArrow(_score(spark.sparkContext.broadcast((tables, sure, mixer, mix)), by_class), "c long, lp binary, places array<struct<block:long,place:int>>")
     values = scored.select(F.explode("places").alias("at"), "c", "lp").select(F.col("at.block").alias("of_block"), "at.place", "c", "lp")
-    docs = blocks.where("ids IS NOT NULL").select("block", "ids", "held", "lengths", "blob")
-    out = docs.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(_sum_docs(n_all, v, prior, trust), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = blocks.where("ids IS NOT NULL").select("block", "ids", "held", "lengths", "sizes", "blob")
+    out = docs.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(_sum_docs(n_all, v, prior, trust), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
