@@ -121,7 +121,7 @@ def _descend(k: int):
 
 def _lists(pairs: DataFrame, k: int) -> DataFrame:
     """(id, near): the k best others of each, best first."""
-    return pairs.groupBy("id").agg(F.collect_set(F.struct("sim", "other")).alias("all")).select("id", F.expr("slice(array_sort(all, (x, y) -> CASE WHEN x.sim > y.sim THEN -1 WHEN x.sim < y.sim THEN 1 WHEN x.other < y.other THEN -1 WHEN x.other > y.other THEN 1 ELSE 0 END), 1, 100000)").alias("near")).select(
+    return pairs.groupBy("id").agg(F.collect_set(F.struct("sim", "other")).alias("all")).select("id", F.expr("array_sort(all, (x, y) -> CASE WHEN x.sim > y.sim THEN -1 WHEN x.sim < y.sim THEN 1 WHEN x.other < y.other THEN -1 WHEN x.other > y.other THEN 1 ELSE 0 END)").alias("near")).select(
         "id", F.expr(f"slice(filter(near, (x, i) -> i = 0 OR x.other <> near[i - 1].other), 1, {k})").alias("near")
     )
 
