@@ -13,7 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annolake.llm import embedding_dedup, lm_scoring, ngram_join
+from annolake.llm import embedding_dedup, lm_scoring, mixing, ngram_join
+from annolake.llm import quality as quality_module
 from annolake.llm.common import id_bucket
 from annolake.llm.embedding_dedup import near_duplicate_vectors
 from annolake.llm.exact_dedup import exact_dedup
@@ -326,3 +327,110 @@ def test_bounded_domain_below_its_limit(spark):
     labelled = spark.createDataFrame([(i, "low" if i == 0 else "en") for i in range(100)], "id long, domain string")
     got = mix_to_targets(table(spark, rows_of(texts)), labelled, {"en": None, "low": 0.02}, max_rate=1.0).collect()
     assert all(r.copies == 1 for r in got if r.doc_id)
+
+
+def test_domain_posteriors_by_hand(spark, corpus):
+    """Posteriors, rates and totals recomputed from the hashed counts."""
+    texts, langs, _, good = corpus
+    labelled = spark.createDataFrame([(i, "low" if not good[i] else langs[i]) for i in range(150)], "id long, domain string")
+    docs = table(spark, rows_of(texts, langs))
+    buckets = {r.doc_id: r.x for r in docs.select("doc_id", mixing._features(F.coalesce("text", F.lit(""))).alias("x")).collect()}
+    count, n = defaultdict(Counter), Counter()
+    for r in labelled.collect():
+        n[r.domain] += 1
+        count[r.domain].update(buckets[r.id])
+    def log_p(d, b):
+        same = [c for x, c in count[d].items() if (x < mixing.BUCKETS) == (b < mixing.BUCKETS)]
+        return math.log((count[d][b] + mixing.ALPHA) / (sum(same) + mixing.ALPHA * mixing.BUCKETS))
+    result = mix_to_targets(docs, labelled, {"en": 0.5, "de": 0.4, "low": 0.1})
+    got = {r.doc_id: r for r in result.collect()}
+    for i in (0, 1, 3, 161, 165, 168):
+        x = buckets[i]
+        tempered = mixing.HALF_EVIDENCE / (len(x) / 2 + mixing.HALF_EVIDENCE)
+        logs = {d: math.log(n[d] / 150) + sum(log_p(d, b) for b in x) * tempered for d in n}
+        top = max(logs.values())
+        total = sum(math.exp(v - top) for v in logs.values())
+        assert all(got[i].posterior[d] == pytest.approx(math.exp(v - top) / total, abs=1e-9) for d, v in logs.items()) and len(x) == 2 * got[i].n_tokens
+    share = {r.domain: r.share for r in mixing.mixed_totals(result).collect()}
+    assert share == pytest.approx({"en": 0.5, "de": 0.4, "low": 0.1}, abs=1e-3)
+
+
+def test_kneser_ney_by_hand(spark):
+    """The dense model against the recursion of interpolated modified Kneser-Ney over Python counts."""
+    rng = random.Random(2)
+    texts = [sentence(rng, "en", 40) for _ in range(30)]
+    of = quality_module.class_table()
+    grams = Counter(quality_module.text_grams(texts, of)[0].tolist())
+    counted = spark.createDataFrame([(int(g), int(k)) for g, k in grams.items()], "gram long, k long")
+    alpha, gamma = quality_module.modified_kneser_ney(counted)
+    model = quality_module.dense_model(alpha.toPandas(), gamma.toPandas())
+    levels, c = {quality_module.ORDER: grams}, quality_module.CLASSES
+    for n in range(quality_module.ORDER - 1, 0, -1):
+        levels[n] = Counter(g % c**n for g in levels[n + 1])
+    def discounts(n):
+        t = [0, *(sum(k == i for k in levels[n].values()) for i in (1, 2, 3, 4))]
+        y = t[1] / (t[1] + 2 * t[2])
+        return [0, *(min(max(i - (i + 1) * y * t[i + 1] / t[i] if t[i] else i * 0.5, 0.05), i - 0.05) for i in (1, 2, 3))]
+    d = {n: discounts(n) for n in levels}
+    after = {n: defaultdict(list) for n in levels}
+    for n, level in levels.items():
+        for g, k in level.items():
+            after[n][g // c].append(k)
+    def p(n, gram):
+        if n == 0:
+            return 1 / c
+        gram %= c**n
+        own = after[n].get(gram // c)
+        lower = p(n - 1, gram)
+        if not own:
+            return lower
+        k = levels[n].get(gram, 0)
+        return max(k - d[n][min(k, 3)], 0) / sum(own) + sum(d[n][min(x, 3)] for x in own) / sum(own) * lower
+    for gram in [*list(grams)[:200], *(rng.randrange(c**quality_module.ORDER) for _ in range(200))]:
+        assert math.exp(model[gram]) == pytest.approx(p(quality_module.ORDER, gram), rel=1e-4)
+
+
+def test_language_models_by_hand(spark):
+    """The language whose characters a text shares wins; equal models tie to the first by name."""
+    rng = random.Random(4)
+    texts = [sentence(rng, "en" if i % 2 else "de", 30) for i in range(40)]
+    docs = table(spark, rows_of([*texts, texts[0], texts[1]], ["en" if i % 2 else "de" for i in range(40)] + [None, None]))
+    got = {r.doc_id: r for r in identify_language(docs, F.col("doc_id") < 40).collect()}
+    assert (got[40].lang_pred, got[41].lang_pred) == ("de", "en") and got[40].held_out and not got[0].held_out
+
+
+OPERATORS = {
+    "op1": lambda docs, labels: exact_dedup(docs, keep="max").select("doc_id", "group_size", "text_sha256"),
+    "op2": lambda docs, labels: quality(docs, labels).select("doc_id", "perplexity", "kept"),
+    "op3": lambda docs, labels: encode_pieces(docs, PIECE_MODEL).select("doc_id", "pieces"),
+    "op4": lambda docs, labels: lm_scores(docs, id_bucket("doc_id", 7) != 2).select("doc_id", "n_tokens", "held_out", "base_score", "bits_per_byte"),
+    "op5": lambda docs, labels: mix_to_targets(docs, labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "low").otherwise("en").alias("domain")), {"en": 0.9, "low": 0.1}).select("doc_id", "n_tokens", "rate"),
+    "op6": lambda docs, labels: jaccard_components(docs).select("doc_id", "n_shingles", "component_id"),
+    "op8": lambda docs, labels: toxicity(docs, labels, id_bucket("doc_id", 5) != 0).select("doc_id", "held_out", "score", "predicted"),
+    "op9": lambda docs, labels: balanced_shards(docs, 4).select("doc_id", "size", "shard"),
+    "op10": lambda docs, labels: identify_language(docs, id_bucket("doc_id", 3) != 1).select("doc_id", "held_out", "lang_pred"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_tables_and_repeated_rows(spark, corpus, name):
+    """An empty table gives an empty result. Rows that repeat and null ids keep a row each, repeated rows alike."""
+    texts, langs, toxic, good = corpus
+    labels = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate(zip(good, toxic, strict=True))], "doc_id long, quality int, toxic int")
+    assert OPERATORS[name](table(spark, []), labels).count() == 0
+    rows = rows_of(texts[:60], langs[:60])
+    rows += rows[:3] + [(None, *rows[5][1:]), (None, *rows[5][1:])]
+    got = OPERATORS[name](table(spark, rows), labels).collect()
+    assert len(got) == len(rows)
+    for i in (0, 1, 2, None):
+        own = [tuple(r)[1:] for r in got if r.doc_id == i]
+        assert len(own) == 2 and own[0] == own[1]
+    if "held_out" in got[0]:
+        assert all(r.held_out is not None for r in got)
+
+
+def test_vectors_empty_and_repeated(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
+    got = near_duplicate_vectors(spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (None, [1.0, 0.0], 0)], schema)).collect()
+    assert len(got) == 4 and {(r.vec_id, r.component_id) for r in got} == {(1, 1), (2, 1), (None, None)}
