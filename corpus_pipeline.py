@@ -44,22 +44,31 @@ def _first_of_each(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity lexicon scores below .5. Null and empty texts score 0 and stay; repeated rows are judged alike,
+    rows with a null id by their text; without a toxic label everything stays; an empty table stays empty."""
     rows = _keyed(docs)
     lexicon = learn_lexicon(rows, table(spark, sf_dir, "labels"), id_bucket("doc_id", 5) != 0, "text", "doc_id")
     return _staying(rows, score_toxicity(rows, lexicon, id_col=ROW).where("score < 0.5"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text (null counts as empty): the one with the smallest id, a null id only where no other is there, and
+    of rows that repeat an id the first written. An empty table stays empty."""
     rows = _keyed(docs)
     return _staying(rows, _first_of_each(rows, exact_dedup(rows, id_col=ROW, keep="min"), "keep_id"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of texts that share at least 80 % of their five-word shingles, chosen like a text's row in
+    remove_copies. A text without words is linked with nothing and stays. An empty table stays empty."""
     rows = _keyed(docs)
     return _staying(rows, _first_of_each(rows, jaccard_components(rows, n=5, percent=80, id_col=ROW), "component_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the mixture keeps: low-quality text down to LOW_SHARE of the tokens, the languages in their own proportions. A
+    row is kept or not by its rate and a hash of its id, or of its text where that is null. Null and empty texts are rated
+    like any other; without labels everything stays; an empty table stays empty."""
     rows = _keyed(docs)
     domains = quality_domains(table(spark, sf_dir, "labels"), rows)
     targets = {d.domain: None for d in domains.where("domain IS NOT NULL").select("domain").distinct().collect()} | {"low": LOW_SHARE}
@@ -68,6 +77,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's id with the pieces of its text, their number, and whether they decode to the text. A null text has null
+    pieces, an empty one none."""
     return encode_pieces(docs, PIECE_MODEL)
 
 
