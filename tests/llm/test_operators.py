@@ -14,7 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolake.llm import embedding_dedup, lm_scoring, mixing, ngram_join
+from annolake.llm import language_id
 from annolake.llm import quality as quality_module
+from annolake.llm import toxicity as toxicity_module
 from annolake.llm.common import id_bucket
 from annolake.llm.embedding_dedup import near_duplicate_vectors
 from annolake.llm.exact_dedup import exact_dedup
@@ -399,6 +401,139 @@ def test_language_models_by_hand(spark):
     assert (got[40].lang_pred, got[41].lang_pred) == ("de", "en") and got[40].held_out and not got[0].held_out
 
 
+def test_document_scores_by_hand():
+    """Match states and a text's probability against a walk over its tokens."""
+    rng = random.Random(9)
+    docs = [[rng.randrange(6) for _ in range(rng.randrange(1, 40))] for _ in range(20)]
+    flat, lengths = np.concatenate([np.array(d) for d in docs]), np.array([len(d) for d in docs])
+    state, hit = lm_scoring.matches(flat, lengths)
+    p = np.random.default_rng(1).dirichlet(np.ones(6), 3).T  # by token, then class
+    prior, trust, c = np.array([0.5, 0.3, 0.2]), np.array([0.0, 0.2, 0.5, 0.4, 0.9]), np.array([3, 0, 1, 4, 0, 2])
+    tokens = pa.table({"place": pa.array(range(6), pa.int32()), "c": c, "lp": pa.array([r.tobytes() for r in np.log(p).astype(np.float32)], pa.binary())})
+    whole = pa.table({"ids": [list(range(20))], "held": [[False] * 20], "lengths": [lengths.tolist()], "sizes": [(lengths * 5).tolist()], "blob": pa.array([lm_scoring._packed(flat, state, hit)], pa.binary())})
+    got = lm_scoring._sum_docs(10, 4, prior, trust)(whole, tokens).to_pylist()
+    at = 0
+    for d, r in zip(docs, got, strict=True):
+        named, total = {1: [False] * len(d), 2: [False] * len(d)}, prior.copy()
+        for i, t in enumerate(d):
+            s, h = 0, False
+            for order in (1, 2):
+                before = [j for j in range(order, i) if d[j - order : j] == d[i - order : i]] if i >= order else []
+                if before:
+                    s, h = 2 * order - 1 + named[order][i - 1], d[before[-1]] == t
+                    named[order][i] = h
+            assert (state[at], hit[at]) == (s, h)
+            total *= (1 - trust[s]) * p[t] + trust[s] * h
+            at += 1
+        assert r["score"] == pytest.approx(math.log10(total.sum()), rel=1e-5)
+        assert r["bits_per_byte"] == pytest.approx(-math.log2(total.sum()) / (5 * len(d) + 1), rel=1e-5)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 1) / 15) for t in d)) and r["n_known"] == sum(c[t] > 0 for t in d)
+
+
+def test_bit_counts_by_hand():
+    """Counts of the predictors whose contexts are not hashed, and probabilities of a byte's values that add up to 1."""
+    words, n = [b"abc", b"abd", b"b", b""], np.array([[2, 1], [0, 3], [1, 0], [4, 4]])
+    batch = pa.RecordBatch.from_pydict({"token": pa.array(words, pa.binary()), "t0": n[:, 0], "t1": n[:, 1]})
+    got = {k: np.zeros((1 << lm_scoring.SLOTS[k], 2)) for k in (0, 1)}
+    for b in lm_scoring._count_bits(2)(iter([batch])):
+        for r in b.to_pylist():
+            if r["k"] in got:
+                part = np.frombuffer(r["counts"], np.float32).reshape(-1, 2)
+                got[r["k"]][r["piece"] * len(part) : (r["piece"] + 1) * len(part)] = part
+    want = {k: np.zeros_like(v) for k, v in got.items()}
+    for w, row in zip(words, n, strict=True):
+        coded = w + b" " if w else b"\n"
+        for cls, k in enumerate(row):
+            for depth, byte in enumerate(coded):
+                node = 1
+                for shift in range(7, -1, -1):
+                    bit = byte >> shift & 1
+                    last = coded[depth - 1] if depth else 0
+                    want[0][depth << 8 | node, bit] += k
+                    want[1][cls << 16 | last << 8 | node, bit] += k
+                    node = node << 1 | bit
+    assert all((got[k] == want[k]).all() for k in got)
+    mixer = lm_scoring.Mixer()
+    mixer.remember(np.linspace(-9, 9, 50), np.arange(50) % 16, np.arange(50) % 3 == 0, np.ones(50))
+    s, depth = np.linspace(-15, 15, 64), np.arange(64) % 16
+    both = [np.exp(lm_scoring.refined_log(s, depth, np.full(64, b), mixer.refinement())) for b in (False, True)]
+    assert np.allclose(both[0] + both[1], 1)
+
+
+def test_language_entropies_by_hand(spark):
+    """Cross-entropy and score against the recursion of interpolated Kneser-Ney over Python counts."""
+    rng = random.Random(8)
+    texts = [sentence(rng, "en" if i % 2 else "de", 12) for i in range(24)]
+    langs = ["en" if i % 2 else "de" for i in range(24)]
+    extra = ["the thor q", "schein", "zzz", "a Ver2der!"]
+    got = {r.doc_id: r for r in identify_language(table(spark, rows_of([*texts, *extra], [*langs, *[None] * 4])), F.col("doc_id") < 24).collect()}
+
+    def words(text):
+        return [w for w in ("".join(filter(str.isalpha, t)) for t in text.lower().split()) if w]
+
+    order, logs = language_id.ORDER, {}
+    for lang in ("de", "en"):
+        levels = {n: Counter() for n in range(1, order + 1)}
+        for text, own in zip(texts, langs, strict=True):
+            for w in (f"\x02{w}\x03" for w in words(text) if own == lang):
+                levels[order].update(w[i : i + order] for i in range(len(w) - order + 1))
+                for n in range(2, order):
+                    levels[n][w[:n]] += 1
+        for n in range(order - 1, 0, -1):
+            for gram in levels[n + 1]:
+                levels[n][gram[1:]] += 1
+        d, after = {}, {}
+        for n, level in levels.items():
+            one, two = (sum(k == i for k in level.values()) for i in (1, 2))
+            d[n] = min(max(one / (one + 2 * two), 0.1), 0.95) if one else (0.1 if two else 0.5)
+            after[n] = defaultdict(list)
+            for gram, k in level.items():
+                after[n][gram[:-1]].append(k)
+
+        def p(history, c, d=d, after=after, levels=levels):
+            value = 1 / language_id.UNSEEN
+            for n in range(1, min(order, len(history) + 1) + 1):
+                context = history[len(history) - n + 1 :]
+                follow = after[n].get(context)
+                if follow:
+                    value = value * d[n] * len(follow) / sum(follow) + max(levels[n].get(context + c, 0) - d[n], 0) / sum(follow)
+            return value
+
+        logs[lang] = lambda text, p=p: sum(math.log(p(w[:i], w[i])) for w in (f"\x02{w}\x03" for w in words(text)) for i in range(1, len(w)))
+    for i, text in enumerate([*texts, *extra]):
+        n = sum(len(w) + 1 for w in words(text))
+        entropy = {lang: -log(text) / n for lang, log in logs.items()}
+        best = min(entropy, key=entropy.get)
+        assert got[i].lang_pred == best and got[i].cross_entropy == pytest.approx(entropy[best], rel=1e-3)
+        assert got[i].score == pytest.approx(1 / sum(math.exp(language_id.SHARPNESS * (entropy[best] - h)) for h in entropy.values()), rel=2e-2)
+
+
+def test_lexicon_by_hand(spark, corpus):
+    """Weights recounted from the labelled texts, and every text's score from a search of each entry at each place."""
+    texts, _, toxic, _ = corpus
+    marked = range(len(toxic))
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    docs = table(spark, rows_of(texts))
+    lexicon = toxicity_module.learn_lexicon(docs, labels, F.lit(True))
+    tables = toxicity_module._fold_tables()
+    folded = [" " + " ".join(toxicity_module.fold(t or "", tables).split()) + " " for t in texts]
+    sample = [i for i in marked if texts[i] is not None]
+    bad, good = (sum(toxic[i] == v for i in sample) for v in (1, 0))
+    assert lexicon.weights
+    for entry, w in lexicon.weights.items():
+        a, c = (sum(toxic[i] == v and entry in folded[i] for i in sample) + 0.5 for v in (1, 0))
+        assert w == pytest.approx(math.log(a / (bad + 1)) - math.log(c / (good + 1)) - 2 * math.sqrt(1 / a + 1 / c))
+    got = {r.doc_id: r for r in toxicity_module.score_toxicity(docs, lexicon).collect()}
+    for i, text in enumerate(folded):
+        spans = [(s, s + len(e)) for e in lexicon.exceptions for s in range(len(text)) if text.startswith(e, s)]
+        best = [max((w for e, w in lexicon.weights.items() if text.startswith(e, s)), default=0) for s in range(len(text)) if not any(a <= s < b - 1 for a, b in spans)]
+        dense = sum(best) / math.log2(4 + len(text.split()))
+        assert got[i].score == pytest.approx(dense / (dense + lexicon.theta))
+    # No other threshold makes fewer errors on the labelled texts.
+    dense = {i: got[i].weight / math.log2(4 + got[i].n_words) for i in sample}
+    assert sum((got[i].score >= 0.5) != toxic[i] for i in sample) == min(sum((x >= at) != toxic[i] for i, x in dense.items()) for at in [*dense.values(), math.inf])
+
+
 OPERATORS = {
     "op1": lambda docs, labels: exact_dedup(docs, keep="max").select("doc_id", "group_size", "text_sha256"),
     "op2": lambda docs, labels: quality(docs, labels).select("doc_id", "perplexity", "kept"),
