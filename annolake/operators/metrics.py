@@ -47,7 +47,7 @@ def precision_recall(matches: DataFrame, npig: DataFrame, prefixes: tuple[int, .
     better = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     held = rows.groupBy(*keys, "band").agg(F.sum("tp_row").alias("tp_in"), F.sum("fp_row").alias("fp_in"), F.count("*").alias("n_in"))
     held = held.select(*keys, "band", *(F.coalesce(F.sum(f"{c}_in").over(better), F.lit(0)).alias(f"{c}_0") for c in ("tp", "fp", "n")))
-    rows = rows.join(held, [*keys, "band"]).join(F.broadcast(npig), [*by, "area_range"])
+    rows = rows.join(held, [*keys, "band"]).join(npig, [*by, "area_range"])
     tp, total = F.col("tp") + F.col("tp_0"), F.col("tp") + F.col("tp_0") + F.col("fp") + F.col("fp_0")
     rows = rows.select(*keys, "band", (F.col("pos") + F.col("n_0")).alias("pos"), (tp / F.col("npig")).alias("rc"), ((tp - F.col("tp_row")) / F.col("npig")).alias("before"), F.when(total > 0, tp / total).otherwise(0.0).alias("pr"), "score", "npig")
     worse = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)

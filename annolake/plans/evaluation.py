@@ -82,8 +82,10 @@ def iou_pairs_3d_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirteen 3D statistics over all sets; IoUs to nine digits, so that equal ones tie whatever the order of their products."""
     gt, det = truths(spark, sf_dir), detections(spark, sf_dir)
-    found = settled(matching.match_greedy(gt, matching.rank_detections(det), pairs_3d(gt, det), metrics.THRESHOLDS_3D, metrics.AREAS_3D, "depth"), "matches")
+    pairs = pairs_3d(gt, det).withColumn("iou", F.round("iou", 9))
+    found = settled(matching.match_greedy(gt, matching.rank_detections(det), pairs, metrics.THRESHOLDS_3D, metrics.AREAS_3D, "depth"), "matches")
     npig = metrics.positives(gt, metrics.AREAS_3D, "depth")
     out = metrics.summarize(metrics.average_precision(metrics.precision_recall(found, npig), npig, 10), metrics.average_recall(found, npig, 10), "3D")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
@@ -249,3 +251,45 @@ ORACLE["assignment_2d_to_3d"] = with_views(f"""WITH RECURSIVE c AS (SELECT g.ima
             CASE WHEN list_contains(w.dets, p.det_id) OR list_contains(w.cands, p.cand_id) THEN w.cands ELSE list_append(w.cands, p.cand_id) END
         FROM walk w JOIN p ON p.image_id = w.image_id AND p.category_name = w.category_name AND p.rk = w.rk + 1)
     SELECT det_id, cand_id, round(score + 1e-9, 6) AS score FROM walk WHERE taken""")
+
+
+def _summary(pairs: str, first: float, size: str, areas: list[tuple[str, float, float]], named: tuple[tuple[str, int], ...], scopes: bool) -> str:
+    """The thirteen statistics. pairs: truths with detections of their image and category (ann_id, ign, gsize, det_id, iou).
+
+    Only detections that some truth overlaps are walked, each with its truths in order of preference for every area and threshold.
+    """
+    ranges = ", ".join(f"('{n}', {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in areas)
+    far = "coalesce((SELECT max(p.iou) FROM pairs p WHERE p.det_id = r.det_id), 0) <= 0.3" if scopes else "false"
+    parts = [n for n, *_ in areas[1:]]
+    stats = [("ap", "avg(ap) FILTER (name = 'all')"), *((n, f"avg(ap) FILTER (name = 'all' AND thr = {i})") for n, i in named), *((f"ap_{n}", f"avg(ap) FILTER (name = '{n}')") for n in parts)]
+    stats += [*((f"ar_{m}", f"avg(ar_{m}) FILTER (name = 'all')") for m in metrics.PREFIXES), *((f"ar_{n}", f"avg(ar_100) FILTER (name = '{n}')") for n in parts)]
+    both = "SELECT i.dataset_id::VARCHAR AS scope, i.dataset_id AS ds, x.* FROM {0} x JOIN fx_images i USING (image_id) UNION ALL SELECT '<Concat>', i.dataset_id, x.* FROM {0} x JOIN fx_images i USING (image_id)" if scopes else "SELECT '' AS scope, 0 AS ds, x.* FROM {0} x"
+    return with_views(f"""WITH RECURSIVE ranked AS (SELECT *, {size.format("d")} AS dsize, row_number() OVER (PARTITION BY image_id, category_name ORDER BY score DESC, det_id) AS rank FROM fx_detections d),
+    pairs AS MATERIALIZED ({pairs}),
+    area AS (SELECT * FROM (VALUES {ranges}) v(name, lo, hi)), th AS (SELECT i::INT AS thr, {first} + 0.05::DOUBLE * i AS t FROM range(10) v(i)),
+    likely AS MATERIALIZED (SELECT * FROM pairs WHERE iou >= {first}),
+    cand AS MATERIALIZED (SELECT image_id, category_name, det_id, row_number() OVER (PARTITION BY image_id, category_name ORDER BY rank) AS rk FROM ranked WHERE rank <= 100 AND det_id IN (SELECT det_id FROM likely)),
+    opts AS MATERIALIZED (SELECT l.det_id, name, thr, list(l.ann_id ORDER BY (NOT l.ign AND l.gsize >= lo AND l.gsize <= hi) DESC, l.iou DESC, l.ann_id DESC) AS anns FROM likely l CROSS JOIN area JOIN th ON l.iou >= t GROUP BY 1, 2, 3),
+    step AS MATERIALIZED (SELECT c.*, name, thr, coalesce(o.anns, []) AS anns FROM cand c CROSS JOIN area CROSS JOIN th LEFT JOIN opts o USING (det_id, name, thr)),
+    walk AS (SELECT image_id, category_name, name, thr, rk, det_id, anns[1] AS matched, anns[1:1] AS used FROM step WHERE rk = 1
+        UNION ALL SELECT s.image_id, s.category_name, s.name, s.thr, s.rk, s.det_id, list_filter(s.anns, lambda a: NOT list_contains(w.used, a))[1], list_concat(w.used, list_filter(s.anns, lambda a: NOT list_contains(w.used, a))[1:1])
+        FROM walk w JOIN step s ON s.image_id = w.image_id AND s.category_name = w.category_name AND s.name = w.name AND s.thr = w.thr AND s.rk = w.rk + 1),
+    truth AS (SELECT image_id, category_name, ann_id, NOT valid3d AS ign, {size.format("g")} AS gsize FROM fx_annotations g),
+    placed AS MATERIALIZED (SELECT r.image_id, r.category_name, r.det_id, r.rank, r.score, r.dsize, {far} AS far FROM ranked r WHERE r.rank <= 100),
+    match AS MATERIALIZED (SELECT r.image_id, r.category_name, r.det_id, r.rank, r.score, a.name, th.thr, w.matched,
+            CASE WHEN w.matched IS NULL THEN r.far OR r.dsize < a.lo OR r.dsize > a.hi ELSE r.far OR t.ign OR t.gsize < a.lo OR t.gsize > a.hi END AS ignored
+        FROM placed r CROSS JOIN area a CROSS JOIN th LEFT JOIN walk w ON w.det_id = r.det_id AND w.name = a.name AND w.thr = th.thr LEFT JOIN truth t ON t.ann_id = w.matched),
+    scoped AS ({both.format("match")}), counted AS ({both.format("truth")}),
+    npig AS (SELECT scope, category_name, name, count(*) AS npig FROM counted JOIN area ON NOT ign AND gsize >= lo AND gsize <= hi GROUP BY 1, 2, 3),
+    run AS (SELECT *, (matched IS NOT NULL AND NOT ignored)::INT AS hit, sum((matched IS NOT NULL AND NOT ignored)::INT) OVER o AS tp, sum((matched IS NULL AND NOT ignored)::INT) OVER o AS fp, row_number() OVER o AS pos
+        FROM scoped WINDOW o AS (PARTITION BY scope, category_name, name, thr ORDER BY score DESC, ds, image_id, rank, det_id ROWS UNBOUNDED PRECEDING)),
+    curve AS (SELECT scope, category_name, name, thr, pos, tp, tp - hit AS before, npig, max(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END) OVER (PARTITION BY scope, category_name, name, thr ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS env FROM run JOIN npig USING (scope, category_name, name)),
+    prec AS (SELECT scope, category_name, name, thr, sum(env * (100 * tp // npig - CASE WHEN pos = 1 THEN -1 ELSE 100 * before // npig END)) / 101 AS ap FROM curve GROUP BY 1, 2, 3, 4),
+    rec AS (SELECT scope, category_name, name, thr, {", ".join(f"sum(hit) FILTER (rank <= {m}) AS tp_{m}" for m in metrics.PREFIXES)} FROM run GROUP BY 1, 2, 3, 4),
+    each AS (SELECT n.scope, n.name, th.thr, coalesce(p.ap, 0) AS ap, {", ".join(f"coalesce(r.tp_{m}, 0) / npig::DOUBLE AS ar_{m}" for m in metrics.PREFIXES)}
+        FROM npig n CROSS JOIN th LEFT JOIN prec p ON p.scope = n.scope AND p.category_name = n.category_name AND p.name = n.name AND p.thr = th.thr LEFT JOIN rec r ON r.scope = n.scope AND r.category_name = n.category_name AND r.name = n.name AND r.thr = th.thr)
+    SELECT {"scope, " if scopes else ""}{", ".join(f"round({v}, 6) AS {n}" for n, v in stats)} FROM each GROUP BY scope""")
+
+
+ORACLE["summary_2d"] = _summary(f"SELECT g.ann_id, NOT g.valid3d AS ign, (g.x2 - g.x1) * (g.y2 - g.y1) AS gsize, d.det_id, {_IOU2D} AS iou FROM fx_annotations g JOIN ranked d ON g.image_id = d.image_id AND g.category_name = d.category_name", 0.5, "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)", metrics.AREAS_2D, (("ap50", 0), ("ap75", 5), ("ap95", 9)), True)
+ORACLE["summary_3d"] = _summary(f"SELECT v.ann_id, NOT g.valid3d AS ign, g.czm AS gsize, v.det_id, round(vol / (both_vol - vol), 9) AS iou FROM ({_IOU3D}) v JOIN fx_annotations g USING (ann_id)", 0.05, "{0}.czm", metrics.AREAS_3D, (("ap15", 2), ("ap25", 4), ("ap50", 9)), False)

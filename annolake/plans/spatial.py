@@ -165,7 +165,15 @@ def overlapping_masks(spark, sf_dir):
     return raster.mask_overlaps(_merged(spark, sf_dir)).select("a", "b", F.col("both").alias("both_px"), _r(F.col("iou"), 6).alias("iou"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_RUNS}, n AS (SELECT image_id, inst_id, count(*) AS n, (count(*) % 97) / 97.0::DOUBLE AS conf FROM px GROUP BY 1, 2),
+    o AS (SELECT x.inst_id AS a, y.inst_id AS b, count(*) AS shared_px FROM px x JOIN px y ON x.image_id = y.image_id AND x.v = y.v AND x.u = y.u AND x.inst_id <> y.inst_id GROUP BY 1, 2),
+    high AS (SELECT a, list(b) AS others FROM o JOIN n p ON p.inst_id = a JOIN n q ON q.inst_id = b WHERE shared_px::DOUBLE / (p.n + q.n - shared_px) > 0.3 GROUP BY 1),
+    m AS MATERIALIZED (SELECT image_id, inst_id, conf, coalesce(others, []) AS others, row_number() OVER (PARTITION BY image_id ORDER BY inst_id) AS rk FROM n LEFT JOIN high ON a = inst_id),
+    walk AS (SELECT image_id, rk, [{{'id': inst_id, 'conf': conf}}] AS kept FROM m WHERE rk = 1
+        UNION ALL SELECT image_id, rk, CASE WHEN met IS NULL THEN list_append(kept, own) WHEN own.conf > met.conf THEN list_append(list_filter(kept, lambda k: k.id <> met.id), own) ELSE kept END
+        FROM (SELECT m.image_id, m.rk, w.kept, {{'id': m.inst_id, 'conf': m.conf}} AS own, list_filter(w.kept, lambda k: list_contains(m.others, k.id))[1] AS met FROM walk w JOIN m ON m.image_id = w.image_id AND m.rk = w.rk + 1) s),
+    last AS (SELECT image_id, arg_max(kept, rk) AS kept FROM walk GROUP BY 1), p AS (SELECT image_id, unnest(kept) AS k, generate_subscripts(kept, 1) - 1 AS place FROM last)
+    SELECT image_id, k.id AS inst_id, k.conf AS conf, place FROM p""")
 def deduplicated_masks(spark, sf_dir):
     runs = _merged(spark, sf_dir)
     inst = runs.groupBy("image_id", "inst_id").agg((F.sum(F.col("u1") - F.col("u0") + 1) % 97 / 97.0).alias("conf"))
