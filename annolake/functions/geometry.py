@@ -108,6 +108,24 @@ def _extent(points: Column, axis: int, agg=F.array_min) -> Column:
     return agg(F.transform(points, lambda p: p[axis]))
 
 
+@bound
+def _image_box(xy: Column, width: Column, height: Column) -> Column:
+    """struct<raw, clipped>: the box around image points; null where it is not finite or nothing of it is inside the image."""
+    raw = F.array(_extent(xy, 0), _extent(xy, 1), _extent(xy, 0, F.array_max), _extent(xy, 1, F.array_max))
+    return _within(raw, width, height)
+
+
+@bound
+def _within(raw: Column, width: Column, height: Column) -> Column:
+    return _seen(raw, clip_box(raw, width, height))
+
+
+@bound
+def _seen(raw: Column, clipped: Column) -> Column:
+    x1, y1, x2, y2 = parts(clipped)
+    return F.when(all_finite(raw) & (x2 > x1) & (y2 > y1), F.struct(raw.alias("raw"), clipped.alias("clipped")))
+
+
 def project_box(corners: Column, fx: Column, fy: Column, cx: Column, cy: Column, width: Column, height: Column, behind: str = "null", near: float = 1e-6) -> Column:
     """struct<raw, clipped>: the 2D box of the projected corners.
 
@@ -129,10 +147,7 @@ def project_box(corners: Column, fx: Column, fy: Column, cx: Column, cy: Column,
         fine = ~F.exists(corners, lambda p: F.abs(p[2]) < 1e-6)
         if near > 1e-6:
             fine = fine & ~F.exists(corners, lambda p: p[2] <= near)
-    raw = F.array(_extent(xy, 0), _extent(xy, 1), _extent(xy, 0, F.array_max), _extent(xy, 1, F.array_max))
-    clipped = clip_box(raw, width, height)
-    x1, y1, x2, y2 = parts(clipped)
-    return F.when((F.size(corners) == 8) & fine & all_finite(raw) & (x2 > x1) & (y2 > y1), F.struct(raw.alias("raw"), clipped.alias("clipped")))
+    return F.when((F.size(corners) == 8) & fine, _image_box(xy, width, height))
 
 
 def box3d_valid(corners: Column, eps: float = 1e-4, least_area: float = 1e-8) -> Column:
@@ -160,8 +175,11 @@ def aabb_iou3d(center_a: Column, dims_a: Column, center_b: Column, dims_b: Colum
 
 def truncation(corners: Column, fx, fy, cx, cy, width: Column, height: Column) -> Column:
     """The share of the projected area that lies outside the image; 1 where the box is all behind."""
-    b = project_box(corners, fx, fy, cx, cy, width, height, behind="clamp")
-    behind = ~F.exists(corners, lambda p: p[2] > 0)
+    return _cut(project_box(corners, fx, fy, cx, cy, width, height, behind="clamp"), ~F.exists(corners, lambda p: p[2] > 0))
+
+
+@bound
+def _cut(b: Column, behind: Column) -> Column:
     x1, y1, x2, y2 = parts(b["raw"])
     c1, d1, c2, d2 = parts(b["clipped"])
     whole = (x2 - x1) * (y2 - y1)
