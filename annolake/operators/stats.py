@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolake.sources.shared import settled
+
 
 def field_stats(df: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by, field, n, min, max, mean, std, median): std over the population, the median exact."""
+    """(by, field, n, min, max, mean, std, median): std over the population, the median exact. Nulls are not counted; NaN is the largest value."""
     by = by or []
     pairs = ", ".join(f"'{f}', {f}" for f in fields)
     long = df.select(*by, F.expr(f"stack({len(fields)}, {pairs}) AS (field, value)")).where("value IS NOT NULL")
-    return long.groupBy(*by, "field").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.median("value").alias("median"))
+    own = long.groupBy(*by, "field").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return _joined(own, medians(long, [*by, "field"], "value"), [*by, "field"])
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joined by keys of which null equals null; the keys are kept once."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = functools.reduce(operator.and_, (left[k].eqNullSafe(right[f"_{k}"]) for k in keys))
+    return left.join(right, same, how).drop(*(f"_{k}" for k in keys))
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median) of the values that are not null, exact; the mean of the middle two where their number is even.
+
+    Values are counted and range-partitioned, so that many tasks share a group of any size. A table with a row
+    for each group and range tells which ranges hold the middle ranks; only these are put in order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = settled(counts.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "values")
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_here"))
+    ranges = ranges.select(*keys, "_range", "_here", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"), F.sum("_here").over(group).alias("_n"))
+    ranges = ranges.withColumn("_lo", F.expr("(_n - 1) DIV 2")).withColumn("_hi", F.expr("_n DIV 2"))
+    ranges = ranges.where((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_here") > F.col("_lo"))).drop("_here", "_n")
+    rows = _joined(ranged, ranges, [*keys, "_range"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    middle = rows.withColumn("_upto", upto).where((F.col("_upto") > F.col("_lo")) & (F.col("_upto") - F.col("_c") <= F.col("_hi")))
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
 
 
 def anomaly_report(df: DataFrame, rules: dict[str, Column], key: str, samples: int = 3) -> DataFrame:

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from annolake.operators import metrics
+from annolake.operators import metrics, stats
 from annolake.plans import registry
 from annolake.plans.fixtures import with_views
 from tests.oracle import connect
@@ -164,6 +165,22 @@ def test_envelope_over_bands(spark):
 
 
 def rng_id():
-    from pyspark.sql import functions as F
-
     return (F.col("det_id") % 10).cast("long")
+
+
+def test_medians_of_groups_that_many_ranges_share(spark):
+    """Odd and even numbers of values, repeated and single values, nulls as keys and values, NaN, and one group of most rows."""
+    nan = float("nan")
+    rows = [("a", float(v % 37)) for v in range(4001)] + [(None, float(v)) for v in range(10)] + [("b", 5.0), ("c", None), ("d", 1.0), ("d", nan), ("e", 2.0), ("e", None), ("e", 4.0)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    want = {r.k: r.m for r in df.where("value IS NOT NULL").groupBy("k").agg(F.median("value").alias("m")).collect()}
+    got = {r.k: r.median for r in stats.medians(df, ["k"], "value").collect()}
+    assert repr(sorted(got.items(), key=repr)) == repr(sorted(want.items(), key=repr))
+    assert set(got) == {"a", "b", "d", "e", None}
+    assert stats.medians(df.limit(0), ["k"], "value").count() == 0
+
+
+def test_field_statistics_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0, 2.0), (None, 3.0, None), ("x", 5.0, 6.0)], "k string, u double, v double")
+    got = {(r.k, r.field): (r.n, r.mean, r.median) for r in stats.field_stats(df, ["u", "v"], ["k"]).collect()}
+    assert got == {(None, "u"): (2, 2.0, 2.0), (None, "v"): (1, 2.0, 2.0), ("x", "u"): (1, 5.0, 5.0), ("x", "v"): (1, 6.0, 6.0)}
