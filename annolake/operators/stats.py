@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from annolake.sources.shared import settled
 
 
-def field_stats(df: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by, field, n, min, max, mean, std, median): std over the population, the median exact. Nulls are not counted; NaN is the largest value."""
+def field_stats(df: DataFrame, fields: list[str], by: list[str] | None = None, median: bool = True) -> DataFrame:
+    """(by, field, n, min, max, mean, std, median): std over the population, the median exact. Nulls are not counted; NaN is the largest value. The median, the only one that needs an order, can be left out."""
     by = by or []
     pairs = ", ".join(f"'{f}', {f}" for f in fields)
     long = df.select(*by, F.expr(f"stack({len(fields)}, {pairs}) AS (field, value)")).where("value IS NOT NULL")
     own = long.groupBy(*by, "field").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return _joined(own, medians(long, [*by, "field"], "value"), [*by, "field"])
+    return _joined(own, medians(long, [*by, "field"], "value"), [*by, "field"]) if median else own
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

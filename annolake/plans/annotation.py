@@ -279,7 +279,7 @@ _STATS_OF = lambda t: f"SELECT field, 'mean' AS stat, avg(value) AS value FROM (
 @_query(f"""WITH a AS ({_STATS_OF('fx_annotations')}), b AS ({_STATS_OF('fx_detections')}) SELECT field, stat, round(a.value + 1e-9, 6) AS a, round(b.value + 1e-9, 6) AS b, round(b.value - a.value + 1e-9, 6) AS delta, len(list_filter([CASE WHEN b.value / a.value > 2 OR b.value / a.value < 0.5 THEN 1 END, CASE WHEN abs(b.value / a.value - 1) > 0.5 THEN 1 END, CASE WHEN field LIKE 'c%' AND abs(b.value - a.value) > 1 THEN 1 END, CASE WHEN field LIKE 'c%' AND abs(b.value - a.value) > 5 THEN 1 END, CASE WHEN abs(b.value) > 10 THEN 1 END], lambda x: x IS NOT NULL)) AS findings FROM a FULL JOIN b USING (field, stat)""")
 def drift_of_versions(spark, sf_dir):
     def long(name: str) -> DataFrame:
-        return stats.field_stats(view(spark, sf_dir, name), list(_FIELDS)).select("field", F.lit("mean").alias("stat"), F.col("mean").alias("value"))
+        return stats.field_stats(view(spark, sf_dir, name), list(_FIELDS), median=False).select("field", F.lit("mean").alias("stat"), F.col("mean").alias("value"))
     out = stats.drift_findings(stats.compare_versions(long("fx_annotations"), long("fx_detections"), ["field", "stat"]))
     return out.select("field", "stat", _r(F.col("a")).alias("a"), _r(F.col("b")).alias("b"), _r(F.col("delta")).alias("delta"), F.size("findings").alias("findings"))
 
