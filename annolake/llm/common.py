@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.sources.shared import settled, shared_dir
+from annolake.sources.shared import settled, shared_dir, shared_path
 
-__all__ = ["BATCH_ROWS", "id_bucket", "partitions", "settled", "shared_dir", "small_batches", "table", "text_or_empty"]
+__all__ = ["BATCH_ROWS", "id_bucket", "partitions", "settled", "shared_dir", "shared_path", "small_batches", "table", "text_or_empty"]
 
 #: Rows an Arrow batch holds; with whole texts in the rows this bounds what a Python worker holds at once.
 BATCH_ROWS = 512
