@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolake.sources.json_ranges import RANGE, read_records, write_documents
+
 IMAGE = "struct<id:bigint,width:int,height:int,file_path:string,K:array<array<double>>,dataset_id:int>"
 CATEGORY = "struct<id:int,name:string,supercategory:string>"
 ANNOTATION = (
@@ -21,26 +23,28 @@ def _missing_to_null(c: Column, array: bool) -> Column:
     return F.when(~F.forall(c, lambda x: x == -1), c) if array else F.when(c != -1, c)
 
 
-def read_annotation_sets(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
-    """info, images, categories and annotations of documents; info may be a record or a list, of which the first counts."""
-    raw = spark.read.schema(f"info string, images array<{IMAGE}>, categories array<{CATEGORY}>, annotations array<{ANNOTATION}>").option("multiLine", True).json(paths)
-    raw = raw.withColumn("path", F.input_file_name())
-    info = F.coalesce(F.get(F.from_json("info", f"array<{INFO}>"), 0), F.from_json("info", INFO))
-    anns = raw.select(F.explode("annotations").alias("a")).select("a.*")
+def read_annotation_sets(spark: SparkSession, paths: list[str], range_bytes: int = RANGE) -> dict[str, DataFrame]:
+    """info, images, categories and annotations of documents of any size; info may be a record or a list, of which the first counts.
+
+    A path is a file, a folder named *.json whose files are one document, or a folder of such. Records are found by byte ranges; Spark parses them.
+    """
+    records = read_records(spark, paths, range_bytes)
+    parsed = lambda section, kind: records(section).select("document", "offset", F.from_json("value", kind).alias("r"))
+    anns = parsed("annotations", ANNOTATION).select("r.*")
     for c in BOXES:
         anns = anns.withColumn(c, _missing_to_null(F.col(c), True))
     for c in SCALARS:
         anns = anns.withColumn(c, _missing_to_null(F.col(c), False))
     return {
-        "info": raw.select("path", info.alias("i")).select("path", "i.*"),
-        "images": raw.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.width", "i.height", "i.file_path", F.col("i.K").alias("k"), "i.dataset_id"),
-        "categories": raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name", "c.supercategory"),
+        "info": parsed("info", INFO).groupBy(F.col("document").alias("path")).agg(F.min_by("r", "offset").alias("i")).select("path", "i.*"),
+        "images": parsed("images", IMAGE).select(F.col("r.id").alias("image_id"), "r.width", "r.height", "r.file_path", F.col("r.K").alias("k"), "r.dataset_id"),
+        "categories": parsed("categories", CATEGORY).select(F.col("r.id").alias("category_id"), "r.name", "r.supercategory"),
         "annotations": anns.withColumnRenamed("id", "ann_id"),
     }
 
 
-def export_document(tables: dict[str, DataFrame]) -> DataFrame:
-    """One JSON document per data set, nulls back to -1. For sets that fit one row; larger ones stay tables."""
+def document_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(set_name, section, id, value): every record as JSON, nulls back to -1, under the set that it belongs to; all sets get all categories."""
     anns = tables["annotations"].withColumnRenamed("ann_id", "id")
     for c in BOXES:
         n = 4 if c.startswith("bbox2D") else 3
@@ -48,16 +52,25 @@ def export_document(tables: dict[str, DataFrame]) -> DataFrame:
     for c in SCALARS:
         anns = anns.withColumn(c, F.coalesce(F.col(c), F.lit(-1)))
     images = tables["images"].select(F.col("image_id").alias("id"), "width", "height", "file_path", F.col("k").alias("K"), "dataset_id")
-    cats = tables["categories"].select(F.col("category_id").alias("id"), "name", "supercategory").agg(F.sort_array(F.collect_list(F.struct("id", "name", "supercategory"))).alias("categories"))
-    per_image = images.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct(*images.columns))).alias("images"))
-    per_ann = anns.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("id", *(c for c in anns.columns if c != "id")))).alias("annotations"))
-    info = tables["info"].select(F.col("id").alias("dataset_id"), F.struct("id", "source", "name", "split").alias("info"))
-    rows = per_image.join(per_ann, "dataset_id", "left").join(info, "dataset_id", "left").crossJoin(F.broadcast(cats))  # one row of categories
-    return rows.select("dataset_id", F.to_json(F.struct("info", "images", "categories", "annotations")).alias("value"))
-
-
-def write_annotation_set(tables: dict[str, DataFrame], path: str) -> None:
-    export_document(tables).write.mode("overwrite").partitionBy("dataset_id").text(path)
+    sets = tables["info"].select(F.col("id").cast("int").alias("dataset_id")).unionByName(images.select("dataset_id")).unionByName(anns.select("dataset_id")).distinct()
+    cats = tables["categories"].select(F.col("category_id").alias("id"), "name", "supercategory").distinct()
+    parts = [
+        tables["info"].select(F.col("id").alias("dataset_id"), "id", "source", "name", "split").dropDuplicates(["dataset_id"]),
+        images,
+        cats.crossJoin(F.broadcast(sets)),  # sets are few: each has an info record
+        anns.select("id", *(c for c in anns.columns if c != "id")),
+    ]
+    out = None
+    for i, part in enumerate(parts):
+        fields = [c for c in part.columns if i in (1, 3) or c != "dataset_id"]
+        rows = part.select(F.concat(F.lit("dataset_id="), F.coalesce(F.col("dataset_id").cast("string"), F.lit("null"))).alias("set_name"), F.lit(i).alias("section"), F.col("id").cast("long").alias("id"), F.to_json(F.struct(*fields)).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_annotation_set(tables: dict[str, DataFrame], path: str, single: bool = False) -> None:
+    """One valid document for each set, dataset_id=N.json below path: a folder of parts that follow one another, or with single one file."""
+    write_documents(document_rows(tables), path, single)
 
 
 #: Keys under which a container holds its records, and the names that a record's fields go by, in order.
