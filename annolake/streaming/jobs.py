@@ -25,20 +25,22 @@ def stream_convert(stream: DataFrame, convert: Callable[[DataFrame], DataFrame],
 
 
 def _convert_to(batch: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, retry: str) -> DataFrame:
-    done = convert(batch)
-    done.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(out)
-    failed = done.where("reason IS NOT NULL").select("image_id", "reason").distinct()
+    """An image of which any row failed is not done: all of it is kept for a retry. `streaming.retries` retries single objects instead."""
+    done = convert(batch).persist()
+    failed = done.where("reason IS NOT NULL").groupBy("image_id").agg(F.min("reason").alias("reason"))
+    done.where("reason IS NULL").drop("reason").join(failed, "image_id", "left_anti").write.mode("overwrite").parquet(out)
     batch.join(failed, "image_id").write.mode("overwrite").parquet(retry)
+    done.unpersist()
     return batch
 
 
 def retry_failed(spark: SparkSession, convert: Callable[[DataFrame], DataFrame], out: str, retry: str, attempt: int) -> DataFrame:
     """Try the images that failed and have no result yet once more: what is fine joins the results, what fails again stays to be retried. Gives the images that are still open."""
-    failed = spark.read.option("mergeSchema", True).parquet(retry).drop("reason", "batch").dropDuplicates(["image_id"])
+    failed = spark.read.option("mergeSchema", True).parquet(retry).drop("reason", "batch").distinct()
     done = spark.read.option("mergeSchema", True).parquet(out).select("image_id").distinct()
     open_ones = failed.join(done, "image_id", "left_anti").persist()
     _convert_to(open_ones, convert, f"{out}/batch=retry-{attempt}", f"{retry}/batch=retry-{attempt}").unpersist()
-    return failed.join(spark.read.option("mergeSchema", True).parquet(out).select("image_id").distinct(), "image_id", "left_anti").select("image_id")
+    return failed.join(spark.read.option("mergeSchema", True).parquet(out).select("image_id").distinct(), "image_id", "left_anti").select("image_id").distinct()
 
 
 def write_updates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -65,7 +67,7 @@ def divergence(steps: DataFrame, tolerance: float = TOLERANCE, gamma: float = GA
     """(run_id, iteration, loss, ema, diverging): the mean starts at twice the first loss and skips diverging steps. Batch form."""
     schema = "run_id long, iteration long, loss double, ema double, diverging boolean"
     rows = steps.select(F.col("run_id").cast("long").alias("run_id"), F.col("iteration").cast("long").alias("iteration"), F.col("loss").cast("double").alias("loss"))
-    # A run comes in order, batch by batch; only its running mean is carried from one batch to the next.
+    # A run comes in order, batch by batch; only its running mean is carried from one batch to the next. The fold of a run is one task's work, inherently; runs spread.
     return rows.repartition("run_id").sortWithinPartitions("run_id", "iteration").mapInPandas(_carry(tolerance, gamma), schema)
 
 
@@ -114,17 +116,25 @@ def _watch(tolerance: float, gamma: float):
 
 
 def divergence_stream(steps: DataFrame, tolerance: float = TOLERANCE, gamma: float = GAMMA, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream (ts, run_id, iteration, loss): the running mean is each run's state."""
+    """The same over a stream (ts, run_id, iteration, loss), at once and in the order of arrival: rows are sorted within a batch only. `divergence_in_order` waits for late steps."""
     return steps.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(_watch(tolerance, gamma), "run_id long, iteration long, loss double, ema double, diverging boolean", "ema double", "append", "NoTimeout")
 
 
 def throughput(steps: DataFrame, warmup: int = 5) -> DataFrame:
-    """(run_id, n, data_s, compute_s, eval_s, total_s): mean seconds per iteration after the warm-up, which is at most all but one."""
-    order = F.row_number().over(Window.partitionBy("run_id").orderBy("iteration"))
-    n = F.count("*").over(Window.partitionBy("run_id"))
-    rows = steps.withColumn("_i", order).withColumn("_n", n).where(F.col("_i") > F.least(F.lit(warmup), F.col("_n") - 1))
-    total = F.col("data_s") + F.col("compute_s") + F.col("eval_s")
-    return rows.groupBy("run_id").agg(F.count("*").alias("n"), F.avg("data_s").alias("data_s"), F.avg("compute_s").alias("compute_s"), F.avg("eval_s").alias("eval_s"), F.avg(total).alias("total_s"))
+    """(run_id, n, data_s, compute_s, eval_s, total_s): mean seconds per iteration after the warm-up, which is at most all but one.
+
+    A run's totals are combined by tasks before the shuffle, and of its iterations only the first few travel (Spark limits
+    such a ranking before the shuffle too); their share is taken off the totals. So no task sorts a run.
+    """
+    names = ("data_s", "compute_s", "eval_s", "total_s")
+    rows = steps.select("run_id", "iteration", *(F.col(c).cast("double").alias(c) for c in names[:3])).withColumn("total_s", F.col("data_s") + F.col("compute_s") + F.col("eval_s"))
+    sums = lambda mark: [x for c in names for x in (F.sum(c).alias(f"{c}{mark}"), F.count(c).alias(f"n_{c}{mark}"))]
+    whole = rows.groupBy("run_id").agg(F.count("*").alias("all"), *sums(""))
+    first = rows.withColumn("_i", F.row_number().over(Window.partitionBy("run_id").orderBy("iteration"))).where(F.col("_i") <= warmup)
+    first = first.join(whole.select("run_id", "all"), "run_id").where(F.col("_i") < F.col("all")).groupBy("run_id").agg(F.count("*").alias("early"), *sums("_early"))
+    both = whole.join(first, "run_id", "left").na.fill(0)
+    mean = lambda c: F.try_divide(F.col(c) - F.col(f"{c}_early"), F.col(f"n_{c}") - F.col(f"n_{c}_early")).alias(c)
+    return both.select("run_id", (F.col("all") - F.col("early")).alias("n"), *(mean(c) for c in names))
 
 
 def throughput_stream(steps: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
