@@ -291,10 +291,14 @@ def mirror_center(center: Column) -> Column:
     return vec(-F.get(center, 0), F.get(center, 1), F.get(center, 2))
 
 
+#: The diagonals of the two matrices between which a mirrored pose stands.
+MIRROR_LEFT, MIRROR_RIGHT = (1, -1, -1), (-1, -1, 1)
+
+
 @bound
 def mirror_pose(m: Column) -> Column:
-    """M1 * R * M2 for a horizontal flip: the sign of a term changes where exactly one of its indices is 0."""
-    return mat([[at(m, i, j) * (-1 if (i == 0) != (j == 0) else 1) for j in range(3)] for i in range(3)])
+    """M1 * R * M2 for a horizontal flip, both diagonal. The box is that of the mirrored scene, turned by half a turn about its y axis."""
+    return mat([[at(m, i, j) * (MIRROR_LEFT[i] * MIRROR_RIGHT[j]) for j in range(3)] for i in range(3)])
 
 
 def scale_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, sx: Column, sy: Column) -> Column:

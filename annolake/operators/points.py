@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,7 +187,44 @@ def best_candidate(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
-def pose_grid(objects: DataFrame, yaws: list[float], scales: list[float]) -> DataFrame:
-    """objects times the grid of yaws and scales, `order` numbering it."""
-    grid = F.posexplode(F.array(*(F.struct(F.lit(y).alias("yaw"), F.lit(s).alias("scale")) for y in yaws for s in scales))).alias("order", "g")
+#: Poses nearer than this are one: degrees of yaw, and the logarithm of the ratio of scales.
+SAME_YAW, SAME_SCALE = 5.0, 0.04
+
+
+def half_turn(yaw: Column) -> Column:
+    """The yaw modulo half a turn, in [-pi/2, pi/2]: a box is the same after half a turn."""
+    y = F.pmod(yaw + math.pi, F.lit(2 * math.pi)) - math.pi
+    return F.when(y > math.pi / 2, y - math.pi).when(y < -math.pi / 2, y + math.pi).otherwise(y)
+
+
+def _first_of_each(values: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The values that are the same as none before them that was kept."""
+    return F.aggregate(values, F.array().cast("array<double>"), lambda kept, v: F.when(F.exists(kept, lambda old: same(v, old)), kept).otherwise(F.concat(kept, F.array(v))))
+
+
+def distinct_yaws(yaws: Column, degrees: float = SAME_YAW) -> Column:
+    """An array of yaws without nulls and non-finite ones, modulo half a turn, of those within `degrees` the first."""
+    sound = F.filter(yaws, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
+    return _first_of_each(F.transform(sound, half_turn), lambda y, old: F.abs(half_turn(y - old)) <= math.radians(degrees))
+
+
+def yaws_around(yaws: Column, offsets: tuple[float, ...] = (-30.0, -15.0, 0.0, 15.0, 30.0), degrees: float = SAME_YAW) -> Column:
+    """Distinct yaws, each turned by the offsets in degrees, and again the distinct ones of them."""
+    turned = F.transform(distinct_yaws(yaws, degrees), lambda y: F.array(*(y + math.radians(o) for o in offsets)))
+    return distinct_yaws(F.flatten(turned), degrees)
+
+
+def distinct_scales(scales: Column, ratio: float = SAME_SCALE) -> Column:
+    """An array of scales above 1e-5, of those whose ratio's logarithm is below `ratio` the first."""
+    sound = F.filter(scales, lambda s: s.isNotNull() & ~F.isnan(s) & (s < float("inf")) & (s > 1e-5))
+    return _first_of_each(sound, lambda s, old: F.abs(F.log(s / F.greatest(old, F.lit(1e-8)))) < ratio)
+
+
+def pose_grid(objects: DataFrame, yaws: list[float] | Column, scales: list[float] | Column) -> DataFrame:
+    """objects times the grid of yaws and scales, `order` numbering it. As columns, yaws and scales are an object's own candidates, of which near-equal ones are merged."""
+    if isinstance(yaws, Column):
+        pairs = F.flatten(F.transform(distinct_yaws(yaws), lambda y: F.transform(distinct_scales(scales), lambda s: F.struct(y.alias("yaw"), s.alias("scale")))))
+        grid = F.posexplode(pairs).alias("order", "g")
+    else:
+        grid = F.posexplode(F.array(*(F.struct(F.lit(y).alias("yaw"), F.lit(s).alias("scale")) for y in yaws for s in scales))).alias("order", "g")
     return objects.select("*", grid).select(*objects.columns, "order", "g.yaw", "g.scale")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolake.functions import boxes
+from annolake.functions import boxes, geometry
 from annolake.sources.shared import settled
 
 
@@ -245,3 +245,38 @@ def universes(*frames: DataFrame, column: str) -> DataFrame:
 
 def vocabulary_filter(df: DataFrame, vocabulary: DataFrame, name_col: str = "category_name") -> DataFrame:
     return df.join(F.broadcast(vocabulary.select(F.lower("name").alias("_v")).distinct()), F.lower(name_col) == F.col("_v"), "left_semi")
+
+
+#: Columns of a set that a flip changes, where they are there.
+MIRRORED_BOXES, MIRRORED_POSES = ("bbox2D_tight", "bbox2D_trunc", "bbox2D_proj", "box"), ("R_cam", "pose")
+
+
+def mirror_images(images: DataFrame) -> DataFrame:
+    """images with the principal point where a horizontal flip puts it: k, or cx."""
+    width = F.col("width").cast("double")
+    if "k" in images.columns:
+        images = images.withColumn("k", F.when(F.col("k").isNotNull(), F.transform("k", lambda row, i: F.when(i == 0, F.transform(row, lambda x, j: F.when(j == 2, width - x).otherwise(x))).otherwise(row))))
+    return images.withColumn("cx", width - F.col("cx")) if "cx" in images.columns else images
+
+
+def mirror_annotations(anns: DataFrame, images: DataFrame) -> DataFrame:
+    """A set's annotations after a horizontal flip of their images: doing it twice gives them back.
+
+    2D boxes go from x to width - x, and so does the column of a projected centre (center_proj); centres and corners
+    (center_cam, bbox3D_cam) change the sign of x, corners keeping their order; poses become M1 * R * M2. Columns that are not
+    there are left out, nulls stay null. Annotations of images that are not listed keep null boxes.
+    """
+    rows = anns.join(images.select("image_id", F.col("width").cast("double").alias("_width")), "image_id", "left")
+    for c in anns.columns:
+        value = F.col(c)
+        if c in MIRRORED_BOXES:
+            rows = rows.withColumn(c, boxes.mirror_box(value, F.col("_width")))
+        elif c == "center_proj":
+            rows = rows.withColumn(c, F.when(value.isNotNull(), F.array(F.col("_width") - F.get(value, 0), F.get(value, 1))))
+        elif c == "center_cam":
+            rows = rows.withColumn(c, F.when(value.isNotNull(), geometry.mirror_center(value)))
+        elif c == "bbox3D_cam":
+            rows = rows.withColumn(c, F.transform(value, geometry.mirror_center))
+        elif c in MIRRORED_POSES:
+            rows = rows.withColumn(c, F.when(value.isNotNull(), geometry.mirror_pose(value)))
+    return rows.select(*anns.columns)

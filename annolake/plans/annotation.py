@@ -481,3 +481,17 @@ def stored_detections(spark, sf_dir):
     lines = spark.read.schema("det_id long, x1 double").json(f"{at}/json").agg(F.round(F.sum("x1") + 1e-9, 4).alias("json_sum"))
     own = spark.read.parquet(f"{at}/own").agg(F.count("*").alias("in_vocabulary"))
     return documents.read_stats(spark, f"{at}/stats", "n long, best double").crossJoin(own).crossJoin(csv).crossJoin(lines)  # one row each
+
+
+@_query("""SELECT ann_id, width - x2 AS mx1, width - x1 AS mx2, y1 AS my1, round(width - (fx * cxm / czm + cx) + 1e-9, 6) AS mu, -cxm AS mcx, czm AS mcz, round(-(cxm - l3 / 2) + 1e-9, 6) AS corner_x, width - cx AS mcx0,
+    round(-cos(czm) + 1e-9, 6) AS m00, round(sin(czm) + 1e-9, 6) AS m02, 1.0::DOUBLE AS m11, round(-sin(czm) + 1e-9, 6) AS m20, round(-cos(czm) + 1e-9, 6) AS m22 FROM fx_annotations JOIN fx_images USING (image_id)""")
+def mirrored_annotations(spark, sf_dir):
+    """A flipped set: boxes, projected centre, centre, the smallest corner, pose, and the images' principal point."""
+    images = view(spark, sf_dir, "fx_images")
+    rows = _cuboids(spark, sf_dir)
+    centre = F.array(F.col("fx") * F.col("cxm") / F.col("czm") + F.col("cx"), F.col("fy") * F.col("cym") / F.col("czm") + F.col("cy"))
+    anns = rows.select("ann_id", "image_id", "box", centre.alias("center_proj"), F.col("center").alias("center_cam"), F.col("corners").alias("bbox3D_cam"), geometry.rotate_y(F.col("czm")).alias("R_cam"))
+    out = sets.mirror_annotations(anns, images).join(sets.mirror_images(images).select("image_id", F.col("cx").alias("mcx0")), "image_id")
+    pose = {f"m{i}{j}": _r(F.get(F.get("R_cam", i), j)) for i, j in ((0, 0), (0, 2), (1, 1), (2, 0), (2, 2))}
+    low = F.array_max(F.transform("bbox3D_cam", lambda p: F.get(p, 0)))
+    return out.select("ann_id", F.get("box", 0).alias("mx1"), F.get("box", 2).alias("mx2"), F.get("box", 1).alias("my1"), _r(F.get("center_proj", 0)).alias("mu"), F.get("center_cam", 0).alias("mcx"), F.get("center_cam", 2).alias("mcz"), _r(low).alias("corner_x"), "mcx0", *(v.alias(k) for k, v in pose.items()))

@@ -226,12 +226,15 @@ ORACLE = {
         SELECT count(*) AS n, round(avg(sqrt(power((g.x1 + g.x2) / 2 - (d.x1 + d.x2) / 2, 2) + power((g.y1 + g.y2) / 2 - (d.y1 + d.y2) / 2, 2))), 6) AS pixel_error, round(avg(abs(g.czm - d.czm)), 6) AS z_error,
                round(avg(abs(g.w3 - d.w3)), 6) AS w_error, round(avg(abs(g.h3 - d.h3)), 6) AS h_error, round(avg(abs(g.l3 - d.l3)), 6) AS l_error
         FROM best JOIN fx_annotations g USING (ann_id) JOIN fx_detections d USING (det_id)"""),
-    "proposal_labels": with_views(f"""WITH c AS MATERIALIZED (SELECT g.ann_id, g.valid3d, d.det_id, {_IOU2D} AS iou,
-            greatest(least(g.x2, d.x2) - greatest(g.x1, d.x1), 0) * greatest(least(g.y2, d.y2) - greatest(g.y1, d.y1), 0) / ((d.x2 - d.x1) * (d.y2 - d.y1)) AS ioa FROM fx_annotations g JOIN fx_detections d ON g.image_id = d.image_id AND g.x1 < d.x2 AND d.x1 < g.x2 AND g.y1 < d.y2 AND d.y1 < g.y2),
+    # Views first, and only the image in the join's condition, so that no planner turns it into a join of ranges.
+    "proposal_labels": with_views(f"""WITH g AS MATERIALIZED (SELECT ann_id, image_id, valid3d, x1, y1, x2, y2 FROM fx_annotations), d AS MATERIALIZED (SELECT det_id, image_id, x1, y1, x2, y2 FROM fx_detections),
+        m AS MATERIALIZED (SELECT g.ann_id, g.valid3d, d.det_id, g.x1 AS gx1, g.y1 AS gy1, g.x2 AS gx2, g.y2 AS gy2, d.x1 AS dx1, d.y1 AS dy1, d.x2 AS dx2, d.y2 AS dy2 FROM g JOIN d ON g.image_id = d.image_id),
+        o AS (SELECT *, greatest(least(gx2, dx2) - greatest(gx1, dx1), 0) * greatest(least(gy2, dy2) - greatest(gy1, dy1), 0) AS both FROM m),
+        c AS MATERIALIZED (SELECT ann_id, valid3d, det_id, both / ((gx2 - gx1) * (gy2 - gy1) + (dx2 - dx1) * (dy2 - dy1) - both) AS iou, both / ((dx2 - dx1) * (dy2 - dy1)) AS ioa FROM o WHERE both > 0),
         b AS (SELECT det_id, max(iou) FILTER (valid3d) AS iou, max(ioa) FILTER (NOT valid3d) AS ioa FROM c GROUP BY 1),
         f AS (SELECT c.det_id, min(c.ann_id) AS ann_id FROM c JOIN b ON c.det_id = b.det_id AND c.iou = b.iou WHERE c.valid3d AND c.iou >= 0.5 GROUP BY 1)
         SELECT d.det_id, f.ann_id, round(coalesce(iou, 0) + 1e-9, 6) AS iou, CASE WHEN coalesce(iou, 0) >= 0.5 THEN 1 WHEN coalesce(ioa, 0) > 0.5 THEN -1 ELSE 0 END AS label
-        FROM fx_detections d LEFT JOIN b USING (det_id) LEFT JOIN f USING (det_id)"""),
+        FROM d LEFT JOIN b USING (det_id) LEFT JOIN f USING (det_id)"""),
     "nms_detections": with_views(f"""WITH RECURSIVE {_suppressed("score > 0.05", f"{_IOU2D} > 0.5")}, p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS place FROM walk WHERE kept)
         SELECT det_id, image_id, score, place FROM p WHERE place <= 5"""),
     "nms_by_quality": with_views(f"""WITH RECURSIVE {_suppressed("score > 0.1", f"{_IOU2D} >= 0.75 OR ({_IOU2D} >= 0.3 AND sqrt(power(g.cxm - d.cxm, 2) + power(g.cym - d.cym, 2) + power(g.czm - d.czm, 2)) <= 0.35 * (sqrt(g.w3 * g.w3 + g.h3 * g.h3 + g.l3 * g.l3) + sqrt(d.w3 * d.w3 + d.h3 * d.h3 + d.l3 * d.l3)) / 2)")}

@@ -278,3 +278,26 @@ def set_statistics(spark, sf_dir):
     from annolake.operators.stats import stats_record
 
     return stats_record(view(spark, sf_dir, "fx_detections"), {"n": F.count("*"), "images": F.countDistinct("image_id"), "mean_score": F.round(F.avg("score"), 6), "best": F.max("score")})
+
+
+_HALF = "CASE WHEN {0} > pi() / 2 THEN {0} - pi() WHEN {0} < -pi() / 2 THEN {0} + pi() ELSE {0} END"
+_TURN = "(({0} + pi()) - floor(({0} + pi()) / (2 * pi())) * (2 * pi()) - pi())"
+
+
+@_query(f"""WITH RECURSIVE o AS (SELECT DISTINCT inst_id FROM fx_points),
+    y AS (SELECT inst_id, k, {_HALF.format(_TURN.format("t"))} AS y FROM (SELECT inst_id, k, (inst_id % 50) * 0.13 + (k - 1) * ((inst_id % 7) * 0.011 + 0.01) AS t FROM o, range(1, 13) r(k))),
+    w AS (SELECT inst_id, k, [y] AS kept FROM y WHERE k = 1 UNION ALL
+        SELECT y.inst_id, y.k, CASE WHEN len(list_filter(w.kept, lambda p: abs({_HALF.format(_TURN.format("(y.y - p)"))}) <= radians(5.0))) > 0 THEN w.kept ELSE list_append(w.kept, y.y) END FROM w JOIN y ON y.inst_id = w.inst_id AND y.k = w.k + 1),
+    s AS (SELECT inst_id, k, 1 + (k - 1) * ((inst_id % 5) * 0.005 + 0.01) AS s FROM o, range(1, 9) r(k)),
+    v AS (SELECT inst_id, k, [s] AS kept FROM s WHERE k = 1 UNION ALL
+        SELECT s.inst_id, s.k, CASE WHEN len(list_filter(v.kept, lambda p: abs(ln(s.s / p)) < 0.04)) > 0 THEN v.kept ELSE list_append(v.kept, s.s) END FROM v JOIN s ON s.inst_id = v.inst_id AND s.k = v.k + 1)
+    SELECT w.inst_id, len(w.kept) * len(v.kept) AS n, round(list_sum(w.kept) + 1e-9, 5) AS yaws, round(list_sum(v.kept) + 1e-9, 5) AS scales FROM w JOIN v USING (inst_id) WHERE w.k = 12 AND v.k = 8""")
+def merged_poses(spark, sf_dir):
+    """Grids of each object's own yaws and scales, near-equal ones merged."""
+    o = _cloud(spark, sf_dir).select("inst_id").distinct()
+    steps = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    yaws = F.transform(steps(12), lambda k: (F.col("inst_id") % 50) * 0.13 + k * ((F.col("inst_id") % 7) * 0.011 + 0.01))
+    scales = F.transform(steps(8), lambda k: 1 + k * ((F.col("inst_id") % 5) * 0.005 + 0.01))
+    grid = points.pose_grid(o, yaws, scales)
+    first = lambda c: F.aggregate(F.sort_array(F.collect_set(c)), F.lit(0.0), lambda a, x: a + x)
+    return grid.groupBy("inst_id").agg(F.count("*").alias("n"), _r(first("yaw")).alias("yaws"), _r(first("scale")).alias("scales"))

@@ -1,9 +1,10 @@
-"""Raster and point files: depth and mask arrays (.npy), point clouds (.ply), one task per batch of files."""
+"""Raster and point files: depth (.npy, .png) and mask arrays (.npy), point clouds (.ply), one task per batch of files."""
 
 from __future__ import annotations
 
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +18,77 @@ from annolake.functions.labels import label_and_index, path_stem
 DEPTH_UNITS = 8000.0
 
 
+#: Fixed values of the format: a PNG file's first bytes.
+PNG = bytes([0x89, 0x50, 0x4E, 0x47, 0x0D, 0x0A, 0x1A, 0x0A])
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
+def png_array(content: bytes) -> np.ndarray:
+    """(height, width) of a grey PNG of 8 or 16 bits without interlacing; ValueError for damaged files and other kinds.
+
+    A byte's prediction needs its left, upper and upper left neighbour, so all bytes of a diagonal are restored at once,
+    whatever filters their lines have.
+    """
+    if not content.startswith(PNG):
+        raise ValueError("no PNG file")
+    at, chunks, ended = len(PNG), [], False
+    while at + 12 <= len(content) and not ended:
+        size, kind = struct.unpack_from(">I4s", content, at)
+        body = content[at + 8 : at + 8 + size]
+        if len(body) < size or content[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + body)):
+            raise ValueError("damaged PNG: a chunk is cut or its checksum is wrong")
+        chunks.append((kind, body))
+        at, ended = at + 12 + size, kind == b"IEND"
+    if not ended or chunks[0][0] != b"IHDR":
+        raise ValueError("damaged PNG: no header or no end")
+    width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", chunks[0][1])
+    if colour or bits not in (8, 16) or interlaced:
+        raise ValueError("only grey PNG of 8 or 16 bits without interlacing")
+    n = bits // 8
+    try:
+        data = zlib.decompress(b"".join(body for kind, body in chunks if kind == b"IDAT"))
+    except zlib.error as error:
+        raise ValueError(f"damaged PNG: {error}") from error
+    if len(data) != height * (1 + width * n) or not height or not width:
+        raise ValueError("damaged PNG: the lines don't fill the image")
+    lines = np.frombuffer(data, np.uint8).reshape(height, -1)
+    kinds, raw = lines[:, 0], lines[:, 1:].reshape(height, width, n).astype(np.int16)
+    if kinds.max() > 4:
+        raise ValueError("damaged PNG: unknown line filter")
+    if not kinds.any():
+        out = raw
+    else:
+        padded = np.zeros((height + 1, width + 1, n), np.int16)
+        for d in range(height + width - 1):
+            r = np.arange(max(0, d - width + 1), min(height, d + 1))
+            c = d - r
+            left, up, corner = padded[r + 1, c], padded[r, c + 1], padded[r, c]
+            guess = left + up - corner
+            dl, du, dc = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+            nearest = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, up, corner))
+            predicted = np.choose(kinds[r][:, None], [np.zeros_like(left), left, up, (left + up) >> 1, nearest])
+            padded[r + 1, c + 1] = (raw[r, c] + predicted) & 0xFF
+        out = padded[1:, 1:]
+    return np.ascontiguousarray(out.astype(np.uint8)).view(">u2" if n == 2 else np.uint8)[..., 0].astype(np.uint16 if n == 2 else np.uint8)
+
+
 def _depth_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for image, content in zip(f["image"], f["content"], strict=True):
-            a = np.load(io.BytesIO(content), allow_pickle=False)
+        for path, image, content in zip(f["path"], f["image"], f["content"], strict=True):
+            try:
+                a = png_array(content) if path.lower().endswith(".png") else np.load(io.BytesIO(content), allow_pickle=False)
+            except ValueError as error:
+                raise ValueError(f"{path}: {error}") from error
             d = a / DEPTH_UNITS if np.issubdtype(a.dtype, np.integer) else a
             yield pd.DataFrame({"image": image, "v": np.arange(len(d), dtype=np.int32), "depth": list(np.asarray(d, np.float32))})
 
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
-    """(image, v, depth array): one row per image line; integer arrays are in DEPTH_UNITS per metre."""
-    files = _files(spark, path, "*.npy").select(path_stem(F.col("path")).alias("image"), "content")
+    """(image, v, depth array): one row per image line of .npy and .png files; integer arrays are in DEPTH_UNITS per metre. A damaged file is an error that names it."""
+    files = _files(spark, path, "*.{npy,png}").select("path", path_stem(F.col("path")).alias("image"), "content")
     return files.mapInPandas(_depth_lines, "image string, v int, depth array<float>")
 
 
