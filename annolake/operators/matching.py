@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,59 +36,113 @@ def proximity(pairs: DataFrame, least: float = 0.3) -> DataFrame:
     return pairs.groupBy("det_id").agg(F.max((F.col("iou") > least)).alias("near"))
 
 
+#: Pairs that a task matches at once; whole groups only.
+MATCH_ROWS = 1 << 16
+
+
 def match_greedy(gt: DataFrame, det: DataFrame, pairs: DataFrame, thresholds: list[float], areas: list[tuple[str, float, float]], size_col: str = "area", near: DataFrame | None = None) -> DataFrame:
     """The matches of detections to truths, for each area range and threshold.
 
-    gt: ann_id, image_id, category_name, ignore, size; det: det_id, image_id, category_name, rank, score, size;
-    pairs: ann_id, det_id, iou. In order of score each detection takes, of the unused truths with an IoU of at
-    least the threshold, the best one that counts, else the best one that is ignored; of equal IoUs the truth
-    that comes later wins. Gives one row per detection, range and threshold: det_id, image_id, category_name,
-    rank, score, area_range, thr (its number), matched (ann_id or null), ignored.
+    gt: ann_id, image_id, category_name, ignore, size; det: det_id, image_id, category_name, rank, score, size; pairs: ann_id,
+    det_id, iou, and, to save joins, image_id, category_name, rank of the detection and ignore, gsize of the truth. In order of
+    score each detection takes, of the unused truths with an IoU of at least the threshold, the best one that counts, else the
+    best one that is ignored; of equal IoUs the truth that comes later wins. Gives one row per detection, range and threshold:
+    det_id, image_id, category_name, rank, score, area_range, thr (its number), matched (ann_id or null), ignored.
+
+    Only pairs at or above the lowest threshold meet by group; the others' detections go past the matcher.
     """
-    lowest = min(thresholds)
     size = F.col(size_col)
-    truths = gt.select("ann_id", "ignore", size.alias("gsize"))
-    likely = pairs.where(F.col("iou") >= min(lowest, 1 - 1e-10) - 1e-12).select("det_id", "ann_id", "iou").join(truths, "ann_id")
-    candidates = likely.groupBy("det_id").agg(F.collect_list(F.struct("ignore", "gsize", "iou", "ann_id")).alias("c"))
-    rows = det.select("det_id", "image_id", "category_name", "rank", "score", size.alias("dsize")).join(candidates, "det_id", "left")
+    likely = pairs.where(F.col("iou") >= min(*thresholds, 1 - 1e-10))
+    if not {"ignore", "gsize"} <= set(pairs.columns):
+        likely = likely.drop("ignore", "gsize").join(gt.select("ann_id", "ignore", size.alias("gsize")), "ann_id")
+    group = ["image_id", "category_name"]
+    if not {*group, "rank"} <= set(pairs.columns):
+        likely = likely.drop(*group, "rank").join(det.select("det_id", *group, "rank"), "det_id")
+    flat = likely.select(*group, "rank", "det_id", "ann_id", "iou", F.coalesce("ignore", F.lit(False)).alias("ignore"), F.col("gsize").cast("double").alias("gsize"))
+    flat = flat.repartition(*group).sortWithinPartitions(*group, "rank", "det_id")
+    taken = flat.mapInArrow(_greedy(thresholds, areas), "det_id long, taken array<long>, counted array<boolean>")
+    rows = det.select("det_id", *group, "rank", "score", size.alias("dsize")).join(taken, "det_id", "left")
+    far = F.lit(False)
     if near is not None:
-        rows = rows.join(near, "det_id", "left").withColumn("far", ~F.coalesce("near", F.lit(False)))
-    else:
-        rows = rows.withColumn("far", F.lit(False))
-    # One list per image and category: at most MOST_DETECTIONS detections with the truths each may take.
-    lists = rows.groupBy("image_id", "category_name").agg(F.sort_array(F.collect_list(F.struct("rank", "det_id", "score", "dsize", "far", F.coalesce("c", F.array()).alias("c")))).alias("dets"))
-    schema = "image_id long, category_name string, area_range string, thr int, rank int, det_id long, score double, matched long, ignored boolean"
-    return lists.mapInArrow(_greedy(thresholds, areas), schema)
+        rows = rows.join(near, "det_id", "left")
+        far = ~F.coalesce("near", F.lit(False))
+    cells = [(n, float(lo), float(hi), t) for n, lo, hi in areas for t in range(len(thresholds))]
+    cell = F.explode(F.array(*(F.struct(F.lit(n).alias("area_range"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(t).alias("thr"), F.get("taken", i).alias("matched"), F.get("counted", i).alias("counted")) for i, (n, lo, hi, t) in enumerate(cells)))).alias("c")
+    rows = rows.select("det_id", *group, "rank", "score", "dsize", far.alias("far"), cell)
+    outside = (F.col("dsize") < F.col("c.lo")) | (F.col("dsize") > F.col("c.hi"))
+    ignored = F.coalesce(F.when(F.col("c.matched").isNull(), outside).otherwise(~F.col("c.counted")), F.lit(False)) | F.col("far")
+    return rows.select(*group, "c.area_range", "c.thr", "rank", "det_id", "score", "c.matched", ignored.alias("ignored"))
 
 
 def _greedy(thresholds: list[float], areas: list[tuple[str, float, float]]):
+    least = np.minimum(np.array(thresholds, float), 1 - 1e-10)
+    shape = (len(areas), len(thresholds))
+
+    def matched(t: pa.Table) -> pa.RecordBatch:
+        """The k-th detections of all groups choose at once, for all ranges and thresholds; the state is a bit for each truth, range and threshold."""
+        det, ann, iou, size = (t.column(c).to_numpy() for c in ("det_id", "ann_id", "iou", "gsize"))
+        ignore = t.column("ignore").to_numpy(zero_copy_only=False)
+        n = len(det)
+        starts = np.flatnonzero(np.append(True, det[1:] != det[:-1]))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        fresh = _changes(t, ("image_id", "category_name"))[starts]  # a detection that is the first of its group
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
+        step = (np.arange(len(starts)) - first)[of]
+        truth = np.unique(ann, return_inverse=True)[1]
+        counts = np.stack([~ignore & (lo <= size) & (size <= hi) for _, lo, hi in areas])
+        # Counting before ignored, higher IoU, later truth: a pair's place among its detection's, for each range.
+        order = np.stack([np.lexsort((-ann, -iou, ~c, of)) for c in counts])
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(n), order.shape), axis=1)
+        used = np.zeros((truth.max() + 1, *shape), bool)
+        best = np.full((len(starts), *shape), n)
+        by_step = np.argsort(step, kind="stable")
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(step[by_step]) > 0)), n)
+        a, k = np.meshgrid(np.arange(shape[0]), np.arange(shape[1]), indexing="ij")
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = by_step[lo:hi]
+            free = (iou[own][:, None, None] >= least) & ~used[truth[own]]
+            key = np.where(free, place[:, own].T[:, :, None], n)
+            segments = np.flatnonzero(np.append(True, np.diff(of[own]) != 0))
+            got = np.minimum.reduceat(key, segments, axis=0)
+            best[of[own[segments]]] = got
+            d, i, j = np.nonzero(got < n)
+            used[truth[order[i, got[d, i, j]]], i, j] = True
+        hit = best < n
+        pair = order[a, np.minimum(best, n - 1)]
+        offsets = pa.array(np.arange(len(starts) + 1) * a.size, pa.int32())
+        taken = pa.ListArray.from_arrays(offsets, pa.array(ann[pair].ravel(), pa.int64(), mask=~hit.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(det[starts], pa.int64()), taken, pa.ListArray.from_arrays(offsets, pa.array(counts[a, pair].ravel()))], names=["det_id", "taken", "counted"])
+
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Walk each list once per range and threshold; a list is short, so this stays a small loop."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                for name, lo, hi in areas:
-                    outside = [not lo <= d["dsize"] <= hi or d["far"] for d in row["dets"]]
-                    # Counting before ignored, higher IoU, later truth.
-                    ordered = [sorted(((not (x["ignore"] or not lo <= x["gsize"] <= hi), x["iou"], x["ann_id"]) for x in d["c"]), reverse=True) for d in row["dets"]]
-                    for thr, t in enumerate(thresholds):
-                        used: set[int] = set()
-                        least = min(t, 1 - 1e-10)
-                        for d, off, truths in zip(row["dets"], outside, ordered, strict=True):
-                            best = next((x for x in truths if x[1] >= least and x[2] not in used), None)
-                            if best is None:
-                                out.append((row["image_id"], row["category_name"], name, thr, d["rank"], d["det_id"], d["score"], None, off))
-                            else:
-                                used.add(best[2])
-                                out.append((row["image_id"], row["category_name"], name, thr, d["rank"], d["det_id"], d["score"], best[2], not best[0] or d["far"]))
-            if out:
-                types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.bool_())
-                names = ("image_id", "category_name", "area_range", "thr", "rank", "det_id", "score", "matched", "ignored")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= MATCH_ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                cut = int(np.flatnonzero(_changes(t, ("image_id", "category_name")))[-1])
+                if cut:
+                    yield matched(t.slice(0, cut).combine_chunks())
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        if rows:
+            yield matched(pa.Table.from_batches(held).combine_chunks())
 
     return greedy
 
 
+def _changes(t: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    """Whether a row differs in any of the columns from the one before it; the first does. Nulls equal nulls."""
+    out = np.zeros(t.num_rows, bool)
+    out[:1] = True
+    for c in columns:
+        now, before = t.column(c).slice(1), t.column(c).slice(0, t.num_rows - 1)
+        same = pc.or_kleene(pc.fill_null(pc.equal(now, before), False), pc.and_(pc.is_null(now), pc.is_null(before)))
+        out[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
 def nearest_truth(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """(det_id, ann_id, iou): each detection's best truth of at least this IoU; a truth may serve several."""
     return pairs.where(F.col("iou") >= least).groupBy("det_id").agg(F.max_by("ann_id", F.struct("iou", -F.col("ann_id"))).alias("ann_id"), F.max("iou").alias("iou"))

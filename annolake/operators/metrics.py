@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.functions import geometry
+from annolake.sources.shared import settled
 
 #: Recall levels at which precision is read, prefixes of a detection list, and the usual settings.
 LEVELS, PREFIXES, MOST = 101, (1, 10, 100), 100
-#: Bands of scores that a group is sorted in.
-SCORE_BANDS = 32
 THRESHOLDS_2D = [0.5 + 0.05 * i for i in range(10)]
 THRESHOLDS_3D = [0.05 + 0.05 * i for i in range(10)]
 AREAS_2D = [("all", 0.0, 1e10), ("small", 0.0, 1024.0), ("medium", 1024.0, 9216.0), ("large", 9216.0, 1e10)]
@@ -27,23 +26,27 @@ def positives(gt: DataFrame, areas: list[tuple[str, float, float]], size_col: st
     return gt.select(*by, size_col, "ignore", a).where(inside).groupBy(*by, F.col("a.n").alias("area_range")).agg(F.count("*").alias("npig"))
 
 
-def precision_recall(matches: DataFrame, npig: DataFrame, prefixes: tuple[int, ...] = (MOST,), by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id"), bands: int = SCORE_BANDS) -> DataFrame:
+def precision_recall(matches: DataFrame, npig: DataFrame, prefixes: tuple[int, ...] = (MOST,), by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id"), bands: int | None = None) -> DataFrame:
     """Running precision and recall with the envelope: keys, pos, rc, before (the recall one row earlier), pr, env, score, npig.
 
-    Ignored detections count on neither side. A group is cut into bands of scores, so that a category with a third of all
-    detections is sorted by many tasks: counts run within a band, and what the better bands hold is added from a table
-    with a row for each band. The envelope likewise runs from the worse end of a band, with the best of the worse bands.
+    Ignored detections count on neither side. Sampled splitters over (group, score, ties) cut the matches into bands of about
+    equal size, as many as there are shuffle partitions, so that a group of a third of all detections, with whatever
+    distribution of scores, is sorted by many tasks. Counts run within a band and are written once; what the better bands hold is
+    added from a table with a row for each group and band. The envelope likewise runs from the worse end of a band, with the
+    best of the worse bands. The ties must tell all rows of a group apart.
     """
     keys = [*by, "area_range", "thr", "max_dets"]
     rows = matches.select("*", F.explode(F.array(*map(F.lit, prefixes))).alias("max_dets")).where(F.col("rank") <= F.col("max_dets"))
     counts = F.when(F.col("matched").isNotNull() & ~F.col("ignored"), 1).otherwise(0)
     wrong = F.when(F.col("matched").isNull() & ~F.col("ignored"), 1).otherwise(0)
-    # Scores beyond [0, 1] fall into the outer bands; the order within a band is by the score itself.
-    band = F.floor((1 - F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))) * bands).cast("int")
-    rows = rows.select(*keys, *(t for t in ties if t not in keys), "score", band.alias("band"), counts.alias("tp_row"), wrong.alias("fp_row"))
+    order = [*keys, F.desc("score"), *ties]
+    rows = rows.select(*keys, *(t for t in ties if t not in keys), "score", counts.alias("tp_row"), wrong.alias("fp_row"))
+    n = bands or int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *order).withColumn("band", F.spark_partition_id())
     inside = Window.partitionBy(*keys, "band").orderBy(F.desc("score"), *ties)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("*", F.sum("tp_row").over(so_far).alias("tp"), F.sum("fp_row").over(so_far).alias("fp"), F.row_number().over(inside).alias("pos"))
+    rows = rows.select(*keys, "band", "score", "tp_row", "fp_row", F.sum("tp_row").over(so_far).alias("tp"), F.sum("fp_row").over(so_far).alias("fp"), F.row_number().over(inside).alias("pos"))
+    rows = settled(rows, "curve")
     better = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     held = rows.groupBy(*keys, "band").agg(F.sum("tp_row").alias("tp_in"), F.sum("fp_row").alias("fp_in"), F.count("*").alias("n_in"))
     held = held.select(*keys, "band", *(F.coalesce(F.sum(f"{c}_in").over(better), F.lit(0)).alias(f"{c}_0") for c in ("tp", "fp", "n")))

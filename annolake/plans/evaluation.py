@@ -28,7 +28,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs_2d(gt: DataFrame, det: DataFrame) -> DataFrame:
     d = matching.rank_detections(det).select("det_id", "image_id", "category_name", "d", "rank", "score")
-    return matching.match_pairs(gt.select("ann_id", "image_id", "category_name", "g"), d, boxes.iou2d)
+    return matching.match_pairs(gt.select("ann_id", "image_id", "category_name", "g", "ignore", F.col("area").alias("gsize")), d, boxes.iou2d)
 
 
 def ap50_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def summary_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs_3d(gt: DataFrame, det: DataFrame) -> DataFrame:
     """Pairs with the IoU of boxes without rotation."""
-    g = gt.select("ann_id", "image_id", "category_name", F.struct(geometry.vec(F.col("cxm"), F.col("cym"), F.col("czm")).alias("c"), geometry.vec(F.col("w3"), F.col("h3"), F.col("l3")).alias("s")).alias("g"))
+    g = gt.select("ann_id", "image_id", "category_name", "ignore", F.col("depth").alias("gsize"), F.struct(geometry.vec(F.col("cxm"), F.col("cym"), F.col("czm")).alias("c"), geometry.vec(F.col("w3"), F.col("h3"), F.col("l3")).alias("s")).alias("g"))
     d = matching.rank_detections(det).select("det_id", "image_id", "category_name", "rank", "score", F.struct(geometry.vec(F.col("cxm"), F.col("cym"), F.col("czm")).alias("c"), geometry.vec(F.col("w3"), F.col("h3"), F.col("l3")).alias("s")).alias("d"))
     return matching.match_pairs(g, d, lambda x, y: geometry.aabb_iou3d(x["c"], x["s"], y["c"], y["s"]))
 
@@ -229,8 +229,8 @@ ORACLE = {
     # Views first, and only the image in the join's condition, so that no planner turns it into a join of ranges.
     "proposal_labels": with_views(f"""WITH g AS MATERIALIZED (SELECT ann_id, image_id, valid3d, x1, y1, x2, y2 FROM fx_annotations), d AS MATERIALIZED (SELECT det_id, image_id, x1, y1, x2, y2 FROM fx_detections),
         m AS MATERIALIZED (SELECT g.ann_id, g.valid3d, d.det_id, g.x1 AS gx1, g.y1 AS gy1, g.x2 AS gx2, g.y2 AS gy2, d.x1 AS dx1, d.y1 AS dy1, d.x2 AS dx2, d.y2 AS dy2 FROM g JOIN d ON g.image_id = d.image_id),
-        o AS (SELECT *, greatest(least(gx2, dx2) - greatest(gx1, dx1), 0) * greatest(least(gy2, dy2) - greatest(gy1, dy1), 0) AS both FROM m),
-        c AS MATERIALIZED (SELECT ann_id, valid3d, det_id, both / ((gx2 - gx1) * (gy2 - gy1) + (dx2 - dx1) * (dy2 - dy1) - both) AS iou, both / ((dx2 - dx1) * (dy2 - dy1)) AS ioa FROM o WHERE both > 0),
+        o AS (SELECT *, greatest(least(gx2, dx2) - greatest(gx1, dx1), 0) * greatest(least(gy2, dy2) - greatest(gy1, dy1), 0) AS shared FROM m),
+        c AS MATERIALIZED (SELECT ann_id, valid3d, det_id, shared / ((gx2 - gx1) * (gy2 - gy1) + (dx2 - dx1) * (dy2 - dy1) - shared) AS iou, shared / ((dx2 - dx1) * (dy2 - dy1)) AS ioa FROM o WHERE shared > 0),
         b AS (SELECT det_id, max(iou) FILTER (valid3d) AS iou, max(ioa) FILTER (NOT valid3d) AS ioa FROM c GROUP BY 1),
         f AS (SELECT c.det_id, min(c.ann_id) AS ann_id FROM c JOIN b ON c.det_id = b.det_id AND c.iou = b.iou WHERE c.valid3d AND c.iou >= 0.5 GROUP BY 1)
         SELECT d.det_id, f.ann_id, round(coalesce(iou, 0) + 1e-9, 6) AS iou, CASE WHEN coalesce(iou, 0) >= 0.5 THEN 1 WHEN coalesce(ioa, 0) > 0.5 THEN -1 ELSE 0 END AS label

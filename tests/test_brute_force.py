@@ -1,6 +1,7 @@
 """Queries that SQL does not express well, against plain loops over the same views."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -184,3 +185,26 @@ def test_field_statistics_of_a_null_group(spark):
     df = spark.createDataFrame([(None, 1.0, 2.0), (None, 3.0, None), ("x", 5.0, 6.0)], "k string, u double, v double")
     got = {(r.k, r.field): (r.n, r.mean, r.median) for r in stats.field_stats(df, ["u", "v"], ["k"]).collect()}
     assert got == {(None, "u"): (2, 2.0, 2.0), (None, "v"): (1, 2.0, 2.0), ("x", "u"): (1, 5.0, 5.0), ("x", "v"): (1, 6.0, 6.0)}
+
+
+def test_envelope_of_saturated_scores(spark):
+    """All scores in [.99, 1], many of them exactly 1, one group far larger than the others: several bands share it, and the curve is that of a loop."""
+    rng = random.Random(8)
+    rows = [(i, "big" if i % 10 else "small", "all", 0, 1, i, rng.choice([1.0, 0.99 + rng.randrange(100) / 10_000]), i if rng.random() < 0.5 else None, rng.random() < 0.1) for i in range(1500)]
+    m = spark.createDataFrame(rows, "image_id long, category_name string, area_range string, thr int, rank int, det_id long, score double, matched long, ignored boolean")
+    npig = spark.createDataFrame([("big", "all", 900), ("small", "all", 90)], "category_name string, area_range string, npig long")
+    got = metrics.precision_recall(m, npig, bands=9).collect()
+    for name, total in (("big", 900), ("small", 90)):
+        own, tp, fp, want = sorted((r for r in rows if r[1] == name), key=lambda r: (-r[6], r[0])), 0, 0, []
+        for pos, r in enumerate(own, 1):
+            tp += r[7] is not None and not r[8]
+            fp += r[7] is None and not r[8]
+            want.append([pos, tp / total, tp / (tp + fp) if tp + fp else 0.0])
+        best = 0.0
+        for w in reversed(want):
+            best = max(best, w[2])
+            w.append(best)
+        mine = sorted([r.pos, r.rc, r.pr, r.env] for r in got if r.category_name == name)
+        assert len(mine) == len(want) and all(abs(x - y) < 1e-12 for p, q in zip(mine, want, strict=True) for x, y in zip(p, q, strict=True))
+    rows_of = m.select("category_name", "area_range", "thr", F.lit(100).alias("max_dets"), "score", "image_id").repartitionByRange(9, "category_name", F.desc("score"), "image_id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows_of) == 9 and max(r["count"] for r in rows_of) < 600
