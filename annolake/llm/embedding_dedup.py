@@ -1,35 +1,42 @@
 """Embedding near-dedup by NN-descent.
 
-Equal vectors of a group are one class. Every class starts with the neighbours that random hyperplanes put
-into its blocks (several tables, blocks of bounded size), then rounds of NN-descent join the neighbours of
-each class with one another, lists that end at or above the threshold counting as saturated. Lists are not
-cut off there: what the lists connect is gathered into components, and a component's members are compared
-in full, in tiles of bounded size, which enlarges every saturated list to all its links. Classes are
-audited against all vectors until so many true links are known that the share found can be told, or all
-classes have been audited; if too few of their links were found, the search goes on with more tables and
-longer lists, and groups that stay below are compared in full. Only pairs whose cosine in double precision reaches the threshold are links.
+Equal vectors of a group are one class. Every class starts with the neighbours that random hyperplanes put into its
+blocks of bounded size; there are as many tables as it takes to bring a pair at the threshold together at least once with
+a probability of 1 - MISS, whatever the group's size. Rounds of NN-descent then join the neighbours of each class with one
+another, lists that end at or above the threshold counting as saturated. Lists are not cut off there: what the lists
+connect is gathered into components, and a component's members are compared in full, in tiles of bounded size, which
+enlarges every saturated list to all its links. The result comes from this search for every size of table.
+
+A sample of classes, bounded in number and at most an eighth of them, is audited: it is compared with all others, and
+`audited_recall` gives the share of its links that the search found (null where it has none). While the share is below RECALL
+the search goes on with more tables and longer lists; groups that stay below after TRIES are compared in full. Only
+pairs whose cosine in double precision reaches the threshold are links.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows whose
-group is null, link with nothing; so do vectors of different lengths; rows that repeat a vector link with
-each other; ids should be unique; an empty table gives an empty result; further input columns are ignored.
+group is null, link with nothing; so do vectors of different lengths, and rows whose id is null, which are kept; rows
+that repeat a vector link with each other; of neighbours with equal cosines the smaller id comes first; ids of other
+types than whole numbers are numbered in their order; an empty table gives an empty result; further input columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from annolake.llm.common import partitions, settled, small_batches
 from annolake.llm.graph import connected_components
 
-#: Rows of a block or tile; neighbours kept in a list at first; hyperplane tables of the first try.
-BLOCK, LIST, TABLES = 192, 8, 4
-#: Classes audited at first, true links that an audit needs, the share of them that must be found, and tries before groups are compared in full.
-AUDITED, AUDIT_LINKS, RECALL, TRIES = 512, 500, 0.97, 3
+#: Rows of a block or tile; neighbours kept in a list at first; tables made at once; chance that a pair at the threshold shares no block.
+BLOCK, LIST, STEP, MISS = 192, 8, 4, 0.002
+#: Classes audited at most, and at most this part of all; the share of their links that must be found, and tries before groups are compared in full.
+AUDITED, AUDIT_PART, RECALL, TRIES = 2048, 8, 0.97, 3
 #: Rows of either side of a tile where classes are compared with all others.
 TILE = 1024
 
@@ -40,6 +47,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _halves(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows from packed half-precision vectors of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), dim)
+
+
 def _hyperplane_codes(first: int, tables: int):
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class once for every table, with the signs of its first `bits` projections."""
@@ -49,13 +61,13 @@ def _hyperplane_codes(first: int, tables: int):
             out = np.zeros((batch.num_rows, tables), np.int64)
             for d in np.unique(width):
                 at = np.flatnonzero(width == d)
-                v = _matrix(batch.column("v").take(pa.array(at)))
+                v = _halves(batch.column("q").take(pa.array(at)), int(d))
                 for t in range(tables):
                     sign = v @ np.random.default_rng([first + t, int(d)]).standard_normal((int(d), 24)) > 0
                     sign &= np.arange(24) < bits[at][:, None]
                     out[at, t] = sign @ (1 << np.arange(24))
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(first + t, pa.int32()), batch.num_rows), pa.array(out[:, t]), batch.column("grp"), batch.column("dim"), batch.column("id"), batch.column("v")], names=["tab", "code", "grp", "dim", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(first + t, pa.int32()), batch.num_rows), pa.array(out[:, t]), batch.column("grp"), batch.column("dim"), batch.column("id"), batch.column("q")], names=["tab", "code", "grp", "dim", "id", "q"])
 
     return codes
 
@@ -74,7 +86,7 @@ def _best_of(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def _block_neighbours(k: int):
     def neighbours(block: pa.Table) -> pa.Table:
-        a, b, s = _best_of(block.column("id").to_numpy(), _matrix(block.column("v")), k)
+        a, b, s = _best_of(block.column("id").to_numpy(), _halves(block.column("q"), block.column("dim")[0].as_py()), k)
         return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "sim": pa.array(s.astype(np.float32), pa.float32())})
 
     return neighbours
@@ -132,17 +144,28 @@ def _sized_parts(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows.join(many, keys).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("_n") / size))).drop("_n")
 
 
+def _bits(n: Column) -> Column:
+    """Hyperplanes that cut a group of n into blocks of about half a BLOCK."""
+    return F.least(F.greatest(F.ceil(F.log2(n / F.lit(BLOCK / 2))), F.lit(0)), F.lit(24)).cast("int")
+
+
+def tables_for(bits: int, threshold: float, miss: float | None = None) -> int:
+    """Tables after which a pair at the threshold has met in a block with a probability of 1 - miss: a hyperplane leaves it together with 1 - angle / pi."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if together >= 1 else max(1, math.ceil(math.log(miss or MISS) / math.log(1 - together)))
+
+
 def _search(classes: DataFrame, sizes: DataFrame, first: int, tables: int, k: int, rounds: int, before: DataFrame | None) -> DataFrame:
     """Neighbour lists (id, near) after new tables and rounds of descent; before: lists of an earlier search."""
-    bits = sizes.select("grp", "dim", F.least(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(BLOCK / 2))), F.lit(0)), F.lit(24)).cast("int").alias("bits"))
-    coded = classes.join(bits, ["grp", "dim"]).mapInArrow(_hyperplane_codes(first, tables), "tab int, code long, grp string, dim int, id long, v array<double>")
-    coded = settled(coded.withColumn("q", F.col("v").cast("array<float>")).drop("v").withColumnRenamed("q", "v"), "nn-coded")
-    keys = ["tab", "code", "grp", "dim"]
-    blocks = _sized_parts(coded, keys, BLOCK)
-    pairs = blocks.groupBy(*keys, "part").applyInArrow(_block_neighbours(k), "id long, other long, sim float")
-    if before is not None:
-        pairs = pairs.unionByName(before.select("id", F.explode("near").alias("x")).select("id", "x.other", "x.sim"))
-    lists = settled(_lists(pairs, k), "nn-lists")
+    bits = sizes.select("grp", "dim", _bits(F.col("n")).alias("bits"))
+    rows = classes.select("grp", "dim", "id", "q").join(bits, ["grp", "dim"])
+    keys, lists = ["tab", "code", "grp", "dim"], before
+    for done in range(0, tables, STEP):  # few tables at once, so that little is written for each
+        coded = settled(rows.mapInArrow(_hyperplane_codes(first + done, min(STEP, tables - done)), "tab int, code long, grp string, dim int, id long, q binary"), "nn-coded")
+        pairs = _sized_parts(coded, keys, BLOCK).groupBy(*keys, "part").applyInArrow(_block_neighbours(k), "id long, other long, sim float")
+        if lists is not None:
+            pairs = pairs.unionByName(lists.select("id", F.explode("near").alias("x")).select("id", "x.other", "x.sim"))
+        lists = settled(_lists(pairs, k), "nn-lists")
     half = classes.select("id", "dim", "q")
     for _ in range(rounds):
         own = lists.select(F.col("id").alias("hub"), F.explode("near.other").alias("id"))
@@ -212,18 +235,11 @@ def _true_links(asked: DataFrame, classes: DataFrame, threshold: float) -> DataF
     return tiles.groupBy(*keys, "m", "n").applyInArrow(_cross_links(threshold), "a long, b long, grp string, dim int").distinct()
 
 
-def _audit(classes: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
-    """True links of classes drawn by a hash, at least AUDIT_LINKS of them or those of all classes, and whether it is all."""
-    total, slots, asked = classes.count(), 1 << 30, AUDITED
-    drawn = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(slots))
-    true, done = None, 0
-    while True:
-        limit = slots if asked >= total else slots * asked // total
-        new = settled(_true_links(classes.where((drawn >= done) & (drawn < limit)), classes, threshold), "nn-audit")
-        true, done = new if true is None else true.unionByName(new).distinct(), limit
-        if done == slots or true.count() >= AUDIT_LINKS:
-            return true, done == slots
-        asked *= 8
+def _audit(classes: DataFrame, threshold: float) -> DataFrame:
+    """All true links of a bounded number of classes drawn by a hash."""
+    total, slots = classes.count(), 1 << 30
+    limit = slots * min(AUDITED, -(-total // AUDIT_PART)) // max(total, 1)
+    return settled(_true_links(classes.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(slots)) < limit), classes, threshold), "nn-audit")
 
 
 def _recall(true: DataFrame, component: DataFrame) -> list:
@@ -232,30 +248,36 @@ def _recall(true: DataFrame, component: DataFrame) -> list:
     return true.join(ca, "a", "left").join(cb, "b", "left").groupBy("grp", "dim").agg(F.count("*").alias("n"), F.expr("count_if(ca = cb)").alias("found")).collect()
 
 
-def _all_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the links that are audited and searched for."""
-    true, whole = _audit(classes, threshold)
-    if whole:
-        return true.select("a", "b")
+def _all_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, float | None]:
+    """(a, b): the links that are searched for, and the audited recall."""
+    true = _audit(classes, threshold)
     sizes = classes.groupBy("grp", "dim").agg(F.count("*").alias("n"))
-    lists, k, first = None, LIST, 0
+    bits = sizes.agg(F.max(_bits(F.col("n")))).first()[0] or 0
+    lists, k, first, tables = None, LIST, 0, tables_for(bits, threshold)
     for tries in range(TRIES):
-        tables = TABLES * 2**tries
         lists = _search(classes, sizes, first, tables, k, 1 + tries, lists)
         links = settled(_links_of_lists(lists, classes, threshold), "nn-links")
         found = _recall(true, connected_components(links))
-        if sum(r.found for r in found) >= RECALL * sum(r.n for r in found):
-            return links.unionByName(true.select("a", "b"))
-        first, k = first + tables, 2 * k
-    below = classes.sparkSession.createDataFrame([(r.grp, r.dim) for r in found if r.found < RECALL * r.n], "grp string, dim int")
-    rest = classes.join(F.broadcast(below), ["grp", "dim"], "left_semi")
-    return links.unionByName(true.select("a", "b")).unionByName(_true_links(rest, rest, threshold).select("a", "b"))
+        known, hit = sum(r.n for r in found), sum(r.found for r in found)
+        if hit >= RECALL * known:
+            return links, hit / known if known else None
+        first, tables, k = first + tables, 2 * tables, 2 * k
+    below = [r for r in found if r.found < RECALL * r.n]
+    rest = classes.join(F.broadcast(classes.sparkSession.createDataFrame([(r.grp, r.dim) for r in below], "grp string, dim int")), ["grp", "dim"], "left_semi")
+    return links.unionByName(_true_links(rest, rest, threshold).select("a", "b")), (hit + sum(r.n - r.found for r in below)) / known
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label") -> DataFrame:
-    """id_col, n_links (other vectors linked directly), component_id (smallest id reachable by links), kept (id = component_id)."""
+    """id_col, n_links (other vectors linked directly), component_id (smallest id reachable by links), kept (id = component_id), audited_recall."""
     spark = df.sparkSession
     small_batches(spark, 4096)
+    if not isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        numbers = settled(df.select(F.col(id_col).alias("own")).where("own IS NOT NULL").distinct().orderBy("own").withColumn("number", F.monotonically_increasing_id()), "nn-numbers")
+        numbered = df.select(F.col(id_col).alias("own"), F.col(vec_col).alias("vector"), F.col(group_col).alias("grp")).join(numbers, "own", "left")
+        out = near_duplicate_vectors(numbered, threshold, "number", "vector", "grp")
+        name = lambda as_, number: numbers.select(F.col("own").alias(as_), F.col("number").alias(number))
+        out = out.join(name(id_col, "number"), "number", "left").join(name("smallest", "component_id"), "component_id", "left")
+        return out.select(id_col, "n_links", F.col("smallest").alias("component_id"), "kept", "audited_recall")
     v = F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("string").alias("grp"), v.alias("raw"))
     norm = F.sqrt(F.expr("aggregate(raw, 0D, (s, p) -> s + p * p)"))
@@ -272,7 +294,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93, id_col: str =
             yield batch.append_column("q", pa.array(q, pa.binary()))
 
     classes = settled(classes.select("id", "grp", "dim", "h1", "h2", "times", "v").mapInArrow(halves, "id long, grp string, dim int, h1 long, h2 long, times long, v array<double>, q binary"), "nn-classes")
-    links = settled(_all_links(classes, threshold).distinct(), "nn-links")
+    links, recall = _all_links(classes, threshold)
+    links = settled(links.distinct(), "nn-links")
     component = settled(connected_components(links), "nn-components")
     # Lists of a pair are complete; larger components are compared in full.
     many = component.groupBy("component").agg(F.count("*").alias("size"))
@@ -290,4 +313,4 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93, id_col: str =
     of_class = of_class.select("grp", "dim", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = rows.where("sound").select("id", "grp", "dim", "h1", "h2").join(of_class, ["grp", "dim", "h1", "h2"]).select("id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))

@@ -174,7 +174,7 @@ def test_vectors(spark):
     assert np.mean([got[i].component_id == want[i] for i in got]) > 0.97 and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
-@pytest.mark.parametrize("constants", [{}, {"AUDIT_LINKS": 5, "RECALL": 1.01, "TRIES": 1}])
+@pytest.mark.parametrize("constants", [{}, {"RECALL": 1.01, "TRIES": 1}])
 def test_rare_links(spark, monkeypatch, constants):
     """Isolated pairs just above the threshold among many vectors without links; also where the search never finds enough."""
     for name, value in constants.items():

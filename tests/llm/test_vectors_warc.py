@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from annolake.llm import embedding_dedup
 from annolake.llm import vector_codes as vc
 from annolake.llm import warc as warc_module
 from annolake.llm import whitening
+from annolake.llm.embedding_dedup import near_duplicate_vectors, tables_for
 from annolake.llm.vector_codes import vector_codes
 from annolake.llm.warc import MAGIC, captures, parse_header, read_warc, warc_records, write_warc
 from annolake.llm.whitening import fit_whitening, shifted_cholesky, whiten
@@ -263,3 +265,64 @@ def test_trees_prune_and_hold_all_points(monkeypatch):
     wide = np.zeros_like(got)
     n, s = vc._assign_wide(points[:, :60], book, wide[:, :60])
     assert (wide[:, :60] == want[:, :60]).all() and n.sum() == 120
+
+
+# ---- NN-descent
+
+
+def linked(n, dim, groups, isolated, seed):
+    """Unit vectors: `groups` clusters of many links, `isolated` pairs just above .93, the rest without links; two labels."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim))
+    at = 0
+    for g in range(groups):
+        size = 3 + 4 * g
+        v[at : at + size] = v[at] / np.linalg.norm(v[at]) + 0.15 * rng.normal(size=(size, dim)) / np.sqrt(dim)
+        at += size
+    for _ in range(isolated):
+        a = v[at] / np.linalg.norm(v[at])
+        b = rng.normal(size=dim)
+        b -= b @ a * a
+        v[at + 1] = 0.94 * a + np.sqrt(1 - 0.94**2) * b / np.linalg.norm(b)
+        at += 2
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return v, np.where(np.arange(n) < n - n // 5, 1, 2)
+
+
+@pytest.mark.parametrize("groups,isolated", [(9, 40), (0, 15), (0, 0)])
+def test_search_decides_the_links(spark, monkeypatch, groups, isolated):
+    """Many, few and no links: every link comes from the search, the audit compares an eighth of the classes at most, and nothing is compared in full."""
+    v, label = linked(1500, 24, groups, isolated, 5)
+    calls, search, true = [], embedding_dedup._search, embedding_dedup._true_links
+    monkeypatch.setattr(embedding_dedup, "_search", lambda *a: calls.append("search") or search(*a))
+
+    def compared(asked, classes, threshold):
+        calls.append(("compared", asked.count(), classes.count()))
+        return true(asked, classes, threshold)
+
+    monkeypatch.setattr(embedding_dedup, "_true_links", compared)
+    df = spark.createDataFrame([(int(i), x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in near_duplicate_vectors(df, 0.93).collect()}
+    near = (v @ v.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    degree = near.sum(1)
+    assert calls.count("search") >= 1
+    compared_with = [c for c in calls if c != "search"]
+    assert len(compared_with) == 1 and compared_with[0][1] <= 1500 / 8 * 1.3 and compared_with[0][2] == 1500
+    assert all(got[i].n_links <= degree[i] for i in got) and sum(r.n_links for r in got.values()) >= 0.95 * degree.sum()
+    recall = {r.audited_recall for r in got.values()}
+    assert len(recall) == 1 and (recall == {None} or min(recall) >= 0.97)
+
+
+def test_vectors_with_ids_of_other_types(spark):
+    rows = [("b", [1.0, 0.0], 1), ("a", [1.0, 0.01], 1), ("c", [0.0, 1.0], 1), (None, [1.0, 0.0], 1), ("d", None, 1)]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or "", r.n_links, r.component_id, r.kept) for r in got) == [("", 0, None, True), ("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True), ("d", 0, "d", True)]
+
+
+def test_number_of_tables():
+    assert tables_for(0, 0.93) == 1 and tables_for(24, 0.93) > tables_for(10, 0.93) > tables_for(5, 0.93) > 1
+    for bits in (3, 8, 14):
+        together = (1 - np.arccos(0.93) / np.pi) ** bits
+        n = tables_for(bits, 0.93)
+        assert (1 - together) ** n <= embedding_dedup.MISS < (1 - together) ** (n - 1)
