@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolake.functions import boxes
+from annolake.operators.overlap import overlap_join
+
 #: Detections of an image and category that are looked at.
 MOST_DETECTIONS = 100
 
@@ -148,6 +151,20 @@ def nearest_truth(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     return pairs.where(F.col("iou") >= least).groupBy("det_id").agg(F.max_by("ann_id", F.struct("iou", -F.col("ann_id"))).alias("ann_id"), F.max("iou").alias("iou"))
 
 
+def proposal_pairs(gt: DataFrame, det: DataFrame) -> DataFrame:
+    """The overlapping pairs of an image's truths and proposals, whatever their categories: det_id, ann_id, ignore, iou, ioa (the part of the proposal that is covered).
+
+    gt: ann_id, image_id, ignore, g; det: det_id, image_id, d (boxes). Proposals are many, so pairs meet through a grid; pairs without
+    any overlap have no row.
+    """
+    sides = lambda c, n: [F.get(F.col(c), i).alias(f"{n}{i}") for i in range(4)]
+    spans = lambda n: [(f"{n}0", f"{n}2"), (f"{n}1", f"{n}3")]
+    a = gt.select("image_id", "ann_id", "ignore", "g", *sides("g", "_g"))
+    b = det.select("image_id", "det_id", "d", *sides("d", "_d"))
+    met = overlap_join(a, b, ["image_id"], spans("_g"), spans("_d"), levels=(0, 2))
+    return met.select("det_id", "ann_id", "ignore", boxes.iou2d(F.col("g"), F.col("d")).alias("iou"), boxes.ioa2d(F.col("d"), F.col("g")).alias("ioa"))
+
+
 def label_proposals(pairs: DataFrame, proposals: DataFrame, ignored: DataFrame, fg: float = 0.5, bg: float = 0.5, ignore_ioa: float = 0.5) -> DataFrame:
     """(det_id, ann_id, iou, label): 1 for the foreground, 0 for the background, -1 for neither.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolake.operators.overlap import overlap_join
+
 
 def merge_runs(runs: DataFrame, by: tuple[str, ...] = ("image_id", "inst_id")) -> DataFrame:
     """Disjoint runs per row; runs that touch become one."""
@@ -31,9 +33,10 @@ def mask_size_ok(stats: DataFrame, image_pixels: int, least: int = 10, least_wid
 
 
 def mask_overlaps(runs: DataFrame) -> DataFrame:
-    """(image_id, a, b, both, iou), a < b: pixels that two masks of an image share. Runs must be merged."""
+    """(image_id, a, b, both, iou), a < b: pixels that two masks of an image share. Runs must be merged; runs of a line meet where they lie near."""
     other = runs.select("image_id", "v", F.col("inst_id").alias("b"), F.col("u0").alias("b0"), F.col("u1").alias("b1"))
-    met = runs.select("image_id", "v", F.col("inst_id").alias("a"), "u0", "u1").join(other, ["image_id", "v"]).where("a < b AND u0 <= b1 AND b0 <= u1")
+    own = runs.select("image_id", "v", F.col("inst_id").alias("a"), "u0", "u1")
+    met = overlap_join(own, other, ["image_id", "v"], [("u0", "u1")], [("b0", "b1")], cell=64.0, levels=(0, 3), closed=True, also=F.col("a") < F.col("b"))
     both = met.groupBy("image_id", "a", "b").agg(F.sum(F.least("u1", "b1") - F.greatest("u0", "b0") + 1).alias("both"))
     size = runs.groupBy("image_id", "inst_id").agg(F.sum(F.col("u1") - F.col("u0") + 1).alias("n"))
     out = both.join(size.withColumnsRenamed({"inst_id": "a", "n": "na"}), ["image_id", "a"]).join(size.withColumnsRenamed({"inst_id": "b", "n": "nb"}), ["image_id", "b"])

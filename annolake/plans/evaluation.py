@@ -125,9 +125,8 @@ def localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, det = truths(spark, sf_dir), detections(spark, sf_dir)
-    cross = gt.select("ann_id", "image_id", "ignore", "g").join(det.select("det_id", "image_id", "d"), "image_id")
-    counting = cross.where("NOT ignore").select("det_id", "ann_id", boxes.iou2d(F.col("g"), F.col("d")).alias("iou"))
-    covered = cross.where("ignore").select("det_id", boxes.ioa2d(F.col("d"), F.col("g")).alias("ioa"))
+    pairs = settled(matching.proposal_pairs(gt, det), "proposal-pairs")
+    counting, covered = pairs.where("NOT ignore").select("det_id", "ann_id", "iou"), pairs.where("ignore").select("det_id", "ioa")
     out = matching.label_proposals(counting, det, covered)
     return out.select("det_id", "ann_id", F.round(F.col("iou") + 1e-9, 6).alias("iou"), "label")
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annolake.operators import points, sets
+from annolake.operators import matching, overlap, points, sets
 from annolake.sources import rasters
 
 
@@ -113,3 +113,43 @@ def test_near_equal_poses_are_merged(spark):
         assert np.allclose(r.a, yaws_of([b + math.radians(o) for b in yaws_of(y) for o in (-30, -15, 0, 15, 30)]))
     grid = points.pose_grid(df.select("id", "y", "s"), F.col("y"), F.col("s")).where("id = 7").orderBy("order").collect()
     assert np.allclose([(g.yaw, g.scale) for g in grid], [(y, s) for y in yaws_of(rows[7][1]) for s in scales_of(rows[7][2])]) and [g.order for g in grid] == list(range(len(grid)))
+
+
+@pytest.mark.parametrize("cell,levels", [(1.0, (0, 1, 2, 3, 4, 5, 6)), (4.0, (0, 2)), (1000.0, (0,))])
+@pytest.mark.parametrize("closed", [False, True])
+def test_overlap_join_against_all_pairs(spark, cell, levels, closed):
+    """Boxes of all sizes, some of them points or beyond the coarsest cells, with negative places, borders on cells' borders and repeated boxes."""
+    rng = random.Random(9)
+
+    def box():
+        x, y, w, h = rng.randrange(-30, 60), rng.uniform(-30, 60), rng.choice([0, 1, 2, 7, 40, 200]), rng.choice([0, 0.5, 4, 30.0])
+        return [float(x), float(y), float(x + w), float(y + h)]
+
+    a, b = [(k % 3, k, *box()) for k in range(90)], [(k % 4, k, *box()) for k in range(80)]
+    b += [(0, 900, *a[0][2:]), (0, 901, *a[0][2:])]
+    df = lambda rows, n: spark.createDataFrame(rows, f"key int, {n} int, " + ", ".join(f"{n}{i} double" for i in range(4)))
+    got = overlap.overlap_join(df(a, "a"), df(b, "b"), ["key"], [("a0", "a2"), ("a1", "a3")], [("b0", "b2"), ("b1", "b3")], cell, levels, closed)
+    less = (lambda p, q: p <= q) if closed else (lambda p, q: p < q)
+    want = sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and all(less(max(p[i], q[i]), min(p[i + 2], q[i + 2])) for i in (2, 3)))
+    assert sorted((r.a, r.b) for r in got.collect()) == want and len(want) > 40
+    line = overlap.overlap_join(df(a, "a"), df(b, "b"), ["key"], [("a0", "a2")], [("b0", "b2")], cell, levels, closed)
+    assert line.count() == sum(p[0] == q[0] and less(max(p[2], q[2]), min(p[4], q[4])) for p in a for q in b)
+
+
+def test_pairs_of_a_large_image_grow_with_overlaps(spark):
+    """One image with 10,000 truths and 10,000 proposals: of 10^8 pairs some 10^5 meet, and all that overlap are found."""
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        at, size = rng.uniform(0, 40_000, (n, 2)), rng.uniform(20, 200, (n, 2))
+        return np.hstack([at, at + size])
+
+    g, d = some(10_000), some(10_000)
+    rows = lambda v, n: spark.createDataFrame([(0, i, False, b.tolist()) for i, b in enumerate(v)], f"image_id int, {n} int, ignore boolean, {'g' if n == 'ann_id' else 'd'} array<double>")
+    got = matching.proposal_pairs(rows(g, "ann_id"), rows(d, "det_id"))
+    found = {(r.ann_id, r.det_id) for r in got.collect()}
+    want = {(int(i), int(j)) for i in range(len(g)) for j in np.flatnonzero((np.maximum(g[i, 0], d[:, 0]) < np.minimum(g[i, 2], d[:, 2])) & (np.maximum(g[i, 1], d[:, 1]) < np.minimum(g[i, 3], d[:, 3])))}
+    assert found == want
+    cells = [overlap._placed(rows(v, n).select("image_id", *(F.get(c, i).alias(f"{c}{i}") for i in range(4))), [(f"{c}0", f"{c}2"), (f"{c}1", f"{c}3")], 256.0, (0, 2), m) for v, n, c, m in ((g, "ann_id", "g", "a"), (d, "det_id", "d", "b"))]
+    formed = cells[0].join(cells[1], ["image_id", "_level", "_c0", "_c1"]).count()
+    assert formed < 60 * len(want) and formed < 2_000_000
