@@ -132,12 +132,14 @@ def point_support(points: DataFrame, boxes: DataFrame, by: list[str], grow: floa
 
 
 def _axes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Eigenvectors of each row's covariance, longest first, made right-handed."""
+    """Eigenvectors of each row's covariance, longest first: of the first two the component of largest size is positive (of equal ones the first), the third makes them right-handed."""
     for f in frames:
         m = np.stack([f[["xx", "xy", "xz"]], f[["xy", "yy", "yz"]], f[["xz", "yz", "zz"]]], axis=1).astype(float)
         if len(f):
             _, v = np.linalg.eigh(np.nan_to_num(m))
             v = v[:, :, ::-1].copy()
+            largest = np.abs(v[:, :, :2]).argmax(axis=1)
+            v[:, :, :2] *= np.sign(np.take_along_axis(v[:, :, :2], largest[:, None], axis=1))
             v[:, :, 2] = np.cross(v[:, :, 0], v[:, :, 1])
             for i in range(3):
                 for j in range(3):

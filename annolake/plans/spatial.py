@@ -113,10 +113,31 @@ def supported_points(spark, sf_dir):
     return points.point_support(cloud, b, ["inst_id"]).select("inst_id", _r(F.col("support")).alias("support"))
 
 
-@_query(f"WITH {_XYZ} SELECT inst_id, count(*) AS n, true AS right_handed FROM pts GROUP BY 1 HAVING count(*) >= 4")
+def _eigen_sql(n: int) -> str:
+    """The n-th eigenvalue's vector: the longest cross product of two rows of the covariance less the eigenvalue, its largest component positive."""
+    rows = [[("xx", "xy", "xz")[j] if i == 0 else (("xy", "yy", "yz")[j] if i == 1 else ("xz", "yz", "zz")[j]) for j in range(3)] for i in range(3)]
+    m = [[f"({rows[i][j]} - e{n})" if i == j else rows[i][j] for j in range(3)] for i in range(3)]
+    cross = [[f"({m[a][(k + 1) % 3]} * {m[b][(k + 2) % 3]} - {m[a][(k + 2) % 3]} * {m[b][(k + 1) % 3]})" for k in range(3)] for a, b in ((0, 1), (0, 2), (1, 2))]
+    return ", ".join(f"[{', '.join(c)}] AS v{n}{i}" for i, c in enumerate(cross))
+
+
+_LONGEST = "CASE WHEN list_sum(list_transform(v{0}0, lambda a: a * a)) >= greatest(list_sum(list_transform(v{0}1, lambda a: a * a)), list_sum(list_transform(v{0}2, lambda a: a * a))) THEN v{0}0 WHEN list_sum(list_transform(v{0}1, lambda a: a * a)) >= list_sum(list_transform(v{0}2, lambda a: a * a)) THEN v{0}1 ELSE v{0}2 END AS w{0}"
+_SIGNED = "list_transform(w{0}, lambda a: a / sqrt(w{0}[1] * w{0}[1] + w{0}[2] * w{0}[2] + w{0}[3] * w{0}[3]) * sign(w{0}[CASE WHEN abs(w{0}[1]) >= greatest(abs(w{0}[2]), abs(w{0}[3])) THEN 1 WHEN abs(w{0}[2]) >= abs(w{0}[3]) THEN 2 ELSE 3 END])) AS a{0}"
+
+
+@_query(f"""WITH {_XYZ}, c AS (SELECT inst_id, count(*) AS n, var_samp(x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, var_samp(y) AS yy, covar_samp(y, z) AS yz, var_samp(z) AS zz FROM pts GROUP BY 1 HAVING count(*) >= 4),
+    q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), p AS (SELECT *, sqrt((power(xx - q, 2) + power(yy - q, 2) + power(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
+    f AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / power(p, 3) / 2))) / 3 AS f FROM p),
+    e AS (SELECT *, q + 2 * p * cos(f) AS e0, 2 * q + 2 * p * cos(f) + 2 * p * cos(f + 2 * pi() / 3) AS outer_two, 3 * q AS t FROM f), g AS (SELECT *, t - outer_two AS e1 FROM e),
+    v AS (SELECT inst_id, n, {_eigen_sql(0)}, {_eigen_sql(1)} FROM g), w AS (SELECT inst_id, n, {_LONGEST.format(0)}, {_LONGEST.format(1)} FROM v), a AS (SELECT inst_id, n, {_SIGNED.format(0)}, {_SIGNED.format(1)} FROM w),
+    r AS (SELECT *, [a0[2] * a1[3] - a0[3] * a1[2], a0[3] * a1[1] - a0[1] * a1[3], a0[1] * a1[2] - a0[2] * a1[1]] AS a2 FROM a),
+    s AS (SELECT inst_id, any_value(n) AS n, any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2, {", ".join(f"{f}(x * a{j}[1] + y * a{j}[2] + z * a{j}[3]) AS {n}{j}" for j in range(3) for n, f in (("lo", "min"), ("hi", "max")))} FROM r JOIN pts USING (inst_id) GROUP BY 1)
+    SELECT inst_id, n, {", ".join(f"round(hi{j} - lo{j} + 1e-9, 4) AS d{j}" for j in range(3))}, {", ".join(f"round({' + '.join(f'a{j}[{i + 1}] * (lo{j} + hi{j}) / 2' for j in range(3))} + 1e-9, 4) AS c{i}" for i in range(3))}, {", ".join(f"round(a{j}[{i + 1}] + 1e-9, 4) AS r{i}{j}" for i in range(3) for j in range(3))} FROM s""")
 def principal_boxes(spark, sf_dir):
+    """Extents along all principal axes, longest first, centre and rotation; SQL solves the cubic equation."""
     out = points.pca_box_3d(_cloud(spark, sf_dir), "inst_id").where("n >= 4")
-    return out.select("inst_id", "n", (F.abs(geometry.determinant(F.col("rotation")) - 1) < 1e-6).alias("right_handed"))
+    cells = [_r(F.get(F.get("rotation", i), j), 4).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
+    return out.select("inst_id", "n", *(_r(F.get("dims", j), 4).alias(f"d{j}") for j in range(3)), *(_r(F.get("center", i), 4).alias(f"c{i}") for i in range(3)), *cells)
 
 
 @_query("SELECT inst_id, least(count(*), 20) AS n FROM fx_points GROUP BY 1")
