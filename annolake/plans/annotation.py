@@ -347,10 +347,30 @@ def projection_gate(spark, sf_dir):
     return rows.select("ann_id", *(F.round(F.col(f"m.{c}") + 1e-9, 5).alias(c) for c in ("iou", "centre_offset", "area_ratio")), gates.gate_projection(F.col("m")).alias("ok"))
 
 
-@_query(f"""WITH {_PROJ} SELECT count(*) AS n, count(*) FILTER (zn <= 0.5) AS corner_too_close FROM q""")
+@_query("""WITH c AS (SELECT g.*, xs * (gx + sx * gl / 2) AS x, gy + sy * gh / 2 AS y, gz + sz * gw / 2 AS z FROM fx_gated g, (VALUES (-1), (1)) a(sx), (VALUES (-1), (1)) b(sy), (VALUES (-1), (1)) d(sz)),
+    u AS (SELECT *, CASE WHEN z <> 0 THEN fx * x / z + cx END AS u, CASE WHEN z <> 0 THEN fy * y / z + cy END AS v FROM c),
+    e AS (SELECT ann_id, any_value(m) AS m, any_value(ncor) AS ncor, any_value(gx) AS gx, any_value(gz) AS gz, any_value(gw) AS gw, any_value(gh) AS gh, any_value(gl) AS gl, min(z) AS zn, bool_and(isfinite(x)) AS sound, bool_and(isfinite(u) AND isfinite(v)) AS fin, max(greatest(abs(u), abs(v))) AS far,
+        greatest(least(min(u), any_value(width) - 1), 0) AS px1, greatest(least(max(u), any_value(width) - 1), 0) AS px2, greatest(least(min(v), any_value(height) - 1), 0) AS py1, greatest(least(max(v), any_value(height) - 1), 0) AS py2 FROM u GROUP BY 1),
+    s AS (SELECT *, px2 - px1 AS w, py2 - py1 AS h, (px1 + px2) / 2 AS mx, (py1 + py2) / 2 AS my FROM e),
+    t AS (SELECT *, CASE m WHEN 10 THEN -900 WHEN 12 THEN mx - 2.5 * w WHEN 13 THEN mx - 0.095 * w ELSE px1 END AS tx1, CASE m WHEN 10 THEN -900 WHEN 12 THEN my - 2.5 * h WHEN 13 THEN my - 0.095 * h ELSE py1 END AS ty1,
+        CASE m WHEN 10 THEN -800 WHEN 11 THEN px1 + 0.2 * w WHEN 12 THEN mx + 2.5 * w WHEN 13 THEN mx + 0.095 * w ELSE px2 END AS tx2, CASE m WHEN 10 THEN -800 WHEN 11 THEN py1 + 0.2 * h WHEN 12 THEN my + 2.5 * h WHEN 13 THEN my + 0.095 * h ELSE py2 END AS ty2 FROM s),
+    i AS (SELECT *, w * h AS pa, (tx2 - tx1) * (ty2 - ty1) AS ta, greatest(least(px2, tx2) - greatest(px1, tx1), 0) * greatest(least(py2, ty2) - greatest(py1, ty1), 0) AS ia,
+        sqrt(power(mx - (tx1 + tx2) / 2, 2) + power(my - (ty1 + ty2) / 2, 2)) / sqrt(power(tx2 - tx1, 2) + power(ty2 - ty1, 2)) AS away FROM t)
+    SELECT ann_id, CASE WHEN ncor <> 8 THEN 'bad_bbox3d_shape' WHEN NOT sound THEN 'nonfinite_3d' WHEN gz <= 0 OR least(gw, gh, gl) <= 0 THEN 'bad_center_or_dim' WHEN zn <= 0.5 THEN 'corner_too_close' WHEN greatest(gw, gh, gl) > 8 THEN 'dim_abs_too_large'
+        WHEN NOT fin THEN 'project_nonfinite' WHEN far > 5000 THEN 'project_too_large' WHEN w <= 0 OR h <= 0 THEN 'project_clipped_bad' WHEN ia / (pa + ta - ia) < 0.03 THEN 'project_iou' WHEN away > 1 THEN 'project_center'
+        WHEN pa / ta < 0.05 THEN 'project_area_small' WHEN pa / ta > 20 THEN 'project_area_large' WHEN m = 14 THEN 'axis_prior_ratio' WHEN m = 15 THEN 'volume_prior_ratio' END AS reason FROM i""")
 def geometry_gate(spark, sf_dir):
-    rows = gates.gate_geometry(_cuboids(spark, sf_dir).withColumn("target", F.col("box")), boxes.box(1.0, 1.0, 1.0))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "corner_too_close").alias("corner_too_close"))
+    """The first reason against each box of a table in which boxes break one rule each. A depth of zero is always too close first."""
+    rows = view(spark, sf_dir, "fx_gated").withColumn("center", geometry.vec(F.col("gx"), F.col("gy"), F.col("gz"))).withColumn("dims", geometry.vec(F.col("gw"), F.col("gh"), F.col("gl")))
+    rows = rows.withColumn("corners", F.slice(F.transform(geometry.box_corners(F.col("center"), F.col("dims")), lambda p: F.array(p[0] * F.col("xs"), p[1], p[2])), F.lit(1), F.col("ncor")))
+    rows = rows.withColumn("p", geometry.project_box(F.col("corners"), *_camera(), F.col("width"), F.col("height"))["clipped"])
+    x1, y1, x2, y2 = boxes.parts(F.col("p"))
+    w, h, (mx, my) = x2 - x1, y2 - y1, boxes.centre(F.col("p"))
+    around = lambda k: boxes.box(mx - k * w, my - k * h, mx + k * w, my + k * h)
+    target = F.when(F.col("m") == 10, boxes.box(-900.0, -900.0, -800.0, -800.0)).when(F.col("m") == 11, boxes.box(x1, y1, x1 + 0.2 * w, y1 + 0.2 * h)).when(F.col("m") == 12, around(2.5)).when(F.col("m") == 13, around(0.095)).otherwise(F.col("p"))
+    part = F.when(F.col("m") == 14, 10.0).when(F.col("m") == 15, 4.0).otherwise(1.0)
+    prior = F.array(*(F.col(c) / part for c in ("gl", "gh", "gw")))
+    return gates.gate_geometry(rows.withColumn("target", target), prior).select("ann_id", "reason")
 
 
 @_query("""WITH v AS (SELECT ann_id, greatest(0.35 / (w3 / 1.2), w3 / 1.2 / 3, 0.35 / h3, h3 / 3, 0.35 / (l3 / 1.6), l3 / 1.6 / 3) AS a, greatest(0.35 / (w3 / 1.6), w3 / 1.6 / 3, 0.35 / h3, h3 / 3, 0.35 / (l3 / 1.2), l3 / 1.2 / 3) AS b,

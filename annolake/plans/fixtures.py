@@ -66,6 +66,14 @@ VIEWS: dict[str, str] = {
     """,
 }
 
+#: Boxes that break one rule each, by their id: number of corners, centre, dimensions, and a factor on the corners' x.
+VIEWS["fx_gated"] = f"""
+        SELECT ann_id, m, width, height, fx, fy, cx, cy, CASE WHEN m = 1 THEN 7 ELSE 8 END AS ncor, CASE WHEN m = 7 THEN 1e306 WHEN m = 8 THEN 100e0 ELSE 1e0 END AS xs,
+               CASE WHEN m = 2 THEN CAST('NaN' AS DOUBLE) WHEN m = 9 THEN -3 * (czm + 3) ELSE cxm END AS gx, cym AS gy, CASE WHEN m = 3 THEN -czm WHEN m = 5 THEN 0.3e0 + w3 / 2 WHEN m >= 6 THEN czm + 3 ELSE czm END AS gz,
+               CASE WHEN m = 4 THEN 0e0 ELSE w3 END AS gw, h3 AS gh, CASE WHEN m = 6 THEN 9e0 ELSE l3 END AS gl
+        FROM (SELECT a.*, i.width, i.height, i.fx, i.fy, i.cx, i.cy, CAST((a.ann_id % 64 + a.image_id) % 16 AS INT) AS m FROM ({VIEWS["fx_annotations"]}) a JOIN ({VIEWS["fx_images"]}) i ON a.image_id = i.image_id) k
+    """
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the tables in sf_dir."""
