@@ -276,12 +276,12 @@ def sampling_of_images(spark, sf_dir):
 _STATS_OF = lambda t: f"SELECT field, 'mean' AS stat, avg(value) AS value FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value FROM {t}" for f in _FIELDS) + ") GROUP BY 1"
 
 
-@_query(f"""WITH a AS ({_STATS_OF('fx_annotations')}), b AS ({_STATS_OF('fx_detections')}) SELECT field, stat, round(a.value + 1e-9, 6) AS a, round(b.value + 1e-9, 6) AS b, round(b.value - a.value + 1e-9, 6) AS delta, len(list_filter([CASE WHEN b.value / a.value > 2 OR b.value / a.value < 0.5 THEN 1 END, CASE WHEN abs(b.value / a.value - 1) > 0.5 THEN 1 END, CASE WHEN field LIKE 'c%' AND abs(b.value - a.value) > 1 THEN 1 END, CASE WHEN field LIKE 'c%' AND abs(b.value - a.value) > 5 THEN 1 END, CASE WHEN abs(b.value) > 10 THEN 1 END], lambda x: x IS NOT NULL)) AS findings FROM a FULL JOIN b USING (field, stat)""")
+@_query(f"""WITH a AS ({_STATS_OF('fx_annotations')}), b AS ({_STATS_OF('fx_detections')}) SELECT field, stat, round(a.value + 1e-9, 6) AS a, round(b.value + 1e-9, 6) AS b, round(b.value - a.value + 1e-9, 6) AS delta, array_to_string(list_filter([CASE WHEN b.value / a.value > 2 OR b.value / a.value < 0.5 THEN 'ratio' END, CASE WHEN abs(b.value / a.value - 1) > 0.5 THEN 'ratio_off' END, CASE WHEN field LIKE 'c%' AND abs(b.value - a.value) > 1 THEN 'center_moved' END, CASE WHEN field LIKE 'c%' AND abs(b.value - a.value) > 5 THEN 'center_far_moved' END, CASE WHEN abs(b.value) > 10 THEN 'mean_large' END], lambda x: x IS NOT NULL), ',') AS findings FROM a FULL JOIN b USING (field, stat)""")
 def drift_of_versions(spark, sf_dir):
     def long(name: str) -> DataFrame:
         return stats.field_stats(view(spark, sf_dir, name), list(_FIELDS), median=False).select("field", F.lit("mean").alias("stat"), F.col("mean").alias("value"))
     out = stats.drift_findings(stats.compare_versions(long("fx_annotations"), long("fx_detections"), ["field", "stat"]))
-    return out.select("field", "stat", _r(F.col("a")).alias("a"), _r(F.col("b")).alias("b"), _r(F.col("delta")).alias("delta"), F.size("findings").alias("findings"))
+    return out.select("field", "stat", _r(F.col("a")).alias("a"), _r(F.col("b")).alias("b"), _r(F.col("delta")).alias("delta"), F.array_join("findings", ",").alias("findings"))
 
 
 @_query("SELECT round(avg(w3) + 1e-9, 6) AS m0, round(avg(h3) + 1e-9, 6) AS m1, round(avg(l3) + 1e-9, 6) AS m2, avg(w3) >= avg(h3) AND avg(w3) >= avg(l3) AS first_is_longest, avg(l3) >= avg(w3) AND avg(l3) >= avg(h3) AS last_is_longest FROM fx_annotations")
@@ -515,3 +515,24 @@ def mirrored_annotations(spark, sf_dir):
     pose = {f"m{i}{j}": _r(F.get(F.get("R_cam", i), j)) for i, j in ((0, 0), (0, 2), (1, 1), (2, 0), (2, 2))}
     low = F.array_max(F.transform("bbox3D_cam", lambda p: F.get(p, 0)))
     return out.select("ann_id", F.get("box", 0).alias("mx1"), F.get("box", 2).alias("mx2"), F.get("box", 1).alias("my1"), _r(F.get("center_proj", 0)).alias("mu"), F.get("center_cam", 0).alias("mcx"), F.get("center_cam", 2).alias("mcz"), _r(low).alias("corner_x"), "mcx0", *(v.alias(k) for k, v in pose.items()))
+
+
+@_query("""SELECT ann_id, ann_id % 3 = 0 AS valid FROM fx_annotations""")
+def valid_boxes(spark, sf_dir):
+    """Whether a box has eight corners with flat faces: one in three has a corner moved, one in three no width."""
+    rows = _cuboids(spark, sf_dir).withColumn("kind", F.col("ann_id") % 3)
+    flat = geometry.box_corners(F.col("center"), F.array(F.lit(0.0), F.col("h3"), F.col("l3")))
+    moved = F.transform("corners", lambda p, i: F.when(i == 6, F.array(p[0], p[1] + 0.5, p[2])).otherwise(p))
+    return rows.select("ann_id", geometry.box3d_valid(F.when(F.col("kind") == 1, moved).when(F.col("kind") == 2, flat).otherwise(F.col("corners"))).alias("valid"))
+
+
+@_query("""WITH d AS (SELECT ann_id, ((x1 + x2) / 2 - cx) / fx AS x, ((y1 + y2) / 2 - cy) / fy AS y FROM fx_annotations JOIN fx_images USING (image_id)), n AS (SELECT ann_id, x / sqrt(x * x + y * y + 1) AS x, y / sqrt(x * x + y * y + 1) AS y, 1 / sqrt(x * x + y * y + 1) AS z FROM d)
+    SELECT ann_id, round(1 - x * x / (1 + z) + 1e-9, 5) AS m00, round(-x * y / (1 + z) + 1e-9, 5) AS m10, round(x + 1e-9, 5) AS m20, round(y + 1e-9, 5) AS m21, round(z + 1e-9, 5) AS m22, 0.0::DOUBLE AS back FROM n""")
+def allocentric_poses(spark, sf_dir):
+    """The pose of a box that faces the camera's axis, seen along the ray through its 2D box, and how far there and back again is from it."""
+    u, v = boxes.centre(F.col("box"))
+    one = geometry.rotate_y(F.lit(0.0))
+    rows = _cuboids(spark, sf_dir).withColumn("m", geometry.to_allocentric(one, u, v, *_camera()))
+    back = geometry.from_allocentric(F.col("m"), u, v, *_camera())
+    far = F.aggregate(F.flatten(F.zip_with(back, one, lambda p, q: F.zip_with(p, q, lambda x, y: F.abs(x - y)))), F.lit(0.0), lambda t, x: F.greatest(t, x))
+    return rows.select("ann_id", *(F.round(F.get(F.get("m", i), j) + 1e-9, 5).alias(f"m{i}{j}") for i, j in ((0, 0), (1, 0), (2, 0), (2, 1), (2, 2))), F.round(far, 9).alias("back"))

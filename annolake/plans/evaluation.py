@@ -118,7 +118,7 @@ def localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = matching.nearest_truth(pairs_2d(gt, det))
     def part(df: DataFrame, key: str, name: str, b: str) -> DataFrame:
         u, v = boxes.centre(F.col(b))
-        return df.select(key, F.struct(u.alias("u"), v.alias("v"), F.col("czm").alias("z"), F.col("w3").alias("w"), F.col("h3").alias("h"), F.col("l3").alias("l")).alias(name))
+        return df.select(key, F.struct(u.alias("u"), v.alias("v"), F.col("czm").alias("z"), F.col("w3").alias("w"), F.col("h3").alias("h"), F.col("l3").alias("l"), geometry.rotate_y(F.col("cxm")).alias("r")).alias(name))
     out = metrics.localisation_errors(best.join(part(gt, "ann_id", "g", "g"), "ann_id").join(part(det, "det_id", "d", "d"), "det_id"))
     return out.select("n", *(F.round(c, 6).alias(c) for c in out.columns if c != "n"))
 
@@ -223,7 +223,7 @@ ORACLE = {
     "nearest_truths": with_views(f"WITH {_PAIRS} SELECT det_id, arg_max(ann_id, (iou, -ann_id)) AS ann_id, round(max(iou) + 1e-9, 6) AS iou FROM pairs WHERE iou >= 0.5 GROUP BY 1"),
     "localisation": with_views(f"""WITH {_PAIRS}, best AS (SELECT det_id, arg_max(ann_id, (iou, -ann_id)) AS ann_id FROM pairs WHERE iou >= 0.5 GROUP BY 1)
         SELECT count(*) AS n, round(avg(sqrt(power((g.x1 + g.x2) / 2 - (d.x1 + d.x2) / 2, 2) + power((g.y1 + g.y2) / 2 - (d.y1 + d.y2) / 2, 2))), 6) AS pixel_error, round(avg(abs(g.czm - d.czm)), 6) AS z_error,
-               round(avg(abs(g.w3 - d.w3)), 6) AS w_error, round(avg(abs(g.h3 - d.h3)), 6) AS h_error, round(avg(abs(g.l3 - d.l3)), 6) AS l_error
+               round(avg(abs(g.w3 - d.w3)), 6) AS w_error, round(avg(abs(g.h3 - d.h3)), 6) AS h_error, round(avg(abs(g.l3 - d.l3)), 6) AS l_error, round(avg(acos(cos(g.cxm - d.cxm))), 6) AS angle_error
         FROM best JOIN fx_annotations g USING (ann_id) JOIN fx_detections d USING (det_id)"""),
     # Views first, and only the image in the join's condition, so that no planner turns it into a join of ranges.
     "proposal_labels": with_views(f"""WITH g AS MATERIALIZED (SELECT ann_id, image_id, valid3d, x1, y1, x2, y2 FROM fx_annotations), d AS MATERIALIZED (SELECT det_id, image_id, x1, y1, x2, y2 FROM fx_detections),

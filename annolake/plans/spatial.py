@@ -49,12 +49,16 @@ def backprojected_points(spark, sf_dir):
     return rows.select("pt_id", _r(F.col("x")).alias("x"), _r(F.col("y")).alias("y"), "z", _r(geometry.plane_distance(plane, F.array("x", "y", "z"))).alias("off_plane"))
 
 
-@_query(f"""WITH {_XYZ}, m AS (SELECT image_id, count(*) AS n, var_pop(x) AS uu, var_pop(y) AS vv, var_pop(z) AS ww, covar_pop(x, y) AS uv, covar_pop(x, z) AS uw, covar_pop(y, z) AS vw FROM pts GROUP BY 1),
-    s AS (SELECT image_id, n, ww - ((uw * vv - vw * uv) / (uu * vv - uv * uv)) * uw - ((vw * uu - uw * uv) / (uu * vv - uv * uv)) * vw AS ez,
-        vv - ((uv * ww - vw * uw) / (uu * ww - uw * uw)) * uv - ((vw * uu - uv * uw) / (uu * ww - uw * uw)) * vw AS ey, uu - ((uv * ww - uw * vw) / (vv * ww - vw * vw)) * uv - ((uw * vv - uv * vw) / (vv * ww - vw * vw)) * uw AS ex FROM m)
-    SELECT image_id, CASE WHEN n > 10 THEN round(least(ez, ey, ex) + 1e-9, 5) END AS mse FROM s""")
+@_query(f"""WITH {_XYZ}, m AS (SELECT image_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS uu, var_pop(y) AS vv, var_pop(z) AS ww, covar_pop(x, y) AS uv, covar_pop(x, z) AS uw, covar_pop(y, z) AS vw FROM pts GROUP BY 1),
+    k AS (SELECT *, (uw * vv - vw * uv) / (uu * vv - uv * uv) AS za, (vw * uu - uw * uv) / (uu * vv - uv * uv) AS zb, (uv * ww - vw * uw) / (uu * ww - uw * uw) AS ya, (vw * uu - uv * uw) / (uu * ww - uw * uw) AS yc,
+        (uv * ww - uw * vw) / (vv * ww - vw * vw) AS xb, (uw * vv - uv * vw) / (vv * ww - vw * vw) AS xc FROM m WHERE n > 10),
+    e AS (SELECT *, ww - za * uw - zb * vw AS ez, vv - ya * uv - yc * vw AS ey, uu - xb * uv - xc * uw AS ex FROM k),
+    p AS (SELECT *, least(ez, ey, ex) AS mse, CASE least(ez, ey, ex) WHEN ex THEN [-1, xb, xc] WHEN ey THEN [ya, -1, yc] ELSE [za, zb, -1] END AS w FROM e),
+    q AS (SELECT *, CASE WHEN w[2] > 0 THEN -1 ELSE 1 END / sqrt(w[1] * w[1] + w[2] * w[2] + w[3] * w[3]) AS f FROM p)
+    SELECT image_id, round(f * w[1] + 1e-9, 5) AS a, round(f * w[2] + 1e-9, 5) AS b, round(f * w[3] + 1e-9, 5) AS c, round(-f * (w[1] * mx + w[2] * my + w[3] * mz) + 1e-9, 5) AS d, round(mse + 1e-9, 5) AS mse FROM q
+    UNION ALL SELECT image_id, NULL, NULL, NULL, NULL, NULL FROM m WHERE n <= 10""")
 def ground_planes(spark, sf_dir):
-    return points.fit_ground_plane(_cloud(spark, sf_dir), ["image_id"]).select("image_id", _r(F.col("mse")).alias("mse"))
+    return points.fit_ground_plane(_cloud(spark, sf_dir), ["image_id"]).select("image_id", *(_r(F.col(c)).alias(c) for c in ("a", "b", "c", "d", "mse")))
 
 
 _TURNED = f"""{_XYZ}, yw AS (SELECT inst_id, 0.5 * atan2(2 * covar_samp(x, z), var_samp(x) - var_samp(z)) AS yaw FROM pts GROUP BY 1),
@@ -208,17 +212,19 @@ def eroded_masks(spark, sf_dir):
     return out.groupBy("inst_id").agg(F.sum(F.col("u1") - F.col("u0") + 1).alias("pixels"))
 
 
-@_query("""WITH g AS (SELECT image_id, floor(u / 16)::INT AS u, floor(v / 16)::INT AS v, ln(min(depth)) AS d FROM fx_points GROUP BY 1, 2, 3),
-    n AS (SELECT a.image_id, a.u, a.v, any_value(a.d) AS d, max(b.d) FILTER (b.u - a.u = 1 AND b.v - a.v = -1) AS a1, max(b.d) FILTER (b.u - a.u = 1 AND b.v = a.v) AS a2, max(b.d) FILTER (b.u - a.u = 1 AND b.v - a.v = 1) AS a3,
-        max(b.d) FILTER (b.u - a.u = -1 AND b.v - a.v = -1) AS b1, max(b.d) FILTER (b.u - a.u = -1 AND b.v = a.v) AS b2, max(b.d) FILTER (b.u - a.u = -1 AND b.v - a.v = 1) AS b3, max(b.d) FILTER (b.u = a.u AND b.v - a.v = 1) AS c1, max(b.d) FILTER (b.u = a.u AND b.v - a.v = -1) AS c2
-        FROM g a JOIN g b ON a.image_id = b.image_id AND abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 GROUP BY 1, 2, 3),
+@_query("""WITH g AS (SELECT image_id, v, u::INT AS u, ln(1 + ((base * 7 + u * 3) % 50) / 10.0::DOUBLE) AS d FROM fx_lines, range(0, 64) r(u)),
+    o AS (SELECT du::INT AS du, dv::INT AS dv FROM range(-1, 2) a(du), range(-1, 2) b(dv)), near AS (SELECT image_id, u - du AS u, v - dv AS v, du, dv, d FROM g, o),
+    n AS (SELECT g.image_id, g.u, g.v, any_value(g.d) AS d, max(b.d) FILTER (du = 1 AND dv = -1) AS a1, max(b.d) FILTER (du = 1 AND dv = 0) AS a2, max(b.d) FILTER (du = 1 AND dv = 1) AS a3,
+        max(b.d) FILTER (du = -1 AND dv = -1) AS b1, max(b.d) FILTER (du = -1 AND dv = 0) AS b2, max(b.d) FILTER (du = -1 AND dv = 1) AS b3, max(b.d) FILTER (du = 0 AND dv = 1) AS c1, max(b.d) FILTER (du = 0 AND dv = -1) AS c2
+        FROM g JOIN near b ON g.image_id = b.image_id AND g.u = b.u AND g.v = b.v GROUP BY 1, 2, 3),
     e AS (SELECT *, sqrt(power(coalesce(a1, d) + 2 * coalesce(a2, d) + coalesce(a3, d) - coalesce(b1, d) - 2 * coalesce(b2, d) - coalesce(b3, d), 2) + power(coalesce(b3, d) + 2 * coalesce(c1, d) + coalesce(a3, d) - coalesce(b1, d) - 2 * coalesce(c2, d) - coalesce(a1, d), 2)) > 2 AS edge FROM n),
-    m AS (SELECT a.image_id, a.u, a.v, NOT bool_or(b.edge) AS good FROM e a JOIN e b ON a.image_id = b.image_id AND abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1 GROUP BY 1, 2, 3)
-    SELECT image_id, CASE WHEN count(*) FILTER (good) < 20 OR count(*) FILTER (good) < 0.35 * count(*) THEN count(*) ELSE count(*) FILTER (good) END AS n FROM m GROUP BY 1""")
+    s AS (SELECT image_id, u + du AS u, v + dv AS v FROM e, o WHERE edge GROUP BY 1, 2, 3), m AS (SELECT g.image_id, g.u, g.v, s.u IS NULL AS good FROM g LEFT JOIN s ON s.image_id = g.image_id AND s.u = g.u AND s.v = g.v),
+    t AS (SELECT image_id, count(*) FILTER (good) < 20 OR count(*) FILTER (good) < 0.35 * count(*) AS all_of_it FROM m GROUP BY 1)
+    SELECT image_id, count(*) AS n, sum(u * (v + 1))::BIGINT AS places FROM m JOIN t USING (image_id) WHERE good OR all_of_it GROUP BY 1""")
 def smooth_depth_pixels(spark, sf_dir):
-    """Pixels away from depth edges, the pixels of an image on a coarse grid."""
-    px = _cloud(spark, sf_dir).groupBy("image_id", F.floor(F.col("u") / 16).cast("int").alias("u"), F.floor(F.col("v") / 16).cast("int").alias("v")).agg(F.min("depth").alias("depth"))
-    return raster.drop_depth_edges(px, ["image_id"], threshold=2.0).groupBy("image_id").agg(F.count("*").alias("n"))
+    """Pixels away from depth edges, of all pixels of an image's depth lines: how many, and a sum over their places."""
+    px = _lines(spark, sf_dir).select("image_id", "v", F.posexplode("depth").alias("u", "depth"))
+    return raster.drop_depth_edges(px, ["image_id"], threshold=2.0).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("u") * (F.col("v") + 1)).cast("long").alias("places"))
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -235,15 +241,19 @@ def depth_supports(spark, sf_dir):
     return out.select("inst_id", "pixels", _r(F.col("support")).alias("support"), _r(F.col("median")).alias("median"), "ok")
 
 
-@_query(f"""WITH {_RUNS}, a AS (SELECT image_id, v, u, 1 + min(inst_id % 7) AS da FROM px GROUP BY 1, 2, 3), b AS (SELECT image_id, v, u + 1 AS u, 1 + min(inst_id % 5) AS db FROM px GROUP BY 1, 2, u), j AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, da, db FROM a FULL JOIN b ON a.image_id = b.image_id AND a.v = b.v AND a.u = b.u)
-    SELECT image_id, round(count(*) FILTER (da IS NOT NULL AND db IS NOT NULL)::DOUBLE / count(*) + 1e-9, 6) AS silhouette_iou, count(*) FILTER (da IS NOT NULL AND db IS NOT NULL) AS overlap, median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN da END) AS median_a, round(median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN abs(db - da) / da END) + 1e-9, 6) AS rel_error, median(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN db - da END) AS bias FROM j GROUP BY 1""")
+@_query(f"""WITH {_RUNS}, a AS (SELECT image_id, v, u, 1 + min(inst_id % 7) AS da FROM px GROUP BY 1, 2, 3), b AS (SELECT image_id, v, u + 1 AS u, 1 + min(inst_id % 5) AS db FROM px GROUP BY 1, 2, u),
+    j AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, coalesce(a.u, b.u) AS u, coalesce(a.v, b.v) AS v, da, db, da IS NOT NULL AND db IS NOT NULL AS met FROM a FULL JOIN b ON a.image_id = b.image_id AND a.v = b.v AND a.u = b.u),
+    g AS (SELECT image_id, count(*) FILTER (met)::DOUBLE / count(*) AS sil, count(*) FILTER (met) AS overlap, median(CASE WHEN met THEN da END) AS median_a, median(CASE WHEN met THEN db END) AS median_b, median(CASE WHEN met THEN abs(db - da) / da END) AS rel, median(CASE WHEN met THEN db - da END) AS bias,
+        min(u) FILTER (da IS NOT NULL) AS au0, max(u) FILTER (da IS NOT NULL) AS au1, min(v) FILTER (da IS NOT NULL) AS av0, max(v) FILTER (da IS NOT NULL) AS av1, min(u) FILTER (db IS NOT NULL) AS bu0, max(u) FILTER (db IS NOT NULL) AS bu1, min(v) FILTER (db IS NOT NULL) AS bv0, max(v) FILTER (db IS NOT NULL) AS bv1 FROM j GROUP BY 1),
+    w AS (SELECT *, greatest(least(au1, bu1) - greatest(au0, bu0) + 1, 0) * greatest(least(av1, bv1) - greatest(av0, bv0) + 1, 0) AS w FROM g),
+    i AS (SELECT *, w::DOUBLE / ((au1 - au0 + 1) * (av1 - av0 + 1) + (bu1 - bu0 + 1) * (bv1 - bv0 + 1) - w) AS bi FROM w)
+    SELECT image_id, round(sil + 1e-9, 6) AS silhouette_iou, overlap, median_a, median_b, round(rel + 1e-9, 6) AS rel_error, bias, round(bi + 1e-9, 6) AS bbox_iou, round(0.6 * sil + 0.25 * bi + 0.15 * (1 - least(coalesce(rel, 1), 1)) + 1e-9, 6) AS score FROM i""")
 def layer_alignments(spark, sf_dir):
     px = _merged(spark, sf_dir).select("image_id", "inst_id", "v", F.explode(F.sequence("u0", "u1")).alias("u"))
     a = px.groupBy("image_id", "v", "u").agg((1 + F.min(F.col("inst_id") % 7)).cast("double").alias("depth"))
     b = px.groupBy("image_id", "v", (F.col("u") + 1).alias("u")).agg((1 + F.min(F.col("inst_id") % 5)).cast("double").alias("depth"))
     out = raster.layer_alignment(a, b, ["image_id"])
-    ok = gates.gate_alignment(F.col("silhouette_iou"), F.col("bbox_iou"), F.col("rel_error"), F.col("overlap"))
-    return out.withColumn("ok", ok).select("image_id", _r(F.col("silhouette_iou"), 6).alias("silhouette_iou"), "overlap", "median_a", _r(F.col("rel_error"), 6).alias("rel_error"), "bias")
+    return out.select("image_id", "overlap", "median_a", "median_b", "bias", *(_r(F.col(c), 6).alias(c) for c in ("silhouette_iou", "rel_error", "bbox_iou", "score")))
 
 
 @_query("SELECT image_id, 'depth' AS channel, count(*) AS n, count(*) FILTER (depth < 1.5) AS nan, count(*) FILTER (depth > 5.5) AS inf, count(*) FILTER (depth BETWEEN 1.5 AND 5.5) AS valid, min(depth) FILTER (depth BETWEEN 1.5 AND 5.5) AS min, max(depth) FILTER (depth BETWEEN 1.5 AND 5.5) AS max FROM fx_points GROUP BY 1")
