@@ -150,15 +150,18 @@ def project_box(corners: Column, fx: Column, fy: Column, cx: Column, cy: Column,
     return F.when((F.size(corners) == 8) & fine, _image_box(xy, width, height))
 
 
+@bound
+def _sound_face(n: Column, n2: Column, last: Column, eps: Column, least_area: Column) -> Column:
+    """A face of normals n and n2 of its triangles, whose last corner lies at `last` from the first."""
+    return (F.abs(dot(last, n)) <= eps * F.greatest(norm(n), F.lit(1e-12))) & (norm(n) / 2 > least_area) & (norm(n2) / 2 > least_area)
+
+
 def box3d_valid(corners: Column, eps: float = 1e-4, least_area: float = 1e-8) -> Column:
     """Every face plane within eps and no triangle of a face without area. Faces are judged one by one."""
     ok = F.size(corners) == 8
     for a, b, c, d in FACES:
         p = [F.get(corners, i) for i in (a, b, c, d)]
-        n = cross(minus(p[1], p[0]), minus(p[2], p[0]))
-        n2 = cross(minus(p[2], p[0]), minus(p[3], p[0]))
-        flat = F.abs(dot(minus(p[3], p[0]), n)) <= eps * F.greatest(norm(n), F.lit(1e-12))
-        ok = ok & flat & (norm(n) / 2 > least_area) & (norm(n2) / 2 > least_area)
+        ok = ok & _sound_face(cross(minus(p[1], p[0]), minus(p[2], p[0])), cross(minus(p[2], p[0]), minus(p[3], p[0])), minus(p[3], p[0]), F.lit(float(eps)), F.lit(float(least_area)))
     return F.coalesce(ok, F.lit(False))
 
 
@@ -263,17 +266,39 @@ def eval_scale(width: Column, height: Column, least: float = 512.0, most: float
     return F.when(s * F.greatest(width, height) > most, most / F.greatest(width, height)).otherwise(s)
 
 
+@bound
+def _ray_matrix(x: Column, y: Column, z: Column) -> Column:
+    """The shortest rotation of the camera's axis onto the unit vector (x, y, z), z above -1."""
+    return mat([[1 - x * x / (1 + z), -x * y / (1 + z), x], [-x * y / (1 + z), 1 - y * y / (1 + z), y], [-x, -y, z]])
+
+
+@bound
+def _ray_along(x: Column, y: Column, size: Column) -> Column:
+    return _ray_matrix(x / size, y / size, 1 / size)
+
+
 @bound
 def _ray_rotation(u: Column, v: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
-    return align_vectors(vec(0, 0, 1), vec((u - cx) / fx, (v - cy) / fy, 1))
+    x, y = (u - cx) / fx, (v - cy) / fy
+    return _ray_along(x, y, F.sqrt(x * x + y * y + 1))
+
+
+@bound
+def _turned(a: Column, b: Column) -> Column:
+    return matmul(a, b)
+
+
+@bound
+def _turned_back(a: Column, b: Column) -> Column:
+    return matmul(transpose(a), b)
 
 
 def to_allocentric(rotation: Column, u, v, fx, fy, cx, cy) -> Column:
-    return matmul(transpose(_ray_rotation(u, v, fx, fy, cx, cy)), rotation)
+    return _turned_back(_ray_rotation(u, v, fx, fy, cx, cy), rotation)
 
 
 def from_allocentric(rotation: Column, u, v, fx, fy, cx, cy) -> Column:
-    return matmul(_ray_rotation(u, v, fx, fy, cx, cy), rotation)
+    return _turned(_ray_rotation(u, v, fx, fy, cx, cy), rotation)
 
 
 def rotation_valid(m: Column, tolerance: float = 0.1) -> Column:
