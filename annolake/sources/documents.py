@@ -79,20 +79,36 @@ NAMES = {"box": ("bbox", "bbox2D_tight", "box", "bbox_xyxy"), "label": ("label",
 
 
 def normalize_records(raw: DataFrame, json_col: str = "json") -> DataFrame:
-    """(record, box, label, score) of raw JSON: a list, an object with the list under a usual key, or a map from image ids to lists.
+    """(record_no, image_id, box, label, score) of raw JSON: a list, an object with the list under a usual key, or a map from image ids to lists.
 
-    A field is the first of its names that holds something; an empty string or array counts as nothing.
+    A field is the first of its names that holds something; an empty string or array counts as nothing. The text is parsed once, into a
+    VARIANT. Text that is no JSON gives no record, as does an element of a list that is no object; what cannot be read as its kind
+    (a score of letters, say) is null. Records of a map are numbered in the order of its keys.
     """
-    rec = "array<map<string,string>>"
-    lists = [F.from_json(json_col, rec), *(F.from_json(F.get_json_object(json_col, f"$.{c}"), rec) for c in CONTAINERS)]
-    by_image = F.from_json(json_col, f"map<string,{rec}>")
-    flat = F.flatten(F.transform(F.map_entries(by_image), lambda e: F.transform(e["value"], lambda r: F.map_concat(F.map_filter(r, lambda k, _: k != "image_id"), F.create_map(F.lit("image_id"), e["key"])))))
-    rows = raw.select(*(c for c in raw.columns if c != json_col), F.posexplode(F.coalesce(*lists, flat)).alias("record_no", "r"))
-
-    def first(names: tuple[str, ...]) -> Column:
-        return F.coalesce(*(F.when(~F.trim(F.element_at("r", n)).isin("", "[]", "null"), F.element_at("r", n)) for n in names))
-
-    return rows.select(*(c for c in rows.columns if c != "r"), F.element_at("r", "image_id").cast("long").alias("image_id"), F.from_json(first(NAMES["box"]), "array<double>").alias("box"), first(NAMES["label"]).alias("label"), first(NAMES["score"]).cast("double").alias("score"))
+    records = "array<map<string,variant>>"
+    # The variant is a column of its own, so that the paths below read it and do not parse again.
+    parsed = raw.select(*(c for c in raw.columns if c != json_col), F.try_parse_json(json_col).alias("_v"))
+    lists = [F.try_variant_get("_v", path, records) for path in ("$", *(f"$.{c}" for c in CONTAINERS))]
+    of_images = F.map_entries(F.try_variant_get("_v", "$", f"map<string,{records}>"))
+    by_image = F.flatten(F.transform(F.filter(of_images, lambda e: e["value"].isNotNull()), lambda e: F.transform(e["value"], lambda r: F.struct(e["key"].alias("image"), r.alias("r")))))
+    plain = F.transform(F.coalesce(*lists), lambda r: F.struct(F.lit(None).cast("string").alias("image"), r.alias("r")))
+    rows = parsed.select(*(c for c in parsed.columns if c != "_v"), F.posexplode(F.coalesce(plain, by_image)).alias("record_no", "e"))
+    rows = rows.select(*(c for c in rows.columns if c != "e"), F.col("e.image").alias("_image"), F.col("e.r").alias("_r")).where(F.col("_r").isNotNull())
+
+    def first(names: tuple[str, ...], value) -> Column:
+        texts = {n: F.try_variant_get(F.try_element_at("_r", F.lit(n)), "$", "string") for n in names}
+        return F.coalesce(*(F.when(~F.trim(t).isin("", "[]", "null"), F.struct(value(n, t).alias("v"))) for n, t in texts.items()))["v"]
+
+    def numbers(n: str, text: Column) -> Column:
+        """Of an array, or of one that was written as a string."""
+        written = F.transform(F.split(F.regexp_extract(text, r"^\s*\[(.*)\]\s*$", 1), ","), lambda x: F.trim(x).try_cast("double"))
+        return F.coalesce(F.try_variant_get(F.try_element_at("_r", F.lit(n)), "$", "array<double>"), F.when(text.rlike(r"^\s*\["), written))
+
+    image = F.coalesce(F.col("_image").try_cast("long"), F.try_variant_get(F.try_element_at("_r", F.lit("image_id")), "$", "long"))
+    return rows.select(
+        *(c for c in rows.columns if c not in ("_image", "_r")), image.alias("image_id"), first(NAMES["box"], numbers).alias("box"),
+        first(NAMES["label"], lambda _, t: t).alias("label"), first(NAMES["score"], lambda _, t: t.try_cast("double")).alias("score"),
+    )
 
 
 def write_predictions(det: DataFrame, path: str, vocabulary: DataFrame | None = None) -> None:

@@ -149,3 +149,21 @@ def test_same_as_one_row_for_a_document(spark, tmp_path):
         documents.read_annotation_sets(spark, [str(tmp_path / "d")])
     with pytest.raises(FileNotFoundError):
         documents.read_annotation_sets(spark, [str(tmp_path / "none")])
+
+
+def test_lenient_records_of_every_shape(spark):
+    """Lists, containers, maps of images, odd fields and broken text."""
+    rows = [
+        (1, '[{"image_id": 3, "bbox": [1, 2, 3, 4], "label": "a", "score": 0.5}, 7, {"image_id": "4", "bbox": [], "box": "[5, 6.5, 7, 8]", "name": "b", "conf": "0.25"}]'),
+        (2, '{"results": [{"image_id": 5, "label": "", "category": " c ", "score": "high", "confidence": 0.9}], "count": 1}'),
+        (3, '{"12": [{"image_id": 99, "bbox": [0, 0, 1, 1], "label": 8}], "11": [], "x": [{"phrase": "d{\\"}", "bbox_xyxy": null, "bbox": "wide"}], "n": 4}'),
+        (4, '[{"image_id": 1'), (5, ""), (6, None), (7, "[]"), (8, "3"), (9, '{"annotations": [], "detections": [{"image_id": 1}]}'),
+    ]
+    got = documents.normalize_records(spark.createDataFrame(rows, "doc int, json string"))
+    assert got.columns == ["doc", "record_no", "image_id", "box", "label", "score"]
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 0, 3, [1.0, 2.0, 3.0, 4.0], "a", 0.5), (1, 2, 4, [5.0, 6.5, 7.0, 8.0], "b", 0.25), (2, 0, 5, None, " c ", None),
+        (3, 0, 12, [0.0, 0.0, 1.0, 1.0], "8", None), (3, 1, None, None, 'd{"}', None),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and "from_json" not in plan
