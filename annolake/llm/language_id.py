@@ -2,7 +2,8 @@
 
 Training counts character n-grams (orders 1 to 4, word-bounded, letters only) of a bounded sample of
 the labelled rows in Spark, turns them into Kneser-Ney terms with DataFrame joins, and stores the
-terms in sorted hash arrays (keys of HASH_BITS bits, so each array has at most 2**HASH_BITS entries).
+terms in sorted arrays of 64-bit hashes, salted until no two stored n-grams of an array share a key (the
+arrays hold an entry for each distinct n-gram of the sample, so the sample's bound is theirs).
 A text gets the language of lowest cross-entropy per character; a text whose best cross-entropy lies
 beyond what that language's own training texts show is marked as rejected.
 
@@ -13,6 +14,7 @@ first language in order; repeated rows are scored alike; further input columns a
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from annolake.llm.common import settled, small_batches
 from annolake.llm.words import TokenRows
 
-ORDER, HASH_BITS = 4, 22
+ORDER = 4
 START, END = "\x02", "\x03"
 #: The alphabet's size for characters never seen, and the sharpness of the score.
 UNSEEN, SHARPNESS = 4096, 8.0
@@ -33,13 +35,13 @@ REJECT_SD = 6.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
-    """Key of the n characters that end at each position (the first n - 1 positions wrap and are not used)."""
-    h = np.zeros(len(codes), np.uint64)
+def gram_keys(codes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+    """64-bit key of the n characters that end at each position (the first n - 1 positions wrap and are not used)."""
+    h = np.full(len(codes), salt, np.uint64)
     for back in range(n - 1, -1, -1):
         h = (h + np.roll(codes, back) + np.uint64(1)) * _MIX
         h ^= h >> np.uint64(29)
-    return h >> np.uint64(64 - HASH_BITS)
+    return h
 
 
 def _letters(token: str) -> str:
@@ -87,17 +89,21 @@ def kneser_ney_terms(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.select("lang", "n", "gram", (F.greatest(F.col("k") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha")), gamma
 
 
-def _sorted_array(rows, langs: list[str], text: str, value: str, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and a row of values per language."""
+def _sorted_array(rows, langs: list[str], text: str, value: str, missing: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first salt under which the n-grams' keys differ, the sorted keys, and a row of values per language."""
     if not len(rows):
-        return np.zeros(1, np.uint64), np.full((1, len(langs)), missing, np.float32)
+        return 0, np.zeros(1, np.uint64), np.full((1, len(langs)), missing, np.float32)
     n = len(rows[text].iloc[0])
     codes = np.frombuffer("".join(rows[text]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    keys = gram_keys(codes, n)[n - 1 :: n] if n else np.zeros(len(rows), np.uint64)
-    uniq, place = np.unique(keys, return_inverse=True)
+    distinct = rows[text].nunique()
+    for salt in itertools.count():
+        keys = gram_keys(codes, n, salt)[n - 1 :: n] if n else np.zeros(len(rows), np.uint64)
+        uniq, place = np.unique(keys, return_inverse=True)
+        if len(uniq) == distinct:
+            break
     out = np.full((len(uniq), len(langs)), missing, np.float32)
     out[place, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = rows[value].to_numpy()
-    return uniq, out
+    return salt, uniq, out
 
 
 class CharModels:
@@ -123,16 +129,16 @@ class CharModels:
         p = np.full((len(codes), len(self.langs)), 1.0 / UNSEEN, np.float32)
         for n in range(1, ORDER + 1):
             at = np.flatnonzero(depth >= max(1, n - 1))
-            keys, values = self.gamma[n]
+            salt, keys, values = self.gamma[n]
             if n == 1:
                 p[at] *= values[0]
             else:
-                context = gram_keys(codes, n - 1)[at - 1]
+                context = gram_keys(codes, n - 1, salt)[at - 1]
                 found = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
                 hit = keys[found] == context
                 p[at[hit]] *= values[found[hit]]
-            keys, values = self.alpha[n]
-            gram = gram_keys(codes, n)[at]
+            salt, keys, values = self.alpha[n]
+            gram = gram_keys(codes, n, salt)[at]
             found = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
             hit = keys[found] == gram
             p[at[hit]] += values[found[hit]]

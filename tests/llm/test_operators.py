@@ -508,6 +508,28 @@ def test_language_entropies_by_hand(spark):
         assert got[i].score == pytest.approx(1 / sum(math.exp(language_id.SHARPNESS * (entropy[best] - h)) for h in entropy.values()), rel=2e-2)
 
 
+def test_stored_grams_share_no_key(monkeypatch):
+    """Every n-gram keeps its own values, also where the first salt makes two of them collide."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x430, 0x450), *range(0x4E00, 0x4E80), 0x10400)]
+    grams = sorted({"".join(g) for g in rng.choice(letters, (200_000, 4))})
+    rows = pd.DataFrame({"lang": ["de" if i % 2 else "en" for i in range(len(grams))], "gram": grams, "alpha": np.arange(len(grams)) / len(grams)})
+
+    def kept(rows):
+        salt, keys, values = language_id._sorted_array(rows, ["de", "en"], "gram", "alpha", 0.0)
+        codes = np.frombuffer("".join(rows.gram).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at = np.searchsorted(keys, language_id.gram_keys(codes, 4, salt)[3::4])
+        own = values[at, np.where(rows.lang == "de", 0, 1)]
+        return salt, len(keys) == len(rows) and np.array_equal(own, rows.alpha.to_numpy(np.float32))
+
+    assert kept(rows) == (0, True)
+    whole = language_id.gram_keys
+    monkeypatch.setattr(language_id, "gram_keys", lambda codes, n, salt=0: whole(codes, n, salt) >> np.uint64(0 if salt else 42))
+    assert kept(rows) == (1, True)
+
+
 def test_lexicon_by_hand(spark, corpus):
     """Weights recounted from the labelled texts, and every text's score from a search of each entry at each place."""
     texts, _, toxic, _ = corpus
