@@ -6,7 +6,10 @@ inside the token (its depth, the last one to four bytes, all bytes so far; depth
 three bytes by the text's class); a gate, the longest context that has been seen, picks the weights that mix them in the
 logistic domain. The weights are learnt online, batch by batch, each bit predicted with its own occurrence
 left out, and an adaptive table refines the mixed probability. The token's probability under a class is
-interpolated with its share of that class's training tokens.
+interpolated with its share of that class's training tokens. The training tokens form streams by a hash of
+the token, each read in the order of a second hash; how many there are follows from the number of tokens
+alone and their weights are averaged, so that scores do not depend on how Spark partitions the work.
+Counts are summed as doubles, exact up to 2**53.
 
 Classes are the most frequent values of a column of the training texts (none is read when scoring). A text
 is scored under all of them, and what it has shown so far weighs them: its probability is the sum over the
@@ -25,6 +28,7 @@ from; further input columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -49,6 +53,8 @@ DIRECT = (0, 1, 6)
 K, GATES, BUCKETS = len(SLOTS), len(SLOTS) + 1, 33
 #: The most classes, as many as the class tables have room for; class 0 takes all values that are not among the frequent ones.
 CLASSES = 8
+#: Distinct training tokens that make up one stream of the online learning, and the most streams: beyond these they grow longer.
+STREAM_TOKENS, STREAMS = 50_000, 1024
 #: (token, class) pairs handled at once, and the prior count of either bit.
 CHUNK, PRIOR = 12_000, 0.05
 MIXES = tuple(i / 20 for i in range(20))
@@ -220,17 +226,32 @@ class Bits:
         return x, self.gate(lambda k: total[k] >= 2)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], classes: int, at_once: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Tokens and their training counts by class."""
-    tokens, n = [], []
+def _chunks(batches: Iterator[pa.RecordBatch], classes: int, at_once: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """Stream (0 where there is no such column), tokens and their training counts by class; at_once tokens of a stream, the last time fewer."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+        nonlocal held
+        t = pa.Table.from_batches(held).combine_chunks()
+        of = t.column("stream").to_numpy() if "stream" in t.column_names else np.zeros(t.num_rows, np.int64)
+        bounds = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        rest = len(of)
+        for i, j in itertools.pairwise(bounds):
+            for at in range(i, j, at_once):
+                end = min(at + at_once, j)
+                if end - at < at_once and j == len(of) and not last:
+                    rest = at
+                    break
+                part = t.slice(at, end - at)
+                yield int(of[at]), part.column("token").to_pylist(), np.stack([part.column(f"t{c}").to_numpy() for c in range(classes)], axis=1)
+        held = t.slice(rest).to_batches()
+
     for batch in batches:
-        tokens += batch.column("token").to_pylist()
-        n.append(np.stack([batch.column(f"t{c}").to_numpy() for c in range(classes)], axis=1))
-        if len(tokens) >= at_once:
-            yield tokens, np.concatenate(n)
-            tokens, n = [], []
-    if tokens:
-        yield tokens, np.concatenate(n)
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= at_once:
+            yield from cut(False)
+    if sum(b.num_rows for b in held):
+        yield from cut(True)
 
 
 def _pairs(tokens: list[bytes], n: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -242,11 +263,11 @@ def _pairs(tokens: list[bytes], n: np.ndarray) -> tuple[list[bytes], np.ndarray,
 def _count_bits(classes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Zero/one counts of this task's tokens, as pieces of the predictors' tables."""
-        counts = [np.zeros((1 << s, 2), np.float32) for s in SLOTS]
-        for tokens, n in _chunks(batches, classes, CHUNK):
+        counts = [np.zeros((1 << s, 2)) for s in SLOTS]
+        for _, tokens, n in _chunks(batches, classes, CHUNK):
             tokens, cls, n = _pairs(tokens, n)
             bits = Bits(tokens, cls)
-            w = np.repeat(n, bits.per_token).astype(np.float32)
+            w = np.repeat(n, bits.per_token).astype(np.float64)
             for table, slot in zip(counts, bits.slots, strict=True):
                 np.add.at(table.reshape(-1), slot.astype(np.int64) * 2 + bits.bit, w)
         for k, table in enumerate(counts):
@@ -258,8 +279,8 @@ def _count_bits(classes: int):
 
 
 def _add_pieces(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in pieces.column("counts").to_pylist())
-    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "piece": pa.array([key[1].as_py()], pa.int32()), "counts": [total.astype(np.float32).tobytes()]})
+    total = sum(np.frombuffer(p, np.float64) for p in pieces.column("counts").to_pylist())
+    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "piece": pa.array([key[1].as_py()], pa.int32()), "counts": [total.astype(np.float32).tobytes()]})  # rounded once
 
 
 def _bucket(stretched: np.ndarray) -> np.ndarray:
@@ -310,24 +331,25 @@ def refined_log(stretched: np.ndarray, depth: np.ndarray, bit: np.ndarray, table
 
 def _train(shared, by_class: list[int]):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mixer, shares = shared.value, Mixer(), np.zeros(len(MIXES))
-        total = np.maximum(np.array(by_class) - 1, 1)
-        for tokens, n in _chunks(batches, len(by_class), CHUNK):
-            tokens, cls, n = _pairs(tokens, n)
-            bits = Bits(tokens, cls)
-            x, gate = bits.inputs(counts)
-            # A frequent token teaches by the order of its frequency, so that it does not rule a step.
-            w = np.repeat(1 + np.log(n), bits.per_token).astype(np.float32)
-            s = mixer.mixed(x, gate)
-            if mixer.seen:  # predicted before it is learnt from
-                p = np.exp(np.add.reduceat(refined_log(s, bits.depth, bits.bit, mixer.refinement()), bits.first))
-                share = (n - 1) / total[cls]
-                shares += [(n * np.log(np.maximum(m * share + (1 - m) * p, 1e-300))).sum() for m in MIXES]
-            mixer.learn(x, gate, bits.bit, w, 1 / (1 + np.exp(-s)))
-            mixer.remember(mixer.mixed(x, gate), bits.depth, bits.bit, w)
-            mixer.seen += float(n.sum())
-        if mixer.seen:
-            yield pa.RecordBatch.from_pydict({"seen": [mixer.seen], "w": [mixer.w.ravel()], "hits": [mixer.hits.ravel()], "shares": [shares]})
+        """A row for each stream; the rows of a stream follow one another."""
+        counts, total = shared.value, np.maximum(np.array(by_class) - 1, 1)
+        for stream, chunks in itertools.groupby(_chunks(batches, len(by_class), CHUNK), key=lambda x: x[0]):
+            mixer, shares = Mixer(), np.zeros(len(MIXES))
+            for _, tokens, n in chunks:
+                tokens, cls, n = _pairs(tokens, n)
+                bits = Bits(tokens, cls)
+                x, gate = bits.inputs(counts)
+                # A frequent token teaches by the order of its frequency, so that it does not rule a step.
+                w = np.repeat(1 + np.log(n), bits.per_token).astype(np.float32)
+                s = mixer.mixed(x, gate)
+                if mixer.seen:  # predicted before it is learnt from
+                    p = np.exp(np.add.reduceat(refined_log(s, bits.depth, bits.bit, mixer.refinement()), bits.first))
+                    share = (n - 1) / total[cls]
+                    shares += [(n * np.log(np.maximum(m * share + (1 - m) * p, 1e-300))).sum() for m in MIXES]
+                mixer.learn(x, gate, bits.bit, w, 1 / (1 + np.exp(-s)))
+                mixer.remember(mixer.mixed(x, gate), bits.depth, bits.bit, w)
+                mixer.seen += float(n.sum())
+            yield pa.RecordBatch.from_pydict({"stream": [stream], "seen": [mixer.seen], "w": [mixer.w.ravel()], "hits": [mixer.hits.ravel()], "shares": [shares]})
 
     return train
 
@@ -425,15 +447,18 @@ def lm_scores(df: DataFrame, learn: Column, text_col: str = "text", id_col: str
     prior = (np.array(by_class) + 0.5) / (n_all + 0.5 * classes)
     found = blocks.where("seen IS NOT NULL").agg(*(F.coalesce(F.sum(F.col(c)[i]), F.lit(0)).alias(f"{c}{i}") for c in ("hits", "seen") for i in range(MATCHES))).first()
     trust = np.array([(found[i] + 0.05) / (found[MATCHES + i] + 1.0) if i else 0.0 for i in range(MATCHES)]) * 0.98
-    trained = tokens.where(f"{any_train} > 0").select("token", *ts).repartition(max(4, partitions(spark) // 8))
-    pieces = trained.mapInArrow(_count_bits(classes), "k int, piece int, counts binary").groupBy("k", "piece").applyInArrow(_add_pieces, "k int, piece int, counts binary")
+    trained = tokens.where(f"{any_train} > 0").select("token", *ts)
+    pieces = trained.repartition(max(4, partitions(spark) // 8)).mapInArrow(_count_bits(classes), "k int, piece int, counts binary").groupBy("k", "piece").applyInArrow(_add_pieces, "k int, piece int, counts binary")
     counts = [np.zeros((1 << s, 2), np.float32) for s in SLOTS]
     for r in pieces.toLocalIterator():
         part = np.frombuffer(bytes(r.counts), np.float32).reshape(-1, 2)
         counts[r.k][r.piece * len(part) : (r.piece + 1) * len(part)] = part
     mixer, mix = Mixer(), 0.0
     shared = spark.sparkContext.broadcast(counts)
-    learnt = trained.mapInArrow(_train(shared, by_class), "seen double, w array<double>, hits array<double>, shares array<double>").collect()
+    streams = min(max(v // STREAM_TOKENS, 1), STREAMS)
+    ordered = trained.select(F.pmod(F.xxhash64("token"), F.lit(streams)).alias("stream"), F.hash("token").alias("h"), "token", *ts).repartition(streams, "stream").sortWithinPartitions("stream", "h", "token")
+    learnt = ordered.mapInArrow(_train(shared, by_class), "stream long, seen double, w array<double>, hits array<double>, shares array<double>").collect()
+    learnt.sort(key=lambda r: r.stream)
     if learnt:
         seen = np.array([r.seen for r in learnt])
         mixer.w = (np.array([r.w for r in learnt]) * seen[:, None]).sum(axis=0).reshape(mixer.w.shape) / seen.sum()

@@ -268,6 +268,34 @@ def test_weights_learn_from_all_pairs():
     counts = SimpleNamespace(value=[np.zeros((1 << s, 2), np.float32) for s in lm_scoring.SLOTS])
     (learnt,) = lm_scoring._train(counts, [130_000, 65_000])(iter(batch.slice(i, 10_000) for i in range(0, len(tokens), 10_000)))
     assert learnt.column("seen").to_pylist() == [195_000]
+    # The same from batches cut elsewhere; streams that share a task learn as they would alone.
+    (again,) = lm_scoring._train(counts, [130_000, 65_000])(iter(batch.slice(i, 777) for i in range(0, len(tokens), 777)))
+    assert again.equals(learnt)
+    own = lambda i, part: part.append_column("stream", pa.array([i] * part.num_rows, pa.int64()))
+    both = [own(0, batch.slice(0, 30_000)), own(1, batch.slice(30_000, 100_000))]
+    together = list(lm_scoring._train(counts, [130_000, 65_000])(iter([x.slice(i, 5_000) for x in both for i in range(0, x.num_rows, 5_000)])))
+    alone = [r for x in both for r in lm_scoring._train(counts, [130_000, 65_000])(iter([x]))]
+    assert [r.column("stream").to_pylist() for r in together] == [[0], [1]] and all(a.equals(b) for a, b in zip(together, alone, strict=True))
+
+
+def test_scores_do_not_depend_on_partitions(spark, corpus, monkeypatch):
+    """Several streams, rows dealt otherwise, and another number of partitions."""
+    monkeypatch.setattr(lm_scoring, "STREAM_TOKENS", 40)
+    docs = table(spark, rows_of(corpus[0], corpus[1]))
+    learn, before = id_bucket("doc_id", 7) != 2, spark.conf.get("spark.sql.shuffle.partitions")
+    one = {r.doc_id: r for r in lm_scores(docs.repartition(3, "doc_id"), learn).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        other = {r.doc_id: r for r in lm_scores(docs.repartition(11), learn).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one.keys() == other.keys() and all(one[i].score == pytest.approx(other[i].score, rel=1e-6) for i in one)
+
+
+def test_counts_beyond_single_precision():
+    batch = pa.RecordBatch.from_pydict({"token": pa.array([b"a", b"a"], pa.binary()), "t0": pa.array([1 << 25, 1], pa.int64())})
+    top = max(np.frombuffer(r["counts"], np.float64).max() for b in lm_scoring._count_bits(1)(iter([batch])) for r in b.to_pylist())
+    assert top == (1 << 25) + 1
 
 
 def test_pieces(spark, corpus):
@@ -438,7 +466,7 @@ def test_bit_counts_by_hand():
     for b in lm_scoring._count_bits(2)(iter([batch])):
         for r in b.to_pylist():
             if r["k"] in got:
-                part = np.frombuffer(r["counts"], np.float32).reshape(-1, 2)
+                part = np.frombuffer(r["counts"], np.float64).reshape(-1, 2)
                 got[r["k"]][r["piece"] * len(part) : (r["piece"] + 1) * len(part)] = part
     want = {k: np.zeros_like(v) for k, v in got.items()}
     for w, row in zip(words, n, strict=True):
