@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +67,44 @@ def erode_mask(runs: DataFrame, kv: int, kh: int, height: int, width: int, adapt
     return both.withColumn("g", group).groupBy(*keys, "v", "g").agg(F.min("u").alias("u0"), F.max("u").alias("u1")).drop("g")
 
 
+#: Side of the tiles in which depth edges are looked for, and the rim of pixels around one that decide on its own.
+TILE, RIM = 64, 2
+
+
+def _edges(threshold: float, by: int):
+    """Of a tile's own pixels (the first `by` columns, u, v, depth) which are good. Neighbours without a logarithm count as the pixel itself; a pixel without one is no edge."""
+    def marked(t: pa.Table) -> pa.Table:
+        u, v, tu, tv = (t.column(c).to_numpy() for c in ("u", "v", "_tu", "_tv"))
+        x, y = (u - u.min() + 1).astype(int), (v - v.min() + 1).astype(int)
+        d, there = np.full((y.max() + 2, x.max() + 2), np.nan), np.zeros((y.max() + 2, x.max() + 2), bool)
+        d[y, x], there[y, x] = t.column("d").to_numpy(), t.column("d").is_valid().to_numpy()
+        inner = (slice(1, -1), slice(1, -1))
+        moved = lambda g, du, dv: g[1 + dv : g.shape[0] - 1 + dv, 1 + du : g.shape[1] - 1 + du]
+        n = {(du, dv): np.where(moved(there, du, dv), moved(d, du, dv), d[inner]) for du in (-1, 0, 1) for dv in (-1, 0, 1)}
+        with np.errstate(invalid="ignore"):
+            gx = n[1, -1] + 2 * n[1, 0] + n[1, 1] - n[-1, -1] - 2 * n[-1, 0] - n[-1, 1]
+            gy = n[-1, 1] + 2 * n[0, 1] + n[1, 1] - n[-1, -1] - 2 * n[0, -1] - n[1, -1]
+            edge = np.zeros_like(there)
+            edge[inner] = there[inner] & ~(np.sqrt(gx * gx + gy * gy) <= threshold)
+        bad = np.logical_or.reduce([moved(edge, du, dv) for du, dv in n])
+        own = np.flatnonzero((u // TILE == tu) & (v // TILE == tv))
+        own = own[np.unique(np.stack([u[own], v[own]]), axis=1, return_index=True)[1]]  # a pixel that is there twice counts once
+        return t.select([*range(by), "u", "v", "depth"]).take(pa.array(own)).append_column("good", pa.array(~bad[y[own] - 1, x[own] - 1]))
+
+    return marked
+
+
 def drop_depth_edges(pixels: DataFrame, by: list[str], threshold: float = 0.08, least: int = 20, share: float = 0.35) -> DataFrame:
     """Pixels (by, u, v, depth) away from depth edges: Sobel of log depth above the threshold, grown by a pixel to all sides.
 
     A group that would keep fewer than `least` pixels or less than `share` of them is left whole. A neighbour that is not there
-    counts as the pixel itself.
+    counts as the pixel itself. Pixels meet in tiles with a rim of two pixels, so none is joined with its neighbours.
     """
     rows = pixels.select(*by, "u", "v", "depth", F.log("depth").alias("d"))
-    shifts = [(du, dv) for du in (-1, 0, 1) for dv in (-1, 0, 1) if (du, dv) != (0, 0)]
-    at = F.explode(F.array(*(F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in shifts))).alias("s")
-    spread = rows.select(*by, "u", "v", "d", at).select(*by, (F.col("u") + F.col("s.du")).alias("u"), (F.col("v") + F.col("s.dv")).alias("v"), (-F.col("s.du")).alias("du"), (-F.col("s.dv")).alias("dv"), F.col("d").alias("nd"))
-    near = rows.join(spread, [*by, "u", "v"], "left")
-    value = lambda a, b: F.coalesce(F.max(F.when((F.col("du") == a) & (F.col("dv") == b), F.col("nd"))), F.first("d"))
-    gx = (value(1, -1) + 2 * value(1, 0) + value(1, 1)) - (value(-1, -1) + 2 * value(-1, 0) + value(-1, 1))
-    gy = (value(-1, 1) + 2 * value(0, 1) + value(1, 1)) - (value(-1, -1) + 2 * value(0, -1) + value(1, -1))
-    edge = near.groupBy(*by, "u", "v").agg(F.first("depth").alias("depth"), (F.sqrt(gx * gx + gy * gy) > threshold).alias("edge"))
-    grown = edge.where("edge").select(*by, "u", "v", F.explode(F.array(*(F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in [*shifts, (0, 0)]))).alias("s")).select(*by, (F.col("u") + F.col("s.du")).alias("u"), (F.col("v") + F.col("s.dv")).alias("v")).distinct().withColumn("bad", F.lit(True))
-    marked = edge.join(grown, [*by, "u", "v"], "left").withColumn("good", F.col("bad").isNull())
+    tiles = lambda c: F.explode(F.array_distinct(F.array(*(F.floor((F.col(c) + k) / TILE) for k in (-RIM, RIM)))))
+    tiled = rows.withColumn("_tu", tiles("u")).withColumn("_tv", tiles("v"))
+    kinds = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in (*by, "u", "v", "depth"))
+    marked = tiled.groupBy(*by, "_tu", "_tv").applyInArrow(_edges(threshold, len(by)), f"{kinds}, good boolean")
     n = F.count("*").over(Window.partitionBy(*by))
     kept = F.sum(F.col("good").cast("int")).over(Window.partitionBy(*by))
     whole = marked.withColumn("n", n).withColumn("kept", kept)
