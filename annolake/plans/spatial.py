@@ -162,7 +162,8 @@ def best_ground_masks(spark, sf_dir):
 
 @_query("WITH o AS (SELECT inst_id, avg(depth) AS d FROM fx_points GROUP BY 1), g AS (SELECT inst_id, y * 3 + s AS ord, -abs(d - (2 + y + 0.5 * s)) AS score, s <> 1 AS p FROM o CROSS JOIN range(4) a(y) CROSS JOIN range(3) b(s)) SELECT inst_id, CAST(arg_max(ord, (p, score, -ord)) AS INT) AS ord FROM g GROUP BY 1")
 def best_poses(spark, sf_dir):
-    o = _cloud(spark, sf_dir).groupBy("inst_id").agg(F.avg("depth").alias("d"))
+    # Poses tie where the mean lies midway between two of them: its last bit must not depend on how the points are dealt out.
+    o = points.ordered_mean(_cloud(spark, sf_dir), ["inst_id"], "depth", "pt_id").withColumnRenamed("mean", "d")
     g = points.pose_grid(o, [0.0, 1.0, 2.0, 3.0], [0.0, 1.0, 2.0]).withColumn("score", -F.abs(F.col("d") - (2 + F.col("yaw") + 0.5 * F.col("scale")))).withColumn("passes", F.col("scale") != 1)
     return points.best_candidate(g, ["inst_id"]).select("inst_id", F.col("order").alias("ord"))
 
