@@ -5,6 +5,8 @@ A metric that has no ground truth has no row: absence is never a number.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,90 @@ def average_precision(curve: DataFrame, npig: DataFrame, thresholds: int, by: tu
 
 def average_recall(matches: DataFrame, npig: DataFrame, thresholds: int, by: tuple[str, ...] = ("category_name",), prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
     """(by, area_range, thr, max_dets, ar) by counting alone: the final recall needs no order."""
-    groups = npig.select(*by, "area_range", "npig", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("thr"))
     counts = matches.where("matched IS NOT NULL AND NOT ignored").groupBy(*by, "area_range", "thr").agg(*(F.count_if(F.col("rank") <= m).alias(f"tp_{m}") for m in prefixes))
+    return _recalls(npig, counts, thresholds, by, prefixes)
+
+
+def _recalls(npig: DataFrame, counts: DataFrame, thresholds: int, by: tuple[str, ...], prefixes: tuple[int, ...]) -> DataFrame:
+    groups = npig.select(*by, "area_range", "npig", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("thr"))
     rows = groups.join(counts, [*by, "area_range", "thr"], "left")
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("max_dets"), (F.coalesce(F.col(f"tp_{m}"), F.lit(0)) / F.col("npig")).alias("ar")) for m in prefixes))).alias("x")
     return rows.select(*by, "area_range", "thr", each).select(*by, "area_range", "thr", "x.*")
 
 
+def _cell_names(rows: DataFrame, areas: list[tuple[str, float, float]], thresholds: int) -> DataFrame:
+    """rows with the area_range and thr of their cell."""
+    return rows.withColumn("area_range", F.element_at(F.array(*(F.lit(n) for n, *_ in areas)), (F.floor(F.col("cell") / thresholds) + 1).cast("int"))).withColumn("thr", F.col("cell") % thresholds)
+
+
+def _in_cells(rows: DataFrame, cells: int) -> DataFrame:
+    return rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+
+
+def _reached(by: int):
+    """Of a band of a group, for each cell: the levels that its hits newly reach with the envelope within the band, and the band's best precision."""
+    def curve(rows: pa.Table, before: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if before.num_rows and rows.num_rows:
+            rows = rows.sort_by("at")
+            hits, misses = (rows.column(c).to_numpy() for c in ("hits", "misses"))
+            for o in before.column("o")[0].as_py():
+                at = np.flatnonzero((hits >> o["cell"]) & 1)
+                if not len(at):
+                    continue
+                tp = o["tp_0"] + np.arange(1, len(at) + 1)
+                fp = o["fp_0"] + np.cumsum((misses >> o["cell"]) & 1)[at]
+                env = np.maximum.accumulate((tp / (tp + fp))[::-1])[::-1]
+                low = np.where(tp == 1, -1, (LEVELS - 1) * (tp - 1) // o["npig"])
+                levels = (LEVELS - 1) * tp // o["npig"] - low
+                out.append((o["cell"], 0, None, float(env[0])))
+                out += [(o["cell"], int(levels[i]), float(env[i]), None) for i in np.flatnonzero(levels > 0)]
+        cells, levels, own, best = zip(*out, strict=True) if out else ([], [], [], [])
+        keys = [c.take(pa.array(np.zeros(len(out), int))) for c in rows.columns[: by + 1]] if rows.num_rows else [pa.array([], f.type) for f in rows.schema][: by + 1]
+        return pa.table([*keys, pa.array(cells, pa.int32()), pa.array(levels, pa.int32()), pa.array(own, pa.float64()), pa.array(best, pa.float64())], names=[*rows.column_names[: by + 1], "cell", "levels", "own", "best"])
+
+    return curve
+
+
+def cell_precision(cells: DataFrame, npig: DataFrame, areas: list[tuple[str, float, float]], thresholds: int, by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id"), bands: int | None = None) -> DataFrame:
+    """average_precision from match_cells: (by, area_range, thr, max_dets, npig, ap, ar), at most MOST detections of an image and category.
+
+    A detection is sorted once, whatever the number of ranges and thresholds, and only if it is not ignored everywhere. The bands are
+    those of precision_recall; what the better ones hold comes from a table with a row for each group, band and cell. A band gives
+    only the levels that it newly reaches, at most LEVELS of a group and cell, and its best precision for the better bands.
+    """
+    count, key = len(areas) * thresholds, [*by, "cell"]
+    order = [*by, F.desc("score"), *ties]
+    rows = cells.where((F.col("rank") <= MOST) & ((F.col("hits") != 0) | (F.col("misses") != 0)))
+    n = bands or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = settled(rows.select(*by, F.spark_partition_id().alias("band"), F.monotonically_increasing_id().alias("at"), "hits", "misses"), "curve")
+    held = _in_cells(rows.groupBy(*by, "band", "hits", "misses").agg(F.count("*").alias("k")), count)
+    held = held.groupBy(*key, "band").agg(*(F.sum(F.expr(f"(shiftright({c}, cell) & 1) * k")).alias(f"{t}_in") for c, t in (("hits", "tp"), ("misses", "fp"))))
+    held = settled(held, "held")
+    better = Window.partitionBy(*key).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.select(*key, "band", *(F.coalesce(F.sum(f"{t}_in").over(better), F.lit(0)).alias(f"{t}_0") for t in ("tp", "fp")))
+    sums = _cell_names(sums, areas, thresholds).join(npig, [*by, "area_range"])
+    before = sums.groupBy(*by, "band").agg(F.collect_list(F.struct("cell", "tp_0", "fp_0", "npig")).alias("o"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*by, "band"))
+    reached = rows.groupBy(*by, "band").cogroup(before.groupBy(*by, "band")).applyInArrow(_reached(len(by)), f"{kinds}, cell int, levels int, own double, best double")
+    worse = Window.partitionBy(*key).orderBy(F.desc("band")).rangeBetween(Window.unboundedPreceding, -1)
+    found = reached.withColumn("beyond", F.max("best").over(worse)).groupBy(*key).agg((F.sum(F.col("levels") * F.greatest("own", "beyond")) / LEVELS).alias("ap"))
+    found = held.groupBy(*key).agg(F.sum("tp_in").alias("tp")).join(found, key, "left")
+    groups = npig.select(*by, "area_range", "npig", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("thr"))
+    out = groups.join(_cell_names(found, areas, thresholds), [*by, "area_range", "thr"], "left")
+    return out.select(*by, "area_range", "thr", F.lit(MOST).alias("max_dets"), "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce(F.col("tp") / F.col("npig"), F.lit(0.0)).alias("ar"))
+
+
+def cell_recall(cells: DataFrame, npig: DataFrame, areas: list[tuple[str, float, float]], thresholds: int, by: tuple[str, ...] = ("category_name",), prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
+    """average_recall from match_cells: rows with the same hits and place are counted together first."""
+    place = F.coalesce(*(F.when(F.col("rank") <= m, m) for m in sorted(prefixes)))
+    same = cells.where("hits <> 0").groupBy(*by, "hits", place.alias("place")).agg(F.count("*").alias("k")).where("place IS NOT NULL")
+    bit = F.expr("(shiftright(hits, cell) & 1) * k")
+    counts = _cell_names(_in_cells(same, len(areas) * thresholds), areas, thresholds).groupBy(*by, "area_range", "thr").agg(*(F.sum(F.when(F.col("place") <= m, bit).otherwise(0)).alias(f"tp_{m}") for m in prefixes))
+    return _recalls(npig, counts, thresholds, by, prefixes)
+
+
 def summarize(table: DataFrame, recalls: DataFrame, mode: str = "2D", by: tuple[str, ...] = ()) -> DataFrame:
     """The thirteen statistics, one row per `by`: means over the groups that exist, null where none does. recalls: average_recall."""
     parts = ("small", "medium", "large") if mode == "2D" else ("near", "medium", "far")
