@@ -8,10 +8,13 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from annolake.functions.boxes import all_finite, box, clip, clip_box, parts
+from annolake.functions.boxes import box, clip
 
 # Corner signs along the object's x, y and z axes, and the corners of each face in order.
 CORNER_SIGNS = ((-1, -1, -1), (1, -1, -1), (1, 1, -1), (-1, 1, -1), (-1, -1, 1), (1, -1, 1), (1, 1, 1), (-1, 1, 1))
@@ -85,9 +88,9 @@ def identity() -> Column:
     return mat([[1, 0, 0], [0, 1, 0], [0, 0, 1]])
 
 
-@bound
 def determinant(m: Column) -> Column:
-    return dot(F.get(m, 0), cross(F.get(m, 1), F.get(m, 2)))
+    p, q, r = ([at(m, i, j) for j in range(3)] for i in range(3))
+    return p[0] * (q[1] * r[2] - q[2] * r[1]) + p[1] * (q[2] * r[0] - q[0] * r[2]) + p[2] * (q[0] * r[1] - q[1] * r[0])
 
 
 def box_corners(center: Column, dims: Column, rotation: Column | None = None) -> Column:
@@ -95,8 +98,8 @@ def box_corners(center: Column, dims: Column, rotation: Column | None = None) ->
     w, h, length = (F.get(dims, i) for i in range(3))
     out = []
     for sx, sy, sz in CORNER_SIGNS:
-        local = vec(length * (sx / 2), h * (sy / 2), w * (sz / 2))
-        out.append(plus(center, local if rotation is None else times(rotation, local)))
+        local = length * (sx / 2), h * (sy / 2), w * (sz / 2)
+        out.append(vec(*(F.get(center, i) + local[i] for i in range(3))) if rotation is None else plus(center, times(rotation, vec(*local))))
     return F.when(center.isNotNull() & dims.isNotNull(), F.array(*out))
 
 
@@ -104,89 +107,114 @@ def project_points(points: Column, fx: Column, fy: Column, cx: Column, cy: Colum
     return F.transform(points, lambda p: vec(F.try_divide(fx * p[0], p[2]) + cx, F.try_divide(fy * p[1], p[2]) + cy))
 
 
-def _extent(points: Column, axis: int, agg=F.array_min) -> Column:
-    return agg(F.transform(points, lambda p: p[axis]))
-
+def _numbers(a: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The doubles of a column, or of lists of one length, and which of them are there; lists of another length have none."""
+    if size is None:
+        return np.asarray(pc.cast(a, pa.float64()).to_numpy(zero_copy_only=False), float), a.is_valid().to_numpy(zero_copy_only=False)
+    values, known = np.full((len(a), size), np.nan), np.zeros((len(a), size), bool)
+    own = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(a), size), False).to_numpy(zero_copy_only=False))
+    flat = a.take(pa.array(own)).flatten()
+    values[own], known[own] = (x.reshape(-1, size) for x in _numbers(flat))
+    return values, known
 
-@bound
-def _image_box(xy: Column, width: Column, height: Column) -> Column:
-    """struct<raw, clipped>: the box around image points; null where it is not finite or nothing of it is inside the image."""
-    raw = F.array(_extent(xy, 0), _extent(xy, 1), _extent(xy, 0, F.array_max), _extent(xy, 1, F.array_max))
-    return _within(raw, width, height)
 
-
-@bound
-def _within(raw: Column, width: Column, height: Column) -> Column:
-    return _seen(raw, clip_box(raw, width, height))
+def _lists(values: np.ndarray) -> pa.Array:
+    """(n, k, ...) as lists of k, and so on."""
+    out = pa.array(values.ravel(), pa.float64())
+    for axis in range(values.ndim - 1, 0, -1):
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, values.shape[axis]), pa.int32()), out)
+    return out
 
 
-@bound
-def _seen(raw: Column, clipped: Column) -> Column:
-    x1, y1, x2, y2 = parts(clipped)
-    return F.when(all_finite(raw) & (x2 > x1) & (y2 > y1), F.struct(raw.alias("raw"), clipped.alias("clipped")))
+def _projected(behind: str, near: float, corners: pa.Array, *camera: pa.Array) -> tuple[np.ndarray, ...]:
+    """The raw and clipped boxes (n, 4) around projected corners, which of them are there, and which boxes lie all behind."""
+    (p, known), ((fx, _), (fy, _), (cx, _), (cy, _), (w, has_w), (h, has_h)) = _numbers(corners, 24), map(_numbers, camera)
+    p, known = p.reshape(-1, 8, 3), known.reshape(-1, 8, 3)
+    z, deep, fine = p[:, :, 2], known[:, :, 2], known.any(axis=(1, 2))
+    all_behind = deep.all(axis=1) & ~((z > 0) | np.isnan(z)).any(axis=1)
+    if behind == "clamp":
+        z, deep = np.where(deep, np.where(z < 1e-6, 1e-6, z), 1e-6), np.ones_like(deep)
+    elif behind == "null":
+        fine = fine & deep.all(axis=1) & ~(np.abs(z) < 1e-6).any(axis=1)
+        if near > 1e-6:
+            fine &= ~(z <= near).any(axis=1)
+    places, there = [], []
+    for axis, (f, c, side, has) in enumerate(((fx, cx, w, has_w), (fy, cy, h, has_h))):
+        there.append(known[:, :, axis] & deep & (z != 0))
+        places.append(f[:, None] * p[:, :, axis] / np.where(z == 0, 1.0, z) + c[:, None])
+        if behind == "corner":
+            close, low = deep & (z <= 0.2), known[:, :, axis] & (p[:, :, axis] < 0)
+            places[axis] = np.where(close, np.where(low, 0.0, side[:, None] - 1), places[axis])
+            there[axis] = np.where(close, low | has[:, None], there[axis])
+    raw = np.stack([agg(np.where(m, x, rest), axis=1) for agg, rest in ((np.min, np.inf), (np.max, -np.inf)) for x, m in zip(places, there, strict=True)], axis=1)
+    most = np.stack([np.where(has_w, w - 1, np.inf), np.where(has_h, h - 1, np.inf)] * 2, axis=1)
+    clipped = np.minimum(np.maximum(raw, 0.0), most)
+    found = fine & np.isfinite(raw).all(axis=1) & (clipped[:, 2] > clipped[:, 0]) & (clipped[:, 3] > clipped[:, 1])
+    return raw, clipped, found, all_behind
 
 
 def project_box(corners: Column, fx: Column, fy: Column, cx: Column, cy: Column, width: Column, height: Column, behind: str = "null", near: float = 1e-6) -> Column:
-    """struct<raw, clipped>: the 2D box of the projected corners.
+    """struct<raw, clipped>: the 2D box of the projected corners; null where it is not finite or nothing of it is inside the image.
 
     behind: "null" gives null where some |z| is below 1e-6 (or, with a larger near, some z is not above it);
     "clamp" raises z to 1e-6; "corner" puts corners with z up to .2 onto the image's corner on their side.
     """
-    w, h = width.cast("double"), height.cast("double")
-    if behind == "clamp":
-        xy = project_points(F.transform(corners, lambda p: vec(p[0], p[1], F.greatest(p[2], F.lit(1e-6)))), fx, fy, cx, cy)
-        fine = F.lit(True)
-    elif behind == "corner":
-        xy = F.transform(
-            corners,
-            lambda p: F.when(p[2] <= 0.2, vec(F.when(p[0] < 0, 0.0).otherwise(w - 1), F.when(p[1] < 0, 0.0).otherwise(h - 1))).otherwise(vec(F.try_divide(fx * p[0], p[2]) + cx, F.try_divide(fy * p[1], p[2]) + cy)),
-        )
-        fine = F.lit(True)
-    else:
-        xy = project_points(corners, fx, fy, cx, cy)
-        fine = ~F.exists(corners, lambda p: F.abs(p[2]) < 1e-6)
-        if near > 1e-6:
-            fine = fine & ~F.exists(corners, lambda p: p[2] <= near)
-    return F.when((F.size(corners) == 8) & fine, _image_box(xy, width, height))
+    def projected(*columns: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            raw, clipped, found, _ = _projected(behind, near, *columns)
+        return pa.StructArray.from_arrays([_lists(raw), _lists(clipped)], ["raw", "clipped"], mask=pa.array(~found))
 
+    return F.arrow_udf(projected, "raw array<double>, clipped array<double>")(F.flatten(corners), fx, fy, cx, cy, width, height)
 
-@bound
-def _sound_face(n: Column, n2: Column, last: Column, eps: Column, least_area: Column) -> Column:
-    """A face of normals n and n2 of its triangles, whose last corner lies at `last` from the first."""
-    return (F.abs(dot(last, n)) <= eps * F.greatest(norm(n), F.lit(1e-12))) & (norm(n) / 2 > least_area) & (norm(n2) / 2 > least_area)
+
+def _valid(corners: pa.Array, eps: float, least_area: float) -> pa.Array:
+    p, known = _numbers(corners, 24)
+    a, b, c, d = (p.reshape(-1, 8, 3)[:, [f[i] for f in FACES]] for i in range(4))
+    with np.errstate(all="ignore"):
+        n, n2 = np.cross(b - a, c - a), np.cross(c - a, d - a)
+        size, size2 = (np.sqrt((x * x).sum(axis=2)) for x in (n, n2))
+        sound = (np.abs(((d - a) * n).sum(axis=2)) <= eps * np.maximum(size, 1e-12)) & (size / 2 > least_area) & (size2 / 2 > least_area)
+    return pa.array(sound.all(axis=1) & known.all(axis=1))
 
 
 def box3d_valid(corners: Column, eps: float = 1e-4, least_area: float = 1e-8) -> Column:
-    """Every face plane within eps and no triangle of a face without area. Faces are judged one by one."""
-    ok = F.size(corners) == 8
-    for a, b, c, d in FACES:
-        p = [F.get(corners, i) for i in (a, b, c, d)]
-        ok = ok & _sound_face(cross(minus(p[1], p[0]), minus(p[2], p[0])), cross(minus(p[2], p[0]), minus(p[3], p[0])), minus(p[3], p[0]), F.lit(float(eps)), F.lit(float(least_area)))
-    return F.coalesce(ok, F.lit(False))
+    """Every face plane within eps and no triangle of a face without area; false where a number is missing or not finite."""
+    return (F.size(corners) == 8) & F.arrow_udf(lambda c: _valid(c, eps, least_area), "boolean")(F.flatten(corners))
 
 
-def aabb_iou3d(center_a: Column, dims_a: Column, center_b: Column, dims_b: Column) -> Column:
-    """3D IoU of boxes without rotation."""
-    both, va, vb = F.lit(1.0), F.lit(1.0), F.lit(1.0)
+def extent(center: Column, dims: Column) -> Column:
+    """struct<x0, x1, y0, y1, z0, z1, v>: the sides of a box without rotation, and its volume."""
+    sides, volume = [], F.lit(1.0)
     for axis, d in ((0, 2), (1, 1), (2, 0)):
-        ca, cb, da, db = F.get(center_a, axis), F.get(center_b, axis), F.get(dims_a, d), F.get(dims_b, d)
-        both = both * F.greatest(F.least(ca + da / 2, cb + db / 2) - F.greatest(ca - da / 2, cb - db / 2), F.lit(0.0))
-        va, vb = va * da, vb * db
-    union = va + vb - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+        c, size = F.get(center, axis), F.get(dims, d)
+        sides += [(c - size / 2).alias(f"{'xyz'[axis]}0"), (c + size / 2).alias(f"{'xyz'[axis]}1")]
+        volume = volume * size
+    return F.struct(*sides, volume.alias("v"))
 
 
-def truncation(corners: Column, fx, fy, cx, cy, width: Column, height: Column) -> Column:
-    """The share of the projected area that lies outside the image; 1 where the box is all behind."""
-    return _cut(project_box(corners, fx, fy, cx, cy, width, height, behind="clamp"), ~F.exists(corners, lambda p: p[2] > 0))
+def extent_iou3d(a: Column, b: Column) -> Column:
+    """3D IoU of two extents; 0 where the union is not positive or not known."""
+    both = F.lit(1.0)
+    for k in "xyz":
+        both = both * F.greatest(F.least(a[f"{k}1"], b[f"{k}1"]) - F.greatest(a[f"{k}0"], b[f"{k}0"]), F.lit(0.0))
+    return F.greatest(F.try_divide(both, a["v"] + b["v"] - both), F.lit(0.0))
 
 
-@bound
-def _cut(b: Column, behind: Column) -> Column:
-    x1, y1, x2, y2 = parts(b["raw"])
-    c1, d1, c2, d2 = parts(b["clipped"])
-    whole = (x2 - x1) * (y2 - y1)
-    return F.when(behind | b.isNull() | (whole <= 0), 1.0).otherwise(1 - (c2 - c1) * (d2 - d1) / whole)
+def aabb_iou3d(center_a: Column, dims_a: Column, center_b: Column, dims_b: Column) -> Column:
+    """3D IoU of boxes without rotation. Pairs of a join take extents made before it: this, for each pair, is much more code."""
+    return extent_iou3d(extent(center_a, dims_a), extent(center_b, dims_b))
+
+
+def _cut(*columns: pa.Array) -> pa.Array:
+    with np.errstate(all="ignore"):
+        raw, clipped, found, all_behind = _projected("clamp", 1e-6, *columns)
+        whole, seen = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (raw, clipped))
+        return pa.array(np.where(all_behind | ~found | (whole <= 0), 1.0, 1 - seen / whole))
+
+
+def truncation(corners: Column, fx, fy, cx, cy, width: Column, height: Column) -> Column:
+    """The share of the projected area that lies outside the image; 1 where the box is all behind."""
+    return F.arrow_udf(_cut, "double")(F.flatten(corners), fx, fy, cx, cy, width, height)
 
 
 def backproject(u: Column, v: Column, depth: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
@@ -201,7 +229,6 @@ def plane_distance(plane: Column, point: Column, signed: bool = False) -> Column
     return F.when(n <= 1e-8, float("inf")).otherwise((d if signed else F.abs(d)) / n)
 
 
-@bound
 def rotate_y(yaw: Column) -> Column:
     c, s = F.cos(yaw), F.sin(yaw)
     return mat([[c, 0, s], [0, 1, 0], [-s, 0, c]])
@@ -266,50 +293,44 @@ def eval_scale(width: Column, height: Column, least: float = 512.0, most: float
     return F.when(s * F.greatest(width, height) > most, most / F.greatest(width, height)).otherwise(s)
 
 
-@bound
-def _ray_matrix(x: Column, y: Column, z: Column) -> Column:
-    """The shortest rotation of the camera's axis onto the unit vector (x, y, z), z above -1."""
-    return mat([[1 - x * x / (1 + z), -x * y / (1 + z), x], [-x * y / (1 + z), 1 - y * y / (1 + z), y], [-x, -y, z]])
-
-
-@bound
-def _ray_along(x: Column, y: Column, size: Column) -> Column:
-    return _ray_matrix(x / size, y / size, 1 / size)
-
+def _ray_turned(back: bool, rotation: pa.Array, *camera: pa.Array) -> pa.Array:
+    """The shortest rotation of the camera's axis onto each pixel's ray, or back, times a rotation."""
+    (m, known), pairs = _numbers(rotation, 9), [_numbers(c) for c in camera]
+    u, v, fx, fy, cx, cy = (x for x, _ in pairs)
+    found = known.all(axis=1) & np.all([k for _, k in pairs], axis=0) & (fx != 0) & (fy != 0)
+    with np.errstate(all="ignore"):
+        x, y = (u - cx) / fx, (v - cy) / fy
+        size = np.sqrt(x * x + y * y + 1)
+        x, y, z = x / size, y / size, 1 / size
+        ray = [[1 - x * x / (1 + z), -x * y / (1 + z), x], [-x * y / (1 + z), 1 - y * y / (1 + z), y], [-x, -y, z]]
+        if back:
+            ray = list(zip(*ray, strict=True))
+        out = np.stack([ray[i][0] * m[:, j] + ray[i][1] * m[:, 3 + j] + ray[i][2] * m[:, 6 + j] for i in range(3) for j in range(3)], axis=1)
+    lists = _lists(out.reshape(-1, 3, 3))
+    return pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(~found))
 
-@bound
-def _ray_rotation(u: Column, v: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
-    x, y = (u - cx) / fx, (v - cy) / fy
-    return _ray_along(x, y, F.sqrt(x * x + y * y + 1))
 
-
-@bound
-def _turned(a: Column, b: Column) -> Column:
-    return matmul(a, b)
-
-
-@bound
-def _turned_back(a: Column, b: Column) -> Column:
-    return matmul(transpose(a), b)
+def _turn_by_ray(back: bool, rotation: Column, *camera) -> Column:
+    return F.arrow_udf(lambda *columns: _ray_turned(back, *columns), "array<array<double>>")(F.flatten(rotation), *camera)
 
 
 def to_allocentric(rotation: Column, u, v, fx, fy, cx, cy) -> Column:
-    return _turned_back(_ray_rotation(u, v, fx, fy, cx, cy), rotation)
+    """The rotation as seen along the ray through pixel (u, v); null where something is missing or a focal length is 0."""
+    return _turn_by_ray(True, rotation, u, v, fx, fy, cx, cy)
 
 
 def from_allocentric(rotation: Column, u, v, fx, fy, cx, cy) -> Column:
-    return _turned(_ray_rotation(u, v, fx, fy, cx, cy), rotation)
+    return _turn_by_ray(False, rotation, u, v, fx, fy, cx, cy)
 
 
 def rotation_valid(m: Column, tolerance: float = 0.1) -> Column:
     return F.coalesce(F.abs(determinant(m) - 1) <= tolerance, F.lit(False))
 
 
-@bound
 def rotation_angle(a: Column, b: Column) -> Column:
-    """The angle between two rotations, the cosine clamped."""
-    r = matmul(a, transpose(b))
-    return F.acos(clip((at(r, 0, 0) + at(r, 1, 1) + at(r, 2, 2) - 1) / 2, -1, 1))
+    """The angle between two rotations, the cosine clamped: the trace of a times b transposed."""
+    t = [at(a, i, 0) * at(b, i, 0) + at(a, i, 1) * at(b, i, 1) + at(a, i, 2) * at(b, i, 2) for i in range(3)]
+    return F.acos(clip((t[0] + t[1] + t[2] - 1) / 2, -1, 1))
 
 
 def mirror_center(center: Column) -> Column:
@@ -332,7 +353,8 @@ def scale_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, sx: Column,
 
 def world_to_camera(point: Column, pose_rotation: Column, pose_origin: Column) -> Column:
     """(p - t) * R for a camera pose (R, t)."""
-    return times(transpose(pose_rotation), minus(point, pose_origin))
+    d = [F.get(point, i) - F.get(pose_origin, i) for i in range(3)]
+    return vec(*(at(pose_rotation, 0, i) * d[0] + at(pose_rotation, 1, i) * d[1] + at(pose_rotation, 2, i) * d[2] for i in range(3)))
 
 
 def world_to_camera_rotation(rotation: Column, pose_rotation: Column) -> Column:

@@ -41,7 +41,12 @@ def gate_prior(dims: Column, prior: Column, s: GateSettings = GateSettings()) ->
 
 
 def _lowest(corners: Column, plane: Column, signed: bool) -> Column:
-    return F.array_min(F.transform(corners, lambda p: g.plane_distance(plane, p, signed)))
+    """The least distance of a corner. The normal's length is taken out of the corners' lambda, which is interpreted."""
+    a, b, c, d = (F.get(plane, i) for i in range(4))
+    n = F.sqrt(a * a + b * b + c * c)
+    place = lambda p: a * p[0] + b * p[1] + c * p[2] + d
+    least = F.array_min(F.transform(corners, place if signed else lambda p: F.abs(place(p))))
+    return F.when(n <= 1e-8, float("inf")).otherwise(least / n)
 
 
 def gate_ground(label: Column, corners: Column, plane: Column, required: bool = False, s: GateSettings = GateSettings()) -> Column:

@@ -524,8 +524,7 @@ def valid_boxes(spark, sf_dir):
     rows = _cuboids(spark, sf_dir).withColumn("kind", F.col("ann_id") % 3)
     flat = geometry.box_corners(F.col("center"), F.array(F.lit(0.0), F.col("h3"), F.col("l3")))
     moved = F.transform("corners", lambda p, i: F.when(i == 6, F.array(p[0], p[1] + 0.5, p[2])).otherwise(p))
-    # Written first: the test names its corners many times, which would repeat how they are made.
-    rows = settled(rows.select("ann_id", F.when(F.col("kind") == 1, moved).when(F.col("kind") == 2, flat).otherwise(F.col("corners")).alias("c")), "corners")
+    rows = rows.select("ann_id", F.when(F.col("kind") == 1, moved).when(F.col("kind") == 2, flat).otherwise(F.col("corners")).alias("c"))
     return rows.select("ann_id", geometry.box3d_valid(F.col("c")).alias("valid"))
 
 
@@ -535,10 +534,6 @@ def allocentric_poses(spark, sf_dir):
     """The pose of a box that faces the camera's axis, seen along the ray through its 2D box, and how far there and back again is from it."""
     u, v = boxes.centre(F.col("box"))
     one = geometry.rotate_y(F.lit(0.0))
-    # Each step is written first: cells of a matrix that are named one by one would repeat how it is made.
-    rows = settled(_cuboids(spark, sf_dir).select("ann_id", u.alias("u"), v.alias("v"), *_camera()), "rays")
-    rows = settled(rows.withColumn("m", geometry.to_allocentric(one, F.col("u"), F.col("v"), *_camera())), "allocentric")
-    rows = settled(rows.withColumn("b", geometry.from_allocentric(F.col("m"), F.col("u"), F.col("v"), *_camera())), "back")
-    back = F.col("b")
-    far = F.aggregate(F.flatten(F.zip_with(back, one, lambda p, q: F.zip_with(p, q, lambda x, y: F.abs(x - y)))), F.lit(0.0), lambda t, x: F.greatest(t, x))
+    rows = _cuboids(spark, sf_dir).withColumn("m", geometry.to_allocentric(one, u, v, *_camera())).withColumn("b", geometry.from_allocentric(F.col("m"), u, v, *_camera()))
+    far = F.greatest(F.lit(0.0), *(F.abs(geometry.at(F.col("b"), i, j) - geometry.at(one, i, j)) for i in range(3) for j in range(3)))
     return rows.select("ann_id", *(F.round(F.get(F.get("m", i), j) + 1e-9, 5).alias(f"m{i}{j}") for i, j in ((0, 0), (1, 0), (2, 0), (2, 1), (2, 2))), F.round(far, 9).alias("back"))
