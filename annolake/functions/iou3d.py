@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from annolake.functions.geometry import FACES
+from annolake.functions.geometry import CORNER_SIGNS, FACES
 
 #: Pairs clipped together; bounds the arrays.
 TOGETHER = 4096
@@ -122,6 +122,30 @@ def iou3d(a: Column, b: Column) -> Column:
     return F.arrow_udf(_iou3d, "double")(F.flatten(a), F.flatten(b))
 
 
+def _posed(*columns: pa.Array) -> pa.Array:
+    """center, dims of either box, then perhaps the rotation that both have, as plain numbers; 0 where some are missing."""
+    lengths = (3, 3, 3, 3, 9)[: len(columns)]
+    sound = np.flatnonzero(np.all([pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) == k for c, k in zip(columns, lengths, strict=True)], axis=0))
+    out = np.zeros(len(columns[0]))
+    if len(sound):
+        parts = [c.take(pa.array(sound)).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for c, k in zip(columns, lengths, strict=True)]
+        r = parts[4].reshape(-1, 3, 3) if len(parts) == 5 else None
+        out[sound] = ious(*(corners_of(parts[i], parts[i + 1], r) for i in (0, 2)))
+    return pa.array(out)
+
+
+def corners_of(center: np.ndarray, dims: np.ndarray, rotation: np.ndarray | None = None) -> np.ndarray:
+    """The eight corners (n, 8, 3) in the fixed order; the rotation turns the box about the origin of its centre."""
+    local = dims[:, None, ::-1] * (np.array(CORNER_SIGNS) / 2)
+    turn = lambda v: v if rotation is None else sum(rotation[:, None, :, j] * v[:, :, j, None] for j in range(3))
+    return turn(center[:, None]) + turn(local)
+
+
+def posed_iou3d(center_a: Column, dims_a: Column, center_b: Column, dims_b: Column, rotation: Column | None = None) -> Column:
+    """iou3d of the corners of two boxes, both turned by one rotation about the origin: six numbers of a box travel instead of 24."""
+    return F.arrow_udf(_posed, "double")(center_a, dims_a, center_b, dims_b, *([] if rotation is None else [F.flatten(rotation)]))
+
+
 def may_overlap(a: Column, b: Column) -> Column:
     """Cheap test for the join: the axis-aligned hulls overlap."""
     def hull(c: Column, i: int, agg) -> Column:
