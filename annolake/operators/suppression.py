@@ -18,8 +18,10 @@ def _fold(lists: DataFrame, clash: str) -> DataFrame:
 
 def nms(det: DataFrame, threshold: float = 0.5, top_k: int = 100, least_score: float = 0.0) -> DataFrame:
     """Class-wise non-maximum suppression, then the top_k of an image: det_id, image_id, category_name, score, place."""
-    fine = det.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('infinity')" for c in ("x1", "y1", "x2", "y2", "score"))).where(F.col("score") > least_score)
-    lists = fine.groupBy("image_id", "category_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", "x1", "y1", "x2", "y2"))).alias("dets"))
+    # The test is part of the aggregate: as a filter it is pushed into how the boxes are made, whose code then is too long to be compiled.
+    finite = " AND ".join(f"abs({c}) < double('infinity')" for c in ("x1", "y1", "x2", "y2", "score"))
+    boxes = F.expr(f"array_sort(collect_list(struct(-score AS o, det_id, x1, y1, x2, y2)) FILTER (WHERE {finite} AND score > {least_score}D))")
+    lists = det.groupBy("image_id", "category_name").agg(boxes.alias("dets"))
     kept = _fold(lists, f"{_IOU} > {threshold}").select(F.col("k.det_id").alias("det_id"), "image_id", "category_name", (-F.col("k.o")).alias("score"))
     w = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
     return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_k)
