@@ -31,13 +31,28 @@ def _half_spaces(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _clip(polygons: np.ndarray, counts: np.ndarray, normal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of polygons (m, k, 3), of which the first counts points are there, with normal . p <= offset."""
+    """The parts of polygons (m, k, 3), of which the first counts points are there, with normal . p <= offset. Only polygons that reach beyond are cut."""
+    dp = polygons[:, :, 0] * normal[:, None, 0] + polygons[:, :, 1] * normal[:, None, 1] + polygons[:, :, 2] * normal[:, None, 2] - offset[:, None]
+    rows = np.flatnonzero(((np.arange(polygons.shape[1])[None, :] < counts[:, None]) & ~(dp <= 0)).any(axis=1))
+    if not len(rows):
+        return polygons, counts
+    points, left = _cut(polygons[rows], counts[rows], dp[rows])
+    width = max(polygons.shape[1], points.shape[1])
+    out = np.zeros((len(polygons), width, 3))
+    out[:, : polygons.shape[1]] = polygons
+    out[rows, : points.shape[1]] = points
+    counts = counts.copy()
+    counts[rows] = left
+    return out, counts
+
+
+def _cut(polygons: np.ndarray, counts: np.ndarray, dp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of polygons where dp, given at their points, is not above 0."""
     m, k, _ = polygons.shape
     place = np.arange(k)[None, :]
     there = place < counts[:, None]
     after = np.where(place + 1 < counts[:, None], place + 1, 0)
     q = np.take_along_axis(polygons, after[:, :, None], axis=1)
-    dp = (polygons * normal[:, None]).sum(axis=2) - offset[:, None]
     dq = np.take_along_axis(dp, after, axis=1)
     crossing = there & (((dp < 0) & (dq > 0)) | ((dq < 0) & (dp > 0)))
     share = np.where(crossing, dp / np.where(crossing, dp - dq, 1.0), 0.0)
