@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolake.operators.matching import by_groups, changes
 from annolake.operators.overlap import overlap_join
 
 
@@ -49,22 +50,46 @@ def erode_mask(runs: DataFrame, kv: int, kh: int, height: int, width: int, adapt
     """Pixels of merged runs whose vertical run of kv and horizontal run of kh pixels to either side are all set.
 
     Beyond the image's border everything counts as set. adaptive: an axis along which the mask's indices span less than this
-    uses `small` instead of its k. Gives merged runs.
+    uses `small` instead of its k. Gives merged runs. Runs stay runs: whole masks meet in sorted batches and runs are cut by those
+    of the lines around them, so no pixel has a row.
     """
-    keys = ["image_id", "inst_id"]
-    span = runs.groupBy(*keys).agg((F.max("v") - F.min("v")).alias("dv"), (F.max("u1") - F.min("u0")).alias("du"))
-    k = lambda full, axis: F.lit(full) if adaptive is None else F.when(F.col(axis) >= adaptive, full).otherwise(min(small, full))
-    r = runs.join(span, keys).withColumn("kv", k(kv, "dv")).withColumn("kh", k(kh, "du"))
-    across = r.withColumn("u0", F.when(F.col("u0") > 0, F.col("u0") + F.col("kh")).otherwise(F.col("u0"))).withColumn("u1", F.when(F.col("u1") < width - 1, F.col("u1") - F.col("kh")).otherwise(F.col("u1"))).where("u0 <= u1")
-    # Columns: islands of consecutive rows, shrunk at both ends.
-    pixels = r.select(*keys, "kv", "v", F.explode(F.sequence("u0", "u1")).alias("u"))
-    island = F.col("v") - F.row_number().over(Window.partitionBy(*keys, "u").orderBy("v"))
-    down = pixels.withColumn("i", island).groupBy(*keys, "u", "i").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.first("kv").alias("kv"))
-    down = down.withColumn("v0", F.when(F.col("v0") > 0, F.col("v0") + F.col("kv")).otherwise(F.col("v0"))).withColumn("v1", F.when(F.col("v1") < height - 1, F.col("v1") - F.col("kv")).otherwise(F.col("v1"))).where("v0 <= v1")
-    left = down.select(*keys, "u", F.explode(F.sequence("v0", "v1")).alias("v"))
-    both = left.join(across.select(*keys, "v", "u0", "u1"), [*keys, "v"]).where("u BETWEEN u0 AND u1").select(*keys, "v", "u")
-    group = F.col("u") - F.row_number().over(Window.partitionBy(*keys, "v").orderBy("u"))
-    return both.withColumn("g", group).groupBy(*keys, "v", "g").agg(F.min("u").alias("u0"), F.max("u").alias("u1")).drop("g")
+    keys, columns = ["image_id", "inst_id"], ["image_id", "inst_id", "v", "u0", "u1"]
+    rows = runs.select(*columns).dropna().repartition(*keys).sortWithinPartitions(*keys, "v", "u0")
+    return rows.mapInArrow(by_groups(_eroded(kv, kh, height, width, adaptive, small), keys), ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in columns))
+
+
+def _eroded(kv: int, kh: int, height: int, width: int, adaptive: int | None, small: int):
+    """Whole masks, sorted by mask, v and u0. All lines lie behind one another on one axis, with kv free ones after each mask."""
+    def eroded(t: pa.Table) -> pa.RecordBatch:
+        v, u0, u1 = (t.column(c).to_numpy().astype(np.int64) for c in ("v", "u0", "u1"))
+        starts = np.flatnonzero(changes(t, ("image_id", "inst_id")))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(v))))
+        top, left = np.minimum.reduceat(v, starts), np.minimum.reduceat(u0, starts)
+        spans = [np.maximum.reduceat(x, starts) - lo for x, lo in ((v, top), (u1, left))]
+        down, across = (np.where(span >= adaptive, k, min(small, k)) if adaptive is not None else np.full(len(starts), k) for span, k in zip(spans, (kv, kh), strict=True))
+        line = (np.cumsum(spans[0] + kv + 1) - spans[0] - top)[of] + v
+        wide = u1.max() - u0.min() + 1
+        at = line * wide - u0.min()
+        b0, b1 = at + u0, at + u1
+        a0, a1 = np.where(u0 > 0, b0 + across[of], b0), np.where(u1 < width - 1, b1 - across[of], b1)
+        own = np.flatnonzero(a0 <= a1)
+        a0, a1 = a0[own], a1[own]
+        for step in (s * d for d in range(1, kv + 1) for s in (-1, 1)):
+            other = v[own] + step
+            needed = (down[of[own]] >= abs(step)) & ((other >= 0) if step < 0 else (other < height))
+            # The runs b of the line beside that each run a meets; a run whose line beside is not needed stays whole.
+            first, last = np.searchsorted(b1, a0 + step * wide), np.searchsorted(b0, a1 + step * wide, "right")
+            n = np.where(needed, last - first, 1)
+            a = np.repeat(np.arange(len(own)), n)
+            b = np.minimum(first[a] + np.arange(len(a)) - (np.cumsum(n) - n)[a], len(b0) - 1)
+            a0, a1 = (np.where(needed[a], f(x[a], y[b] - step * wide), x[a]) for f, x, y in ((np.maximum, a0, b0), (np.minimum, a1, b1)))
+            own = own[a]
+        out = t.select(["image_id", "inst_id", "v"]).take(pa.array(own))
+        for c, x in (("u0", a0), ("u1", a1)):
+            out = out.append_column(c, pa.array(x - at[own]).cast(t.schema.field(c).type))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=out.column_names)
+
+    return eroded
 
 
 #: Side of the tiles in which depth edges are looked for, and the rim of pixels around one that decide on its own.
