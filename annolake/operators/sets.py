@@ -147,11 +147,12 @@ def with_pseudo_labels(images: DataFrame, raw: DataFrame, how: str = "left_semi"
 def match_files(names: DataFrame, listing: DataFrame) -> DataFrame:
     """(image_id, phrase, idx, path): the first existing file of each object by the priority of its possible names. listing: name, path.
 
-    Each phrase and index is looked up once, however many objects have it; a missing phrase leaves the names made of the index.
+    Each phrase and index is looked up once, however many objects have it; a missing phrase leaves the names made of the index. The join
+    is a merge: the size that Spark assumes for the names leaves out that there are five of each, so it would broadcast them.
     """
     p, i = F.col("phrase"), F.col("idx").cast("string")
     tries = F.posexplode(F.array(F.concat(p, F.lit("_"), i, F.lit(".ply")), F.concat(p, F.lit(".ply")), F.concat(p, F.lit("_"), i, F.lit(".glb")), F.concat(F.lit("mask_"), i, F.lit(".ply")), F.concat(F.lit("object_"), i, F.lit(".ply")))).alias("priority", "name")
-    found = names.select("phrase", "idx").distinct().select("phrase", "idx", tries).join(listing.select("name", "path"), "name")
+    found = names.select("phrase", "idx").distinct().select("phrase", "idx", tries).join(listing.select("name", "path").hint("merge"), "name")
     best = found.groupBy("phrase", "idx").agg(F.min_by("path", "priority").alias("path"))
     best = best.select(F.col("phrase").alias("_phrase"), F.col("idx").alias("_idx"), "path")
     return names.join(best, F.col("phrase").eqNullSafe(F.col("_phrase")) & F.col("idx").eqNullSafe(F.col("_idx")), "left").drop("_phrase", "_idx")
