@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from annolake.sources.shared import settled
 
 #: Recall levels at which precision is read, prefixes of a detection list, and the usual settings.
 LEVELS, PREFIXES, MOST = 101, (1, 10, 100), 100
+#: The scope of all sets together.
+WHOLE = "<Concat>"
 THRESHOLDS_2D = [0.5 + 0.05 * i for i in range(10)]
 THRESHOLDS_3D = [0.05 + 0.05 * i for i in range(10)]
 AREAS_2D = [("all", 0.0, 1e10), ("small", 0.0, 1024.0), ("medium", 1024.0, 9216.0), ("large", 9216.0, 1e10)]
@@ -112,59 +115,83 @@ def _in_cells(rows: DataFrame, cells: int) -> DataFrame:
     return rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
 
 
-def _reached(by: int):
-    """Of a band of a group, for each cell: the levels that its hits newly reach with the envelope within the band, and the band's best precision."""
+def _reached(by: int, own: bool):
+    """Of a band of a group, for each cell: the levels that its hits newly reach with the envelope within the band, and the band's best precision.
+    own: for each scope too, from the rows that are its own (column `set`)."""
     def curve(rows: pa.Table, before: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if before.num_rows and rows.num_rows:
             rows = rows.sort_by("at")
             hits, misses = (rows.column(c).to_numpy() for c in ("hits", "misses"))
+            of = {WHOLE: (hits, misses)}
             for o in before.column("o")[0].as_py():
-                at = np.flatnonzero((hits >> o["cell"]) & 1)
+                scope = o["scope"] if own else WHOLE
+                if scope not in of:
+                    inside = pc.fill_null(pc.equal(rows.column("set"), scope), False).to_numpy()
+                    of[scope] = hits[inside], misses[inside]
+                h, m = of[scope]
+                at = np.flatnonzero((h >> o["cell"]) & 1)
                 if not len(at):
                     continue
                 tp = o["tp_0"] + np.arange(1, len(at) + 1)
-                fp = o["fp_0"] + np.cumsum((misses >> o["cell"]) & 1)[at]
+                fp = o["fp_0"] + np.cumsum((m >> o["cell"]) & 1)[at]
                 env = np.maximum.accumulate((tp / (tp + fp))[::-1])[::-1]
                 low = np.where(tp == 1, -1, (LEVELS - 1) * (tp - 1) // o["npig"])
                 levels = (LEVELS - 1) * tp // o["npig"] - low
-                out.append((o["cell"], 0, None, float(env[0])))
-                out += [(o["cell"], int(levels[i]), float(env[i]), None) for i in np.flatnonzero(levels > 0)]
-        cells, levels, own, best = zip(*out, strict=True) if out else ([], [], [], [])
+                out.append((scope, o["cell"], 0, None, float(env[0])))
+                out += [(scope, o["cell"], int(levels[i]), float(env[i]), None) for i in np.flatnonzero(levels > 0)]
+        scopes, cells, levels, found, best = zip(*out, strict=True) if out else ([], [], [], [], [])
         keys = [c.take(pa.array(np.zeros(len(out), int))) for c in rows.columns[: by + 1]] if rows.num_rows else [pa.array([], f.type) for f in rows.schema][: by + 1]
-        return pa.table([*keys, pa.array(cells, pa.int32()), pa.array(levels, pa.int32()), pa.array(own, pa.float64()), pa.array(best, pa.float64())], names=[*rows.column_names[: by + 1], "cell", "levels", "own", "best"])
+        columns = {**dict(zip(rows.column_names, keys, strict=False)), **({"scope": pa.array(scopes, pa.string())} if own else {})}
+        return pa.table({**columns, "cell": pa.array(cells, pa.int32()), "levels": pa.array(levels, pa.int32()), "own": pa.array(found, pa.float64()), "best": pa.array(best, pa.float64())})
 
     return curve
 
 
-def cell_precision(cells: DataFrame, npig: DataFrame, areas: list[tuple[str, float, float]], thresholds: int, by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id"), bands: int | None = None) -> DataFrame:
+def cell_precision(cells: DataFrame, npig: DataFrame, areas: list[tuple[str, float, float]], thresholds: int, by: tuple[str, ...] = ("category_name",), ties: tuple[str, ...] = ("image_id", "rank", "det_id"), bands: int | None = None, own: str | None = None) -> DataFrame:
     """average_precision from match_cells: (by, area_range, thr, max_dets, npig, ap, ar), at most MOST detections of an image and category.
 
     A detection is sorted once, whatever the number of ranges and thresholds, and only if it is not ignored everywhere. The bands are
     those of precision_recall; what the better ones hold comes from a table with a row for each group, band and cell. A band gives
     only the levels that it newly reaches, at most LEVELS of a group and cell, and its best precision for the better bands.
+
+    own: a column of which each value is a group of its own as well; the result and npig have the further key `scope` of both_scopes. The ties
+    must begin with it, so that the order of all is also that of each, and a detection is still sorted once.
     """
-    count, key = len(areas) * thresholds, [*by, "cell"]
-    order = [*by, F.desc("score"), *ties]
+    if own and ties[0] != own:
+        raise ValueError(f"ties must begin with {own}")
+    count, all_by = len(areas) * thresholds, (["scope"] if own else []) + [*by]
+    key, order = [*all_by, "cell"], [*by, F.desc("score"), *ties]
     rows = cells.where((F.col("rank") <= MOST) & ((F.col("hits") != 0) | (F.col("misses") != 0)))
     n = bands or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = settled(rows.select(*by, F.spark_partition_id().alias("band"), F.monotonically_increasing_id().alias("at"), "hits", "misses"), "curve")
-    held = _in_cells(rows.groupBy(*by, "band", "hits", "misses").agg(F.count("*").alias("k")), count)
-    held = held.groupBy(*key, "band").agg(*(F.sum(F.expr(f"(shiftright({c}, cell) & 1) * k")).alias(f"{t}_in") for c, t in (("hits", "tp"), ("misses", "fp"))))
+    of_set = [F.col(own).cast("string").alias("set")] if own else []
+    rows = rows.select(*dict.fromkeys([*by, "score", *ties, "hits", "misses"])).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = settled(rows.select(*by, F.spark_partition_id().alias("band"), F.monotonically_increasing_id().alias("at"), *of_set, "hits", "misses"), "curve")
+    held = rows.groupBy(*by, "band", *(["set"] if own else []), "hits", "misses").agg(F.count("*").alias("k"))
+    if own:
+        held = both_scopes(held, "set")
+    held = _in_cells(held, count).groupBy(*key, "band").agg(*(F.sum(F.expr(f"(shiftright({c}, cell) & 1) * k")).alias(f"{t}_in") for c, t in (("hits", "tp"), ("misses", "fp"))))
     held = settled(held, "held")
     better = Window.partitionBy(*key).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     sums = held.select(*key, "band", *(F.coalesce(F.sum(f"{t}_in").over(better), F.lit(0)).alias(f"{t}_0") for t in ("tp", "fp")))
-    sums = _cell_names(sums, areas, thresholds).join(npig, [*by, "area_range"])
-    before = sums.groupBy(*by, "band").agg(F.collect_list(F.struct("cell", "tp_0", "fp_0", "npig")).alias("o"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*by, "band"))
-    reached = rows.groupBy(*by, "band").cogroup(before.groupBy(*by, "band")).applyInArrow(_reached(len(by)), f"{kinds}, cell int, levels int, own double, best double")
+    sums = _cell_names(sums, areas, thresholds).join(npig, [*all_by, "area_range"])
+    before = sums.groupBy(*by, "band").agg(F.collect_list(F.struct(*(["scope"] if own else []), "cell", "tp_0", "fp_0", "npig")).alias("o"))
+    kinds = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*by, "band")), *(["scope string"] if own else [])])
+    reached = rows.groupBy(*by, "band").cogroup(before.groupBy(*by, "band")).applyInArrow(_reached(len(by), bool(own)), f"{kinds}, cell int, levels int, own double, best double")
     worse = Window.partitionBy(*key).orderBy(F.desc("band")).rangeBetween(Window.unboundedPreceding, -1)
     found = reached.withColumn("beyond", F.max("best").over(worse)).groupBy(*key).agg((F.sum(F.col("levels") * F.greatest("own", "beyond")) / LEVELS).alias("ap"))
     found = held.groupBy(*key).agg(F.sum("tp_in").alias("tp")).join(found, key, "left")
-    groups = npig.select(*by, "area_range", "npig", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("thr"))
-    out = groups.join(_cell_names(found, areas, thresholds), [*by, "area_range", "thr"], "left")
-    return out.select(*by, "area_range", "thr", F.lit(MOST).alias("max_dets"), "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce(F.col("tp") / F.col("npig"), F.lit(0.0)).alias("ar"))
+    groups = npig.select(*all_by, "area_range", "npig", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("thr"))
+    out = groups.join(_cell_names(found, areas, thresholds), [*all_by, "area_range", "thr"], "left")
+    return out.select(*all_by, "area_range", "thr", F.lit(MOST).alias("max_dets"), "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce(F.col("tp") / F.col("npig"), F.lit(0.0)).alias("ar"))
+
+
+def cell_positives(cells: DataFrame, areas: list[tuple[str, float, float]], by: tuple[str, ...] = ("category_name",)) -> DataFrame:
+    """positives from the truths' rows of matching.scene_cells; rows with the same hits are counted together first."""
+    same = cells.where("rank = 0").groupBy(*by, "hits").agg(F.count("*").alias("k"))
+    area = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for i, (n, *_) in enumerate(areas)))).alias("a")
+    inside = same.select(*by, "hits", "k", area).where("shiftright(hits, a.i) & 1 = 1")
+    return inside.groupBy(*by, F.col("a.n").alias("area_range")).agg(F.sum("k").alias("npig"))
 
 
 def cell_recall(cells: DataFrame, npig: DataFrame, areas: list[tuple[str, float, float]], thresholds: int, by: tuple[str, ...] = ("category_name",), prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
@@ -208,7 +235,7 @@ def vocabulary_mean(per_category: DataFrame, vocabularies: dict[str, list[str]])
 def both_scopes(matches: DataFrame, order_col: str = "dataset_id") -> DataFrame:
     """matches once for their own set and once for all sets together (`scope`); ties over all sets go by set, then image."""
     own = matches.withColumn("scope", F.col(order_col).cast("string"))
-    return own.unionByName(matches.withColumn("scope", F.lit("<Concat>")))
+    return own.unionByName(matches.withColumn("scope", F.lit(WHOLE)))
 
 
 def localisation_errors(best: DataFrame) -> DataFrame:
